@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import line_dedup, token_count
+from . import line_dedup, secret_scan, token_count
 
 
 def queries() -> dict:
     return {
         "op3_line_dedup": line_dedup.op3_line_dedup,
+        "op4_secret_scan": secret_scan.op4_secret_scan,
         "op7_token_count": token_count.op7_token_count,
     }
 
