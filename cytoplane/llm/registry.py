@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import license_scan, line_dedup, secret_scan, token_count
+from . import license_scan, line_dedup, minhash, secret_scan, token_count
 
 
 def queries() -> dict:
     return {
+        "op1_minhash_dedup": minhash.op1_minhash_dedup,
         "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_secret_scan": secret_scan.op4_secret_scan,
         "op7_token_count": token_count.op7_token_count,
