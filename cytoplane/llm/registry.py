@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import license_scan, line_dedup, minhash, secret_scan, token_count
+from . import bpe, license_scan, line_dedup, minhash, secret_scan, token_count
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_secret_scan": secret_scan.op4_secret_scan,
         "op7_token_count": token_count.op7_token_count,
+        "op9_bpe": bpe.op9_bpe,
         "op10_license_scan": license_scan.op10_license_scan,
     }
 
