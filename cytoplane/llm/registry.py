@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, language_id, license_scan, line_dedup, minhash, secret_scan, token_count, toxicity
+from . import bpe, embedding_dedup, language_id, license_scan, line_dedup, minhash, secret_scan, token_count, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_minhash_dedup": minhash.op1_minhash_dedup,
+        "op2_embedding_dedup": embedding_dedup.op2_embedding_dedup,
         "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_secret_scan": secret_scan.op4_secret_scan,
         "op5_language_id": language_id.op5_language_id,
