@@ -171,24 +171,53 @@ def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), raw], ["id", "raw"])
 
 
-def _likely(percent: int, least: float):
-    """Pairs of a bucket's minor members and its others whose sketches agree in ``least`` of the coordinates."""
+def _linked(k: int, percent: int, least: float):
+    """Links between a bucket's minor members and its others: sketches that agree in ``least`` of the coordinates, then whole sets.
+
+    A pair is looked at in the first bucket that it shares, and only while its ends aren't connected by links found here,
+    so that a block gives fewer links than it has members.
+    """
 
     def run(pdf):
         import pandas as pd
+        import zstandard
 
         left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        out_a, out_b = [], []
+        links: list[tuple[int, int]] = []
         if len(left) and len(right):
+            key = pdf["key"].iloc[0]
             codes = np.frombuffer(b"".join(right["code"]), np.uint8).reshape(len(right), -1)
+            bands = np.stack(right["bands"].to_list())
             ids, comps, n, minor = (right[c].to_numpy() for c in ("rep", "comp", "n", "minor"))
+            raw = dict(zip(left["rep"], left["raw"])) | dict(zip(right["rep"], right["raw"]))
+            sets: dict[int, np.ndarray] = {}
+            above: dict[int, int] = {}
+            plain = zstandard.ZstdDecompressor()
+
+            def top(c: int) -> int:
+                while (up := above.get(c, c)) != c:
+                    above[c] = c = above.get(up, up)
+                return c
+
+            def whole(i: int) -> np.ndarray:
+                if i not in sets:
+                    sets[i] = shingle_set(plain.decompress(raw[i]), k)
+                return sets[i]
+
             for x in left.itertuples(index=False):
                 may = np.flatnonzero((comps != x.comp) & (100 * np.minimum(n, x.n) >= percent * np.maximum(n, x.n)) & (~minor | (ids > x.rep)))
-                if len(may):
-                    near = may[(codes[may] == np.frombuffer(x.code, np.uint8)).mean(axis=1) >= least]
-                    out_a += [x.rep] * len(near)
-                    out_b += ids[near].tolist()
-        return pd.DataFrame({"a": np.array(out_a, np.int64), "b": np.array(out_b, np.int64)})
+                may = may[(codes[may] == np.frombuffer(x.code, np.uint8)).mean(axis=1) >= least]
+                same = bands[may] == np.asarray(x.bands)
+                may = may[np.asarray(x.bands)[same.argmax(axis=1)] == key] if len(may) else may
+                for i in may:
+                    a, b = top(int(x.comp)), top(int(comps[i]))
+                    if a != b:
+                        u, v = whole(x.rep), whole(int(ids[i]))
+                        both = len(np.intersect1d(u, v, assume_unique=True))
+                        if 100 * both >= percent * (len(u) + len(v) - both):
+                            above[max(a, b)] = min(a, b)
+                            links.append((x.rep, int(ids[i])))
+        return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
 
     return run
 
@@ -202,8 +231,8 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, bands: int =
 
     Equal sets are folded into one class first. Classes that share a band meet the bucket's hub (the class met in most
     buckets) and links are verified on whole sets; classes joined thereby need no other comparison inside a bucket. The
-    rest of a bucket is compared in blocks by whole sketches, and likely pairs are verified too. So a group of copies
-    costs one comparison a member, and nothing is capped.
+    rest of a bucket is compared in blocks by whole sketches, and likely pairs are verified too, until connected. So a
+    group of copies costs one comparison a member, and nothing is capped.
     """
     t, p = bands * rows, percent / 100
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -230,15 +259,15 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, bands: int =
     placed = spread_join(placed.select("key", "rep", "n", "size", "comp"), hubs.select("key", "hub").join(joined.withColumnRenamed("node", "hub"), "hub", "left").select("key", F.coalesce("component", "hub").alias("hub_comp")), ["key"], "rep")
     placed = placed.where("size > 2").withColumn("minor", F.col("comp") != F.col("hub_comp"))
     open_ = placed.groupBy("key").agg(F.sum(F.col("minor").cast("long")).alias("minors")).where("minors > 0")
-    rest = spread_join(placed, open_, ["key"], "rep").join(classes.select("rep", "code"), "rep")
+    rest = spread_join(placed, open_, ["key"], "rep").join(classes.select("rep", "code", "bands"), "rep").join(texts.select(F.col("id").alias("rep"), "raw"), "rep")
+    rest = stored(rest)
     deal = lambda n: F.ceil(F.col(n) / block).cast("int")
     rest = rest.withColumn("i", F.pmod(F.xxhash64("rep"), deal("minors")).cast("int")).withColumn("j", F.pmod(F.xxhash64("rep"), deal("size")).cast("int"))
-    cols = ["key", "i", "j", "side", "rep", "n", "comp", "minor", "code"]
+    cols = ["key", "i", "j", "side", "rep", "n", "comp", "minor", "code", "bands", "raw"]
     left = rest.where("minor").withColumn("j", F.explode(F.sequence(F.lit(0), deal("size") - 1))).withColumn("side", F.lit(0))
     right = rest.withColumn("i", F.explode(F.sequence(F.lit(0), deal("minors") - 1))).withColumn("side", F.lit(1))
-    more = left.select(cols).unionByName(right.select(cols)).groupBy("key", "i", "j").applyInPandas(_likely(percent, p - 4.5 * (p * (1 - p) / t) ** 0.5), "a long, b long")
-    more = more.distinct().join(pairs, ["a", "b"], "left_anti").join(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    late = stored(_verified(stored(more), texts, k, percent))
+    late = left.select(cols).unionByName(right.select(cols)).groupBy("key", "i", "j").applyInPandas(_linked(k, percent, p - 4.5 * (p * (1 - p) / t) ** 0.5), "u long, v long")
+    late = stored(late.distinct())
     if not late.isEmpty():
         joined = connected_components(links.unionByName(late))
 
