@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding_dedup, language_id, license_scan, line_dedup, minhash, secret_scan, token_count, toxicity
+from . import bpe, decontaminate, embedding_dedup, language_id, license_scan, line_dedup, minhash, secret_scan, token_count, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_secret_scan": secret_scan.op4_secret_scan,
         "op5_language_id": language_id.op5_language_id,
+        "op6_decontaminate": decontaminate.op6_decontaminate,
         "op7_token_count": token_count.op7_token_count,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_bpe": bpe.op9_bpe,
