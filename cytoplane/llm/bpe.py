@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import os
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import table
 
@@ -19,7 +23,7 @@ _LOADED: dict = {}
 #: Fixed value: how byte-level BPE vocabularies of this kind split a text into words before merging.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Text in one chunk of documents that shares a dictionary, in bytes.
-CHUNK = 16 << 20
+CHUNK = 32 << 20
 
 
 class Words:
@@ -82,107 +86,182 @@ def _words(path: str) -> Words:
     return _LOADED[path]
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack(*arrays: np.ndarray | bytes) -> bytes:
     import zstandard
 
     squeeze = zstandard.ZstdCompressor(level=3)
-    for b in batches:
-        raw = pa.array([squeeze.compress(x.as_buffer().to_pybytes() if x.is_valid else b"") for x in b.column(2)], pa.binary())
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), raw], ["chunk", "id", "raw"])
+    parts = [squeeze.compress(bytes(memoryview(x).cast("B")) if isinstance(x, np.ndarray) and x.size else bytes(x) if isinstance(x, bytes) else b"") for x in arrays]
+    return np.array([len(p) for p in parts], np.uint32).tobytes() + b"".join(parts)
 
 
-def _distinct(path: str, most: int = 400_000):
-    """The distinct words of each chunk, as they come; now and then the set is emptied, then a word may come again."""
+def _unpack(blob: bytes, n: int) -> list[bytes]:
+    import zstandard
+
+    plain, at, out = zstandard.ZstdDecompressor(), 4 * n, []
+    for size in np.frombuffer(blob[: 4 * n], np.uint32).tolist():
+        out.append(plain.decompress(blob[at : at + size]))
+        at += size
+    return out
+
+
+def _pack_sequence(x: np.ndarray) -> bytes:
+    """Word ranks byte by byte: frequent words have small ranks, so the upper bytes are mostly zero."""
+    return _pack(*(np.ascontiguousarray((x >> (8 * k)).astype(np.uint8)) for k in range(4)))
+
+
+def _unpack_sequence(blob: bytes) -> np.ndarray:
+    low, *upper = (np.frombuffer(p, np.uint8) for p in _unpack(blob, 4))
+    out = low.astype(np.uint32)
+    for k, p in enumerate(upper, 1):
+        out |= p.astype(np.uint32) << np.uint32(8 * k)
+    return out
+
+
+ROW = ["dest", "kind", "at", "id", "blob"]
+DOCUMENT, DICTIONARY, WORDS = 0, 1, 2
+
 
-    def rows(seen: dict[int, set]) -> pa.RecordBatch:
-        words = [w for ws in seen.values() for w in ws]
-        chunks = np.repeat(np.array(list(seen), np.int64), [len(ws) for ws in seen.values()])
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(chunks, pa.int64())], ["word", "chunk"])
+def _chunked(path: str, buckets: int, chunk_bytes: int, most: int, id_type: pa.DataType):
+    """For each chunk of documents: a row per document with the ranks of its words, a row with the bucket of each rank,
+    and a row per bucket with the chunk's words in it. A chunk ends at chunk_bytes of text or ``most`` distinct words."""
+
+    def rows(chunk: int, ids: list, sequences: list, names: list[str]) -> Iterator[pa.RecordBatch]:
+        flat = np.concatenate(sequences) if sequences else np.empty(0, np.uint32)
+        order = np.argsort(-np.bincount(flat, minlength=len(names)), kind="stable")
+        rank = np.empty(len(names), np.uint32)
+        rank[order] = np.arange(len(names), dtype=np.uint32)
+        raw = [names[i].encode() for i in order.tolist()]
+        bucket = np.fromiter(map(zlib.crc32, raw), np.uint32, len(raw)) % np.uint32(buckets)
+        stamp = hashlib.blake2b(b"\0".join(raw), digest_size=8).digest()
+        made: list[tuple] = [(chunk, DICTIONARY, 0, None, stamp + _pack(bucket))]
+        made += [(chunk, DOCUMENT, 0, i, _pack_sequence(rank[s])) for i, s in zip(ids, sequences)]
+        by = np.argsort(bucket, kind="stable")
+        for part in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1) if len(by) else []:
+            words = [raw[i] for i in part.tolist()]
+            made.append((int(bucket[part[0]]), WORDS, chunk, None, stamp + _pack(np.array([len(w) for w in words], np.uint32), b"".join(words))))
+        kinds = (pa.int64(), pa.int32(), pa.int64(), id_type, pa.binary())
+        for k in range(0, len(made), 4096):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made[k : k + 4096]), kinds)], ROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
+        words, part, n = _words(path), TaskContext.get().partitionId(), 0
+
+        def fresh() -> tuple[list, list, defaultdict]:
+            return [], [], defaultdict(itertools.count().__next__)
 
-        plain, words, seen = zstandard.ZstdDecompressor(), _words(path), defaultdict(set)
+        (ids, sequences, place), size = fresh(), 0
         for b in batches:
-            for chunk, raw in zip(b.column(0).to_pylist(), b.column(2)):
-                seen[chunk].update(words.split(plain.decompress(raw.as_py()).decode()))
-                if sum(map(len, seen.values())) > most:
-                    yield rows(seen)
-                    seen.clear()
-        if seen:
-            yield rows(seen)
+            for i, x in zip(b.column(0).to_pylist(), b.column(1)):
+                text = x.as_py() or ""
+                own = words.split(text)
+                ids.append(i)
+                sequences.append(np.fromiter(map(place.__getitem__, own), np.uint32, len(own)))
+                size += len(text)
+                if size >= chunk_bytes or len(place) >= most:
+                    yield from rows(FIRST_CHUNK + (part << 20) + n, ids, sequences, list(place))
+                    (ids, sequences, place), size, n = fresh(), 0, n + 1
+        if ids:
+            yield from rows(FIRST_CHUNK + (part << 20) + n, ids, sequences, list(place))
 
     return run
 
 
-def _encoded(path: str):
-    """Words arrive sorted, so equal ones stand together and are encoded once."""
+#: Destinations of chunks; those of buckets are below.
+FIRST_CHUNK = 1 << 50
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, last, known = _words(path), None, b""
-        for b in batches:
-            ws = b.column(0).to_pylist()
-            new = [w for w, before in zip(ws, [last, *ws]) if w != before]
-            codes = iter([np.array(x, np.uint32).tobytes() for x in words.encode(new)])
-            ids = []
-            for w in ws:
-                if w != last:
-                    last, known = w, next(codes)
-                ids.append(known)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary())], ["word", "chunk", "ids"])
+
+def _encoded(path: str):
+    """One bucket of the word table: its words, from all chunks, are each encoded once; each chunk gets its ids in its order."""
+
+    def run(t: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        rows = [(c, x) for k, c, x in zip(t.column("kind").to_pylist(), t.column("at").to_pylist(), t.column("blob")) if k == WORDS]
+        known: dict[bytes, np.ndarray] = {}
+        for chunk, x in rows:
+            blob = x.as_py()
+            sizes, joined = _unpack(blob[8:], 2)
+            ends = np.cumsum(np.frombuffer(sizes, np.uint32), dtype=np.int64).tolist()
+            own = [joined[a:b] for a, b in zip([0, *ends], ends)]
+            new = [w for w in own if w not in known]
+            known.update(zip(new, [np.array(c, np.uint32) for c in _words(path).encode([w.decode() for w in new])]))
+            coded = [known[w] for w in own]
+            out.append((chunk, int(t.column("dest")[0].as_py()), blob[:8] + _pack(np.array([len(c) for c in coded], np.uint32), np.concatenate(coded))))
+        cols = list(zip(*out)) or [[], [], []]
+        return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.binary()))], ["chunk", "bucket", "ids"])
 
     return run
 
 
-def _assembled(path: str, digests: bool):
+def _assembled(path: str, digests: bool, id_type: pa.DataType):
     """The documents of one chunk, and its dictionary: ids joined back by the position of words, pieces joined to ids."""
 
-    def run(docs: pa.Table, dictionary: pa.Table) -> pa.Table:
-        import zstandard
-
-        words, plain = _words(path), zstandard.ZstdDecompressor()
-        place = dict(zip(dictionary.column("word").to_pylist(), range(dictionary.num_rows)))
-        coded = [np.frombuffer(x, np.uint32) for x in dictionary.column("ids").to_pylist()]
-        size = np.array([len(x) for x in coded], np.int64)
-        text = [b"".join([words.pieces[i] for i in x.tolist()]) for x in coded]
-        named = [",".join(map(str, x.tolist())).encode() for x in coded] if digests else []
+    def run(own: pa.Table, coded: pa.Table) -> pa.Table:
+        pieces, ids = _words(path).pieces, []
         out: list[list] = [[], [], []]
-        for raw in docs.column("raw"):
-            at = [place[w] for w in words.split(plain.decompress(raw.as_py()).decode())]
-            out[0].append(int(size[at].sum()) if at else 0)
-            decoded = b"".join([text[i] for i in at]).decode("utf-8", "replace")
-            if digests:
-                out[1].append(hashlib.sha256(b",".join([named[i] for i in at])).hexdigest())
-                out[2].append(hashlib.sha256(decoded.encode()).hexdigest())
-            else:
-                out[1].append(np.concatenate([coded[i] for i in at]).astype(np.int32) if at else np.empty(0, np.int32))
-                out[2].append(decoded)
-        kinds = (pa.string(), pa.string()) if digests else (pa.list_(pa.int32()), pa.string())
+        kinds = own.column("kind").to_pylist()
+        at = kinds.index(DICTIONARY) if DICTIONARY in kinds else None
+        if at is not None:
+            blob = own.column("blob")[at].as_py()
+            bucket = np.frombuffer(_unpack(blob[8:], 1)[0], np.uint32)
+            count, by = np.zeros(len(bucket), np.int64), np.argsort(bucket, kind="stable")
+            first = np.searchsorted(bucket[by], np.arange(int(bucket.max(initial=0)) + 2))
+            parts: list[np.ndarray] = [np.empty(0, np.uint32)] * len(bucket)
+            for b, x in zip(coded.column("bucket").to_pylist(), coded.column("ids")):
+                x = x.as_py()
+                if x[:8] != blob[:8]:
+                    raise RuntimeError("a chunk of documents came out differently when it was computed again")
+                n, flat = (np.frombuffer(z, np.uint32) for z in _unpack(x[8:], 2))
+                ends = np.cumsum(n, dtype=np.int64).tolist()
+                ranks = by[first[b] : first[b + 1]]
+                count[ranks] = n
+                for r, i, j in zip(ranks.tolist(), [0, *ends], ends):
+                    parts[r] = flat[i:j]
+            lists = [p.tolist() for p in parts]
+            text = [b"".join([pieces[i] for i in p]) for p in lists]
+            named = [",".join(map(str, p)).encode() for p in lists] if digests else []
+            for kind, i, x in zip(kinds, own.column("id").to_pylist(), own.column("blob")):
+                if kind != DOCUMENT:
+                    continue
+                s = _unpack_sequence(x.as_py())
+                places = s.tolist()
+                ids.append(i)
+                out[0].append(int(count[s].sum()))
+                decoded = b"".join([text[p] for p in places]).decode("utf-8", "replace")
+                if digests:
+                    out[1].append(hashlib.sha256(b",".join([named[p] for p in places])).hexdigest())
+                    out[2].append(hashlib.sha256(decoded.encode()).hexdigest())
+                else:
+                    out[1].append(np.concatenate([parts[p] for p in places]).astype(np.int32) if places else np.empty(0, np.int32))
+                    out[2].append(decoded)
+        types = (pa.string(), pa.string()) if digests else (pa.list_(pa.int32()), pa.string())
         names = ["id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))]
-        return pa.table([docs.column("id"), pa.array(out[0], pa.int64()), pa.array(out[1], kinds[0]), pa.array(out[2], kinds[1])], names)
+        return pa.table([pa.array(ids, id_type), pa.array(out[0], pa.int64()), pa.array(out[1], types[0]), pa.array(out[2], types[1])], names)
 
     return run
 
 
-def encode_documents(docs: DataFrame, path: str, digests: bool = False, chunk_bytes: int = CHUNK, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, digests: bool = False, chunk_bytes: int = CHUNK, most_words: int = 600_000, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, n_tokens, ids array<int>, decoded string) per row of docs; with digests, ids_sha256 and decoded_sha256 instead.
 
-    Documents are dealt by hash into chunks of about chunk_bytes; each chunk sends its distinct words to the word table,
-    where every distinct word is encoded once, and gets them back with their ids as its dictionary. So what is shuffled
-    is the packed texts once and the chunks' distinct words twice, never a row per word of the corpus, and no task holds
-    more than a chunk. Null or empty text: no tokens. Special strings become their ids. Rows with one id stay apart.
+    Each chunk of documents (a stretch of an input partition) replaces words by ranks in its own dictionary and sends the
+    dictionary, in buckets by hash, to the word table, where every distinct word is encoded once; the ids come back to
+    the chunk in dictionary order and are joined to the documents by position. What is shuffled is the packed ranks once
+    and the chunks' dictionaries twice, never a row per word of the corpus. Both uses read one exchange; a chunk that is
+    computed anew after a loss must have the same dictionary, else the job fails rather than give wrong ids. Null or
+    empty text: no tokens. Special strings become their ids. Rows with one id stay apart.
     """
     spark = docs.sparkSession
     whole = F.coalesce(F.col(text_col), F.lit(""))
     total = docs.agg(F.sum(F.octet_length(whole))).first()[0] or 0
     n = max(-(-total // chunk_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = docs.select(F.pmod(F.xxhash64(F.col(id_col), whole), F.lit(n)).alias("chunk"), F.col(id_col).alias("id"), whole.alias("text"))
-    kind = dealt.schema["id"].dataType.simpleString()
-    packed = dealt.mapInArrow(_packed, f"chunk long, id {kind}, raw binary").repartition(n, "chunk")
-    words = packed.mapInArrow(_distinct(path), "word string, chunk long")
-    coded = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encoded(path), "word string, chunk long, ids binary")
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = source.schema["id"].dataType
+    arrow = to_arrow_type(kind)
+    named = f"id {kind.simpleString()}"
+    chunks = source.mapInArrow(_chunked(path, n, chunk_bytes, most_words, arrow), f"dest long, kind int, at long, {named}, blob binary").repartition(n, "dest")
+    coded = chunks.groupBy("dest").applyInArrow(_encoded(path), "chunk long, bucket long, ids binary")
     cols = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
-    out = packed.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(_assembled(path, digests), f"id {kind}, n_tokens long, {cols}")
+    out = chunks.groupBy("dest").cogroup(coded.groupBy("chunk")).applyInArrow(_assembled(path, digests, arrow), f"{named}, n_tokens long, {cols}")
     return out.withColumnRenamed("id", id_col)
 
 
