@@ -73,10 +73,11 @@ def complement_tables(df: DataFrame, group: str, cluster: str, weight: str | Non
     w = F.sum(weight) if weight else F.count(F.lit(1))
     d = df.where(F.col(group).isNotNull() & F.col(cluster).isNotNull())
     cell = d.groupBy(group, cluster).agg(w.alias("t11"))
-    by_group, by_cluster = cell.groupBy(group).agg(F.sum("t11").alias("g")), cell.groupBy(cluster).agg(F.sum("t11").alias("c"))
-    total = cell.agg(F.sum("t11").alias("t"))
+    by_group, by_cluster = cell.groupBy(group).agg(F.sum("t11").alias("__g")), cell.groupBy(cluster).agg(F.sum("t11").alias("__c"))
+    total = cell.agg(F.sum("t11").alias("__t"))
     t = by_group.crossJoin(by_cluster).join(cell, [group, cluster], "left").crossJoin(F.broadcast(total)).withColumn("t11", F.coalesce("t11", F.lit(0)))
-    return t.select(group, cluster, "t11", (F.col("g") - F.col("t11")).alias("t12"), (F.col("c") - F.col("t11")).alias("t21"), (F.col("t") - F.col("g") - F.col("c") + F.col("t11")).alias("t22"))
+    g, c, a = F.col("__g"), F.col("__c"), F.col("t11")
+    return t.select(group, cluster, "t11", (g - a).alias("t12"), (c - a).alias("t21"), (F.col("__t") - g - c + a).alias("t22"))
 
 
 def phi(a: Column, b: Column, c: Column, d: Column) -> Column:

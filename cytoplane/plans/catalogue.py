@@ -573,12 +573,12 @@ def _rank_sum_sql(sides: str, select: str = "*") -> str:
 rr AS (SELECT *, rank() OVER (PARTITION BY comparison, gene_id ORDER BY value) + (count(*) OVER (PARTITION BY comparison, gene_id, value) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY comparison, gene_id, value) AS t FROM dd),
 g AS (SELECT comparison, gene_id, count(*) FILTER (WHERE side = 1)::DOUBLE AS n1, count(*) FILTER (WHERE side = 2)::DOUBLE AS n2, sum(r) FILTER (WHERE side = 1) AS r1, sum(t::DOUBLE * t - 1) AS ties,
  avg(value) FILTER (WHERE side = 1) AS m1, avg(value) FILTER (WHERE side = 2) AS m2, avg(2 ** value) FILTER (WHERE side = 1) AS e1, avg(2 ** value) FILTER (WHERE side = 2) AS e2,
- count(*) FILTER (WHERE side = 1 AND value > 0) / (count(*) FILTER (WHERE side = 1))::DOUBLE AS f1, count(*) FILTER (WHERE side = 2 AND value > 0) / (count(*) FILTER (WHERE side = 2))::DOUBLE AS f2, max(value) > 0 AS seen, max(value) AS hi, min(value) AS lo FROM rr GROUP BY 1, 2),
-o AS (SELECT comparison, gene_id, r1 - n1 * (n1 + 1) / 2 AS u, n1, n2, (greatest(r1 - n1 * (n1 + 1) / 2, n1 * n2 - r1 + n1 * (n1 + 1) / 2) - n1 * n2 / 2 - 0.5) / sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1)))) AS z, m1, m2, e1, e2, f1, f2 FROM g WHERE seen)
+ count(*) FILTER (WHERE side = 1 AND value > 0) / (count(*) FILTER (WHERE side = 1))::DOUBLE AS f1, count(*) FILTER (WHERE side = 2 AND value > 0) / (count(*) FILTER (WHERE side = 2))::DOUBLE AS f2, max(value) > 0 AS seen, max(value) FILTER (WHERE side = 1) = min(value) FILTER (WHERE side = 1) AND max(value) FILTER (WHERE side = 2) = min(value) FILTER (WHERE side = 2) AS flat FROM rr GROUP BY 1, 2),
+o AS (SELECT comparison, gene_id, r1 - n1 * (n1 + 1) / 2 AS u, n1, n2, (greatest(r1 - n1 * (n1 + 1) / 2, n1 * n2 - r1 + n1 * (n1 + 1) / 2) - n1 * n2 / 2 - 0.5) / sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1)))) AS z, m1, m2, e1, e2, f1, f2, flat FROM g WHERE seen)
 SELECT {select} FROM o"""
 
 
-DE_COLS = "comparison, gene_id, round(u, 6) AS u, round(z, 5) AS z, round(u / (n1 * n2), 6) AS cles, round(m1, 6) AS mean1, round(m2, 6) AS mean2, round(log2(e1) - log2(e2), 5) AS lfc, round(f1, 6) AS frac1, round(f2, 6) AS frac2"
+DE_COLS = "comparison, gene_id, round(u, 6) AS u, CASE WHEN NOT flat THEN round(z, 5) END AS z, CASE WHEN NOT flat THEN round(u / (n1 * n2), 6) END AS cles, round(m1, 6) AS mean1, round(m2, 6) AS mean2, round(log2(e1) - log2(e2), 5) AS lfc, round(f1, 6) AS frac1, round(f2, 6) AS frac2"
 
 
 def _de_cols(t):
