@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, hash128, lower_ascii, table
+from .common import BLANKS, hash128, lower_ascii, spread_join, table
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -17,16 +17,17 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, text_co
     same lines. Only hashes and positions are shuffled for the counts; texts move once, to meet their positions.
     """
     whole = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.withColumn("__lines", F.split(whole, "\n", -1)).withColumn("__h", F.xxhash64(whole))
+    base = docs.withColumn("__h", F.xxhash64(whole))
     lines = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.xxhash64(whole).alias("__h"), F.posexplode(F.split(whole, "\n", -1)).alias("pos", "line"))
     keyed = lines.select("__id", "__h", "pos", F.btrim("line", F.lit(BLANKS)).alias("key")).where(F.length("key") >= min_chars)
     h1, h2 = hash128(lower_ascii(F.col("key")))
     keyed = keyed.select("__id", "__h", "pos", h1.alias("h1"), h2.alias("h2"))
     held = keyed.groupBy("h1", "h2", "__id").agg(F.count(F.lit(1)).alias("n"))
     shared = held.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.min("__id").alias("keeper")).where(F.col("n_docs") >= min_docs)
-    drops = keyed.join(shared, ["h1", "h2"]).where(F.col("__id") != F.col("keeper"))
+    drops = spread_join(keyed, shared, ["h1", "h2"], "__id").where(F.col("__id") != F.col("keeper"))
     drops = drops.groupBy("__id", "__h").agg(F.collect_set("pos").alias("__drop"))
     out = base.join(drops, (base[id_col] == drops["__id"]) & (base["__h"] == drops["__h"]), "left").drop(drops["__h"])
+    out = out.withColumn("__lines", F.split(whole, "\n", -1))
     n = F.size("__lines")
     kept = F.when(F.col("__drop").isNull(), whole).otherwise(
         F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), n - 1), F.col("__drop")), lambda i: F.get(F.col("__lines"), i)), "\n")
