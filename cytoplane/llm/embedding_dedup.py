@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, spread_join, stored, table
+from .common import connected_components, hash128, spread_join, stored, table
 
 #: Distinct vectors on which split points are fitted, at most (about); all vectors are indexed.
 SAMPLE = 20_000
@@ -96,6 +96,7 @@ def _index(forest):
         for b in batches:
             label, dim = b.column("label").to_pylist(), b.column("dim").to_pylist()
             codes: list[list[int]] = [[0]] * b.num_rows
+            single = b.schema.field("vec").type.value_type == pa.float32()
             groups: dict[tuple, list[int]] = {}
             for i, key in enumerate(zip(label, dim)):
                 groups.setdefault(key, []).append(i)
@@ -105,45 +106,45 @@ def _index(forest):
                     placed = [t.place(x) for t in trees_of[key]]
                     for j, i in enumerate(rows):
                         codes[i] = sorted(t * TREE + leaf for t, p in enumerate(placed) for leaf in p[j])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(codes, pa.list_(pa.int64()))], [*b.schema.names, "codes"])
+            raw = pa.array([np.array(x, np.float32 if single else np.float64).tobytes() for x in b.column("vec").to_pylist()], pa.binary())
+            own = pa.array([np.array(c, np.int64).tobytes() for c in codes], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(n) for n in ("label", "dim", "rep", "mult")] + [raw, pa.array(codes, pa.list_(pa.int64())), own], ["label", "dim", "rep", "mult", "raw", "codes", "own"])
 
     return run
 
 
-def _first_common(codes: list, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least code that rows a[i] and b[i] share; rows mostly have one of a few code lists, so lists are paired once."""
-    names: dict[tuple, int] = {}
-    own = np.array([names.setdefault(tuple(c), len(names)) for c in codes])
-    lists = [np.array(c) for c in names]
-    pairs, at = np.unique(own[a] * len(lists) + own[b], return_inverse=True)
-    return np.array([np.intersect1d(lists[p // len(lists)], lists[p % len(lists)])[0] for p in pairs.tolist()])[at]
+def _earlier(own: list[bytes], code: int) -> np.ndarray:
+    """One row per vector, one column per code under ``code`` that any of them has: 1 where it has it."""
+    lists = [np.frombuffer(c, np.int64) for c in own]
+    flat, row = np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(c) for c in lists])
+    names, col = np.unique(flat[flat < code], return_inverse=True)
+    out = np.zeros((len(lists), len(names)), np.float32)
+    out[row[flat < code], col] = 1
+    return out
 
 
 def _compare(least: float):
     """Links inside a leaf, or between two blocks of it: how many each row gained here, and the least row it is connected to."""
 
-    def run(key, pdf):
-        import pandas as pd
-
-        _, _, code, i, j = key
-        pdf = pdf.sort_values("rep")
-        x, rep, mult, block = _unit(np.stack(pdf["vec"].to_list())), pdf["rep"].to_numpy(), pdf["mult"].to_numpy(), pdf["block"].to_numpy()
-        codes = pdf["codes"].to_list()
+    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        dim, code, i, j = (k.as_py() for k in key[1:])
+        t = t.sort_by("rep")
+        rep, mult, block = (t.column(c).to_numpy() for c in ("rep", "mult", "block"))
+        raw = b"".join(t.column("raw").to_pylist())
+        x = _unit(np.frombuffer(raw, np.float32 if len(raw) == 4 * dim * len(rep) else np.float64).reshape(len(rep), dim))
         gained, top = np.zeros(len(rep), np.int64), np.arange(len(rep))
         rows, cols = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        found = []
+        before, found = _earlier(t.column("own").to_pylist(), code), []
         for s in range(0, len(rows), 512):
             part = rows[s : s + 512]
-            a, b = np.nonzero(x[part] @ x[cols].T >= least)
-            a, b = part[a], cols[b]
+            near = np.flatnonzero((x[part] @ x[cols].T >= least).ravel())
+            a, b = part[near // len(cols)], cols[near % len(cols)]
             keep = a < b if i == j else a != b
-            a, b = a[keep], b[keep]
-            if not len(a):
-                continue
-            first = _first_common(codes, a, b) == code
-            np.add.at(gained, a[first], mult[b[first]])
-            np.add.at(gained, b[first], mult[a[first]])
-            found.append((a, b))
+            if keep.any():
+                met = (before[part] @ before[cols].T).ravel()[near] > 0  # in an earlier leaf, which counts the pair
+                found.append((a[keep], b[keep]))
+                a, b = a[keep & ~met], b[keep & ~met]
+                gained += np.bincount(a, mult[b], len(rep)).astype(np.int64) + np.bincount(b, mult[a], len(rep)).astype(np.int64)
         if found:
             a, b = (np.concatenate(z) for z in zip(*found))
             while True:
@@ -155,12 +156,12 @@ def _compare(least: float):
                     break
                 top = low
         some = (gained > 0) | (top != np.arange(len(rep)))
-        return pd.DataFrame({"rep": rep[some], "gained": gained[some], "low": rep[top[some]]})
+        return pa.table([pa.array(rep[some]), pa.array(gained[some]), pa.array(rep[top[some]])], ["rep", "gained", "low"])
 
     return run
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.93, trees: int = 8, leaf: int = 1024, spill: float = 0.12, block: int = 2048, sample: int = SAMPLE, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = 0.93, trees: int = 6, leaf: int = 256, spill: float = 0.12, block: int = 2048, sample: int = SAMPLE, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of vectors.
 
     Rows with equal labels and equally long vectors are linked if their cosine (double precision) is at least ``least``.
@@ -169,27 +170,31 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, trees: int = 8, leaf:
     in the first leaf that it shares, so n_links needs no list of pairs; leaves of over ``block`` classes are compared in
     blocks, so no task holds more than two. The forest is fitted on a bounded sample and indexes every vector.
     """
-    v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"), F.col(label_col).alias("label"))
+    plus_zero = F.transform(F.col(vec_col), lambda c: c + F.lit(0).cast("float"))  # no negative zero, so that equal vectors hash alike
+    v = vectors.select(F.col(id_col).cast("long").alias("id"), plus_zero.alias("vec"), F.col(label_col).alias("label"))
     fine = F.forall("vec", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("vec", lambda c: c != 0)
     ok = F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & fine, F.lit(False))
-    classes = v.where(ok).groupBy("label", "vec").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("mult")).withColumn("dim", F.size("vec"))
+    h1, h2 = hash128(F.col("vec"))
+    v = v.withColumn("h1", h1).withColumn("h2", h2)
+    classes = v.where(ok).groupBy("label", F.size("vec").alias("dim"), "h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("mult"), F.first("vec").alias("vec"))
     classes = stored(classes)
     spark = vectors.sparkSession
     forest = spark.sparkContext.broadcast(fit_forest(classes, trees, leaf, spill, sample))
-    indexed = stored(classes.mapInArrow(_index(forest), classes.withColumn("codes", F.array().cast("array<long>")).schema))
+    label_type = classes.schema["label"].dataType.simpleString()
+    indexed = stored(classes.mapInArrow(_index(forest), f"label {label_type}, dim int, rep long, mult long, raw binary, codes array<long>, own binary"))
 
     places = indexed.withColumn("code", F.explode("codes"))
     large = places.groupBy("label", "dim", "code").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > block)
     sized = places.join(large, ["label", "dim", "code"], "left").withColumn("blocks", F.ceil(F.coalesce("size", F.lit(1)) / block).cast("int"))
     sized = sized.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     sized = sized.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    met = sized.select("label", "dim", "code", "i", "j", "rep", "mult", "vec", "codes", "block").groupBy("label", "dim", "code", "i", "j").applyInPandas(_compare(least), "rep long, gained long, low long")
+    met = sized.select("label", "dim", "code", "i", "j", "rep", "mult", "raw", "own", "block").groupBy("label", "dim", "code", "i", "j").applyInArrow(_compare(least), "rep long, gained long, low long")
     met = stored(met)
     counts = met.groupBy("rep").agg(F.sum("gained").alias("gained"))
     joined = connected_components(met.select(F.col("rep").alias("u"), F.col("low").alias("v")))
-    known = classes.select("label", "vec", "rep", "mult").join(counts, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-    known = known.select("label", "vec", (F.coalesce("gained", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    good = spread_join(v.where(ok), known, ["label", "vec"], "id").select("id", "n_links", F.col("component").alias("component_id"))
+    known = classes.select("label", "h1", "h2", "rep", "mult").join(counts, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
+    known = known.select("label", "h1", "h2", (F.coalesce("gained", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    good = spread_join(v.where(ok).drop("vec"), known, ["label", "h1", "h2"], "id").select("id", "n_links", F.col("component").alias("component_id"))
     bad = v.where(~ok).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return good.unionByName(bad).select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
