@@ -99,3 +99,28 @@ def background_corrected(counts: DataFrame, empty: DataFrame, pseudocount: float
     d = z.join(noise, cell, "left").withColumn("noise", F.coalesce("noise", F.lit(0.0)))
     fit = d.groupBy(tag).agg(F.regr_slope("value", "noise").alias("b"), F.avg("noise").alias("c"))
     return d.join(fit, tag).select(cell, tag, (F.col("value") - F.coalesce("b", F.lit(0.0)) * (F.col("noise") - F.col("c"))).alias("value"))
+
+
+def unimodal_positives(values: DataFrame, called: DataFrame, by: list[str], value: str, key: str, depth: int = 4, level: float = 0.05, draws: int = 200) -> DataFrame:
+    """called with positives split again while they have more than one mode (dip test against ``draws`` uniform samples),
+    at most depth times; each round handles all groups, and a group's positives meet in one task as the test needs them."""
+    import numpy as np
+    import pandas as pd
+
+    from cytoplane.functions.pvalues import dip
+
+    def test(k, pdf):
+        x, rng = pdf["v"].to_numpy(float), np.random.default_rng(7)
+        seen = dip(x)
+        p = np.mean([dip(rng.random(len(x))) >= seen for _ in range(draws)]) if len(x) > 3 else 1.0
+        return pd.DataFrame([[*k, bool(p < level)]], columns=[*by, "again"])
+
+    kinds = ", ".join(f"{c} {called.schema[c].dataType.simpleString()}" for c in by)
+    for _ in range(depth):
+        pos = called.where("prediction = 1").select(*by, F.col(value).cast("double").alias("v"))
+        again = graph.written(pos.groupBy(*by).applyInPandas(test, f"{kinds}, again boolean").where("again").select(*by))
+        if again.isEmpty():
+            break
+        redo = two_components(called.where("prediction = 1").join(again, by, "left_semi").drop("prediction"), by, value).select(*by, key, F.col("prediction").alias("__p"))
+        called = graph.written(called.join(redo, [*by, key], "left").withColumn("prediction", F.coalesce("__p", "prediction")).drop("__p"))
+    return called

@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from cytoplane.plans import catalogue
+from cytoplane.plans import catalogue, more  # noqa: F401  (registers its queries)
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -236,3 +236,12 @@ def test_group_helpers(spark):
     assert [tuple(r) for r in groups.value_counts(df, "g").collect()] == [("a", 2), ("b", 1)]
     t = {(r.g, r.k): (r.t11, r.t12, r.t21, r.t22) for r in groups.complement_tables(df, "g", "k").collect()}
     assert t["b", "y"] == (0, 1, 1, 1) and sum(v[0] for v in t.values()) == 3
+
+
+def test_positives_with_two_modes_are_split_again(spark):
+    rng = np.random.default_rng(8)
+    v = np.concatenate([rng.normal(0, 0.3, 120), rng.normal(9, 0.3, 40), rng.normal(12, 0.3, 40)])
+    df = spark.createDataFrame([(i, "t", float(x)) for i, x in enumerate(v)], "i long, t string, v double")
+    called = mixtures.two_components(df, ["t"], "v")
+    got = {r.i: r.prediction for r in mixtures.unimodal_positives(df, called, ["t"], "v", "i").collect()}
+    assert sum(got[i] for i in range(120)) == 0 and sum(got[i] for i in range(160, 200)) == 40 and sum(got[i] for i in range(120, 160)) < 5
