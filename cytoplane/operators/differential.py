@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cytoplane.functions import pvalues
 from cytoplane.model import AnnotatedMatrix
-from cytoplane.operators.windows import bh_adjust, top_k
+from cytoplane.operators.windows import bh_adjust, global_ranks, top_k
 
 
 def sides_of(cells: DataFrame, level: str, ident1: list[str], ident2: list[str] | None = None, comparison: str = "") -> DataFrame:
@@ -84,9 +84,7 @@ def spearman(m: AnnotatedMatrix, covariate: DataFrame, layer: str = "", col: str
     Ranks of the covariate are one column of cells; zeros of a gene are one tie block, so nothing is made dense.
     """
     y = covariate.where(F.col(col).isNotNull()).select("cell_id", F.col(col).alias("y"))
-    per_y = y.groupBy("y").agg(F.count(F.lit(1)).alias("c"))
-    before = F.coalesce(F.sum("c").over(Window.orderBy("y").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    y = y.join(per_y.withColumn("ry", before + (F.col("c") + 1) / 2), "y").select("cell_id", "ry")
+    y = y.join(global_ranks(y, "y", "ry").drop("count"), "y").select("cell_id", "ry")
     stats = y.agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("ry").alias("sy"), F.sum(F.col("ry") ** 2).alias("syy"))
     x = m.layers[layer].where("value <> 0").join(y, "cell_id")
     per = x.groupBy("gene_id", "value").agg(F.count(F.lit(1)).alias("c"), F.sum("ry").alias("ry"))
@@ -151,31 +149,41 @@ def replicate_tests(values: DataFrame, replicate: str, first: list, second: list
 def category_tests(df: DataFrame, category: str, value: str, hue: str | None = None, test: str = "mannwhitney") -> DataFrame:
     """Per category: the two values of hue against each other, or without hue the category against all other rows.
 
-    (category, n1, n2, p, cohens_d, cles); null, NaN and infinite values are left out.
+    (category, n1, n2, p, cohens_d, cles); null, NaN and infinite values are left out; null without rows on both sides.
+    Ranks come from counts of distinct values; against all others they are the same for every category and taken once.
     """
-    import numpy as np
-    import pandas as pd
-
-    d = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")) & (F.abs(F.col(value)) < float("inf")))
+    v = F.col(value).cast("double")
+    d = df.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")) & F.col(category).isNotNull())
     if hue:
         levels = d.where(F.col(hue).isNotNull()).agg(F.min(hue).alias("__a"), F.max(hue).alias("__b"))
-        d = d.crossJoin(F.broadcast(levels)).where((F.col(hue) == F.col("__a")) | (F.col(hue) == F.col("__b"))).select(F.col(category).alias("c"), F.when(F.col(hue) == F.col("__a"), 1).otherwise(2).alias("side"), F.col(value).alias("v"))
+        d = d.crossJoin(F.broadcast(levels)).where((F.col(hue) == F.col("__a")) | (F.col(hue) == F.col("__b")))
+        d = d.select(F.col(category).alias("c"), (F.col(hue) == F.col("__a")).alias("one"), v.alias("v"))
+        w = Window.partitionBy("c").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+        per = d.groupBy("c", "v").agg(F.count(F.lit(1)).cast("double").alias("k"), F.count_if("one").alias("k1")).withColumn("rank", F.coalesce(F.sum("k").over(w), F.lit(0.0)) + (F.col("k") + 1) / 2)
+        ranked = per.groupBy("c").agg(F.sum(F.col("k1") * F.col("rank")).alias("r1"), F.sum(F.col("k") ** 3 - F.col("k")).alias("ties"))
+        side = lambda one: F.when(F.col("one") if one else ~F.col("one"), F.col("v"))
+        both = d.groupBy("c").agg(*[f(side(one)).alias(f"{n}{i}") for i, one in ((1, True), (2, False)) for n, f in (("n", F.count), ("m", F.avg), ("s", F.var_pop))])
+        t = ranked.join(both, "c").withColumn("ss", F.col("n1") * F.coalesce("s1", F.lit(0.0)) + F.col("n2") * F.coalesce("s2", F.lit(0.0)))
     else:
-        names = d.select(F.col(category).alias("c")).distinct()
-        d = names.join(d.select(F.col(category).alias("own"), F.col(value).alias("v"))).select("c", F.when(F.col("own") == F.col("c"), 1).otherwise(2).alias("side"), "v")
-
-    def one(key, pdf):
-        a, b = (pdf["v"].to_numpy(float)[pdf["side"].to_numpy() == s] for s in (1, 2))
-        if not len(a) or not len(b):
-            return pd.DataFrame([[key[0], len(a), len(b), None, None, None]], columns=["c", "n1", "n2", "p", "cohens_d", "cles"])
-        u, p = pvalues.mann_whitney(a, b)
-        p = pvalues.t_test(a, b) if test == "ttest" else p
-        dof = len(a) + len(b) - 2
-        s = np.sqrt((((a - a.mean()) ** 2).sum() + ((b - b.mean()) ** 2).sum()) / dof) if dof else 0
-        return pd.DataFrame([[key[0], len(a), len(b), p, (a.mean() - b.mean()) / s if s else None, u / (len(a) * len(b))]], columns=["c", "n1", "n2", "p", "cohens_d", "cles"])
-
-    kind = d.schema["c"].dataType.simpleString()
-    return d.groupBy("c").applyInPandas(one, f"c {kind}, n1 long, n2 long, p double, cohens_d double, cles double").withColumnRenamed("c", category)
+        d = d.select(F.col(category).alias("c"), v.alias("v"))
+        ranks = global_ranks(d, "v")
+        k = F.col("count").cast("double")
+        ties = ranks.agg(F.sum(k**3 - k).alias("ties"))
+        own = d.groupBy("c", "v").agg(F.count(F.lit(1)).alias("k1")).join(ranks, "v").groupBy("c").agg(F.sum(F.col("k1") * F.col("rank")).alias("r1"))
+        each = d.groupBy("c").agg(F.count("v").alias("n1"), F.avg("v").alias("m1"), F.var_pop("v").alias("s1"))
+        whole = d.agg(F.count("v").alias("n"), F.avg("v").alias("m"), F.var_pop("v").alias("s"))
+        t = own.join(each, "c").crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(ties)).withColumn("n2", F.col("n") - F.col("n1"))
+        t = t.withColumn("m2", F.try_divide(F.col("n") * F.col("m") - F.col("n1") * F.col("m1"), F.col("n2")))
+        t = t.withColumn("ss", F.greatest(F.lit(0.0), F.col("n") * F.col("s") - F.try_divide(F.col("n1") * F.col("n2"), F.col("n")) * (F.col("m1") - F.col("m2")) ** 2))
+    some = (F.col("n1") > 0) & (F.col("n2") > 0)
+    u, gap = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2, F.col("m1") - F.col("m2")
+    var = F.try_divide("ss", F.col("n1") + F.col("n2") - 2)
+    if test == "ttest":
+        stat = F.try_divide(gap, F.sqrt(F.try_divide(var, F.col("n1")) + F.try_divide(var, F.col("n2"))))
+        p = F.when(var > 0, pvalues.t_two_sided_udf(F.coalesce(stat, F.lit(0.0)), (F.col("n1") + F.col("n2") - 2).cast("double"))).when(gap == 0, 1.0).otherwise(0.0)
+    else:
+        p = pvalues.u_test_udf(F.coalesce(u, F.lit(0.0)), "n1", "n2", "ties")
+    return t.select(F.col("c").alias(category), "n1", "n2", F.when(some, p).alias("p"), F.when(some, F.try_divide(gap, F.sqrt(var))).alias("cohens_d"), F.when(some, F.try_divide(u, F.col("n1") * F.col("n2"))).alias("cles"))
 
 
 def volcano(df: DataFrame, effect: str, p: str, floor: float = 1e-300, important: float = 5.0) -> DataFrame:

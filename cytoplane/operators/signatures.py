@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cytoplane.functions.scalars import angle_degrees
 from cytoplane.model import AnnotatedMatrix
 from cytoplane.operators.layers import global_zscore
-from cytoplane.operators.windows import enrichment_score, quantile_bins
+from cytoplane.operators.windows import enrichment_score, quantile_bins, running_total
 
 
 def set_means(m: AnnotatedMatrix, sets: DataFrame, layer: str = "") -> DataFrame:
@@ -51,7 +51,8 @@ def cell_cycle_angle(m: AnnotatedMatrix, g1s: DataFrame, g2m: DataFrame, layer:
 
 def ranked_hits(scores: DataFrame, geneset: DataFrame, score: str = "score") -> DataFrame:
     """(gene_id, rank, hit): genes by descending score (ties by gene) and whether the set has them. Raises if none is."""
-    r = scores.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), "gene_id")))
+    down = scores.select("gene_id", (-F.col(score)).alias("__down"), F.lit(1).alias("__one"))
+    r = running_total(down, ["__down", "gene_id"], "__one", "rank").select("gene_id", F.col("rank").cast("int").alias("rank"))
     return r.join(geneset.select("gene_id", F.lit(True).alias("hit")).distinct(), "gene_id", "left").select("gene_id", "rank", F.coalesce("hit", F.lit(False)).alias("hit"))
 
 

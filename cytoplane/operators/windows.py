@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cytoplane.operators.graph import written
+
 
 def average_rank(col: str, by: list[str]) -> Column:
     """Rank with ties at their mean, ascending, within by (a window expression)."""
@@ -97,10 +99,28 @@ def first_owner_top(df: DataFrame, cluster: str, gene: str, score: str, n: int,
     return out
 
 
+def running_total(df: DataFrame, order: list[str], amount: str, out: str) -> DataFrame:
+    """df plus the sum of amount over all rows up to and with this one in order, without one task that sees all rows.
+
+    Rows are dealt by ranges of order and stored; each range adds up for itself, and the totals of the ranges (a row per
+    partition) give what comes before. order must tell rows apart.
+    """
+    dealt = written(df.repartitionByRange(*[F.col(c) for c in order]).withColumn("__part", F.spark_partition_id()))
+    totals = dealt.groupBy("__part").agg(F.sum(amount).alias("__t"))
+    before = totals.select("__part", F.coalesce(F.sum("__t").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
+    w = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return dealt.join(F.broadcast(before), "__part").withColumn(out, F.col("__b") + F.sum(amount).over(w)).drop("__part", "__b")
+
+
+def global_ranks(df: DataFrame, col: str, out: str = "rank") -> DataFrame:
+    """(col, count, rank) of the distinct non-null values of col: their average rank among all rows."""
+    n = running_total(df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("count")), [col], "count", "__upto")
+    return n.select(col, "count", (F.col("__upto") - (F.col("count") - 1) / 2).alias(out))
+
+
 def dominance(df: DataFrame, value: str, reference: str) -> DataFrame:
     """df plus, per row, the fraction of reference rows (reference true) with a strictly smaller value."""
     per = df.groupBy(value).agg(F.count_if(F.col(reference)).alias("__k"))
-    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     total = df.agg(F.count_if(F.col(reference)).alias("__n"))
-    below = per.withColumn("__below", F.coalesce(F.sum("__k").over(w), F.lit(0))).crossJoin(F.broadcast(total))
+    below = running_total(per, [value], "__k", "__upto").withColumn("__below", F.col("__upto") - F.col("__k")).crossJoin(F.broadcast(total))
     return df.join(below.select(value, F.try_divide("__below", "__n").alias("dominance")), value, "left")

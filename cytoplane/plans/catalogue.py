@@ -818,7 +818,8 @@ def feature_filter(spark, d):
 @query(f"{BASE} SELECT cell_id, round(sum(value), 6) AS n_counts, row_number() OVER (ORDER BY sum(value) DESC, cell_id)::INT AS rank FROM x GROUP BY 1")
 def barcode_rank_curve(spark, d):
     t = matrix(spark, d).x.groupBy("cell_id").agg(F.sum("value").alias("n"))
-    return t.select("cell_id", r6("n", "n_counts"), F.row_number().over(Window.orderBy(F.desc("n"), "cell_id")).alias("rank"))
+    ranked = windows.running_total(t.select("cell_id", "n", (-F.col("n")).alias("down"), F.lit(1).alias("one")), ["down", "cell_id"], "one", "rank")
+    return ranked.select("cell_id", r6("n", "n_counts"), F.col("rank").cast("int").alias("rank"))
 
 
 @query("WITH c AS (SELECT user_id AS barcode, CASE WHEN event_id % 2 = 0 THEN 'TRA' ELSE 'TRB' END AS chain, event_type AS cdr3, event_id FROM events) SELECT barcode, string_agg(cdr3, '---' ORDER BY event_id) FILTER (WHERE chain = 'TRA') AS \"TRA_cdr3\", string_agg(cdr3, '---' ORDER BY event_id) FILTER (WHERE chain = 'TRB') AS \"TRB_cdr3\" FROM c GROUP BY 1")
@@ -833,9 +834,9 @@ def alpha_outlines(spark, d):
     return spatial.alpha_outlines(p, "k", 5.0)
 
 
-@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+@query("SELECT strftime(time_bucket(INTERVAL '1 hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def event_windows(spark, d):
-    return streams.windowed(table(spark, d, "events")).select(F.col("start"), "event_type", "n", F.round("total", 4).alias("total"))
+    return streams.windowed(table(spark, d, "events")).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query()

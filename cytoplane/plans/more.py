@@ -88,9 +88,9 @@ def lag_and_lead(spark, d):
     return table(spark, d, "events").select("event_id", F.lag("value").over(w).alias("before"), F.lead("value").over(w).alias("after"))
 
 
-@query("SELECT event_id, (props->>'k')::BIGINT AS k, date_trunc('day', ts) AS day FROM events")
+@query("SELECT event_id, (props->>'k')::BIGINT AS k, strftime(ts, '%Y-%m-%d') AS day FROM events")
 def json_and_dates(spark, d):
-    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.date_trunc("day", "ts").alias("day"))
+    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.date_format("ts", "yyyy-MM-dd").alias("day"))
 
 
 @query("SELECT a.r_name AS a, b.r_name AS b, hamming(a.r_name, b.r_name)::INT AS d FROM region a JOIN region b ON a.r_name < b.r_name AND length(a.r_name) = length(b.r_name)")
@@ -228,3 +228,23 @@ def star_components(spark, d):
 def top_two(spark, d):
     n = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
     return windows.top_k(n, ["user_id"], [F.desc("n"), F.col("event_type")], 2).select("user_id", "event_type", "rank")
+
+
+def _tests_sql(hue: bool) -> str:
+    rows = "SELECT event_type AS c, value AS v, user_id % 2 = 0 AS one FROM events" if hue else "SELECT a.event_type AS c, b.value AS v, a.event_type = b.event_type AS one FROM (SELECT DISTINCT event_type FROM events) a CROSS JOIN events b"
+    return f"""WITH d AS ({rows}), r AS (SELECT *, rank() OVER (PARTITION BY c ORDER BY v) + (count(*) OVER (PARTITION BY c, v) - 1) / 2.0::DOUBLE AS r FROM d),
+g AS (SELECT c, (count(*) FILTER (WHERE one))::BIGINT AS n1, (count(*) FILTER (WHERE NOT one))::BIGINT AS n2, sum(r) FILTER (WHERE one) AS r1, avg(v) FILTER (WHERE one) AS m1, avg(v) FILTER (WHERE NOT one) AS m2, var_samp(v) FILTER (WHERE one) AS s1, var_samp(v) FILTER (WHERE NOT one) AS s2 FROM r GROUP BY 1)
+SELECT c AS event_type, n1, n2, round((m1 - m2) / sqrt(((n1 - 1) * s1 + (n2 - 1) * s2) / (n1 + n2 - 2)), 6) + 0.0 AS cohens_d, round((r1 - n1 * (n1 + 1) / 2.0::DOUBLE) / (n1 * n2), 6) AS cles FROM g"""
+
+
+@query(_tests_sql(False))
+def category_against_rest(spark, d):
+    t = differential.category_tests(table(spark, d, "events"), "event_type", "value")
+    return t.select("event_type", "n1", "n2", r6("cohens_d"), r6("cles"))
+
+
+@query(_tests_sql(True))
+def category_by_hue(spark, d):
+    e = table(spark, d, "events").withColumn("odd", F.col("user_id") % 2)
+    t = differential.category_tests(e, "event_type", "value", "odd", "ttest")
+    return t.select("event_type", "n1", "n2", r6("cohens_d"), r6("cles"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytoplane.model import AnnotatedMatrix
+from cytoplane.operators.windows import running_total
 
 
 def matrix(m: AnnotatedMatrix, folder: str) -> None:
@@ -54,8 +55,8 @@ def counts_and_meta(m: AnnotatedMatrix, kind: str, cells: list, layer: str = "",
 
 def matrix_market(m: AnnotatedMatrix, layer: str = "") -> DataFrame:
     """(text): coordinate lines with 1-based dense indices of genes and cells in the order of their ids, largest first line
-    being the sizes. Dense indices come from ids sorted once per axis."""
-    axis = lambda df, c: df.select(c).withColumn(f"n_{c}", F.row_number().over(Window.orderBy(c)))
+    being the sizes. Dense indices come from ids dealt by ranges, so no task sees a whole axis."""
+    axis = lambda df, c: running_total(df.select(c, F.lit(1).cast("long").alias("one")), [c], "one", f"n_{c}").drop("one")
     g, c = axis(m.genes, "gene_id"), axis(m.cells, "cell_id")
     x = m.layers[layer].where("value <> 0").join(g, "gene_id").join(c, "cell_id")
     size = m.genes.agg(F.count(F.lit(1)).alias("a")).crossJoin(m.cells.agg(F.count(F.lit(1)).alias("b"))).crossJoin(x.agg(F.count(F.lit(1)).alias("n")))

@@ -97,6 +97,18 @@ def test_rank_sum_matches_dense_kernel(spark):
         assert r.u == pytest.approx(u) and r.p == pytest.approx(p)
 
 
+def test_category_tests_match_kernels(spark):
+    rng = np.random.default_rng(11)
+    rows = [(c, float(round(v, 1)), h) for c, v, h in zip(rng.choice(list("abc"), 90), rng.normal(size=90), rng.integers(0, 2, 90).tolist())] + [("a", float("nan"), 0), ("a", None, 1)]
+    df, ok = spark.createDataFrame([(str(c), v, h) for c, v, h in rows], "c string, v double, h int"), [r for r in rows if r[1] is not None and r[1] == r[1]]
+    for hue in (None, "h"):
+        for test, kernel in (("mannwhitney", lambda a, b: pvalues.mann_whitney(a, b)[1]), ("ttest", pvalues.t_test)):
+            for r in differential.category_tests(df, "c", "v", hue, test).collect():
+                a = np.array([v for c, v, h in ok if c == r.c and (hue is None or h == 0)])
+                b = np.array([v for c, v, h in ok if (c == r.c and h == 1 if hue else c != r.c)])
+                assert (r.n1, r.n2) == (len(a), len(b)) and r.p == pytest.approx(kernel(a, b), abs=1e-9)
+
+
 def test_bh_keeps_nulls_and_order(spark):
     p = spark.createDataFrame([(1, 0.01), (2, 0.04), (3, 0.03), (4, None)], "i int, p double")
     got = {r.i: r.q for r in windows.bh_adjust(p, "p").collect()}
