@@ -41,7 +41,7 @@ def main(args: list[str] | None = None) -> None:
         f = f.select((F.row_number().over(readers.Window.orderBy("at")) - 1).cast("long").alias("gene_id"), "gene", "type")
         writers.matrix(readers.feature_matrix(readers.triplets(spark, a.matrix), f, exclude_types=a.exclude), a.output)
     elif a.command == "split-exons":
-        writers.text(scalars.split_exons(readers.gtf(spark, a.gtf), a.gene, a.transcript_as_gene).drop("changed"), a.output)
+        writers.gtf(scalars.split_exons(readers.gtf(spark, a.gtf), a.gene, a.transcript_as_gene), a.output)
     elif a.command == "add-receptors":
         m = readers.matrix(spark, a.matrix)
         wide = receptors.contigs_to_cells(readers.vdj_contigs(spark, a.contigs), ["cdr3"])

@@ -78,3 +78,9 @@ def metadata_kinds(cells: DataFrame, cols: list[str], share: float = 0.1, given:
 
 def text(df: DataFrame, path: str, sep: str = "\t") -> None:
     df.write.option("header", True).option("sep", sep).csv(path)
+
+
+def gtf(df: DataFrame, path: str) -> None:
+    """The nine columns of an annotation file, tab-separated, as they are (no header, no quoting)."""
+    cols = "seqname source feature start end score strand frame attribute".split()
+    df.select(F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit(".")) for c in cols]).alias("value")).write.text(path)
