@@ -13,25 +13,40 @@ from cytoplane.llm import bpe, decontaminate, language_id, line_dedup, minhash
 from cytoplane.llm.common import stored, table
 
 
+def _own(docs: DataFrame) -> tuple[DataFrame, list]:
+    """docs with columns beside those of ``documents`` under names that no operator uses, and the columns as they were."""
+    known = ("doc_id", "text", "lang", "source", "n_chars")
+    names = {c: c if c in known else f"__extra{i}" for i, c in enumerate(docs.columns)}
+    return docs.withColumnsRenamed(names), [F.col(new).alias(old) for old, new in names.items()]
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without text or without a letter (``und``) go; the classifier learns from a bounded sample of docs."""
-    return language_id.label_documents(docs, language_id.train(docs)).where("lang_pred <> 'und'").select(docs.columns)
+    d, back = _own(docs)
+    return language_id.label_documents(d, language_id.train(d)).where("lang_pred <> 'und'").select(back)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A line of 10 code points or more stays only in the smallest doc_id holding it; n_chars follows the text."""
-    return line_dedup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    """A line of 10 code points or more stays only in the smallest doc_id holding it; n_chars follows the text.
+
+    A null text becomes an empty one; documents that lose all lines stay, empty.
+    """
+    d, back = _own(docs)
+    out = line_dedup.dedup_lines(d)
+    return (out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out).select(back)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles at a similarity of 0.8 or more, the smallest doc_id stays."""
+    """Of documents linked by five-word shingles at a similarity of 0.8 or more, the smallest doc_id stays, with all of its
+    rows; rows without a doc_id stay."""
     gone = minhash.near_duplicates(docs, k=5, percent=80, bands=30, rows=5).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    return decontaminate.mark_leaks(docs, table(spark, sf_dir, "benchmark")).where(F.size("leaks") == 0).select(docs.columns)
+    d, back = _own(docs)
+    return decontaminate.mark_leaks(d, table(spark, sf_dir, "benchmark")).where(F.size("leaks") == 0).select(back)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
