@@ -30,3 +30,22 @@ def test_stages_on_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, str(tmp_path)).count() == 0
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    cols = "doc_id long, text string, lang string, source string, n_chars long, score double, leaks string, n_lines int, kept boolean, component_id long"
+    long = "word and other words " * 20_000
+    rows = [(1, "hello there world of words", "aa"), (2, None, "aa"), (3, "", None), (4, "123 ...", "bb"), (None, "hello there world of words again and again", "aa"), (5, long, "bb"), (5, long, "bb"), (6, long + "x", None), (7, "uvw xyz uvw yyx", "bb")]
+    docs = spark.createDataFrame([(*r, None, 1, 0.5, "l", 7, None, None) for r in rows], cols)
+    spark.createDataFrame([(1, "uvw xyz uvw yyx but longer than any"), (None, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    want = [[None, 1, 5, 5, 6, 7]] * 2 + [[None, 1, 5, 5, 7]] * 2  # 6 is a near copy of 5
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert sorted((r.doc_id for r in got), key=lambda i: i or 0) == want[k]
+        assert all((r.score, r.leaks, r.n_lines, r.kept) == (0.5, "l", 7, None) for r in got)
+        docs = spark.createDataFrame(got, docs.schema)
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    texts = {(r.doc_id, r.text) for r in docs.collect()}
+    assert {(r.doc_id, r.decoded) for r in last} == texts
