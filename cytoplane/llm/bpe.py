@@ -17,13 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import table
+from .common import bounded_batches, released, table
 
 _LOADED: dict = {}
 #: Fixed value: how byte-level BPE vocabularies of this kind split a text into words before merging.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Text in one chunk of documents that shares a dictionary, in bytes.
-CHUNK = 32 << 20
+CHUNK = 24 << 20
 
 
 class Words:
@@ -205,37 +205,45 @@ def _assembled(path: str, digests: bool, id_type: pa.DataType):
             bucket = np.frombuffer(_unpack(blob[8:], 1)[0], np.uint32)
             count, by = np.zeros(len(bucket), np.int64), np.argsort(bucket, kind="stable")
             first = np.searchsorted(bucket[by], np.arange(int(bucket.max(initial=0)) + 2))
-            parts: list[np.ndarray] = [np.empty(0, np.uint32)] * len(bucket)
+            got, parts = 0, []
+            start = np.zeros(len(bucket), np.int64)
             for b, x in zip(coded.column("bucket").to_pylist(), coded.column("ids")):
                 x = x.as_py()
                 if x[:8] != blob[:8]:
                     raise RuntimeError("a chunk of documents came out differently when it was computed again")
                 n, flat = (np.frombuffer(z, np.uint32) for z in _unpack(x[8:], 2))
-                ends = np.cumsum(n, dtype=np.int64).tolist()
                 ranks = by[first[b] : first[b + 1]]
-                count[ranks] = n
-                for r, i, j in zip(ranks.tolist(), [0, *ends], ends):
-                    parts[r] = flat[i:j]
-            lists = [p.tolist() for p in parts]
-            text = [b"".join([pieces[i] for i in p]) for p in lists]
-            named = [",".join(map(str, p)).encode() for p in lists] if digests else []
+                count[ranks], start[ranks] = n, got + np.cumsum(n, dtype=np.int64) - n
+                parts.append(flat)
+                got += len(flat)
+            known = np.concatenate(parts) if parts else np.empty(0, np.uint32)
+            del parts
+            text, named = [], []
+            for i, n in zip(start.tolist(), count.tolist()):
+                own_ids = known[i : i + n].tolist()
+                text.append(b"".join([pieces[p] for p in own_ids]))
+                if digests:
+                    named.append(",".join(map(str, own_ids)).encode())
             for kind, i, x in zip(kinds, own.column("id").to_pylist(), own.column("blob")):
                 if kind != DOCUMENT:
                     continue
                 s = _unpack_sequence(x.as_py())
-                places = s.tolist()
+                places, n = s.tolist(), count[s]
                 ids.append(i)
-                out[0].append(int(count[s].sum()))
-                decoded = b"".join([text[p] for p in places]).decode("utf-8", "replace")
+                out[0].append(int(n.sum()))
+                decoded = b"".join([text[p] for p in places]).decode("utf-8", "replace").encode()
                 if digests:
                     out[1].append(hashlib.sha256(b",".join([named[p] for p in places])).hexdigest())
-                    out[2].append(hashlib.sha256(decoded.encode()).hexdigest())
+                    out[2].append(hashlib.sha256(decoded).hexdigest())
                 else:
-                    out[1].append(np.concatenate([parts[p] for p in places]).astype(np.int32) if places else np.empty(0, np.int32))
+                    out[1].append(known[np.repeat(start[s] - np.cumsum(n) + n, n) + np.arange(n.sum())].astype(np.int32))
                     out[2].append(decoded)
-        types = (pa.string(), pa.string()) if digests else (pa.list_(pa.int32()), pa.string())
-        names = ["id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))]
-        return pa.table([pa.array(ids, id_type), pa.array(out[0], pa.int64()), pa.array(out[1], types[0]), pa.array(out[2], types[1])], names)
+        if not digests:
+            ends = np.cumsum([0, *map(len, out[1])]).astype(np.int32)
+            coded_ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *out[1]])))
+            out[1] = []
+            return pa.table([pa.array(ids, id_type), pa.array(out[0], pa.int64()), coded_ids, pa.array(out[2], pa.binary()).cast(pa.string())], ["id", "n_tokens", "ids", "decoded"])
+        return pa.table([pa.array(ids, id_type), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 
@@ -251,6 +259,7 @@ def encode_documents(docs: DataFrame, path: str, digests: bool = False, chunk_by
     empty text: no tokens. Special strings become their ids. Rows with one id stay apart.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     whole = F.coalesce(F.col(text_col), F.lit(""))
     total = docs.agg(F.sum(F.octet_length(whole))).first()[0] or 0
     n = max(-(-total // chunk_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
@@ -258,7 +267,7 @@ def encode_documents(docs: DataFrame, path: str, digests: bool = False, chunk_by
     kind = source.schema["id"].dataType
     arrow = to_arrow_type(kind)
     named = f"id {kind.simpleString()}"
-    chunks = source.mapInArrow(_chunked(path, n, chunk_bytes, most_words, arrow), f"dest long, kind int, at long, {named}, blob binary").repartition(n, "dest")
+    chunks = source.mapInArrow(released(_chunked(path, n, chunk_bytes, most_words, arrow)), f"dest long, kind int, at long, {named}, blob binary").repartition(n, "dest")
     coded = chunks.groupBy("dest").applyInArrow(_encoded(path), "chunk long, bucket long, ids binary")
     cols = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
     out = chunks.groupBy("dest").cogroup(coded.groupBy("chunk")).applyInArrow(_assembled(path, digests, arrow), f"{named}, n_tokens long, {cols}")

@@ -31,6 +31,32 @@ def crc_mod(id_col: Column, m: int) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % m
 
 
+def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Lowers the session's bytes per Arrow batch to ``size``, for kernels that see whole texts; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).rstrip("b")
+    if not now.isdigit() or int(now) > size:
+        spark.conf.set(key, str(size))
+
+
+def released(run):
+    """run over Arrow batches; afterwards the worker, which Spark keeps for other tasks, gives unused memory back."""
+
+    def inner(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return inner
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names for checkpoints; one of our own only where none is set (tests, one machine)."""
     sc = spark.sparkContext

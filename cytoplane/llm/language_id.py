@@ -11,12 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
+from .common import bounded_batches, crc_mod, released, table
 from .crf import Crf
 
 #: Bounds of the training sample: rows a language, and code points a training text (others are not drawn, never cut).
 PER_LANGUAGE, TRAIN_CHARS = 300, 20_000
-AT_ONCE = 4 << 20
+AT_ONCE = 1 << 20
 
 
 def has_letter(text: str) -> bool:
@@ -99,7 +99,8 @@ def label_documents(docs: DataFrame, model: Crf | None, least_score: float = 0.0
                     score.append(min(1.0, max(0.0, float(m[j]))) if known else 0.0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*b.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, schema)
+    bounded_batches(docs.sparkSession)
+    return docs.mapInArrow(released(run), schema)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

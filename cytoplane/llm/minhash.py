@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, spread_join, stored, table
+from .common import bounded_batches, connected_components, released, spread_join, stored, table
 
 U = np.uint64
 #: Text handled at once in a worker, in bytes.
-AT_ONCE = 4 << 20
+AT_ONCE = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -159,7 +159,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
                     v.append(b.as_py())
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    return two.mapInArrow(run, "u long, v long")
+    return two.mapInArrow(released(run), "u long, v long")
 
 
 def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,8 +235,9 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, bands: int =
     group of copies costs one comparison a member, and nothing is capped.
     """
     t, p = bands * rows, percent / 100
+    bounded_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sk = stored(source.mapInArrow(_sketch_batches(k, bands, rows), "id long, n long, digest binary, bands array<long>, code binary"))
+    sk = stored(source.mapInArrow(released(_sketch_batches(k, bands, rows)), "id long, n long, digest binary, bands array<long>, code binary"))
     classes = sk.where(F.col("digest").isNotNull() & F.col("id").isNotNull()).groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("code").alias("code"))
     classes = stored(classes)
     buckets = classes.select("rep", "n", F.explode("bands").alias("key"))
@@ -250,7 +251,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, bands: int =
     pairs = spread_join(members, hubs, ["key"], "rep").where((F.col("rep") != F.col("hub")) & close("n", "hub_n"))
     pairs = stored(pairs.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
 
-    texts = source.where(F.col("id").isNotNull()).mapInArrow(_compressed, "id long, raw binary")
+    texts = source.where(F.col("id").isNotNull()).mapInArrow(released(_compressed), "id long, raw binary")
     texts = stored(texts.join(nodes.select(F.col("rep").alias("id")), "id", "left_semi"))
     links = stored(_verified(pairs, texts, k, percent))
     joined = connected_components(links)

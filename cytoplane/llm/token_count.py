@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded_batches, released, table
 
 _LOADED: dict = {}
 MARK = "▁".encode()
@@ -97,7 +97,8 @@ def count_tokens(docs: DataFrame, model_path: str, chunk: int = 16384, overlap:
                 cols = [part.column(i) for i, name in enumerate(part.schema.names) if name != "__text"]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64())], [*(x for x in part.schema.names if x != "__text"), "n_tokens"])
 
-    return rows.mapInArrow(run, schema).withColumn("over_limit", F.col("n_tokens") > limit)
+    bounded_batches(docs.sparkSession)
+    return rows.mapInArrow(released(run), schema).withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
+from .common import bounded_batches, crc_mod, released, table
 from .crf import Crf
 from .language_id import batches_of_texts
 
@@ -102,7 +102,8 @@ def tag_documents(docs: DataFrame, model: Crf | None, least: float = 0.5, text_c
                     spans.append(out)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64()), pa.array(spans, kind)], [*b.schema.names, "score", "spans"])
 
-    return docs.mapInArrow(run, schema)
+    bounded_batches(docs.sparkSession)
+    return docs.mapInArrow(released(run), schema)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
