@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded_batches, hash128, released, table
 from .language_id import batches_of_texts
 
 U = np.uint64
@@ -117,7 +117,7 @@ class Index:
         hashes, first = np.unique(flat[by], return_index=True)
         bits = np.zeros(1 << FILTER_BITS, bool)
         bits[(hashes >> U(64 - FILTER_BITS)).astype(np.int64)] = True
-        return Index(q, items, texts, budget, size - q + 1 - q * budget, hashes, np.append(first, len(flat)), item_of[by], place_of[by], bits)
+        return Index(q, items, texts, budget, size - q + 1 - q * budget, hashes, np.append(first, len(flat)), item_of[by].astype(np.int32), place_of[by].astype(np.int32), bits)
 
     def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text position, item, item position) of each shared q-gram."""
@@ -194,25 +194,37 @@ def _marked(index):
     return run
 
 
-def mark_leaks(docs: DataFrame, items: DataFrame, q: int = 12, rate: float = 0.05, min_chars: int = 24, slice_bytes: int = 8 << 20, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def mark_leaks(docs: DataFrame, items: DataFrame, q: int = 12, rate: float = 0.05, min_chars: int = 24, slice_bytes: int = 2 << 20, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs plus ``leaks`` (replacing a column of that name): each benchmark item that the text holds as a whole with at
     most rate * length edits (fewer for items too short for the q-gram bound), its edits and its place in code points.
 
     Case and ASCII punctuation don't count. Items are compared with all documents in slices of about slice_bytes, each
     broadcast by itself, so the size of what is broadcast is bounded however many items there are; documents stream by
-    and are never shuffled. Null or empty texts leak nothing; null ids or texts of items, and items of under min_chars
+    once a slice, and only with several slices are they shuffled, once, to meet what was found in equal texts. Null or empty texts leak nothing; null ids or texts of items, and items of under min_chars
     normalised bytes (which any prose would hold), are not looked for. Equal items and repeated rows are kept apart.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     listed = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t"))
     total = listed.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     slices = max(1, -(-total // slice_bytes))
-    out = docs.withColumn("leaks", F.array().cast(LEAKS)).withColumn("__text", F.coalesce(F.col(text_col), F.lit("")))
-    for s in range(slices):
+
+    def marked(df: DataFrame, s: int) -> DataFrame:
         rows = listed.where(F.pmod(F.xxhash64("i", "t"), F.lit(slices)) == s).collect()
         index = spark.sparkContext.broadcast(Index.build([tuple(r) for r in rows], q, rate, min_chars))
-        out = out.mapInArrow(_marked(index), out.schema)
-    return out.drop("__text")
+        return df.mapInArrow(released(_marked(index)), df.schema)
+
+    whole = F.coalesce(F.col(text_col), F.lit(""))
+    if slices == 1:
+        return marked(docs.withColumn("leaks", F.array().cast(LEAKS)).withColumn("__text", whole), 0).drop("__text")
+    keyed = docs.drop("leaks").withColumn("__h1", hash128(whole)[0]).withColumn("__h2", hash128(whole)[1])
+    bare = keyed.select("__h1", "__h2", whole.alias("__text"), F.array().cast(LEAKS).alias("leaks"))
+    found = None
+    for s in range(slices):
+        some = marked(bare, s).where(F.size("leaks") > 0).select("__h1", "__h2", F.explode("leaks").alias("x"))
+        found = some if found is None else found.unionByName(some)
+    found = found.groupBy("__h1", "__h2").agg(F.array_sort(F.collect_set("x")).alias("leaks"))
+    return keyed.join(found, ["__h1", "__h2"], "left").withColumn("leaks", F.coalesce("leaks", F.array().cast(LEAKS))).drop("__h1", "__h2")
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
