@@ -18,12 +18,13 @@ from .language_id import batches_of_texts
 PER_CLASS, TRAIN_CHARS = 1500, 12_000
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, chars: int = TRAIN_CHARS, epochs: int = 10, text_col: str = "text", id_col: str = "doc_id") -> Crf | None:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, chars: int = TRAIN_CHARS, epochs: int = 8, text_col: str = "text", id_col: str = "doc_id") -> Crf | None:
     """Learns from at most per_class rows of each class, drawn by a hash of the id; the driver gets that sample.
 
     labels: doc_id and toxic 0/1; a doc_id with several labels counts as toxic if one is 1; null labels don't count.
     Token labels: a word of a toxic text is toxic if it, its first four or its first five bytes stand in many more
-    places of toxic texts than of clean ones (a stem counts only if no clean text has the word); all other words are clean.
+    places of toxic texts than of clean ones, and more than chance would give one of millions of words (a stem counts
+    only if no clean text has the word); all other words are clean.
     Places are told apart by the words around them, so that copies of one text count once. None unless both classes have rows.
     """
     one = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max("toxic").alias("toxic"))
@@ -54,7 +55,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, chars:
         """For each slot, whether it stands in many more places of toxic texts than of clean ones, and in how many clean ones."""
         at = slots.astype(np.int64) << 31 | around
         bad, good = (np.bincount(np.unique(at[y[owner] == c]) >> 31, minlength=len(model.lexicon)) for c in (1, 0))
-        out = (bad >= 5) & ((bad + 0.1) / n_bad >= 30 * (good + 0.1) / n_good)
+        share, n = n_bad / (n_bad + n_good), np.maximum(bad + good, 1)
+        q = np.clip(bad / n, 1e-12, 1 - 1e-12)
+        evidence = n * (q * np.log(q / share) + (1 - q) * np.log((1 - q) / (1 - share)))  # minus the log of the chance, at least
+        out = (evidence >= 18) & ((bad + 0.1) / n_bad >= 30 * (good + 0.1) / n_good)
         out[0] = False
         return out, good
 
