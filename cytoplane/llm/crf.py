@@ -86,6 +86,7 @@ class Crf:
     weights: np.ndarray = field(default=None, repr=False)  # type: ignore[assignment]
     lexicon: np.ndarray = field(default=None, repr=False)  # type: ignore[assignment]
     moves: np.ndarray = field(default=None)  # type: ignore[assignment]
+    lead: float = 0.0
 
     def __post_init__(self):
         k = len(self.labels)
