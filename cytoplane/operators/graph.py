@@ -40,8 +40,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return stars.unionByName(roots)
 
 
-def nearest(points: DataFrame, k: int, include_self: bool = False, id_col: str = "id", vec_col: str = "vec", block: int = 2048) -> DataFrame:
-    """(src, dst, rank, distance): the k nearest by cosine distance, ties by id, exactly.
+def nearest(points: DataFrame, k: int, include_self: bool = False, id_col: str = "id", vec_col: str = "vec", block: int = 2048, metric: str = "cosine") -> DataFrame:
+    """(src, dst, rank, distance): the k nearest by cosine (or euclidean) distance, ties by id, exactly.
 
     Blocks of points meet blocks of points; each pair of blocks is one matrix product that keeps k rows per point.
     """
@@ -54,15 +54,18 @@ def nearest(points: DataFrame, k: int, include_self: bool = False, id_col: str =
     left = b.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("side", F.lit(0))
     right = b.withColumn("c", F.col("b")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("side", F.lit(1))
 
-    def unit(v):
-        x = np.stack(v.to_list()).astype(float)
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    def between(u, v):
+        x, y = (np.stack(w.to_list()).astype(float) for w in (u, v))
+        if metric == "euclidean":
+            return np.sqrt(sum((x[:, None, i] - y[None, :, i]) ** 2 for i in range(x.shape[1])))
+        x, y = (w / np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-300) for w in (x, y))
+        return 1 - x @ y.T
 
     def run(pdf):
         l, r = pdf[pdf.side == 0].sort_values("id"), pdf[pdf.side == 1].sort_values("id")
         if not len(l) or not len(r):
             return pd.DataFrame({"src": [], "dst": [], "distance": []}).astype({"src": "int64", "dst": "int64", "distance": float})
-        d = 1 - unit(l.vec) @ unit(r.vec).T
+        d = between(l.vec, r.vec)
         li, ri = l.id.to_numpy(), r.id.to_numpy()
         if not include_self:
             d[li[:, None] == ri[None]] = np.inf

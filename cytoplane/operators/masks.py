@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cytoplane.operators.graph import nearest
+from cytoplane.operators.windows import running_total
+
 
 def over_cutoff(cells: DataFrame, metric: str, cluster: str, default: float, exceptions: dict | None = None, out: str = "passes") -> DataFrame:
     """cells plus whether metric is over its cluster's cutoff (strictly)."""
@@ -31,35 +34,14 @@ def minor_clusters(cells: DataFrame, levels: list[str], most: float = 0.99, leas
     return cells.join(flag.select("cell_id", F.lit(True).alias("outlier")), "cell_id", "left").withColumn("outlier", F.coalesce("outlier", F.lit(False)))
 
 
-def sparse_neighbourhoods(points: DataFrame, n: int = 10, quantile: float = 0.9, cell: float | None = None) -> DataFrame:
+def sparse_neighbourhoods(points: DataFrame, n: int = 10, quantile: float = 0.9) -> DataFrame:
     """points (id, x, y) plus the distance to the n-th nearest other point and keep: whether it is within the quantile.
 
-    Distances are taken in blocks of points against all points, each task keeping only n distances per point.
+    Blocks of points meet blocks of points, and a pair of blocks keeps n distances per point. Points without coordinates,
+    and all if there are no more than n, have null.
     """
-    import numpy as np
-    import pandas as pd
-
-    right = points.select(F.array("x", "y").alias("p")).where("p[0] IS NOT NULL AND p[1] IS NOT NULL")
-    blocks = right.withColumn("b", F.pmod(F.xxhash64("p"), F.lit(16)).cast("int")).groupBy("b").agg(F.collect_list("p").alias("ps"))
-
-    def near(batches):
-        for pdf in batches:
-            mine = np.stack([pdf["x"], pdf["y"]], 1)
-            for other in pdf["ps"].iloc[:1]:
-                o = np.array([list(v) for v in other])
-                d = np.sqrt(((mine[:, None, :] - o[None]) ** 2).sum(-1))
-                d.sort(axis=1)
-                keep = d[:, : n + 1]
-                yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(), keep.shape[1]), "d": keep.ravel()})
-
-    def each_block(batches):
-        for pdf in batches:
-            for _, g in pdf.groupby("b"):
-                yield from near([g])
-
-    pairs = points.where("x IS NOT NULL AND y IS NOT NULL").crossJoin(blocks).mapInPandas(each_block, "id long, d double")
-    w = Window.partitionBy("id").orderBy("d")
-    nth = pairs.withColumn("rn", F.row_number().over(w)).where(F.col("rn") == n + 1).select("id", F.col("d").alias("distance"))
+    some = points.where("x IS NOT NULL AND y IS NOT NULL").select("id", F.array("x", "y").alias("vec"))
+    nth = nearest(some, n, metric="euclidean").where(F.col("rank") == n).select(F.col("src").alias("id"), "distance")
     bar = nth.agg(F.percentile("distance", F.lit(quantile)).alias("bar"))
     return points.join(nth, "id", "left").crossJoin(F.broadcast(bar)).withColumn("keep", F.col("distance") <= F.col("bar")).drop("bar")
 
@@ -82,13 +64,15 @@ def bernoulli(df: DataFrame, n: int, by: list[str], key: str, seed: int = 0) ->
 def downsample_counts(df: DataFrame, key: str, count: str, share: float, seed: int = 0) -> DataFrame:
     """(key, n): a multinomial redraw of round(total * share) observations with chances count / total.
 
-    Each draw picks a position on the line of cumulated counts, found by an as-of join of draws and keys.
+    Keys lie one after another on a line, each as long as its count; a draw is a place on it. The line is cut into about
+    as many cells as there are keys, so that draws and keys meet by equal cells: a long key lies in many of them.
     """
-    order = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    line = df.where(F.col(count) > 0).withColumn("__hi", F.sum(count).over(order))
-    total = df.agg(F.sum(count)).first()[0] or 0
-    draws = df.sparkSession.range(round(total * share)).select((F.rand(seed) * total).alias("__u"))
-    both = line.select(F.col("__hi").alias("at"), F.col(key), F.lit(1).alias("side")).unionByName(draws.select(F.col("__u").alias("at"), F.lit(None).cast(line.schema[key].dataType).alias(key), F.lit(0).alias("side")))
-    up = Window.orderBy(F.col("at").desc(), F.col("side").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hit = both.withColumn("k", F.last(key, ignorenulls=True).over(up)).where("side = 0").groupBy(F.col("k").alias(key)).agg(F.count(F.lit(1)).alias("n"))
+    line = running_total(df.where(F.col(count) > 0).select(key, F.col(count).cast("long").alias("__n")), [key], "__n", "__hi")
+    t = line.agg(F.sum("__n").alias("t"), F.count(F.lit(1)).alias("k")).first()
+    total, cells = t["t"] or 0, max(1, t["k"])
+    width = total / cells or 1.0
+    cell = lambda c: F.floor(c / width).cast("long")
+    line = line.withColumn("__lo", F.col("__hi") - F.col("__n")).withColumn("__cell", F.explode(F.sequence(cell(F.col("__lo")), cell(F.col("__hi")))))
+    draws = df.sparkSession.range(round(total * share)).select((F.rand(seed) * total).alias("__u")).withColumn("__cell", cell(F.col("__u")))
+    hit = draws.join(line, "__cell").where((F.col("__lo") <= F.col("__u")) & (F.col("__u") < F.col("__hi"))).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     return df.select(key).join(hit, key, "left").withColumn("n", F.coalesce("n", F.lit(0)))

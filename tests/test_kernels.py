@@ -257,3 +257,16 @@ def test_positives_with_two_modes_are_split_again(spark):
     called = mixtures.two_components(df, ["t"], "v")
     got = {r.i: r.prediction for r in mixtures.unimodal_positives(df, called, ["t"], "v", "i").collect()}
     assert sum(got[i] for i in range(120)) == 0 and sum(got[i] for i in range(160, 200)) == 40 and sum(got[i] for i in range(120, 160)) < 5
+
+
+def test_downsampling_keeps_the_number_and_follows_chances(spark):
+    df = spark.createDataFrame([("a", 6000), ("b", 3000), ("c", 0), ("d", 1000)], "k string, n long")
+    got = {r.k: r.n for r in masks.downsample_counts(df, "k", "n", 0.5, 3).collect()}
+    assert sum(got.values()) == 5000 and got["c"] == 0 and abs(got["a"] - 3000) < 250 and abs(got["d"] - 500) < 120
+    assert {r.k: r.n for r in masks.downsample_counts(df.where("n = 0"), "k", "n", 0.5).collect()} == {"c": 0}
+
+
+def test_neighbour_distances(spark):
+    p = spark.createDataFrame([(i, float(i % 5), float(i // 5)) for i in range(25)] + [(99, 50.0, 50.0), (100, None, 1.0)], "id long, x double, y double")
+    got = {r.id: r for r in masks.sparse_neighbourhoods(p, 2, 0.9).collect()}
+    assert got[12].distance == 1 and got[12].keep and not got[99].keep and got[100].distance is None
