@@ -64,6 +64,6 @@ def gsea(scores: DataFrame, geneset: DataFrame, permutations: int = 1000, seed:
     r = ranked_hits(scores, geneset, score)
     es = enrichment_score(r, "rank", "hit")
     perms = scores.sparkSession.range(permutations).withColumnRenamed("id", "perm")
-    shuffled = perms.crossJoin(F.broadcast(r.select("gene_id", "hit"))).withColumn("rank", F.row_number().over(Window.partitionBy("perm").orderBy(F.xxhash64(F.lit(seed), "perm", "gene_id"))))
+    shuffled = perms.crossJoin(r.select("gene_id", "hit")).withColumn("rank", F.row_number().over(Window.partitionBy("perm").orderBy(F.xxhash64(F.lit(seed), "perm", "gene_id"))))
     null = enrichment_score(shuffled, "rank", "hit", ["perm"]).withColumnRenamed("es", "null_es")
     return es.crossJoin(null).groupBy("es").agg(F.avg((F.abs("es") < F.abs("null_es")).cast("double")).alias("p"))
