@@ -23,7 +23,7 @@ _LOADED: dict = {}
 #: Fixed value: how byte-level BPE vocabularies of this kind split a text into words before merging.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Text in one chunk of documents that shares a dictionary, in bytes.
-CHUNK = 24 << 20
+CHUNK = 16 << 20
 
 
 class Words:
