@@ -1,4 +1,4 @@
-"""License scans in native expressions: positional rare-token index over licence templates."""
+"""License scans in native expressions: positional index over the licence words of templates."""
 
 from __future__ import annotations
 
@@ -59,13 +59,13 @@ def inverse_frequencies(worded: DataFrame, vocabulary: list[str]) -> dict[str, f
     return {w: math.log((1 + n) / (1 + counts.get(w, 0))) + 1e-3 for w in vocabulary}
 
 
-def scan_licenses(docs: DataFrame, templates: tuple = TEMPLATES, phrases: tuple = PHRASES, rare: int = 8, least: float = 0.6, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: tuple = TEMPLATES, phrases: tuple = PHRASES, least: float = 0.6, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per row of docs: id, n_words, base_places (array<int>), base_labels, found (array<struct<label,score>>).
 
-    Base: places of the phrases. Method: each file's ``rare`` licence words of highest inverse document frequency (over
-    all files) are looked up in the templates' postings; pairs of places vote for where the template would begin; an
-    alignment counts if the voters hold ``least`` of the frequency-weighted words of the template and the file has all
-    its key phrases. Null text counts as empty; a null id or repeated rows are treated like any other.
+    Base: places of the phrases. Method: all of a file's licence words are looked up in the templates' postings; pairs of
+    places vote for where the template would begin; an alignment counts if the voters hold ``least`` of the template's
+    words, weighted by inverse document frequency (over all files), and the file has all its key phrases. Null text
+    counts as empty; a null id or repeated rows are treated like any other.
     """
     spark = docs.sparkSession
     whole = F.coalesce(F.col(text_col), F.lit(""))
@@ -73,9 +73,8 @@ def scan_licenses(docs: DataFrame, templates: tuple = TEMPLATES, phrases: tuple
     vocabulary = sorted({w for _, t, _ in templates for w in t.split() if w not in COMMON and not re.fullmatch("[0-9]+", w)})
     idf = inverse_frequencies(worded, vocabulary)
 
-    weight = F.create_map(*[F.lit(x) for w in vocabulary for x in (w, idf[w])])
-    looked_up = F.slice(F.array_sort(F.transform(F.array_intersect("words", F.array(*map(F.lit, vocabulary))), lambda w: F.struct((-weight[w]).alias("k"), w.alias("w")))), 1, rare)
-    some = worded.withColumn("rare", F.transform(looked_up, lambda x: x["w"])).where(F.size("rare") >= 2)
+    known = F.array(*map(F.lit, vocabulary))
+    some = worded.where(F.arrays_overlap("words", known))
     has = {p: F.size(places(F.col("words"), p)) > 0 for _, _, keys in templates for p in keys}
     ok = []
     for k, (_, _, keys) in enumerate(templates):
@@ -84,8 +83,8 @@ def scan_licenses(docs: DataFrame, templates: tuple = TEMPLATES, phrases: tuple
             every = every & has[p]
         ok.append(F.when(every, F.lit(k)))
     some = some.withColumn("ok", F.array_compact(F.array(*ok))).where(F.size("ok") > 0)
-    at = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains("rare", w), F.struct(w.alias("w"), i.alias("p")))), lambda x: x.isNotNull())
-    at = some.select("id", "h", "ok", F.explode(at).alias("x")).select("id", "h", "ok", "x.w", "x.p")
+    at = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains(known, w), F.struct(w.alias("w"), i.alias("p")))), lambda x: x.isNotNull())
+    at = some.select("id", "h", "ok", F.explode(at).alias("x")).select("id", "h", "ok", "x.w", "x.p").distinct()  # repeated rows vote once
 
     posted = [(k, w, q, idf[w]) for k, (_, t, _) in enumerate(templates) for q, w in enumerate(t.split()) if w in idf]
     total = {k: sum(x[3] for x in posted if x[0] == k) for k in range(len(templates))}

@@ -177,6 +177,14 @@ def test_license_scan(spark, docs, texts, none):
     assert license_scan.scan_licenses(none).count() == 0
 
 
+def test_license_scan_scores_whole_notices(spark):
+    text = {i: t for i, (_, t, _) in enumerate(license_scan.TEMPLATES)}
+    files = {1: text[1], 2: f"{text[1]} {text[5]}", 3: f"{text[5]} {text[3]}", 4: f"{text[3]} {text[9]} {text[8]}", 5: " ".join(text[1].split()[:9])}
+    rows = [*files.items(), (1, text[1]), *((100 + i, "other words of prose") for i in range(40))]
+    got = {r.doc_id: {f.label: f.score for f in r.found} for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: got[i] for i in files} == {1: {"mit": 1.0}, 2: {"mit": 1.0, "bsd": 1.0}, 3: {"bsd": 1.0, "gpl-3": 1.0}, 4: {"gpl-3": 1.0, "mpl-2": 1.0, "cc-by": 1.0}, 5: {}}
+
+
 def test_token_counts_splice(spark, docs, texts, none):
     path = public_tokenizers.path("piece_bpe_32k.model")
     import sentencepiece
