@@ -132,6 +132,51 @@ def kendall(x: np.ndarray, y: np.ndarray, block: int = 512) -> tuple[float, floa
     return 2 * s / math.sqrt(tx * ty), math.erfc(abs(s) / math.sqrt(2 * v)) if v > 0 else 1.0
 
 
+def median_slope(x: np.ndarray, y: np.ndarray, block: int = 512, held: int = 1 << 20) -> float:
+    """The median slope over pairs with different x, exactly (nan without such pairs).
+
+    Pairs are made block by block; ranges around the middle ranks are narrowed by counting until under ``held`` slopes remain.
+    """
+    order = np.argsort(x, kind="stable")
+    x, y = x[order], y[order]
+
+    def slopes():
+        for i in range(0, len(x), block):
+            dx, dy = x[None, i:] - x[i : i + block, None], y[None, i:] - y[i : i + block, None]
+            v = dy[dx > 0] / dx[dx > 0]
+            yield v[~np.isnan(v)]
+
+    def at(rank: int) -> float:
+        low, high, before = -np.inf, np.inf, 0  # the slope of that rank is in low..high; ``before`` slopes are under low
+        rng = np.random.default_rng(17)
+        while True:
+            within, some = 0, []
+            for v in slopes():
+                v = v[(v >= low) & (v <= high)]
+                within += len(v)
+                some.append(v if within <= held else rng.choice(v, min(len(v), 64), replace=False))
+            if within <= held:
+                return float(np.partition(np.concatenate(some), rank - before)[rank - before])
+            pivot = np.sort(np.concatenate([rng.choice(v, min(len(v), 64), replace=False) for v in some]))
+            pivot = pivot[int((rank - before) / within * len(pivot))]
+            less = same = 0
+            for v in slopes():
+                v = v[(v >= low) & (v <= high)]
+                less, same = less + int((v < pivot).sum()), same + int((v == pivot).sum())
+            if less <= rank - before < less + same:
+                return float(pivot)
+            if rank - before < less:
+                high = np.nextafter(pivot, -np.inf)
+            else:
+                low, before = np.nextafter(pivot, np.inf), before + less + same
+
+    if len(x) * (len(x) - 1) // 2 <= held:
+        all_of_them = np.concatenate([np.empty(0), *slopes()])
+        return float(np.median(all_of_them)) if len(all_of_them) else float("nan")
+    n = sum(len(v) for v in slopes())
+    return (at((n - 1) // 2) + at(n // 2)) / 2 if n else float("nan")
+
+
 def fisher(a: int, b: int, c: int, d: int) -> float:
     """Two-sided p of [[a, b], [c, d]]: tables no likelier than the one seen."""
     n, r, k = a + b + c + d, a + b, a + c

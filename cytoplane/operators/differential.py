@@ -117,10 +117,15 @@ def kendall_by(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
 
 
 def theil_sen(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
-    """(by, slope): the median slope over pairs of a group's rows with different x, as a join of pairs within the group."""
-    a = df.select(by, F.col(x).alias("x1"), F.col(y).alias("y1"))
-    b = df.select(by, F.col(x).alias("x2"), F.col(y).alias("y2"))
-    return a.join(b, by).where("x1 < x2").groupBy(by).agg(F.percentile((F.col("y2") - F.col("y1")) / (F.col("x2") - F.col("x1")), F.lit(0.5)).alias("slope"))
+    """(by, slope): the median slope over pairs of a group's rows with different x; a task holds a group's rows, not its pairs."""
+    import pandas as pd
+
+    def one(key, pdf):
+        slope = pvalues.median_slope(pdf["x"].to_numpy(), pdf["y"].to_numpy())
+        return pd.DataFrame({by: [key[0]], "slope": [slope]}).dropna(subset="slope")
+
+    rows = df.select(by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).na.drop()
+    return rows.groupBy(by).applyInPandas(one, f"{by} {df.schema[by].dataType.simpleString()}, slope double")
 
 
 def replicate_tests(values: DataFrame, replicate: str, first: list, second: list, matched: bool = False) -> DataFrame:

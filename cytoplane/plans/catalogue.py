@@ -636,6 +636,19 @@ def theil_sen(spark, d):
     return differential.theil_sen(v, "cell_id", "a", "value").select("cell_id", r6("slope"))
 
 
+@query(f"""{BASE}, v AS (SELECT cell_id, value AS a, price AS b FROM x JOIN genes USING (gene_id)), p AS (SELECT u.cell_id, sign(u.a - w.a) AS s, sign(u.b - w.b) AS t FROM v u JOIN v w USING (cell_id))
+SELECT cell_id, round(sum(s * t) / (sqrt(sum(abs(s))) * sqrt(sum(abs(t)))), 6) AS tau FROM p GROUP BY 1""")
+def kendall_cells_all(spark, d):
+    m = matrix(spark, d)
+    return differential.kendall_by(m.x.join(m.genes.select("gene_id", "price"), "gene_id"), "cell_id", "value", "price").select("cell_id", r6("tau"))
+
+
+@query(f"""{BASE}, v AS (SELECT cell_id, gene_id::DOUBLE AS a, value AS b FROM x) SELECT u.cell_id, round(quantile_cont((w.b - u.b) / (w.a - u.a), 0.5), 6) AS slope FROM v u JOIN v w ON u.cell_id = w.cell_id AND u.a < w.a GROUP BY 1""")
+def theil_sen_all(spark, d):
+    v = matrix(spark, d).x.withColumn("a", F.col("gene_id").cast("double"))
+    return differential.theil_sen(v, "cell_id", "a", "value").select("cell_id", r6("slope"))
+
+
 @query()
 def category_tests(spark, d):
     return differential.category_tests(table(spark, d, "events"), "event_type", "value")

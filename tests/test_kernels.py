@@ -46,6 +46,22 @@ def test_kendall():
     assert math.isnan(pvalues.kendall(np.ones(4), y)[0])
 
 
+def test_median_slope_holds_no_pairs():
+    rng = np.random.default_rng(3)
+    for n, ties in ((2, False), (41, True), (300, False), (301, True)):
+        x, y = rng.integers(0, 9 if ties else 10**6, n).astype(float), (rng.integers(0, 4, n) if ties else rng.normal(size=n)).astype(float)
+        want = np.median([(y[j] - y[i]) / (x[j] - x[i]) for i in range(n) for j in range(n) if x[i] < x[j]])
+        for held in (1 << 20, 200):
+            assert pvalues.median_slope(x, y, 64, held) == pytest.approx(want)
+    assert math.isnan(pvalues.median_slope(np.ones(4), y[:4]))
+
+
+def test_theil_sen_joins_no_pairs(spark):
+    df = spark.createDataFrame([("a", 1.0, 1.0), ("a", 2.0, 3.0), ("a", 4.0, 4.0), ("a", None, 9.0), ("b", 1.0, 2.0), (None, 1.0, 1.0), (None, 2.0, 2.0)], "k string, x double, y double")
+    got = differential.theil_sen(df, "k", "x", "y")
+    assert "Join" not in got._jdf.queryExecution().toString() and [tuple(r) for r in got.collect()] == [("a", 1.0)]
+
+
 def test_doublet_p_is_a_tail():
     def g(x1, x2, x12, n, c):
         return c**x12 * math.comb(x1 + x12, x12) * math.comb(n - x2 - x12, x1)
