@@ -189,7 +189,7 @@ def marker_heatmap(spark, d):
 
 @query()
 def neighbour_search(spark, d):
-    k, s = clustering.best_neighbours(vectors(spark, d).where("id < 200"), 2, 8, 32, 2)
+    k, s = clustering.best_neighbours(vectors(spark, d))
     return spark.createDataFrame([(k, float(s))], "k int, silhouette double")
 
 
@@ -197,9 +197,11 @@ def neighbour_search(spark, d):
 def clump_sizes(spark, d):
     import numpy as np
 
-    p = vectors(spark, d).where("id < 200").orderBy("id").toPandas()
-    u = clustering.unit_rows(np.stack(p["vec"].to_list()).astype(float))
-    return spark.createDataFrame(clustering.clumpiness(np.clip(1 - u @ u.T, 0, None), 12)[1])
+    def run(pdf):
+        x = np.stack(pdf.sort_values("id")["vec"].to_list()).astype(float)
+        return clustering.unit_clumpiness(clustering.unit_rows(x))[1]
+
+    return vectors(spark, d).select("id", "vec").groupBy(F.lit("all")).applyInPandas(run, "cluster long, n long, mean_distance double")
 
 
 @query()

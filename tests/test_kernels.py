@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cytoplane.functions import pvalues, scalars
 from cytoplane.model import from_tables
 from cytoplane.operators import clustering, differential, genome, graph, groups, joins, layers, linalg, masks, mixtures, receptors, signatures, spatial, windows
+from cytoplane.plans import more
 from cytoplane.sources import readers, writers
 
 
@@ -168,6 +169,24 @@ def test_clumpiness_of_two_groups():
     assert labels[0] == labels[1] != labels[2] == labels[3] and sorted(t["mean_distance"]) == [1, 2]
 
 
+def test_clumps_of_rows_are_those_of_the_matrix():
+    rng = np.random.default_rng(5)
+    u = clustering.unit_rows(np.repeat(rng.normal(size=(7, 12)), 30, axis=0) + 0.4 * rng.normal(size=(210, 12)))
+    (a, t), (b, r) = clustering.clumpiness(np.clip(1 - u @ u.T, 0, None)), clustering.unit_clumpiness(u, block=64)
+    assert (a == b).all() and t["n"].tolist() == r["n"].tolist() and t["mean_distance"].tolist() == pytest.approx(r["mean_distance"].tolist())
+
+
+def test_vector_queries_read_every_vector(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(v) for v in rng.normal(size=4)]) for i in range(230)]
+    monkeypatch.setattr(more, "vectors", lambda s, d: s.createDataFrame(rows, "id long, vec array<double>"))
+    assert sum(r.n for r in more.clump_sizes(spark, "").collect()) == 230
+    seen = []
+    monkeypatch.setattr(clustering, "best_neighbours", lambda points, *rest: seen.append((points.count(), rest)) or (2, 0.0))
+    more.neighbour_search(spark, "").collect()
+    assert seen == [(230, ())]
+
+
 def test_components_and_communities(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (7, 8), (8, 8)], "u long, v long")
     assert {r.node: r.component for r in graph.components(e).collect()} == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7}
