@@ -843,7 +843,7 @@ def vdj_contigs(spark, d):
 
 @query()
 def alpha_outlines(spark, d):
-    p = vectors(spark, d).where("id < 120").select(F.lit("all").alias("k"), F.col("vec")[0].cast("double").alias("x"), F.col("vec")[1].cast("double").alias("y"))
+    p = vectors(spark, d).select(F.lit("all").alias("k"), F.col("vec")[0].cast("double").alias("x"), F.col("vec")[1].cast("double").alias("y"))
     return spatial.alpha_outlines(p, "k", 5.0)
 
 

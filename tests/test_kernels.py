@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cytoplane.functions import pvalues, scalars
 from cytoplane.model import from_tables
 from cytoplane.operators import clustering, differential, genome, graph, groups, joins, layers, linalg, masks, mixtures, receptors, signatures, spatial, windows
-from cytoplane.plans import more
+from cytoplane.plans import catalogue, more
 from cytoplane.sources import readers, writers
 
 
@@ -243,6 +243,24 @@ def test_alpha_outline_of_a_square(spark):
     assert one.select(spatial.polygon_area().alias("a")).first().a == 2
 
 
+def test_alpha_outlines_of_every_vector(spark, monkeypatch):
+    p = np.random.default_rng(8).uniform(size=(140, 2))
+    monkeypatch.setattr(catalogue, "vectors", lambda s, d: s.createDataFrame([(i, v.tolist()) for i, v in enumerate(p)], "id long, vec array<double>"))
+    sides: dict = {}
+    for t in itertools.combinations(range(140), 3):
+        a, b, c = p[list(t)]
+        two = 2 * ((b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0]))
+        u, v = ((b - a) ** 2).sum(), ((c - a) ** 2).sum()
+        o = a + np.array([(c[1] - a[1]) * u - (b[1] - a[1]) * v, (b[0] - a[0]) * v - (c[0] - a[0]) * u]) / two
+        r = ((a - o) ** 2).sum()
+        if r < 0.04 and (((p - o) ** 2).sum(1) < r * (1 - 1e-9)).sum() == 0:
+            for e in itertools.combinations(t, 2):
+                sides[e] = sides.get(e, 0) + 1
+    want = {frozenset((tuple(p[i]), tuple(p[j]))) for (i, j), n in sides.items() if n == 1}
+    got = {frozenset(((r.x1, r.y1), (r.x2, r.y2))) for r in catalogue.alpha_outlines(spark, "").collect()}
+    assert got == want
+
+
 def test_round_trip_and_readers(spark, tmp_path):
     m = layers.normalize_counts(small(spark))
     writers.matrix(m, str(tmp_path / "m"))
