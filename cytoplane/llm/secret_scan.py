@@ -19,14 +19,21 @@ KINDS = ("assign", "access", "hex", "entropy")
 #: Character classes: name, what the candidate consists of, alphabet, least bits of a window of 20.
 CLASSES = (
     ("hex", "^[0-9a-f]+$", "0123456789abcdef", 3.0),
+    ("upper hex", "^[0-9A-F]+$", "0123456789ABCDEF", 3.0),
+    ("mixed hex", "^(?=.*[0-9])[0-9A-Fa-f]+$", "0123456789ABCDEFabcdef", 3.1),
+    ("base32", "^(?=.*[2-7])(?=.*[A-Z])[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567=", 3.3),
+    ("lower", "^(?=.*[0-9])(?=.*[a-z])[a-z0-9]+$", "abcdefghijklmnopqrstuvwxyz0123456789", 3.4),
+    ("upper", "^(?=.*[0-9])(?=.*[A-Z])[A-Z0-9]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 3.4),
     ("base64", "^(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9+/_=-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.9),
 )
+#: A path's segment that looks like a word or a version, as chance alone hardly makes it between two slashes.
+SEGMENT = "(?:v[0-9]{1,3}|[A-Z]{3,}|[A-Za-z][a-z]+[0-9]{0,3}(?:[_-][A-Za-z]?[a-z]+[0-9]{0,3})*)"
 #: Candidates that hold one of these are known not to be secrets: placeholders, UUIDs, runs of the alphabet, paths.
 ALLOW = (
     "(?i)example|placeholder|changeme|dummy|your[_-]|lorem",
     "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
     "(?i)abcdefghij|0123456789|1234567890",
-    "/[^/]+/[^/]+/",
+    f"/{SEGMENT}/{SEGMENT}/",
 )
 
 

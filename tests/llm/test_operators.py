@@ -177,6 +177,19 @@ def test_license_scan(spark, docs, texts, none):
     assert license_scan.scan_licenses(none).count() == 0
 
 
+def test_secret_scan_knows_other_alphabets(spark):
+    rng = random.Random(11)
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    kinds = {"upper hex": (digits + "ABCDEF", 32), "base32": (upper + "234567", 32), "lower": (lower + digits, 32), "upper": (upper + digits, 32), "short": (lower + digits, 20)}
+    rows = [(k, f"see {''.join(rng.choices(a, k=n))} here") for k, (a, n) in kinds.items() for _ in range(100)]
+    rows += [("slashes", f"see {''.join(rng.choices(upper + lower + digits, k=14))}/{''.join(rng.choices(digits + upper, k=14))}/K7q/9zZ here") for _ in range(100)]
+    rows += [("clean", t) for t in ("see /home/user/projects/src2/readme here", "see internationalization here", "see INTERNATIONALIZATION here", "see a_long_name_in_snake_case here", "/usr/lib/v2/python3/site-packages/x")]
+    found = {}
+    for r in secret_scan.find_secrets(spark.createDataFrame(rows, "kind string, text string")).collect():
+        found[r.kind] = found.get(r.kind, 0) + bool(r.added)
+    assert found.pop("clean") == 0 and min(found.values()) >= 90, found
+
+
 def test_license_scan_scores_whole_notices(spark):
     text = {i: t for i, (_, t, _) in enumerate(license_scan.TEMPLATES)}
     files = {1: text[1], 2: f"{text[1]} {text[5]}", 3: f"{text[5]} {text[3]}", 4: f"{text[3]} {text[9]} {text[8]}", 5: " ".join(text[1].split()[:9])}
