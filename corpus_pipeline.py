@@ -21,9 +21,14 @@ def _own(docs: DataFrame) -> tuple[DataFrame, list]:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without text or without a letter (``und``) go; the classifier learns from a bounded sample of docs."""
+    """Documents without text or without a letter (``und``) go; the classifier learns from a bounded sample of docs.
+
+    A null lang becomes the predicted one; if nothing could be learned from, lang stays null.
+    """
     d, back = _own(docs)
-    return language_id.label_documents(d, language_id.train(d)).where("lang_pred <> 'und'").select(back)
+    model = language_id.train(d)
+    out = language_id.label_documents(d, model, untrained="unknown").where("lang_pred <> 'und'")
+    return (out.withColumn("lang", F.coalesce("lang", "lang_pred")) if model else out).select(back)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -89,11 +89,12 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, chars: int = TRAIN_
     return model
 
 
-def label_documents(docs: DataFrame, model: Crf | None, least_score: float = 0.0, text_col: str = "text") -> DataFrame:
+def label_documents(docs: DataFrame, model: Crf | None, least_score: float = 0.0, text_col: str = "text", untrained: str = "und") -> DataFrame:
     """docs plus lang_pred and score (replacing columns of those names).
 
     score is the predicted language's share in ``read_out`` of the posteriors of the text's words. ``und`` with score 0 if the text is null
-    or has no letter, if there is no model, or if the score is under least_score. Whole texts, no shuffle.
+    or has no letter, or if the score is under least_score. Without a model, texts with a letter get ``untrained`` with
+    score 0. Whole texts, no shuffle.
     """
     docs = docs.drop("lang_pred", "score")
     schema = docs.withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
@@ -105,7 +106,7 @@ def label_documents(docs: DataFrame, model: Crf | None, least_score: float = 0.0
             lang, score = [], []
             for _, texts in batches_of_texts(b.column(text_col)):
                 if crf is None:
-                    lang += ["und"] * len(texts)
+                    lang += [untrained if has_letter(raw.decode()) else "und" for raw in texts]
                     score += [0.0] * len(texts)
                     continue
                 t = crf.tokens(texts)

@@ -49,3 +49,19 @@ def test_stages_on_odd_rows(spark, tmp_path):
     last = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
     texts = {(r.doc_id, r.text) for r in docs.collect()}
     assert {(r.doc_id, r.decoded) for r in last} == texts
+
+
+def test_language_stage_without_a_model(spark, tmp_path):
+    stage = corpus_pipeline.STAGES[0][1]
+    long = "many words of one text " * 1000  # over the bound of a training text
+    rows = [(1, "hello there", None), (2, "12 ...", None), (3, None, None), (4, "καλημέρα", None)]
+    for more in ([], [(5, long, "aa")]):
+        docs = spark.createDataFrame([*rows, *more], "doc_id long, text string, lang string")
+        assert sorted((r.doc_id, r.lang) for r in stage(spark, docs, str(tmp_path)).collect()) == [(1, None), (4, None), *[(i, lang) for i, _, lang in more]]
+
+
+def test_language_stage_fills_lang(spark, tmp_path):
+    rows = [(i, "uno dos tres cuatro cinco", "es") if i % 2 else (i, "one two three four five", "en") for i in range(40)]
+    docs = spark.createDataFrame([*rows, (90, "two three one", None), (91, "cinco tres dos", None)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang for r in corpus_pipeline.STAGES[0][1](spark, docs, str(tmp_path)).collect()}
+    assert got == {**{i: lang for i, _, lang in rows}, 90: "en", 91: "es"}
