@@ -58,10 +58,13 @@ def released(run):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; one of our own only where none is set (tests, one machine)."""
+    """The folder that the cluster names for checkpoints. One of our own only where none is set and the master is local;
+    elsewhere executors would each write to their own disk, so that is an error."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='cytoplane-')}"
         sc.setCheckpointDir(named)
     elif not sc.getCheckpointDir():
@@ -69,12 +72,30 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def _located(spark: SparkSession, path: str):
+    """The file system and path of the JVM."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """df written once to the shared folder and read back: cuts lineage and outlives executors."""
+    """df written once to the shared folder and read back: cuts lineage and outlives executors. Removed when the driver
+    ends, or earlier by ``discard``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/cytoplane-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    files, at = _located(spark, path)
+    files.deleteOnExit(at)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._stored_at = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables of ``stored`` that nothing reads any more."""
+    for t in tables:
+        files, at = _located(t.sparkSession, t._stored_at)
+        files.delete(at, True)
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -93,7 +114,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        e = stored(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+        older, e = e, stored(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+        discard(older)
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == last:
             break
