@@ -59,52 +59,73 @@ def inverse_frequencies(worded: DataFrame, vocabulary: list[str]) -> dict[str, f
     return {w: math.log((1 + n) / (1 + counts.get(w, 0))) + 1e-3 for w in vocabulary}
 
 
+def prefix_postings(words: list[str], idf: dict[str, float], least: float) -> list[tuple[str, int]]:
+    """The rarest postings (word, position) of a template, as few as leave less than ``least`` of its weight in the others.
+
+    An alignment that holds ``least`` of the weight holds one of them, so looking up these alone loses none.
+    """
+    posted = sorted(((idf[w], q, w) for q, w in enumerate(words) if w in idf), key=lambda x: (-x[0], x[1]))
+    rest, out = sum(x[0] for x in posted), []
+    bound = least * rest
+    for weight, q, w in posted:
+        if rest < bound - 1e-6:
+            break
+        out.append((w, q))
+        rest -= weight
+    return out
+
+
+def alignment_score(words: Column, template: str, idf: dict[str, float], least: float) -> Column:
+    """The greatest share of the template's weight that one begin in words holds; null if no rare posting is there.
+
+    Rare postings propose begins (place of the word less its position in the template); each distinct begin is scored
+    over all postings. Work grows with the occurrences of rare words, and nothing leaves the row.
+    """
+    parts = template.split()
+    total = sum(idf[w] for w in parts if w in idf)
+    rare: dict[str, list[int]] = {}
+    for w, q in prefix_postings(parts, idf, least):
+        rare.setdefault(w, []).append(q)
+    offsets = F.create_map(*[x for w, qs in rare.items() for x in (F.lit(w), F.array(*map(F.lit, qs)))])
+    postings = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(q).alias("q"), F.lit(idf[w] / total).alias("share")) for q, w in enumerate(parts) if w in idf])
+    proposed = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(F.map_keys(offsets), w), F.transform(F.element_at(offsets, w), lambda q: i - q))), lambda x: x.isNotNull())
+
+    def score(begin: Column) -> Column:
+        return F.aggregate(postings, F.lit(0.0), lambda acc, x: acc + F.when(F.get(words, begin + x["q"]) == x["w"], x["share"]).otherwise(0.0))
+
+    return F.round(F.array_max(F.transform(F.array_distinct(F.flatten(proposed)), score)), 6)
+
+
 def scan_licenses(docs: DataFrame, templates: tuple = TEMPLATES, phrases: tuple = PHRASES, least: float = 0.6, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per row of docs: id, n_words, base_places (array<int>), base_labels, found (array<struct<label,score>>).
 
-    Base: places of the phrases. Method: all of a file's licence words are looked up in the templates' postings; pairs of
-    places vote for where the template would begin; an alignment counts if the voters hold ``least`` of the template's
-    words, weighted by inverse document frequency (over all files), and the file has all its key phrases. Null text
-    counts as empty; a null id or repeated rows are treated like any other.
+    Base: places of the phrases. Method: in files that have all key phrases of a template, its rarest words (by inverse
+    document frequency over all files) propose where it begins; the share of the template's whole weight that stands at
+    such a begin, word by word and position by position, is the score, and ``least`` or more is a find. A label's score
+    is that of its best template. Files are judged one by one, so identical rows get identical results and count as files
+    only in the frequencies. Null text counts as empty; ids may be null. Very long texts take time in proportion.
     """
-    spark = docs.sparkSession
-    whole = F.coalesce(F.col(text_col), F.lit(""))
-    worded = docs.select(F.col(id_col).alias("id"), F.xxhash64(whole).alias("h"), words_of(F.col(text_col)).alias("words"))
+    worded = docs.select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("words"))
     vocabulary = sorted({w for _, t, _ in templates for w in t.split() if w not in COMMON and not re.fullmatch("[0-9]+", w)})
     idf = inverse_frequencies(worded, vocabulary)
 
-    known = F.array(*map(F.lit, vocabulary))
-    some = worded.where(F.arrays_overlap("words", known))
-    has = {p: F.size(places(F.col("words"), p)) > 0 for _, _, keys in templates for p in keys}
-    ok = []
-    for k, (_, _, keys) in enumerate(templates):
+    words, scores = F.col("words"), []
+    for label, t, keys in templates:
         every = F.lit(True)
         for p in keys:
-            every = every & has[p]
-        ok.append(F.when(every, F.lit(k)))
-    some = some.withColumn("ok", F.array_compact(F.array(*ok))).where(F.size("ok") > 0)
-    at = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains(known, w), F.struct(w.alias("w"), i.alias("p")))), lambda x: x.isNotNull())
-    at = some.select("id", "h", "ok", F.explode(at).alias("x")).select("id", "h", "ok", "x.w", "x.p").distinct()  # repeated rows vote once
-
-    posted = [(k, w, q, idf[w]) for k, (_, t, _) in enumerate(templates) for q, w in enumerate(t.split()) if w in idf]
-    total = {k: sum(x[3] for x in posted if x[0] == k) for k in range(len(templates))}
-    values = ", ".join(f"({k}, '{templates[k][0]}', '{w}', {q}, {v / total[k]!r}D)" for k, w, q, v in posted)
-    postings = spark.sql(f"SELECT * FROM VALUES {values} AS t(k, label, w, q, share)")
-    votes = at.join(F.broadcast(postings), "w").where(F.array_contains("ok", F.col("k")))
-    votes = votes.groupBy("id", "h", "k", "label", (F.col("p") - F.col("q")).alias("begin")).agg(F.round(F.sum("share"), 6).alias("score"))
-    found = votes.where(F.col("score") >= least).groupBy("id", "h", "label").agg(F.max("score").alias("score"))
-    found = found.groupBy("id", "h").agg(F.array_sort(F.collect_list(F.struct("label", "score"))).alias("found"))
-
-    each = [places(F.col("words"), p) for p, _ in phrases]
-    base = worded.select(
-        "id", "h", F.size("words").cast("long").alias("n_words"),
+            every = every & (F.size(places(words, p)) > 0)
+        scores.append(F.struct(F.lit(label).alias("label"), F.when(every, alignment_score(words, t, idf, least)).alias("score")))
+    found = F.array_sort(F.filter(F.array(*scores), lambda s: s["score"] >= least))
+    best = F.filter("hits", lambda s: ~F.exists("hits", lambda o: (o["label"] == s["label"]) & (o["score"] > s["score"])))
+    nothing = F.array().cast("array<struct<label:string,score:double>>")
+    each = [places(words, p) for p, _ in phrases]
+    out = worded.select(
+        "id", F.size("words").cast("long").alias("n_words"),
         F.concat(*each).alias("base_places"),
-        F.array_compact(F.array(*[F.when(F.size(e) > 0, F.lit(label)) for e, (_, label) in zip(each, phrases)])).alias("base_labels"),
+        F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(F.size(e) > 0, F.lit(label)) for e, (_, label) in zip(each, phrases)])))).alias("base_labels"),
+        F.when(F.arrays_overlap(words, F.array(*map(F.lit, vocabulary))), found).otherwise(nothing).alias("hits"),
     )
-    f = found.select(F.col("id").alias("fid"), F.col("h").alias("fh"), "found")
-    out = base.join(f, base["id"].eqNullSafe(f["fid"]) & (base["h"] == f["fh"]), "left")
-    nothing = F.array().cast("array<struct<label:string,score:double>>")
-    return out.select(F.col("id").alias(id_col), "n_words", "base_places", F.array_sort(F.array_distinct("base_labels")).alias("base_labels"), F.coalesce("found", nothing).alias("found"))
+    return out.select(F.col("id").alias(id_col), "n_words", "base_places", "base_labels", F.array_distinct(best).alias("found"))
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
