@@ -37,22 +37,47 @@ ALLOW = (
 )
 
 
-def _matches(text: Column, pattern: str, least: Column | None = None) -> Column:
+def _bound(value: Column, body) -> Column:
+    """body(value) with value computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def before(values: Column, zero: int, combine, levels: int = 3, width: int = 32) -> Column:
+    """For each of an array of ints, what ``combine`` makes of zero and all those before it: an exclusive scan.
+
+    Runs of ``width`` are combined, what comes of them again, ``levels`` times over; inside a run each element takes those
+    before it. So the work is in proportion to the array (up to some ten million elements), and no array grows step by step.
+    """
+    upto = lambda run, i, start: F.aggregate(F.slice(run, F.lit(1), i), start, combine)
+    if levels == 0:
+        return F.transform(values, lambda x, i: upto(values, i, F.lit(zero)))
+
+    def spread(runs: Column, at: Column) -> Column:
+        return F.flatten(F.transform(runs, lambda run, b: F.transform(run, lambda x, i: upto(run, i, F.get(at, b)))))
+
+    def by_runs(runs: Column) -> Column:
+        sums = F.transform(runs, lambda run: F.aggregate(run, F.lit(zero), combine))
+        return _bound(_bound(sums, lambda s: before(s, zero, combine, levels - 1, width)), lambda at: spread(runs, at))
+
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / width).cast("int")), lambda b: F.slice(values, b * width + 1, F.lit(width)))
+    return F.when(F.size(values) > 0, _bound(cut, by_runs)).otherwise(F.array().cast("array<int>"))
+
+
+def _matches(text: Column, pattern: str) -> Column:
     """array<struct<start,end,m>> of the pattern's leftmost non-overlapping matches, in code points.
 
     Lengths of what stands between matches and of the matches add up to positions; texts without a match cost one scan.
     """
-    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
     none = F.array().cast("array<struct<start:int,end:int,m:string>>")
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["m"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m")))).alias("out"))
+    def placed(found: Column) -> Column:
+        steps = F.transform(found, lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["m"]), F.lit(0)))
+        at = _bound(steps, lambda n: before(n, 0, lambda a, b: a + b))
+        spans = F.transform(F.arrays_zip(found.alias("x"), at.alias("at")), lambda z: F.struct((z["at"] + F.length(z["x"]["gap"])).alias("start"), (z["at"] + F.length(z["x"]["gap"]) + F.length(z["x"]["m"])).alias("end"), z["x"]["m"].alias("m")))
+        return F.filter(spans, lambda s: s["m"].isNotNull())
 
-    zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    found = F.aggregate(F.filter(zipped, lambda x: x["m"].isNotNull()), zero, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), found).otherwise(none)
+    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
+    return F.when(text.rlike(pattern), _bound(zipped, placed)).otherwise(none)
 
 
 def window_entropy(s: Column, alphabet: str, width: int) -> Column:
@@ -84,7 +109,8 @@ def find_secrets(docs: DataFrame, width: int = 20, classes: tuple = CLASSES, all
     base: assignments to a key-like name with a value of 8 characters or more, access ids of 16 or more, hex runs of 32
     or more; spans are whole matches in code points, end exclusive. added: runs of 20 or more token characters of which
     some window of ``width`` reaches its class's entropy, that no allow-list pattern fits and no base span meets.
-    Null text counts as empty. Each row stands for itself, whatever its id; nothing is shuffled.
+    Null text counts as empty. Each row stands for itself, whatever its id; nothing is shuffled. Columns named base or
+    added are replaced. Time grows with the length of a text, however many spans it has.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
 
@@ -95,20 +121,32 @@ def find_secrets(docs: DataFrame, width: int = 20, classes: tuple = CLASSES, all
         return F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind")))
 
     def random_looking(x: Column) -> Column:
-        hits = [x["m"].rlike(shape) & (window_entropy(x["m"], alphabet, width) >= bits) for _, shape, alphabet, bits in classes]
-        known = [x["m"].rlike(p) for p in allow]
-        hit, ok = hits[0], F.lit(False)
-        for h in hits[1:]:
-            hit = hit | h
-        for k in known:
-            ok = ok | k
+        # A window's entropy is the same whatever alphabet holds its characters: the class that asks least of x decides.
+        hit, ok = F.lit(False), F.lit(False)
+        for _, shape, alphabet, bits in sorted(classes, key=lambda c: -c[3]):
+            hit = F.when(x["m"].rlike(shape), window_entropy(x["m"], alphabet, width) >= bits).otherwise(hit)
+        for p in allow:
+            ok = ok | x["m"].rlike(p)
         return ~ok & hit
 
     value = lambda x: F.length(F.regexp_extract(x["m"], ASSIGN, 2)) >= 8
     base = F.array_sort(F.concat(spans("assign", ASSIGN, value), spans("access", ACCESS), spans("hex", HEX)))
+    def clear(cands: Column) -> Column:
+        # Neither kind of span overlaps itself among candidates, so a candidate can only meet a base span that starts before
+        # it (then the greatest end so far shows it) or the very next span by start.
+        def judged(z: Column) -> Column:
+            end = _bound(F.transform(z, lambda x: F.when(x["kind"] == KINDS[3], 0).otherwise(x["end"])), lambda e: before(e, 0, lambda a, b: F.greatest(a, b)))
+
+            def free(x: Column, i: Column, last: Column) -> Column:
+                after = F.get(z, i + 1)
+                return (x["kind"] == KINDS[3]) & (F.get(last, i) <= x["start"]) & F.coalesce((after["kind"] == KINDS[3]) | (after["start"] >= x["end"]), F.lit(True))
+
+            return _bound(end, lambda last: F.filter(z, lambda x, i: free(x, i, last)))
+
+        return F.when((F.size(cands) > 0) & (F.size("base") > 0), _bound(F.array_sort(F.concat("base", cands)), judged)).otherwise(cands)
+
     out = docs.withColumn("base", base)
-    more = F.filter(spans("entropy", CANDIDATE, random_looking), lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return out.withColumn("added", more)
+    return out.withColumn("added", _bound(spans("entropy", CANDIDATE, random_looking), clear))
 
 
 def _joined(spans: Column) -> Column:
