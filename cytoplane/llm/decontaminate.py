@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from dataclasses import dataclass
 from collections.abc import Iterator
 
@@ -130,8 +131,8 @@ class Index:
         return np.repeat(at, n), self.item_of[posting], self.place_of[posting]
 
     def find(self, texts: list[bytes]) -> list[list[dict]]:
-        """The leaks of each text: for each item its best occurrence within its budget."""
-        out: list[list[dict]] = [[] for _ in texts]
+        """The leaks of each text: for each item its occurrences within its budget, the best of those that overlap."""
+        out: list[list] = [[] for _ in texts]
         if not self.items:
             return out
         parts = [normal(t) for t in texts]
@@ -145,7 +146,7 @@ class Index:
         doc = np.searchsorted(offset, pos, "right") - 1
         diagonal = pos - offset[doc] - place
         shift = int(max(map(len, self.texts)))
-        step = int(self.budget.max()) + 1
+        step = self.budget[item] + 1
         band = (diagonal + shift) // step  # band b takes the diagonals of cells b and b+1: any step + 1 neighbours share one
         keys = np.concatenate([np.stack([doc, item, b, place], 1) for b in (band, band - 1)])
         diagonals = np.concatenate([diagonal, diagonal])
@@ -159,25 +160,35 @@ class Index:
         shared = np.add.reduceat(new_gram.astype(np.int64), starts)
         low, high = np.minimum.reduceat(diagonals, starts), np.maximum.reduceat(diagonals, starts)
         good = np.flatnonzero(shared >= self.needed[keys[starts, 1]])
-        best: dict[tuple, tuple] = {}
-        for g in good[np.argsort(-shared[good], kind="stable")].tolist():
+        met: dict[tuple, list[tuple]] = {}
+        plain = [c.tobytes() for c, _ in parts]
+        wanted = [t.tobytes() for t in self.texts]
+        for g in good.tolist():
+            # A band is narrower than the item is long, so it holds one of the places that don't overlap.
             d, i = int(keys[starts[g], 0]), int(keys[starts[g], 1])
-            if best.get((d, i), (1,))[0] == 0:
-                continue
-            k, p, c = int(self.budget[i]), self.texts[i], parts[d][0]
-            at = int(low[g])
-            if low[g] == high[g] and at >= 0 and at + len(p) <= len(c) and (c[at : at + len(p)] == p).all():
-                found = (0, at, at + len(p))
-            else:
-                found = edit_distance_within(p, c, at - k, int(high[g]) + k, k)
-            if found and found < best.get((d, i), (1 << 30,)):
-                best[d, i] = found
-        for (d, i), (edits, a, b) in sorted(best.items()):
+            k, at, to = int(self.budget[i]), int(low[g]), int(high[g])
+            exact = plain[d].find(wanted[i], max(at, 0), to + len(wanted[i]))
+            found = (0, exact, exact + len(wanted[i])) if exact >= 0 else edit_distance_within(self.texts[i], parts[d][0], at - k, to + k, k) if k else None
+            if found:
+                met.setdefault((d, i), []).append(found)
+        for (d, i), places in sorted(met.items()):
             at = parts[d][1]
             chars = np.cumsum((np.frombuffer(texts[d], np.uint8) & 0xC0) != 0x80) - 1
-            end = int(chars[at[b - 1]]) + 1 if b > a else int(chars[at[a]])
-            out[d].append({"item_id": self.items[i], "edits": edits, "start": int(chars[at[a]]), "end": end})
-        return out
+            for edits, a, b in apart(places):
+                end = int(chars[at[b - 1]]) + 1 if b > a else int(chars[at[a]])
+                out[d].append((self.items[i], edits, int(chars[at[a]]), end))
+        return [[dict(zip(("item_id", "edits", "start", "end"), x)) for x in sorted(set(o))] for o in out]
+
+
+def apart(places: list[tuple]) -> list[tuple]:
+    """Of (edits, start, end) the best ones that don't overlap, by start: fewest edits first, then the earliest."""
+    starts, taken = [], []
+    for edits, a, b in sorted(set(places)):
+        k = bisect.bisect_left(starts, a)
+        if (k == len(taken) or b <= taken[k][1]) and (k == 0 or taken[k - 1][2] <= a):
+            starts.insert(k, a)
+            taken.insert(k, (edits, a, b))
+    return taken
 
 
 def _marked(index):
@@ -187,21 +198,23 @@ def _marked(index):
             found: list[list[dict]] = []
             for _, texts in batches_of_texts(b.column("__text")):
                 found += own.find(texts)
-            before = b.column("leaks").to_pylist()
-            leaks = pa.array([x + y for x, y in zip(before, found)], LEAK_TYPE)
+            leaks = pa.array(found, LEAK_TYPE)
             yield pa.RecordBatch.from_arrays([leaks if n == "leaks" else c for n, c in zip(b.schema.names, b.columns)], b.schema.names)
 
     return run
 
 
-def mark_leaks(docs: DataFrame, items: DataFrame, q: int = 12, rate: float = 0.05, min_chars: int = 24, slice_bytes: int = 2 << 20, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """docs plus ``leaks`` (replacing a column of that name): each benchmark item that the text holds as a whole with at
-    most rate * length edits (fewer for items too short for the q-gram bound), its edits and its place in code points.
+def mark_leaks(docs: DataFrame, items: DataFrame, q: int = 10, rate: float = 0.08, min_chars: int = 24, slice_bytes: int = 2 << 20, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """docs plus ``leaks`` (replacing a column of that name): the places at which the text holds a benchmark item as a whole
+    with at most rate * length edits (fewer for items too short for the q-gram bound), as a sorted set of item, edits and
+    place in code points. Of places of one item that overlap the best one counts.
 
     Case and ASCII punctuation don't count. Items are compared with all documents in slices of about slice_bytes, each
     broadcast by itself, so the size of what is broadcast is bounded however many items there are; documents stream by
-    once a slice, and only with several slices are they shuffled, once, to meet what was found in equal texts. Null or empty texts leak nothing; null ids or texts of items, and items of under min_chars
-    normalised bytes (which any prose would hold), are not looked for. Equal items and repeated rows are kept apart.
+    once a slice, and only with several slices are they shuffled, once, to meet what was found in equal texts. Null or
+    empty texts leak nothing; null ids or texts of items, and items of under min_chars normalised bytes (which any prose
+    would hold), are not looked for. Items with equal texts are all found; repeated benchmark rows make no difference, and
+    neither does the number of slices. Repeated documents stay apart.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
