@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -14,60 +16,104 @@ from .common import connected_components, hash128, spread_join, stored, table
 
 #: Distinct vectors on which split points are fitted, at most (about); all vectors are indexed.
 SAMPLE = 20_000
-TREE = 1 << 24
+#: A leaf's code: tree, leaf of the fitted part, and the sides taken in the levels below it.
+TREE, LEAF, BELOW = 1 << 48, 1 << 28, 28
+#: Fewest sampled vectors in a leaf whose quantiles are trusted.
+FEWEST = 32
 
 
 @dataclass
 class Tree:
-    """Node i splits on directions[i] at cut[i]; what is within margin[i] goes both ways. Children < 0 are leaves ~child."""
+    """Random splits, the same direction for all nodes of a level. Node i splits on directions[level[i]] at cut[i]; what is
+    within margin[i] goes both ways. Children < 0 are leaves ~child. A leaf that holds too much of the whole table though
+    little of the sample is split on, below[leaf] times, by the next directions at the medians of what the sample has there."""
 
     directions: np.ndarray
+    level: np.ndarray
     cut: np.ndarray
     margin: np.ndarray
     children: np.ndarray
-    leaves: int
+    below: list[tuple[int, np.ndarray, np.ndarray]]
 
-    def place(self, x: np.ndarray) -> list[list[int]]:
-        """The leaves of each row of x."""
-        out: list[list[int]] = [[] for _ in range(len(x))]
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row of x, code) for each leaf of each row."""
+        p = x @ self.directions.T
+        rows_out, codes = [], []
         open_ = [(0 if len(self.cut) else -1, np.arange(len(x)))]
         while open_:
             node, rows = open_.pop()
             if not len(rows):
                 continue
-            if node < 0:
-                for r in rows.tolist():
-                    out[r].append(~node)
+            if node >= 0:
+                q = p[rows, self.level[node]] - self.cut[node]
+                open_ += [(int(self.children[node, 0]), rows[q <= self.margin[node]]), (int(self.children[node, 1]), rows[q > -self.margin[node]])]
                 continue
-            p = x[rows] @ self.directions[node] - self.cut[node]
-            open_ += [(int(self.children[node, 0]), rows[p <= self.margin[node]]), (int(self.children[node, 1]), rows[p > -self.margin[node]])]
-        return out
+            first, cuts, margins = self.below[~node]
+            side = np.zeros(len(rows), np.int64)
+            for j in range(len(cuts)):
+                q = p[rows, first + j] - cuts[j]
+                low, high = q <= margins[j], q > -margins[j]
+                rows, side = np.concatenate([rows[low], rows[high]]), np.concatenate([2 * side[low], 2 * side[high] + 1])
+            rows_out.append(rows)
+            codes.append(~node * LEAF + side)
+        return np.concatenate(rows_out), np.concatenate(codes)
+
 
+def _cut(p: np.ndarray, at: float, spill: float) -> tuple[float, float]:
+    low, mid, high = np.quantile(p, [at - spill, at, at + spill])
+    return float(mid), float(max(mid - low, high - mid))
 
-def grow(x: np.ndarray, leaf: int, spill: float, rng: np.random.Generator) -> Tree:
-    """Recursive random splits of unit vectors x until at most leaf stand in a node, or a split no longer parts them."""
-    directions, cut, margin, children, leaves = [], [], [], [], 0
-    open_ = [(np.arange(len(x)), None)]
+
+def grow(x: np.ndarray, leaf: float, spill: float, rng: np.random.Generator, share: float = 1.0, tries: int = 3) -> Tree:
+    """Recursive random splits of unit vectors x, a ``share`` of all, until at most ``leaf`` of all are expected in a node or
+    ``tries`` directions don't part it."""
+    deepest = int(2 * np.log2(max(2.0, len(x) / share / leaf))) + 2 * tries + 2
+    directions = rng.normal(size=(deepest, x.shape[1]))
+    directions /= np.linalg.norm(directions, axis=1, keepdims=True)
+    projected = x @ directions.T
+    level, cut, margin, children, below = [], [], [], [], []
+    open_ = [(np.arange(len(x)), 0, None)]
     while open_:
-        rows, parent = open_.pop()
-        d = rng.normal(size=x.shape[1])
-        p = x[rows] @ (d / np.linalg.norm(d))
-        at = rng.uniform(0.4, 0.6)
-        low, mid, high = np.quantile(p, [at - spill, at, at + spill]) if len(rows) > leaf else (0, 0, 0)
-        m = max(mid - low, high - mid)
-        sides = rows[p <= mid + m], rows[p > mid - m]
-        if len(rows) <= leaf or max(map(len, sides)) > 0.9 * len(rows):
-            here, leaves = ~leaves, leaves + 1
-        else:
-            here = len(cut)
-            directions.append(d / np.linalg.norm(d))
-            cut.append(mid)
-            margin.append(m)
-            children.append([0, 0])
-            open_ += [(side, (here, i)) for i, side in enumerate(sides)]
+        rows, t, parent = open_.pop()
+        here = None
+        if len(rows) / share > leaf and len(rows) >= 2 * FEWEST:
+            for u in range(t, min(t + tries, deepest)):
+                p = projected[rows, u]
+                mid, m = _cut(p, rng.uniform(0.4, 0.6), spill)
+                sides = rows[p <= mid + m], rows[p > mid - m]
+                if max(map(len, sides)) <= 0.9 * len(rows):
+                    here = len(cut)
+                    level.append(u)
+                    cut.append(mid)
+                    margin.append(m)
+                    children.append([0, 0])
+                    open_ += [(side, u + 1, (here, i)) for i, side in enumerate(sides)]
+                    break
+        if here is None:
+            here = ~len(below)
+            over = len(rows) / share / leaf
+            n = min(BELOW, deepest - t, int(np.ceil(np.log(over) / np.log(2 / (1 + 2 * spill))))) if over > 1 and 8 <= len(rows) < 2 * FEWEST else 0
+            further = [_cut(projected[rows, u], 0.5, spill) for u in range(t, t + n)]
+            below.append((t, np.array([c for c, _ in further]), np.array([m for _, m in further])))
         if parent:
             children[parent[0]][parent[1]] = here
-    return Tree(np.array(directions).reshape(len(cut), x.shape[1]), np.array(cut), np.array(margin), np.array(children, np.int64).reshape(-1, 2), leaves)
+    return Tree(directions, np.array(level, np.int64), np.array(cut), np.array(margin), np.array(children, np.int64).reshape(-1, 2), below)
+
+
+def forest_shape(over: float, least: float, miss: float = 1e-6, fewest: int = 3, most: int = 40) -> tuple[int, float]:
+    """(trees, spill) with the fewest rows in leaves that lose at most ``miss`` of the pairs at cosine ``least``, if projections
+    are normal and a table ``over`` times a leaf is split: wide margins for shallow trees, more trees of narrow ones for deep."""
+    normal, s, best = NormalDist(), math.sqrt(2 * (1 - least)), None
+    for spill in (x / 100 for x in range(1, 16)):
+        a = 2 * normal.inv_cdf(0.5 + spill) / s
+        apart = 2 * s * (normal.pdf(a) - a * (1 - normal.cdf(a))) * normal.pdf(0.0)
+        depth = math.log(max(over, 1.0)) / math.log(2 / (1 + 2 * spill))
+        lost = 1 - (1 - apart) ** depth
+        trees = fewest if lost <= miss ** (1 / fewest) else math.ceil(math.log(miss) / math.log(lost)) if lost < 1 else most
+        rows = trees * (1 + 2 * spill) ** depth
+        if trees <= most and (best is None or rows < best[0]):
+            best = (rows, trees, spill)
+    return (best[1], best[2]) if best else (most, 0.03)
 
 
 def _unit(column) -> np.ndarray:
@@ -76,17 +122,33 @@ def _unit(column) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def fit_forest(classes: DataFrame, trees: int, leaf: int, spill: float, sample: int, seed: int = 5) -> dict:
-    """{(label, size): trees} from a sample of about ``sample`` rows at most, drawn by hash; labels not drawn have one leaf."""
+def grow_forest(x: np.ndarray, leaf: int, least: float, share: float, rng: np.random.Generator, planted: int = 5000, most: int = 60) -> list[Tree]:
+    """As many trees as the shape asks for, and more until all ``planted`` pairs, sampled vectors and neighbours at cosine
+    ``least``, share a leaf."""
+    trees, spill = forest_shape(len(x) / share / leaf, least)
+    one = x[rng.integers(0, len(x), planted)]
+    other = rng.normal(size=one.shape)
+    other -= (other * one).sum(1, keepdims=True) * one
+    other = least * one + math.sqrt(1 - least * least) * other / np.linalg.norm(other, axis=1, keepdims=True)
+    out, met = [], np.zeros(len(one), bool)
+    while len(out) < trees or (len(out) < most and not met.all()):
+        out.append(grow(x, leaf, spill, rng, share))
+        (r1, c1), (r2, c2) = out[-1].place(one), out[-1].place(other)
+        both = np.intersect1d(np.stack([r1, c1], 1).view("i8,i8").ravel(), np.stack([r2, c2], 1).view("i8,i8").ravel())
+        met[both["f0"]] = True
+    return out
+
+
+def fit_forest(classes: DataFrame, leaf: int, least: float, sample: int, seed: int = 5) -> dict:
+    """{(label, size): trees} from a sample of about ``sample`` rows at most, drawn by hash; a label that is expected to fit a
+    leaf, or with under 8 rows drawn, has one leaf."""
     n = classes.count()
     share = min(1.0, sample / max(n, 1))
     drawn = classes.where(F.pmod(F.xxhash64(F.lit(seed), "rep"), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0)).select("label", "dim", "rep", "vec").toPandas()
     rng, out = np.random.default_rng(seed), {}
     for key, rows in drawn.sort_values("rep").groupby(["label", "dim"]):
-        x = _unit(np.stack(rows["vec"].to_list()))
-        grown = [grow(x, max(16, round(leaf * share)), spill, rng) for _ in range(trees)]
-        if any(len(t.cut) for t in grown):
-            out[tuple(key)] = grown
+        if len(rows) / share > leaf and len(rows) >= 8:
+            out[tuple(key)] = grow_forest(_unit(np.stack(rows["vec"].to_list())), leaf, least, share, rng)
     return out
 
 
@@ -104,8 +166,11 @@ def _index(forest):
                 if key in trees_of:
                     x = _unit(np.array(b.column("vec").take(pa.array(rows)).to_pylist()))
                     placed = [t.place(x) for t in trees_of[key]]
-                    for j, i in enumerate(rows):
-                        codes[i] = sorted(t * TREE + leaf for t, p in enumerate(placed) for leaf in p[j])
+                    row = np.concatenate([r for r, _ in placed])
+                    code = np.concatenate([t * TREE + c for t, (_, c) in enumerate(placed)])
+                    by = np.lexsort((code, row))
+                    for i, own in zip(rows, np.split(code[by], np.cumsum(np.bincount(row, minlength=len(rows)))[:-1])):
+                        codes[i] = own
             raw = pa.array([np.array(x, np.float32 if single else np.float64).tobytes() for x in b.column("vec").to_pylist()], pa.binary())
             own = pa.array([np.array(c, np.int64).tobytes() for c in codes], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(n) for n in ("label", "dim", "rep", "mult")] + [raw, pa.array(codes, pa.list_(pa.int64())), own], ["label", "dim", "rep", "mult", "raw", "codes", "own"])
@@ -113,13 +178,13 @@ def _index(forest):
     return run
 
 
-def _earlier(own: list[bytes], code: int) -> np.ndarray:
-    """One row per vector, one column per code under ``code`` that any of them has: 1 where it has it."""
-    lists = [np.frombuffer(c, np.int64) for c in own]
-    flat, row = np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(c) for c in lists])
-    names, col = np.unique(flat[flat < code], return_inverse=True)
-    out = np.zeros((len(lists), len(names)), np.float32)
-    out[row[flat < code], col] = 1
+def _first_shared(own: np.ndarray, a: np.ndarray, b: np.ndarray, code: int, at_once: int = 1 << 14) -> np.ndarray:
+    """For each pair of rows (a, b) of padded lists of codes: whether ``code`` is the least that both have."""
+    out = np.ones(len(a), bool)
+    for s in range(0, len(a), at_once):
+        x, y = own[a[s : s + at_once]], own[b[s : s + at_once]]
+        for j in range(own.shape[1]):
+            out[s : s + at_once] &= ~((x[:, j, None] == y) & (x[:, j, None] < code)).any(axis=1)
     return out
 
 
@@ -134,16 +199,20 @@ def _compare(least: float):
         x = _unit(np.frombuffer(raw, np.float32 if len(raw) == 4 * dim * len(rep) else np.float64).reshape(len(rep), dim))
         gained, top = np.zeros(len(rep), np.int64), np.arange(len(rep))
         rows, cols = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        before, found = _earlier(t.column("own").to_pylist(), code), []
+        lists = [np.frombuffer(c, np.int64) for c in t.column("own").to_pylist()]
+        own, found = np.full((len(lists), max(map(len, lists))), np.iinfo(np.int64).max), []
+        for k, c in enumerate(lists):
+            own[k, : len(c)] = c
         for s in range(0, len(rows), 512):
             part = rows[s : s + 512]
             near = np.flatnonzero((x[part] @ x[cols].T >= least).ravel())
             a, b = part[near // len(cols)], cols[near % len(cols)]
             keep = a < b if i == j else a != b
             if keep.any():
-                met = (before[part] @ before[cols].T).ravel()[near] > 0  # in an earlier leaf, which counts the pair
-                found.append((a[keep], b[keep]))
-                a, b = a[keep & ~met], b[keep & ~met]
+                a, b = a[keep], b[keep]
+                found.append((a, b))
+                here = _first_shared(own, a, b, code)  # else an earlier leaf counts the pair
+                a, b = a[here], b[here]
                 gained += np.bincount(a, mult[b], len(rep)).astype(np.int64) + np.bincount(b, mult[a], len(rep)).astype(np.int64)
         if found:
             a, b = (np.concatenate(z) for z in zip(*found))
@@ -161,14 +230,16 @@ def _compare(least: float):
     return run
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.93, trees: int = 6, leaf: int = 256, spill: float = 0.12, block: int = 2048, sample: int = SAMPLE, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = 0.93, leaf: int = 1024, block: int = 2048, sample: int = SAMPLE, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of vectors.
 
     Rows with equal labels and equally long vectors are linked if their cosine (double precision) is at least ``least``.
     Null labels, ids or vectors, zero vectors and null or non-finite components link with nothing. Rows with one vec_id
     count as several vectors. Equal vectors are one class with a multiplicity; n_links counts members. A pair is counted
     in the first leaf that it shares, so n_links needs no list of pairs; leaves of over ``block`` classes are compared in
-    blocks, so no task holds more than two. The forest is fitted on a bounded sample and indexes every vector.
+    blocks, so no task holds more than two. The forest is fitted on a bounded sample and indexes every vector; trees deepen
+    with the table, and there are as many as lose a
+    millionth of the pairs at cosine ``least`` if projections are normal, and more until all of 5 000 planted pairs are found.
     """
     plus_zero = F.transform(F.col(vec_col), lambda c: c + F.lit(0).cast("float"))  # no negative zero, so that equal vectors hash alike
     v = vectors.select(F.col(id_col).cast("long").alias("id"), plus_zero.alias("vec"), F.col(label_col).alias("label"))
@@ -179,7 +250,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, trees: int = 6, leaf:
     classes = v.where(ok).groupBy("label", F.size("vec").alias("dim"), "h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("mult"), F.first("vec").alias("vec"))
     classes = stored(classes)
     spark = vectors.sparkSession
-    forest = spark.sparkContext.broadcast(fit_forest(classes, trees, leaf, spill, sample))
+    forest = spark.sparkContext.broadcast(fit_forest(classes, leaf, least, sample))
     label_type = classes.schema["label"].dataType.simpleString()
     indexed = stored(classes.mapInArrow(_index(forest), f"label {label_type}, dim int, rep long, mult long, raw binary, codes array<long>, own binary"))
 
@@ -201,3 +272,20 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, trees: int = 6, leaf:
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+#: All pairs of equal labels in double precision; components by the closure of links.
+ORACLE = """
+WITH RECURSIVE fine AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+normed AS (SELECT vec_id, label, v, sqrt(list_dot_product(v, v)) AS norm FROM fine),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM normed a JOIN normed b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.93),
+reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(d.n, 0)::BIGINT AS n_links, r.c AS component_id, e.vec_id = r.c AS kept
+FROM embeddings e JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) r ON r.a = e.vec_id LEFT JOIN degree d ON d.a = e.vec_id
+"""

@@ -21,6 +21,8 @@ from .common import bounded_batches, connected_components, released, spread_join
 U = np.uint64
 #: Text handled at once in a worker, in bytes.
 AT_ONCE = 1 << 20
+#: Shingles a member of a block has on average, at most; a bucket of longer texts is dealt over more blocks.
+AVERAGE = 2048
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -232,7 +234,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, bands: int =
     Equal sets are folded into one class first. Classes that share a band meet the bucket's hub (the class met in most
     buckets) and links are verified on whole sets; classes joined thereby need no other comparison inside a bucket. The
     rest of a bucket is compared in blocks by whole sketches, and likely pairs are verified too, until connected. So a
-    group of copies costs one comparison a member, and nothing is capped.
+    group of copies costs one comparison a member, and nothing is capped. Blocks are bounded by members and by shingles.
     """
     t, p = bands * rows, percent / 100
     bounded_batches(docs.sparkSession)
@@ -259,14 +261,15 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, bands: int =
     placed = members.join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
     placed = spread_join(placed.select("key", "rep", "n", "size", "comp"), hubs.select("key", "hub").join(joined.withColumnRenamed("node", "hub"), "hub", "left").select("key", F.coalesce("component", "hub").alias("hub_comp")), ["key"], "rep")
     placed = placed.where("size > 2").withColumn("minor", F.col("comp") != F.col("hub_comp"))
-    open_ = placed.groupBy("key").agg(F.sum(F.col("minor").cast("long")).alias("minors")).where("minors > 0")
+    open_ = placed.groupBy("key").agg(F.sum(F.col("minor").cast("long")).alias("minors"), F.sum("n").alias("all_n"), F.sum(F.when(F.col("minor"), F.col("n"))).alias("minor_n")).where("minors > 0")
     rest = spread_join(placed, open_, ["key"], "rep").join(classes.select("rep", "code", "bands"), "rep").join(texts.select(F.col("id").alias("rep"), "raw"), "rep")
     rest = stored(rest)
-    deal = lambda n: F.ceil(F.col(n) / block).cast("int")
-    rest = rest.withColumn("i", F.pmod(F.xxhash64("rep"), deal("minors")).cast("int")).withColumn("j", F.pmod(F.xxhash64("rep"), deal("size")).cast("int"))
+    deal = lambda rows, shingles: F.ceil(F.greatest(F.col(rows) / block, F.col(shingles) / (block * AVERAGE))).cast("int")
+    rest = rest.withColumn("lefts", deal("minors", "minor_n")).withColumn("rights", deal("size", "all_n"))
+    rest = rest.withColumn("i", F.pmod(F.xxhash64("rep"), F.col("lefts")).cast("int")).withColumn("j", F.pmod(F.xxhash64("rep"), F.col("rights")).cast("int"))
     cols = ["key", "i", "j", "side", "rep", "n", "comp", "minor", "code", "bands", "raw"]
-    left = rest.where("minor").withColumn("j", F.explode(F.sequence(F.lit(0), deal("size") - 1))).withColumn("side", F.lit(0))
-    right = rest.withColumn("i", F.explode(F.sequence(F.lit(0), deal("minors") - 1))).withColumn("side", F.lit(1))
+    left = rest.where("minor").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("rights") - 1))).withColumn("side", F.lit(0))
+    right = rest.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1))).withColumn("side", F.lit(1))
     late = left.select(cols).unionByName(right.select(cols)).groupBy("key", "i", "j").applyInPandas(_linked(k, percent, p - 4.5 * (p * (1 - p) / t) ** 0.5), "u long, v long")
     late = stored(late.distinct())
     if not late.isEmpty():
@@ -279,3 +282,23 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, bands: int =
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: Shared shingles counted by a join; components by the closure of links.
+ORACLE = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+shingled AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                      ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
+  FROM worded),
+one AS (SELECT doc_id, unnest(s) AS g FROM shingled),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM one a JOIN one b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM met JOIN shingled x ON x.doc_id = a JOIN shingled y ON y.doc_id = b
+  WHERE 100 * n >= 85 * (len(x.s) + len(y.s) - n)),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, r.c AS component_id, s.doc_id = r.c AS kept
+FROM shingled s JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) r ON r.a = s.doc_id
+"""

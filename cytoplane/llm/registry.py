@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op3_line_dedup": line_dedup.ORACLE}
+    return {"op1_minhash_dedup": minhash.ORACLE, "op2_embedding_dedup": embedding_dedup.ORACLE, "op3_line_dedup": line_dedup.ORACLE}
