@@ -17,12 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import bounded_batches, released, table
+from .common import bounded_batches, released, stored, table
 
 _LOADED: dict = {}
 #: Fixed value: how byte-level BPE vocabularies of this kind split a text into words before merging.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Text in one chunk of documents that shares a dictionary, in bytes.
+#: Text in one chunk of documents that shares a dictionary, in bytes of UTF-8.
 CHUNK = 16 << 20
 
 
@@ -156,7 +156,7 @@ def _chunked(path: str, buckets: int, chunk_bytes: int, most: int, id_type: pa.D
                 own = words.split(text)
                 ids.append(i)
                 sequences.append(np.fromiter(map(place.__getitem__, own), np.uint32, len(own)))
-                size += len(text)
+                size += len(x.as_buffer() or b"")
                 if size >= chunk_bytes or len(place) >= most:
                     yield from rows(FIRST_CHUNK + (part << 20) + n, ids, sequences, list(place))
                     (ids, sequences, place), size, n = fresh(), 0, n + 1
@@ -170,33 +170,65 @@ def _chunked(path: str, buckets: int, chunk_bytes: int, most: int, id_type: pa.D
 FIRST_CHUNK = 1 << 50
 
 
-def _encoded(path: str):
-    """One bucket of the word table: its words, from all chunks, are each encoded once; each chunk gets its ids in its order."""
-
-    def run(t: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        rows = [(c, x) for k, c, x in zip(t.column("kind").to_pylist(), t.column("at").to_pylist(), t.column("blob")) if k == WORDS]
-        known: dict[bytes, np.ndarray] = {}
-        for chunk, x in rows:
+def _distinct(t: pa.Table) -> tuple[list[tuple], list[bytes]]:
+    """A bucket's requests, (chunk, stamp, words), and its distinct words in order of their bytes."""
+    asked = []
+    for k, c, x in zip(t.column("kind").to_pylist(), t.column("at").to_pylist(), t.column("blob")):
+        if k == WORDS:
             blob = x.as_py()
             sizes, joined = _unpack(blob[8:], 2)
             ends = np.cumsum(np.frombuffer(sizes, np.uint32), dtype=np.int64).tolist()
-            own = [joined[a:b] for a, b in zip([0, *ends], ends)]
-            new = [w for w in own if w not in known]
-            known.update(zip(new, [np.array(c, np.uint32) for c in _words(path).encode([w.decode() for w in new])]))
-            coded = [known[w] for w in own]
-            out.append((chunk, int(t.column("dest")[0].as_py()), blob[:8] + _pack(np.array([len(c) for c in coded], np.uint32), np.concatenate(coded))))
-        cols = list(zip(*out)) or [[], [], []]
-        return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.binary()))], ["chunk", "bucket", "ids"])
+            asked.append((c, blob[:8], [joined[i:j] for i, j in zip([0, *ends], ends)]))
+    return asked, sorted(set().union(*(own for _, _, own in asked))) if asked else []
+
+
+def _encoded(path: str):
+    """The word table of one bucket: its distinct words, numbered, each encoded once."""
+
+    def run(t: pa.Table) -> pa.Table:
+        _, words = _distinct(t)
+        bucket = t.column("dest")[0].as_py() if len(words) else 0
+        coded = _words(path).encode([w.decode() for w in words])
+        return pa.table([pa.array([bucket] * len(words), pa.int64()), pa.array(range(len(words)), pa.int32()), pa.array(coded, pa.list_(pa.int32()))], ["bucket", "no", "ids"])
 
     return run
 
 
-def _assembled(path: str, digests: bool, id_type: pa.DataType):
-    """The documents of one chunk, and its dictionary: ids joined back by the position of words, pieces joined to ids."""
+def _gather(start: np.ndarray, n: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """flat[start : start + n] for each pair, one after another."""
+    return flat[np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())]
+
+
+def _answered(t: pa.Table, decoded: pa.Table) -> pa.Table:
+    """To each chunk that asked a bucket: the ids of its words, in its order, and the bytes that the ids' pieces make up."""
+    asked, words = _distinct(t)
+    if not asked:
+        return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.binary())], ["chunk", "bucket", "ids"])
+    decoded = decoded.sort_by("no").combine_chunks()
+    if decoded.num_rows != len(words):
+        raise RuntimeError("a bucket of words came out differently when it was computed again")
+    lists = decoded.column("x").chunk(0)
+    n = lists.value_lengths().to_numpy().astype(np.int64)
+    first = np.cumsum(n) - n
+    inner = lists.flatten()
+    ids = inner.field("i").to_numpy().astype(np.uint32)
+    pieces = inner.field("piece").cast(pa.large_binary())
+    at = np.frombuffer(pieces.buffers()[1], np.int64, len(pieces) + 1, 8 * pieces.offset)
+    raw = np.frombuffer(pieces.buffers()[2] or b"", np.uint8)
+    begin, end = at[first], at[first + n]
+    number, bucket, out = {w: k for k, w in enumerate(words)}, t.column("dest")[0].as_py(), []
+    for chunk, stamp, own in asked:
+        k = np.fromiter(map(number.__getitem__, own), np.int64, len(own))
+        size = end[k] - begin[k]
+        out.append((chunk, bucket, stamp + _pack(n[k].astype(np.uint32), _pack_sequence(_gather(first[k], n[k], ids)), size.astype(np.uint32), _gather(begin[k], size, raw))))
+    return pa.table([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary()))], ["chunk", "bucket", "ids"])
+
+
+def _assembled(digests: bool, id_type: pa.DataType):
+    """The documents of one chunk from the ids and the decoded bytes of its words, joined back by position."""
 
     def run(own: pa.Table, coded: pa.Table) -> pa.Table:
-        pieces, ids = _words(path).pieces, []
+        ids: list = []
         out: list[list] = [[], [], []]
         kinds = own.column("kind").to_pylist()
         at = kinds.index(DICTIONARY) if DICTIONARY in kinds else None
@@ -207,23 +239,23 @@ def _assembled(path: str, digests: bool, id_type: pa.DataType):
             first = np.searchsorted(bucket[by], np.arange(int(bucket.max(initial=0)) + 2))
             got, parts = 0, []
             start = np.zeros(len(bucket), np.int64)
+            text: list[bytes] = [b""] * len(bucket)
             for b, x in zip(coded.column("bucket").to_pylist(), coded.column("ids")):
                 x = x.as_py()
                 if x[:8] != blob[:8]:
                     raise RuntimeError("a chunk of documents came out differently when it was computed again")
-                n, flat = (np.frombuffer(z, np.uint32) for z in _unpack(x[8:], 2))
+                n, flat, size, raw = _unpack(x[8:], 4)
+                n, flat, size = np.frombuffer(n, np.uint32), _unpack_sequence(flat), np.frombuffer(size, np.uint32)
                 ranks = by[first[b] : first[b + 1]]
                 count[ranks], start[ranks] = n, got + np.cumsum(n, dtype=np.int64) - n
                 parts.append(flat)
                 got += len(flat)
+                ends = np.cumsum(size, dtype=np.int64).tolist()
+                for r, i, j in zip(ranks.tolist(), [0, *ends], ends):
+                    text[r] = raw[i:j]
             known = np.concatenate(parts) if parts else np.empty(0, np.uint32)
             del parts
-            text, named = [], []
-            for i, n in zip(start.tolist(), count.tolist()):
-                own_ids = known[i : i + n].tolist()
-                text.append(b"".join([pieces[p] for p in own_ids]))
-                if digests:
-                    named.append(",".join(map(str, own_ids)).encode())
+            named = [",".join(map(str, known[i : i + n].tolist())).encode() for i, n in zip(start.tolist(), count.tolist())] if digests else []
             for kind, i, x in zip(kinds, own.column("id").to_pylist(), own.column("blob")):
                 if kind != DOCUMENT:
                     continue
@@ -236,7 +268,7 @@ def _assembled(path: str, digests: bool, id_type: pa.DataType):
                     out[1].append(hashlib.sha256(b",".join([named[p] for p in places])).hexdigest())
                     out[2].append(hashlib.sha256(decoded).hexdigest())
                 else:
-                    out[1].append(known[np.repeat(start[s] - np.cumsum(n) + n, n) + np.arange(n.sum())].astype(np.int32))
+                    out[1].append(_gather(start[s], n, known).astype(np.int32))
                     out[2].append(decoded)
         if not digests:
             ends = np.cumsum([0, *map(len, out[1])]).astype(np.int32)
@@ -252,36 +284,49 @@ def encode_documents(docs: DataFrame, path: str, digests: bool = False, chunk_by
     """(doc_id, n_tokens, ids array<int>, decoded string) per row of docs; with digests, ids_sha256 and decoded_sha256 instead.
 
     Each chunk of documents (a stretch of an input partition) replaces words by ranks in its own dictionary and sends the
-    dictionary, in buckets by hash, to the word table, where every distinct word is encoded once; the ids come back to
-    the chunk in dictionary order and are joined to the documents by position. What is shuffled is the packed ranks once
-    and the chunks' dictionaries twice, never a row per word of the corpus. Both uses read one exchange; a chunk that is
-    computed anew after a loss must have the same dictionary, else the job fails rather than give wrong ids. Null or
-    empty text: no tokens. Special strings become their ids. Rows with one id stay apart.
+    dictionary, in buckets by hash, to the word table, where every distinct word is encoded once. Its ids are exploded,
+    joined with the vocabulary's pieces and put together again by position. Ids and decoded bytes go back to the chunks
+    in dictionary order and are joined to the documents by position. What is shuffled is the packed ranks, the chunks'
+    dictionaries both ways and a row per distinct word, never a row per word or token of the corpus.
+
+    All uses of the chunks read one exchange. A chunk that is computed anew after a loss must have the same dictionary:
+    documents that come out of a shuffle, whose order may change then, are written to the shared folder first; should a
+    chunk differ even so, the job fails rather than give wrong ids. Null or empty text: no tokens, an empty text back.
+    Special strings become their ids. Rows with one id, or a null id, stay apart; other columns are ignored.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    whole = F.coalesce(F.col(text_col), F.lit(""))
-    total = docs.agg(F.sum(F.octet_length(whole))).first()[0] or 0
-    n = max(-(-total // chunk_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    if "Exchange" in source._jdf.queryExecution().executedPlan().toString():
+        source = stored(source)
+    total = source.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))))).first()[0] or 0
+    n = max(-(-total // chunk_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     kind = source.schema["id"].dataType
     arrow = to_arrow_type(kind)
     named = f"id {kind.simpleString()}"
     chunks = source.mapInArrow(released(_chunked(path, n, chunk_bytes, most_words, arrow)), f"dest long, kind int, at long, {named}, blob binary").repartition(n, "dest")
-    coded = chunks.groupBy("dest").applyInArrow(_encoded(path), "chunk long, bucket long, ids binary")
+    table_ = chunks.groupBy("dest").applyInArrow(_encoded(path), "bucket long, no int, ids array<int>").repartition(n, "bucket")
+    pieces = table_.select("bucket", "no", F.posexplode("ids").alias("pos", "i")).join(F.broadcast(vocabulary(spark, path)), "i")
+    pieces = pieces.groupBy("bucket", "no").agg(F.array_sort(F.collect_list(F.struct("pos", "i", "piece"))).alias("x"))
+    coded = chunks.groupBy("dest").cogroup(pieces.groupBy("bucket")).applyInArrow(_answered, "chunk long, bucket long, ids binary")
     cols = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
-    out = chunks.groupBy("dest").cogroup(coded.groupBy("chunk")).applyInArrow(_assembled(path, digests, arrow), f"{named}, n_tokens long, {cols}")
+    out = chunks.groupBy("dest").cogroup(coded.groupBy("chunk")).applyInArrow(_assembled(digests, arrow), f"{named}, n_tokens long, {cols}")
     return out.withColumnRenamed("id", id_col)
 
 
+def vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    """(i int, piece binary): the bytes of each id. Its size is that of the vocabulary, whatever the corpus."""
+    pieces = _words(path).pieces
+    return spark.createDataFrame(pa.table([pa.array(range(len(pieces)), pa.int32()), pa.array(pieces, pa.binary())], ["i", "piece"]))
+
+
 def decode_ids(coded: DataFrame, path: str, ids_col: str = "ids", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, decoded) of rows with unique doc_id through a join of ids with the vocabulary, put together by position.
 
     The vocabulary has a fixed number of rows whatever the corpus, so it is broadcast. Null or empty ids: an empty text.
     """
     spark = coded.sparkSession
-    pieces = spark.createDataFrame(list(enumerate(map(bytearray, _words(path).pieces))), "i int, piece binary")
-    exploded = coded.select(F.col(id_col).alias("id"), F.posexplode(ids_col).alias("pos", "i")).join(F.broadcast(pieces), "i")
+    exploded = coded.select(F.col(id_col).alias("id"), F.posexplode(ids_col).alias("pos", "i")).join(F.broadcast(vocabulary(spark, path)), "i")
     joined = exploded.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", F.hex("piece").alias("h")))).alias("x"))
     joined = joined.select("id", F.decode(F.unhex(F.array_join(F.transform("x", lambda p: p["h"]), "")), "UTF-8").alias("decoded"))
     return coded.select(F.col(id_col)).join(joined, F.col(id_col).eqNullSafe(joined["id"]), "left").select(id_col, F.coalesce("decoded", F.lit("")).alias("decoded"))
