@@ -18,7 +18,11 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, text_co
     """
     whole = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.withColumn("__h", F.xxhash64(whole))
-    lines = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.xxhash64(whole).alias("__h"), F.posexplode(F.split(whole, "\n", -1)).alias("pos", "line"))
+
+    # The text is hashed and split below the explode, so that neither happens again, nor is the text carried, for each line
+    # (outer, since a text always has a line, and so that no filter splits it once more).
+    own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.xxhash64(whole).alias("__h"), F.split(whole, "\n", -1).alias("__lines"))
+    lines = own.select("__id", "__h", F.posexplode_outer("__lines").alias("pos", "line"))
     keyed = lines.select("__id", "__h", "pos", F.btrim("line", F.lit(BLANKS)).alias("key")).where(F.length("key") >= min_chars)
     h1, h2 = hash128(lower_ascii(F.col("key")))
     keyed = keyed.select("__id", "__h", "pos", h1.alias("h1"), h2.alias("h2"))
