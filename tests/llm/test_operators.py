@@ -126,8 +126,12 @@ def test_forest_recall():
     x[1500:] = x[:1500] + rng.normal(size=(1500, 32)) * 0.28
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     near = np.flatnonzero((x[:1500] * x[1500:]).sum(1) >= 0.93)
-    placed = [embedding_dedup.grow(x, 256, 0.12, np.random.default_rng(i)).place(x) for i in range(6)]
-    assert len(near) > 300 and np.mean([any(set(p[i]) & set(p[i + 1500]) for p in placed) for i in near]) > 0.98
+    forest = embedding_dedup.grow_forest(x, 256, 0.93, 1.0, np.random.default_rng(0))
+    codes = [set() for _ in x]
+    for t, tree in enumerate(forest):
+        for r, c in zip(*tree.place(x)):
+            codes[r].add((t, c))
+    assert len(near) > 300 and np.mean([bool(codes[i] & codes[i + 1500]) for i in near]) > 0.99
 
 
 def test_line_dedup(docs, texts, none):
@@ -269,9 +273,9 @@ def test_decontamination(spark, none):
         rows.append((n, f"{prose(rng, 15)}, {spoiled(p, rng.randint(0, int(0.08 * len(p))))}. {prose(rng, 15)}".upper(), 1))
     rows += [(70, None, 1), (71, "", 1), (72, items[0][1], 1), (72, items[0][1], 1), (73, items[1][1].replace(" ", "\n  -- "), 1)]
     df, b = spark.createDataFrame(rows, "doc_id long, text string, leaks int"), spark.createDataFrame(items, "item_id long, text string")
-    index = decontaminate.Index.build(items, 12, 0.05, 24)
-    for slice_bytes in (1 << 20, 300):
-        got = decontaminate.mark_leaks(df, b, slice_bytes=slice_bytes).collect()
+    for slice_bytes, q, rate in ((1 << 20, 12, 0.05), (300, 12, 0.05), (1 << 20, 10, 0.08), (300, 10, 0.08)):
+        index = decontaminate.Index.build(items, q, rate, 24)
+        got = decontaminate.mark_leaks(df, b, q, rate, slice_bytes=slice_bytes).collect()
         assert len(got) == len(rows)
         for r in got:
             c = bytes(decontaminate.normal((r.text or "").encode())[0])
@@ -355,3 +359,246 @@ def test_components_of_a_path_and_a_star(spark):
     e = [(i, i + 1) for i in range(50)] + [(100, 100 + i) for i in range(1, 40)] + [(7, 7), (None, 3)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(e, "u long, v long")).collect()}
     assert got == {i: 0 for i in range(51)} | {100 + i: 100 for i in range(40)}
+
+
+def test_sql_agrees_on_the_fixture(spark):
+    import os
+
+    import duckdb
+
+    from cytoplane.llm import registry
+
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("fixtures are absent")
+    c = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    for name, sql in registry.oracle_sql().items():
+        rel = c.sql(sql)
+        cols = sorted(rel.columns)
+        want = sorted(tuple(r[rel.columns.index(k)] for k in cols) for r in rel.fetchall())
+        assert sorted(tuple(r) for r in registry.queries()[name](spark, data).select(cols).collect()) == want
+
+
+def test_license_scores_are_those_of_every_alignment(spark):
+    rng = random.Random(17)
+    words = sorted({w for _, t, _ in license_scan.TEMPLATES for w in t.split()}) + ["zzz", "qqq"]
+    rows = []
+    for i in range(150):
+        parts = []
+        for _ in range(rng.randint(1, 3)):
+            _, t, _ = rng.choice(license_scan.TEMPLATES)
+            w = t.split()
+            for _ in range(rng.randint(0, 5)):
+                w[rng.randrange(len(w))] = rng.choice(words)
+            parts += w[rng.randint(0, 2) :] + rng.choices(words, k=rng.randint(0, 3))
+        rows.append((i, " ".join(parts)))
+    rows += [rows[0], rows[0], (None, rows[1][1]), (900, None), (901, ""), (902, "gnu general public license zzz version 3")]
+    rows += [rows[-1]] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    vocabulary = sorted({w for _, t, _ in license_scan.TEMPLATES for w in t.split() if w not in license_scan.COMMON and not w.isdigit()})
+    held = [set((t or "").split()) for _, t in rows]
+    idf = {w: np.log((1 + len(rows)) / (1 + sum(w in h for h in held))) + 1e-3 for w in vocabulary}
+
+    def scores(text):
+        w, out = (text or "").split(), {}
+        for label, t, keys in license_scan.TEMPLATES:
+            if all(f" {k} " in f" {' '.join(w)} " for k in keys):
+                p = t.split()
+                total = sum(idf.get(x, 0) for x in p)
+                best = max(sum(idf.get(x, 0) for q, x in enumerate(p) if 0 <= b + q < len(w) and w[b + q] == x) / total for b in range(-len(p), len(w)))
+                if round(best, 6) >= 0.6:
+                    out[label] = max(out.get(label, 0), round(best, 6))
+        return out
+
+    got = license_scan.scan_licenses(df).collect()
+    assert len(got) == len(rows)
+    by_text = {(i, t): scores(t) for i, t in rows}
+    key = {}
+    for (i, t), want in by_text.items():
+        key.setdefault(i, []).append(want)
+    for r in got:
+        assert {f.label: pytest.approx(f.score, abs=2e-6) for f in r.found} in key[r.doc_id]
+    assert sum(len(r.found) for r in got) > 60
+
+
+def test_rarest_postings_are_enough():
+    idf = {"a": 1.0, "b": 5.0, "c": 3.0, "d": 1.0}
+    kept = license_scan.prefix_postings("a b c d x".split(), idf, 0.6)
+    assert kept == [("b", 1)]  # the others hold 5 of 10, under 0.6
+    assert license_scan.prefix_postings("a d".split(), idf, 0.6) == [("a", 0)]
+
+
+def seconds(run):
+    import time
+
+    began = time.time()
+    run()
+    return time.time() - began
+
+
+def test_line_dedup_is_linear_in_the_lines_of_a_text(spark):
+    def table(n):
+        df = spark.createDataFrame([(1, "\n".join(f"a line of text number {i}" for i in range(n))), (2, "\n".join(f"A line of text number {i} " for i in range(0, n, 2)))], "doc_id long, text string").cache()
+        df.count()
+        return df
+
+    small, large = table(50_000), table(200_000)
+    run = lambda df: [tuple(r) for r in line_dedup.dedup_lines(df).select("doc_id", "n_lines", "n_dropped").orderBy("doc_id").collect()]
+    run(small)
+    quick = seconds(lambda: run(small))
+    assert seconds(lambda: run(large)) < 6 * max(quick, 1.0)
+    assert run(large) == [(1, 200_000, 0), (2, 100_000, 100_000)]
+    plan = line_dedup.dedup_lines(large)._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Project \[.*xxhash64\(coalesce\(text.*\n\s*[:+| -]*Generate", plan)  # hashed once a text, under the explode
+
+
+def test_line_dedup_of_odd_rows(spark):
+    rows = [(1, "same line of text\nx"), (1, "same line of text\nx"), (None, "same line of text"), (2, "same line of text\nsame line of text\ny"), (3, None)]
+    df = spark.createDataFrame([(*r, 5, 6) for r in rows], "doc_id long, text string, n_lines int, n_dropped int")
+    got = sorted((r.doc_id or 0, r.text, r.n_lines, r.n_dropped) for r in line_dedup.dedup_lines(df).collect())
+    assert got == [(0, "same line of text", 1, 0), (1, "same line of text\nx", 2, 0), (1, "same line of text\nx", 2, 0), (2, "y", 3, 2), (3, "", 1, 0)]
+
+
+def entropy(s, width=20):
+    from collections import Counter
+    from math import log2
+
+    return max((-sum(c / width * log2(c / width) for c in Counter(s[i : i + width]).values()) for i in range(len(s) - width + 1)), default=0.0)
+
+
+def test_window_entropy_and_suppression_against_brute_force(spark):
+    rng = random.Random(23)
+    alphabet = secret_scan.CLASSES[-1][2]
+    rows = [("".join(rng.choices(alphabet[: rng.choice([2, 16, 67])], k=rng.randint(0, 60))),) for _ in range(200)]
+    for r in spark.createDataFrame(rows, "s string").select("s", secret_scan.window_entropy(F.col("s"), alphabet, 20).alias("h")).collect():
+        assert abs(r.h - entropy(r.s)) < 1e-9
+    parts = ["password=", "q9Zx81LmPw0Rt5Yv7Bn3Kd6", " ", ".", "token: ", "AKIAAAAABBBBCCCCD", "deadbeef" * 4, "-", "x1Y2z3W4v5U6t7S8r9Q0pA", "\n", "secret"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 40))) for _ in range(400)]
+    shapes = sorted(secret_scan.CLASSES, key=lambda c: c[3])
+    some = 0
+    for r in secret_scan.find_secrets(spark.createDataFrame([(t,) for t in texts], "text string")).collect():
+        want = []
+        for m in re.finditer(secret_scan.CANDIDATE, r.text):
+            bits = next((c[3] for c in shapes if re.search(c[1], m[0])), None)
+            if bits and entropy(m[0]) >= bits - 1e-9 and not any(re.search(p, m[0]) for p in secret_scan.ALLOW) and not any(b.start < m.end() and m.start() < b.end for b in r.base):
+                want.append((m.start(), m.end()))
+        assert [(a.start, a.end) for a in r.added] == want
+        some += len(want)
+    assert some > 200
+
+
+def test_secret_scan_is_linear_in_the_matches_of_a_text(spark):
+    def run(n):
+        df = spark.createDataFrame([(1, " ".join(f"{i:032x}" for i in range(n)))], "doc_id long, text string")
+        r = secret_scan.find_secrets(df).select(F.size("base").alias("n"), F.element_at("base", -1).alias("last")).first()
+        assert (r.n, r.last.start, r.last.end) == (n, 33 * n - 33, 33 * n - 1)
+
+    run(10_000)
+    assert seconds(lambda: run(40_000)) < 6 * max(seconds(lambda: run(10_000)), 1.0)
+    assert secret_scan.find_secrets(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    clash = secret_scan.find_secrets(spark.createDataFrame([("password=abcdefgh", "x", 1)], "text string, base string, added int")).first()
+    assert len(clash.base) == 1 and clash.added == []
+
+
+def test_repeated_benchmark_rows_and_places(spark):
+    rng = random.Random(29)
+    p, q = prose(rng, 14), prose(rng, 16)
+    items = [(1, p), (1, p), (2, p), (3, q), (3, q.upper())]
+    text = f"{prose(rng, 9)} {p} {prose(rng, 30)} {p} {prose(rng, 5)} {q[:-2]}"
+    df = spark.createDataFrame([(1, text), (1, text), (2, "clean words only")], "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    seen = []
+    for slice_bytes in (1 << 20, 64):
+        got = sorted((r.doc_id, tuple((x.item_id, x.edits, text[x.start : x.end] == p) for x in r.leaks)) for r in decontaminate.mark_leaks(df, b, slice_bytes=slice_bytes).collect())
+        seen.append(got)
+    assert seen[0] == seen[1] == [(1, ((1, 0, True), (1, 0, True), (2, 0, True), (2, 0, True), (3, 2, False)))] * 2 + [(2, ())]
+
+
+def test_lightly_edited_passages_are_found():
+    rng = random.Random(31)
+    items = [(i, prose(rng, 30)) for i in range(20)]
+    index = decontaminate.Index.build(items, 10, 0.08, 24)
+    hit = 0
+    for i, t in items:
+        w = t.split()
+        w[rng.randrange(len(w))] = "zqzqzq"
+        hit += any(x["item_id"] == i for x in index.find([f"{prose(rng, 20)} {' '.join(w)} {prose(rng, 9)}".encode()])[0])
+    assert hit >= 19
+
+
+def test_bpe_after_a_shuffle_and_odd_ids(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    rows = [(None, "one"), (4, "two words"), (4, "two words"), (4, "other 中文 words"), (5, "word " * 400_000), (6, None)]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, ids int, pieces int").repartition(3, "text")
+    want = sorted((i or 0, tok.encode(t or "", add_special_tokens=False).ids, t or "") for i, t in rows)
+    assert sorted((r.doc_id or 0, r.ids, r.decoded) for r in bpe.encode_documents(df, path, chunk_bytes=1000).collect()) == want
+    out = bpe.encode_documents(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), path, digests=True)
+    out.collect()
+    final = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("ReusedExchange") == 2 and final.count("BroadcastHashJoin") == 1 and final.count("posexplode(ids") == 1
+
+
+def test_planted_links_among_thousands_of_vectors(spark):
+    rng = np.random.default_rng(37)
+    x = rng.normal(size=(6000, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    d = rng.normal(size=(1500, 24))
+    d -= (d * x[:1500]).sum(1, keepdims=True) * x[:1500]
+    d /= np.linalg.norm(d, axis=1, keepdims=True)
+    c = rng.uniform(0.92, 0.95, 1500)[:, None]
+    x[4500:] = c * x[:1500] + np.sqrt(1 - c * c) * d
+    x = x.astype(np.float32).astype(np.float64)
+    label = np.arange(6000) % 1500 % 2
+    rows = [(i, v.tolist(), int(lab)) for i, (v, lab) in enumerate(zip(x, label))] + [(0, x[0].tolist(), 0)]
+    x, label = np.concatenate([x, x[:1]]), np.append(label, 0)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = np.triu((u @ u.T >= 0.93) & (label[:, None] == label[None, :]), 1)
+    ids = [r[0] for r in rows]
+    links = [(ids[a], ids[b]) for a, b in zip(*np.nonzero(near))]
+    want, degree = components(set(ids), links), near.sum(0) + near.sum(1)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = embedding_dedup.near_vectors(df, leaf=128, sample=2000).collect()
+    assert len(got) == len(rows) and sum(r.n_links for r in got) == degree.sum() > 1500
+    assert all(r.component_id == want[r.vec_id] for r in got)
+
+
+def test_trees_deepen_beyond_the_sample():
+    rng = np.random.default_rng(41)
+    x = rng.normal(size=(40_000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tree = embedding_dedup.grow(x[:500], 256, 0.05, np.random.default_rng(0), share=500 / 40_000)
+    _, codes = tree.place(x)
+    assert np.unique(codes, return_counts=True)[1].max() < 2500 and len(np.unique(codes)) > 60
+
+
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from cytoplane.llm.common import shared_dir
+
+    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None))
+    with pytest.raises(RuntimeError):
+        shared_dir(unset)
+
+
+def test_very_long_and_repeated_rows(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    long = "some words of a very long text " * 100_000
+    rows = [(1, long, "aa", 9), (1, long, "aa", 9), (2, long + "end", "aa", 9), (3, "vile", "bb", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int")
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect()) == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 3, True)]
+    counts = {r.doc_id: r.n_tokens for r in token_count.count_tokens(df, path).collect()}
+    assert len(counts) == 3 and counts[1] > 500_000
+    labels = spark.createDataFrame([(1, 1, 0), (3, 1, 1)], "doc_id long, quality int, toxic int")
+    tagged = toxicity.tag_documents(df.drop("score"), toxicity.train(df, labels)).collect()
+    assert len(tagged) == 4 and toxicity.tag_documents(df.drop("score").limit(0), toxicity.train(df, labels)).count() == 0
+    named = language_id.label_documents(df.drop("score"), language_id.train(df)).collect()
+    assert len(named) == 4
+    b = spark.createDataFrame([(1, "some words of a very long text")], "item_id long, text string")
+    leaks = {r.doc_id: len(r.leaks) for r in decontaminate.mark_leaks(df, b).collect()}
+    assert leaks == {1: 100_000, 2: 100_000, 3: 0}

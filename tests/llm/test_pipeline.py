@@ -65,3 +65,25 @@ def test_language_stage_fills_lang(spark, tmp_path):
     docs = spark.createDataFrame([*rows, (90, "two three one", None), (91, "cinco tres dos", None)], "doc_id long, text string, lang string")
     got = {r.doc_id: r.lang for r in corpus_pipeline.STAGES[0][1](spark, docs, str(tmp_path)).collect()}
     assert got == {**{i: lang for i, _, lang in rows}, 90: "en", 91: "es"}
+
+
+def test_stages_on_a_text_of_many_megabytes(spark, tmp_path):
+    """Every stage takes a text of 5 MB whole (the test JVM has a heap of 1 GB): nothing of it is cut, and it meets its near copy and its benchmark item."""
+    import random
+
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghijklmno", k=rng.randint(3, 9))) for _ in range(5000)]
+    lines = [" ".join(rng.choices(words, k=12)) for _ in range(60_000)]
+    long = "\n".join(lines)
+    assert len(long) > 4_500_000
+    leak = " ".join(rng.choices(words, k=20))
+    rows = [(1, long, "aa"), (2, long.replace(words[7], words[8]), "aa"), (3, "a few words of another text", "bb"), (4, f"{long[-2_000_000:]} {leak}", "aa")]
+    docs = spark.createDataFrame([(*r, "s", len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    dedup = corpus_pipeline.drop_repeated_lines(spark, docs, str(tmp_path))
+    kept = {r.doc_id: r.text for r in dedup.collect()}
+    assert kept[1] == long and len(kept[2]) < 0.02 * len(long) and kept[4].endswith(leak)
+    assert sorted(r.doc_id for r in corpus_pipeline.identify_language(spark, docs, str(tmp_path)).select("doc_id").collect()) == [1, 2, 3, 4]
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).select("doc_id").collect()) == [1, 3, 4]
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_leaks(spark, docs, str(tmp_path)).select("doc_id").collect()) == [1, 2, 3]
+    assert {r.doc_id: r.decoded for r in corpus_pipeline.tokenize(spark, docs.where("doc_id in (1, 3)"), str(tmp_path)).collect()} == {1: long, 3: rows[2][1]}
