@@ -35,6 +35,15 @@ def windowed_expression(m: AnnotatedMatrix, size: int, step: int, cut: int = 0,
     return robust_window_means(x, gene_windows(m.genes, size, step), size, cut, winsorize)
 
 
+def window_vectors(means: DataFrame) -> DataFrame:
+    """(id, vec): each cell's windowed means in the order of contig and window, absent ones 0."""
+    at = means.select("contig", "window").distinct().orderBy("contig", "window").collect()  # a row per window
+    key = F.concat_ws(":", "contig", F.col("window").cast("string"))
+    names = F.array(*[F.lit(f"{r['contig']}:{r['window']}") for r in at]) if at else F.array().cast("array<string>")
+    m = means.groupBy(F.col("cell_id").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct(key.alias("k"), "mean"))).alias("m"))
+    return m.select("id", F.transform(names, lambda n: F.coalesce(F.try_element_at("m", n), F.lit(0.0))).alias("vec"))
+
+
 def window_ranks(means: DataFrame) -> DataFrame:
     """Average rank of each window within its cell."""
     return means.withColumn("rank", average_rank("mean", ["cell_id"]))

@@ -10,45 +10,57 @@ from pyspark.sql import functions as F
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df written once to the folder that the session names for checkpoints (a temporary one where none is set)."""
+    """df written once to the folder that the session names for checkpoints, and read back; removed when the driver ends.
+
+    A temporary folder serves only where none is set and the master is local: elsewhere executors don't share one.
+    """
     spark = df.sparkSession
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='cytoplane-')}"
         sc.setCheckpointDir(folder)
     path = f"{folder.rstrip('/')}/cytoplane-graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component) of undirected edges (u, v): the least node reachable, by alternating star contractions."""
-    e = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    """(node, component) of undirected edges (u, v): the least node reachable, by alternating star contractions; raises if
+    they have not settled after ``rounds``."""
+    e, last = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()), None
     for _ in range(rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         s = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         now = s.select("u", F.col("m").alias("v")).union(s.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        now = written(now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
-        if now.exceptAll(e).isEmpty() and e.exceptAll(now).isEmpty():
+        e = written(now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+        seen = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if seen == last:
             break
-        e = now
+        last = seen
+    else:
+        raise RuntimeError("components did not settle")
     stars = e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     roots = e.select(F.col("v").alias("node")).distinct().join(stars, "node", "left_anti").withColumn("component", F.col("node"))
     return stars.unionByName(roots)
 
 
 def nearest(points: DataFrame, k: int, include_self: bool = False, id_col: str = "id", vec_col: str = "vec", block: int = 2048, metric: str = "cosine") -> DataFrame:
-    """(src, dst, rank, distance): the k nearest by cosine (or euclidean) distance, ties by id, exactly.
+    """(src, dst, rank, distance): the k nearest by cosine (or euclidean) distance, ties by id, exactly. Ids of any type
+    that sorts.
 
     Blocks of points meet blocks of points; each pair of blocks is one matrix product that keeps k rows per point.
     """
     import numpy as np
     import pandas as pd
 
-    n = points.count()
+    n, kind = points.count(), points.schema[id_col].dataType.simpleString()
     blocks = max(1, -(-n // block))
     b = points.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias("b"))
     left = b.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("side", F.lit(0))
@@ -64,7 +76,7 @@ def nearest(points: DataFrame, k: int, include_self: bool = False, id_col: str =
     def run(pdf):
         l, r = pdf[pdf.side == 0].sort_values("id"), pdf[pdf.side == 1].sort_values("id")
         if not len(l) or not len(r):
-            return pd.DataFrame({"src": [], "dst": [], "distance": []}).astype({"src": "int64", "dst": "int64", "distance": float})
+            return pd.DataFrame({"src": l.id[:0], "dst": r.id[:0], "distance": np.empty(0)})
         d = between(l.vec, r.vec)
         li, ri = l.id.to_numpy(), r.id.to_numpy()
         if not include_self:
@@ -74,7 +86,7 @@ def nearest(points: DataFrame, k: int, include_self: bool = False, id_col: str =
         out = pd.DataFrame({"src": np.repeat(li, m), "dst": ri[at].ravel(), "distance": np.take_along_axis(d, at, 1).ravel()})
         return out[np.isfinite(out.distance)]
 
-    some = left.unionByName(right).groupBy("b", "c").applyInPandas(run, "src long, dst long, distance double")
+    some = left.unionByName(right).groupBy("b", "c").applyInPandas(run, f"src {kind}, dst {kind}, distance double")
     w = Window.partitionBy("src").orderBy("distance", "dst")
     return some.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("src", "dst", "rank", "distance")
 
@@ -95,15 +107,16 @@ def silhouettes(points: DataFrame, id_col: str = "id", vec_col: str = "vec", lab
     return s.select("id", "label", F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)).alias("silhouette"))
 
 
-def communities(edges: DataFrame, rounds: int = 10, resolution: float = 1.0, seed: int = 17) -> DataFrame:
+def communities(edges: DataFrame, rounds: int = 10, resolution: float = 1.0, seed: int = 17, degree: DataFrame | None = None) -> DataFrame:
     """(node, community): label moves by modularity gain over weighted edges (src, dst, weight), half of the nodes a round.
 
     A node moves to the neighbouring community with the greatest gain (ties to the least label); which nodes may move in
-    a round is decided by a hash, so that neighbours don't swap for ever and reruns agree.
+    a round is decided by a hash, so that neighbours don't swap for ever and reruns agree. degree (u, k): of nodes that
+    stand for several, whose inner edges are not among ``edges``.
     """
     e = edges.select(F.col("src").alias("u"), F.col("dst").alias("v"), F.col("weight").cast("double").alias("w")).where("u <> v")
     e = written(e.union(e.select("v", "u", "w")).groupBy("u", "v").agg(F.sum("w").alias("w")))
-    degree = written(e.groupBy("u").agg(F.sum("w").alias("k")))
+    degree = written(e.groupBy("u").agg(F.sum("w").alias("k"))) if degree is None else degree
     total = degree.agg(F.sum("k")).first()[0] or 1.0
     label = degree.select("u", F.col("u").alias("c"))
     for r in range(rounds):
@@ -115,7 +128,7 @@ def communities(edges: DataFrame, rounds: int = 10, resolution: float = 1.0, see
         score = options.join(degree, "u").join(mass, "c").join(own, "u")
         others = F.col("mass") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)
         gain = F.col("links") - resolution * F.col("k") * others / total
-        best = score.withColumn("gain", F.round(gain, 9)).groupBy("u", "own").agg(F.max_by("c", F.struct("gain", -F.col("c"))).alias("c"))
+        best = score.withColumn("gain", F.round(gain, 9)).groupBy("u", "own").agg(F.min_by("c", F.struct(-F.col("gain"), "c")).alias("c"))
         may = F.pmod(F.xxhash64(F.lit(seed + r), "u"), F.lit(2)) == 0
         now = written(best.select("u", F.when(may, F.col("c")).otherwise(F.col("own")).alias("c"), (may & (F.col("c") != F.col("own"))).alias("moved")))
         label = now.select("u", "c")
@@ -125,6 +138,30 @@ def communities(edges: DataFrame, rounds: int = 10, resolution: float = 1.0, see
     return label.join(low, "c").select(F.col("u").alias("node"), "community")
 
 
+def refined_communities(edges: DataFrame, levels: int = 3, rounds: int = 10, resolution: float = 1.0, seed: int = 17) -> DataFrame:
+    """(node, community): ``communities`` by levels. After each, communities are split into their connected parts, the parts
+    become the nodes of a smaller graph with summed weights, and that is clustered again, until nothing merges. Every
+    community is connected, and is named by its least node."""
+    e = edges.select(F.col("src").alias("u"), F.col("dst").alias("v"), F.col("weight").cast("double").alias("w")).where("u <> v")
+    e = written(e.union(e.select("v", "u", "w")).groupBy("u", "v").agg(F.sum("w").alias("w")))
+    degree = written(e.groupBy("u").agg(F.sum("w").alias("k")))
+    label = degree.select(F.col("u").alias("node"), F.col("u").alias("community"))
+    for level in range(levels):
+        half = e.where("u < v").select(F.col("u").alias("src"), F.col("v").alias("dst"), F.col("w").alias("weight"))
+        c = written(communities(half, rounds, resolution, seed + level, degree))
+        inside = e.join(c.select(F.col("node").alias("u"), F.col("community").alias("cu")), "u").join(c.select(F.col("node").alias("v"), F.col("community").alias("cv")), "v").where("cu = cv AND u < v")
+        if inside.isEmpty():
+            break
+        part = written(degree.select(F.col("u").alias("node")).join(components(inside.select("u", "v")), "node", "left").select("node", F.coalesce("component", "node").alias("part")))
+        label = written(label.join(part.select(F.col("node").alias("community"), "part"), "community").select("node", F.col("part").alias("community")))
+        degree = written(degree.join(part.withColumnRenamed("node", "u"), "u").groupBy(F.col("part").alias("u")).agg(F.sum("k").alias("k")))
+        e = e.join(part.select(F.col("node").alias("u"), F.col("part").alias("pu")), "u").join(part.select(F.col("node").alias("v"), F.col("part").alias("pv")), "v")
+        e = written(e.where("pu <> pv").groupBy(F.col("pu").alias("u"), F.col("pv").alias("v")).agg(F.sum("w").alias("w")))
+        if e.isEmpty():
+            break
+    return label
+
+
 def cluster_tree(cells: DataFrame, levels: list[str]) -> DataFrame:
     """(cluster, parent, level, n) of path labels; levels stop at the first that has an unassigned ('U') cell."""
     out = None

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cytoplane.model import AnnotatedMatrix
+from cytoplane.operators import graph
 
 
 def flip(v: np.ndarray) -> np.ndarray:
@@ -17,19 +19,34 @@ def flip(v: np.ndarray) -> np.ndarray:
 
 
 def covariance(x: DataFrame, row: str, col: str, value: str, n_rows: int, centred: bool = True) -> tuple[list, np.ndarray]:
-    """(columns, covariance) of a long table with implicit zeros; products are summed in Spark, and what comes to the
-    driver is the square of the number of columns, which callers bound (variable genes, windows, embedding components)."""
+    """(columns, covariance) of a long table with implicit zeros. A row's values are packed once; each task adds up the
+    products of its rows in one square of columns, and the squares are summed in Spark, so what is shuffled is the values
+    once and a square per task, and what reaches the driver is one square, whose size callers bound (variable genes,
+    windows, embedding components)."""
     cols = [r[0] for r in x.select(col).distinct().orderBy(col).collect()]
-    at = {c: i for i, c in enumerate(cols)}
-    a = x.select(row, F.col(col).alias("i"), F.col(value).alias("vi"))
-    b = x.select(row, F.col(col).alias("j"), F.col(value).alias("vj"))
-    out = np.zeros((len(cols), len(cols)))
-    for i, j, s in a.join(b, row).where("i <= j").groupBy("i", "j").agg(F.sum(F.col("vi") * F.col("vj")).alias("s")).toLocalIterator():
-        out[at[i], at[j]] = out[at[j], at[i]] = s
+    at, k = {c: i for i, c in enumerate(cols)}, len(cols)
+
+    def squares(batches):
+        gram, total = np.zeros((k, k)), np.zeros(k)
+        for b in batches:
+            own, names, values = b.column("p"), b.column("p").flatten().field("c").to_pylist(), b.column("p").flatten().field("v").to_numpy(zero_copy_only=False).astype(float)
+            sizes = own.value_lengths().to_numpy()
+            rows, places = np.repeat(np.arange(len(sizes)), sizes), np.fromiter((at[c] for c in names), np.int64, len(names))
+            for s in range(0, len(sizes), 512):
+                part = (rows >= s) & (rows < s + 512)
+                dense = np.zeros((min(512, len(sizes) - s), k))
+                np.add.at(dense, (rows[part] - s, places[part]), values[part])
+                gram += dense.T @ dense
+                total += dense.sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(range(k + 1), pa.int32()), pa.array([*gram, total], pa.list_(pa.float64()))], ["i", "sums"])
+
+    packed = x.groupBy(row).agg(F.collect_list(F.struct(F.col(col).alias("c"), F.col(value).cast("double").alias("v"))).alias("p")).select("p")
+    parts = packed.mapInArrow(squares, "i int, sums array<double>").select("i", F.posexplode("sums").alias("j", "s"))
+    out = np.zeros((k + 1, k))
+    for i, j, s in parts.groupBy("i", "j").agg(F.sum("s").alias("s")).toLocalIterator():
+        out[i, j] = s
+    out, mean = out[:k], out[k] / n_rows
     if centred:
-        mean = np.zeros(len(cols))
-        for c, s in x.groupBy(col).agg(F.sum(value)).collect():
-            mean[at[c]] = s / n_rows
         out = out - n_rows * np.outer(mean, mean)
     return cols, out / max(1, n_rows - 1)
 
@@ -57,17 +74,49 @@ def score_vectors(s: DataFrame, k: int) -> DataFrame:
 
 
 def first_component_by(x: DataFrame, group: str, row: str, col: str, value: str) -> DataFrame:
-    """(row, group, pc1): within each group, the centred first component of a table with implicit zeros."""
+    """(row, group, pc1): within each group, the centred first component of a table with implicit zeros, turned so that the
+    score largest in size is positive.
 
-    def one(key, pdf):
-        w = pdf.pivot_table(index=row, columns=col, values=value, aggfunc="sum", fill_value=0.0)
-        a = w.to_numpy(float)
-        a = a - a.mean(axis=0)
-        u, s, _ = np.linalg.svd(a, full_matrices=False)
-        return pd.DataFrame({row: w.index, group: key[0], "pc1": flip(u[:, :1])[:, 0] * (s[0] if len(s) else 0.0)})
+    Tasks add up squares of columns for the rows they have, whatever group is large; a group's summed square (its size is
+    that of the columns, windows by use) meets in one task for the eigenvector, and scores are sums over a join again.
+    """
+    x = x.groupBy(group, row, col).agg(F.sum(value).cast("double").alias("v"))
+    cols = [r[0] for r in x.select(col).distinct().orderBy(col).collect()]
+    at, k = {c: i for i, c in enumerate(cols)}, len(cols)
+    kinds = {c: x.schema[c].dataType.simpleString() for c in (group, row, col)}
+
+    def squares(batches):
+        gram, own, n = np.zeros((k + 1, k)), None, 0
 
-    kinds = {c: x.schema[c].dataType.simpleString() for c in (row, group)}
-    return x.select(group, row, col, value).groupBy(group).applyInPandas(one, f"{row} {kinds[row]}, {group} {kinds[group]}, pc1 double")
+        def flush():
+            return pd.DataFrame({group: [own] * (k + 1), "i": range(k + 1), "n": [n] + [0] * k, "sums": [g.tolist() for g in gram]})
+
+        for pdf in batches:
+            for g, names, values in zip(pdf[group], pdf["c"], pdf["v"]):
+                if n and g != own:
+                    yield flush()
+                    gram, n = np.zeros((k + 1, k)), 0
+                own, n = g, n + 1
+                i, v = np.array([at[c] for c in names]), np.asarray(values, float)
+                gram[np.ix_(i, i)] += np.outer(v, v)
+                gram[k, i] += v
+        if n:
+            yield flush()
+
+    def top(key, pdf):
+        gram, n = np.zeros((k + 1, k)), pdf["n"].sum()
+        gram[pdf["i"].to_numpy(), pdf["j"].to_numpy()] = pdf["s"].to_numpy()
+        mean = gram[k] / n
+        _, v = np.linalg.eigh(gram[:k] - n * np.outer(mean, mean))
+        return pd.DataFrame({group: key[0], col: cols, "loading": v[:, -1], "offset": float(mean @ v[:, -1])})
+
+    rows = x.where(F.col(group).isNotNull()).groupBy(group, row).agg(F.collect_list(F.struct(col, "v")).alias("z")).select(group, F.col(f"z.{col}").alias("c"), "z.v").sortWithinPartitions(group)
+    parts = rows.mapInPandas(squares, f"{group} {kinds[group]}, i int, n long, sums array<double>")
+    parts = parts.select(group, "i", "n", F.posexplode("sums").alias("j", "s")).groupBy(group, "i", "j").agg(F.sum("s").alias("s"), F.sum(F.when(F.col("j") == 0, F.col("n")).otherwise(0)).alias("n"))
+    load = parts.groupBy(group).applyInPandas(top, f"{group} {kinds[group]}, {col} {kinds[col]}, loading double, offset double")
+    pc = x.join(load, [group, col]).groupBy(row, group).agg((F.sum(F.col("v") * F.col("loading")) - F.first("offset")).alias("pc1"))
+    turn = pc.groupBy(group).agg(F.max_by("pc1", F.abs("pc1")).alias("__far"))
+    return pc.join(turn, group).select(row, group, F.when(F.col("__far") < 0, -F.col("pc1")).otherwise(F.col("pc1")).alias("pc1"))
 
 
 def nmf(m: AnnotatedMatrix, k: int, layer: str = "", rounds: int = 50, seed: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -117,22 +166,42 @@ def nmf(m: AnnotatedMatrix, k: int, layer: str = "", rounds: int = 50, seed: int
     return load, packed.mapInPandas(place, f"cell_id {m.x.schema['cell_id'].dataType.simpleString()}, component int, score double")
 
 
-def diffusion(points: DataFrame, sigma: float, k: int = 10, limit: int = 5000) -> DataFrame:
-    """(id, component, value) of at most ``limit`` points (id, vec): exp(-cosine distance / sigma), columns normalised,
-    eigenvectors by size of eigenvalue, each times its eigenvalue after one step. A dense spectral method by nature: more
-    points than the limit raise; reduce to representatives first."""
-    rows = points.orderBy("id").limit(limit + 1).toPandas()
-    if len(rows) > limit:
-        raise ValueError(f"over {limit} points")
-    x = np.stack(rows["vec"].to_list()).astype(float)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+def diffusion(points: DataFrame, sigma: float, k: int = 10, limit: int = 5000, landmarks: int | None = None) -> DataFrame:
+    """(id, component, value) of points (id, vec): exp(-cosine distance / sigma), columns normalised, eigenvectors by size of
+    eigenvalue, each times its eigenvalue after one step.
+
+    Exact for at most ``limit`` points; more raise unless ``landmarks`` says how many (at most limit, by a hash of the id)
+    carry the spectrum: every other point then gets its values from its similarities to them, where it is (Nystroem's
+    extension, which gives the landmarks their own values back).
+    """
+    if landmarks is None:
+        rows = points.orderBy("id").limit(limit + 1).toPandas()
+        if len(rows) > limit:
+            raise ValueError(f"over {limit} points")
+    else:
+        rows = points.orderBy(F.xxhash64("id"), "id").limit(min(landmarks, limit)).toPandas()
+    unit = lambda vecs: (lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300))(np.stack(vecs.to_list()).astype(float))
+    kind = points.schema["id"].dataType.simpleString()
+    if not len(rows):
+        return points.sparkSession.createDataFrame([], f"id {kind}, component int, value double")
+    x = unit(rows["vec"])
     kernel = np.exp(-(1 - x @ x.T) / sigma)
     d = kernel.sum(axis=0)
     w, v = np.linalg.eigh(kernel / np.sqrt(np.outer(d, d)))
     order = np.argsort(-np.abs(w))[1 : k + 1]
-    v = flip(np.sqrt(d)[:, None] * v[:, order])
-    v = v / np.linalg.norm(v, axis=0) * w[order] ** 2
-    return points.sparkSession.createDataFrame([(int(i), j + 1, float(v[r, j])) for r, i in enumerate(rows["id"]) for j in range(v.shape[1])], "id long, component int, value double")
+    scaled = flip(np.sqrt(d)[:, None] * v[:, order])
+    final = scaled / np.linalg.norm(scaled, axis=0) * w[order] ** 2
+    if landmarks is None:
+        return points.sparkSession.createDataFrame([(i, j + 1, float(final[r, j])) for r, i in enumerate(rows["id"].tolist()) for j in range(final.shape[1])], f"id {kind}, component int, value double")
+    back = final / d[:, None] / w[order]  # a landmark's share in the value of a point similar to it
+
+    def place(batches):
+        for pdf in batches:
+            if len(pdf):
+                value = np.exp(-(1 - unit(pdf["vec"]) @ x.T) / sigma) @ back
+                yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(), value.shape[1]), "component": np.tile(np.arange(1, value.shape[1] + 1), len(pdf)), "value": value.ravel()})
+
+    return points.select("id", "vec").mapInPandas(place, f"id {kind}, component int, value double")
 
 
 def cosine_to_centroid(points: DataFrame, cluster: str, id_col: str = "id", vec_col: str = "vec") -> DataFrame:
@@ -167,13 +236,30 @@ def kde_difference(points: DataFrame, mask: str, px: int = 100) -> DataFrame:
     return a.join(b.select("i", "j", F.col("density").alias("other")), ["i", "j"]).select("i", "j", "gx", "gy", (F.col("density") - F.col("other")).alias("density"))
 
 
-def layout(edges: DataFrame, rounds: int = 200, seed: int = 17, limit: int = 20_000) -> DataFrame:
+def layout(edges: DataFrame, rounds: int = 200, seed: int = 17, limit: int = 20_000, landmarks: int | None = None, spread: int = 5) -> DataFrame:
     """(id, x, y): a neighbour-graph layout in the plane (attraction along edges, sampled repulsion), from a neighbour
-    table (src, dst, weight) computed in Spark. The layout of at most ``limit`` nodes is one sequential optimisation."""
-    e = edges.select("src", "dst", "weight").limit(limit * 64).toPandas()
-    ids = np.unique(np.concatenate([e["src"], e["dst"]]))
-    if len(ids) > limit:
+    table (src, dst, weight) computed in Spark, all of whose edges count.
+
+    The layout of at most ``limit`` nodes is one sequential optimisation; more raise unless ``landmarks`` says how many (at
+    most limit, by a hash of the id) are laid out by their own edges: every other node then lies at the weighted mean of
+    its neighbours that have a place, in ``spread`` rounds of joins; nodes that none reaches have null.
+    """
+    if landmarks is not None:
+        both = edges.select("src", "dst", "weight").union(edges.select("dst", "src", "weight"))
+        nodes = both.select(F.col("src").alias("id")).distinct()
+        chosen = nodes.orderBy(F.xxhash64("id"), "id").limit(min(landmarks, limit))
+        own = edges.join(chosen.select(F.col("id").alias("src")), "src", "left_semi").join(chosen.select(F.col("id").alias("dst")), "dst", "left_semi")
+        placed = layout(own.select("src", "dst", "weight"), rounds, seed, limit)
+        for _ in range(spread):
+            near = both.join(placed.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id"))
+            near = near.agg(*[(F.sum(F.col("weight") * F.col(c)) / F.sum("weight")).alias(c) for c in ("x", "y")])
+            placed = graph.written(placed.unionByName(near.join(placed.select("id"), "id", "left_anti")))
+        return nodes.join(placed, "id", "left")
+    nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    if nodes.limit(limit + 1).count() > limit:
         raise ValueError(f"over {limit} nodes")
+    e = edges.select("src", "dst", "weight").toPandas()
+    ids = np.unique(np.concatenate([e["src"], e["dst"]]))
     i, j, w = np.searchsorted(ids, e["src"]), np.searchsorted(ids, e["dst"]), e["weight"].to_numpy(float)
     rng = np.random.default_rng(seed)
     y = rng.normal(size=(len(ids), 2)) * 10
@@ -188,4 +274,5 @@ def layout(edges: DataFrame, rounds: int = 200, seed: int = 17, limit: int = 20_
         d = y[i] - y[other]
         sq = (d**2).sum(1, keepdims=True)
         np.add.at(y, i, np.clip(2 / ((0.01 + sq) * (1 + sq)) * d, -4, 4) * rate * 0.1)
-    return edges.sparkSession.createDataFrame([(int(a), float(b), float(c)) for a, (b, c) in zip(ids, y)], "id long, x double, y double")
+    kind = edges.schema["src"].dataType.simpleString()
+    return edges.sparkSession.createDataFrame([(a, float(b), float(c)) for a, (b, c) in zip(ids.tolist(), y)], f"id {kind}, x double, y double")

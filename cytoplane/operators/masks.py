@@ -30,7 +30,7 @@ def minor_clusters(cells: DataFrame, levels: list[str], most: float = 0.99, leas
         gone = rest.join(small, level, "left_semi").select("cell_id")
         out = gone if out is None else out.unionByName(gone)
         rest = rest.join(small, level, "left_anti")
-    flag = cells.sparkSession.createDataFrame([], "cell_id long") if out is None else out
+    flag = cells.select("cell_id").where(F.lit(False)) if out is None else out
     return cells.join(flag.select("cell_id", F.lit(True).alias("outlier")), "cell_id", "left").withColumn("outlier", F.coalesce("outlier", F.lit(False)))
 
 
@@ -55,9 +55,11 @@ def match_names(left: DataFrame, right: DataFrame, name: str, other: str, suffix
 
 
 def bernoulli(df: DataFrame, n: int, by: list[str], key: str, seed: int = 0) -> DataFrame:
-    """About n rows per group: each stays with chance min(1, n / size), decided by a hash of key, so reruns agree."""
+    """About n rows per group: each stays with chance min(1, n / size), decided by the md5 of seed and key, so that reruns
+    and other engines agree."""
     size = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) / float(1 << 30)
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    u = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
     return df.join(size, by).where(u < F.lit(n) / F.col("__n")).drop("__n")
 
 

@@ -104,7 +104,9 @@ def cluster_peptides(df: DataFrame, peptide: str, gene: str | None = None, max_d
     """(gene, peptide, cluster): peptides connected by edit distances of at most 1 (within a gene), named by the least
     peptide; -1 (as text) for clusters in which some pair is farther than max_dist.
 
-    Candidates share the peptide with one place deleted, so no pair of far peptides is ever compared.
+    Candidates for edges share the peptide with one place deleted. Whether a cluster has a far pair is told by each peptide's
+    distance from the cluster's least one: over max_dist settles it, and otherwise a pair is only compared if both
+    distances together are over max_dist.
     """
     by = [gene] if gene else []
     p = df.where(F.col(peptide).isNotNull()).select(*by, F.col(peptide).alias("p")).distinct()
@@ -116,6 +118,11 @@ def cluster_peptides(df: DataFrame, peptide: str, gene: str | None = None, max_d
     edges = near.select(*by, F.col("l.p").alias("u"), F.col("r.p").alias("v")).distinct()
     comp = components(edges.select(name("u").alias("u"), name("v").alias("v")))
     c = p.withColumn("node", name("p")).join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    far = c.alias("l").join(c.alias("r"), "component").where("l.p < r.p").where(F.levenshtein(F.col("l.p"), F.col("r.p")) > max_dist).select("component").distinct().withColumn("far", F.lit(True))
     label = F.element_at(F.split("component", "\u0001"), -1)
+    off = c.withColumn("off", F.levenshtein("p", label))
+    sure = off.groupBy("component").agg(F.max("off").alias("most"))
+    open_ = off.join(sure.where((F.col("most") <= max_dist) & (2 * F.col("most") > max_dist)).select("component", "most"), "component").where(F.col("off") + F.col("most") > max_dist)
+    pairs = open_.alias("l").join(open_.alias("r"), "component").where("l.p < r.p").where(F.col("l.off") + F.col("r.off") > max_dist)
+    pairs = pairs.where(F.levenshtein(F.col("l.p"), F.col("r.p")) > max_dist).select("component")
+    far = sure.where(F.col("most") > max_dist).select("component").union(pairs).distinct().withColumn("far", F.lit(True))
     return c.join(far, "component", "left").select(*by, F.col("p").alias(peptide), F.when(F.col("far"), "-1").otherwise(label).alias("cluster"))
