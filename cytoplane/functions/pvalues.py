@@ -253,3 +253,52 @@ def doublet_udf(x1: pd.Series, x2: pd.Series, x12: pd.Series, n: pd.Series, rate
 @F.pandas_udf(T.DoubleType())
 def t_two_sided_udf(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([t_two_sided(a, b) for a, b in zip(t, df)])
+
+
+def gamma_upper(a: float, x: float) -> float:
+    """Regularised upper incomplete gamma function: a series below a + 1, else a continued fraction (Lentz)."""
+    if x <= 0:
+        return 1.0
+    front = math.exp(a * math.log(x) - x - math.lgamma(a))
+    if x < a + 1:
+        term = total = 1 / a
+        k = a
+        while term > total * 1e-16:
+            k += 1
+            term *= x / k
+            total += term
+        return max(0.0, 1 - front * total)
+    b = x + 1 - a
+    c, d = 1e300, 1 / b
+    out = d
+    for i in range(1, 1000):
+        n = i * (a - i)
+        b += 2
+        d = 1 / (n * d + b or 1e-300)
+        c = b + n / c or 1e-300
+        out *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    return front * out
+
+
+def kolmogorov(t: float) -> float:
+    """The chance that the limit of sqrt(n) * D exceeds t."""
+    if t < 0.2:
+        return 1.0
+    return min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * t * t) for k in range(1, 101))))
+
+
+@F.pandas_udf(T.DoubleType())
+def chi_square_udf(statistic: pd.Series, df: pd.Series) -> pd.Series:
+    return pd.Series([gamma_upper(k / 2, s / 2) if k > 0 else math.nan for s, k in zip(statistic, df)])
+
+
+@F.pandas_udf(T.DoubleType())
+def f_test_udf(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
+    return pd.Series([beta_inc(b / 2, a / 2, b / (b + a * x)) if x == x else math.nan for x, a, b in zip(f, df1, df2)])
+
+
+@F.pandas_udf(T.DoubleType())
+def ks_udf(d: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
+    return pd.Series([kolmogorov(x * math.sqrt(a * b / (a + b))) if x == x else math.nan for x, a, b in zip(d, n1, n2)])

@@ -32,27 +32,20 @@ def one_vs_siblings(cells: DataFrame, level: str) -> DataFrame:
     return c.join(names, "up").select("comparison", "cell_id", F.when(F.col("own") == F.col("comparison"), 1).otherwise(2).alias("side"))
 
 
-def rank_sum(m: AnnotatedMatrix, sides: DataFrame, layer: str = "", smallest: int = 1, with_p: bool = True) -> DataFrame:
-    """Mann-Whitney per comparison and gene of a non-negative layer, zeros included as one tie block.
+def _side_sums(k, w: int) -> list:
+    """Sums of a side's counts k of distinct values: non-zeros, values, powers of two, positives."""
+    v = F.col("value")
+    return [F.sum(k).alias(f"nz{w}"), F.sum(k * v).alias(f"s{w}"), F.sum(k * F.pow(F.lit(2.0), v)).alias(f"e{w}"), F.sum(F.when(v > 0, k).otherwise(0)).alias(f"pos{w}")]
 
-    comparison, gene_id, u, z, CommonLanguageEffectSize, MeanExpr1/2, MeanExpExpr1/2, Log2FoldChange, FracExpr1/2 and,
-    with_p, p. Genes constant on both sides have p 1 and no effect size. Comparisons with a side under ``smallest`` cells
-    are left out. Values are first counted per distinct value, so a shuffle carries one row per value and gene at most.
-    """
-    n = sides.groupBy("comparison").agg(F.count_if(F.col("side") == 1).alias("n1"), F.count_if(F.col("side") == 2).alias("n2")).where(F.least("n1", "n2") >= smallest)
-    x = m.layers[layer].where("value <> 0").join(sides, "cell_id")
-    per = x.groupBy("comparison", "gene_id", "value").agg(F.count_if(F.col("side") == 1).alias("c1"), F.count_if(F.col("side") == 2).alias("c2")).withColumn("c", F.col("c1") + F.col("c2"))
-    before = F.coalesce(F.sum("c").over(Window.partitionBy("comparison", "gene_id").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = per.withColumn("rank", before + (F.col("c") + 1) / 2)
-    v, c1, c2, c = (F.col(k) for k in ("value", "c1", "c2", "c"))
-    side = lambda k, w: [F.sum(k).alias(f"nz{w}"), F.sum(k * v).alias(f"s{w}"), F.sum(k * F.pow(F.lit(2.0), v)).alias(f"e{w}"), F.min(F.when(k > 0, v)).alias(f"lo{w}"), F.max(F.when(k > 0, v)).alias(f"hi{w}"), F.sum(F.when(v > 0, k).otherwise(0)).alias(f"pos{w}")]
-    g = ranked.groupBy("comparison", "gene_id").agg(F.sum(c1 * F.col("rank")).alias("r"), F.sum(c * c * c - c).cast("double").alias("t"), *side(c1, 1), *side(c2, 2)).join(n, "comparison")
+
+def _effects(g: DataFrame, with_p: bool) -> DataFrame:
+    """Statistics of rank sums: g has comparison, gene_id, n1, n2, r (rank sum of side 1's non-zeros, ranks among non-zeros),
+    t (sum of c^3 - c over distinct non-zero values), flat1 and flat2 (one value on that side), and the sums of both sides."""
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     total = n1 + n2
     zero = total - F.col("nz1") - F.col("nz2")
     r1 = F.col("r") + F.col("nz1") * zero + (n1 - F.col("nz1")) * (zero + 1) / 2
-    flat = lambda w, k: (F.col(f"nz{w}") == 0) | ((F.col(f"nz{w}") == k) & (F.col(f"lo{w}") == F.col(f"hi{w}")))
-    g = g.withColumn("ties", F.col("t") + zero * zero * zero - zero).withColumn("u", r1 - n1 * (n1 + 1) / 2).withColumn("flat", flat(1, n1) & flat(2, n2))
+    g = g.withColumn("ties", F.col("t") + zero * zero * zero - zero).withColumn("u", r1 - n1 * (n1 + 1) / 2).withColumn("flat", F.col("flat1") & F.col("flat2"))
     sigma = F.sqrt(n1 * n2 / 12 * ((total + 1) - F.try_divide(F.col("ties"), total * (total - 1))))
     z = F.try_divide(F.greatest(F.col("u"), n1 * n2 - F.col("u")) - n1 * n2 / 2 - 0.5, sigma)
     exp = lambda w, k: (F.col(f"e{w}") + k - F.col(f"nz{w}")) / k
@@ -67,6 +60,52 @@ def rank_sum(m: AnnotatedMatrix, sides: DataFrame, layer: str = "", smallest: in
     return out.drop("ties", "flat")
 
 
+def rank_sum(m: AnnotatedMatrix, sides: DataFrame, layer: str = "", smallest: int = 1, with_p: bool = True) -> DataFrame:
+    """Mann-Whitney per comparison and gene of a non-negative layer, zeros included as one tie block.
+
+    comparison, gene_id, u, z, CommonLanguageEffectSize, MeanExpr1/2, MeanExpExpr1/2, Log2FoldChange, FracExpr1/2 and,
+    with_p, p. Genes constant on both sides have p 1 and no effect size. Comparisons with a side under ``smallest`` cells
+    are left out. Values are first counted per distinct value, so a shuffle carries one row per value and gene at most.
+    """
+    n = sides.groupBy("comparison").agg(F.count_if(F.col("side") == 1).alias("n1"), F.count_if(F.col("side") == 2).alias("n2")).where(F.least("n1", "n2") >= smallest)
+    x = m.layers[layer].where("value <> 0").join(sides, "cell_id")
+    count = lambda side: F.count_if(F.col("side") == side).cast("double")
+    per = x.groupBy("comparison", "gene_id", "value").agg(count(1).alias("c1"), count(2).alias("c2")).withColumn("c", F.col("c1") + F.col("c2"))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy("comparison", "gene_id").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    ranked = per.withColumn("rank", before + (F.col("c") + 1) / 2)
+    v, c1, c2, c = (F.col(k) for k in ("value", "c1", "c2", "c"))
+    ends = [f(F.when(k > 0, v)).alias(f"{name}{w}") for w, k in ((1, c1), (2, c2)) for name, f in (("lo", F.min), ("hi", F.max))]
+    g = ranked.groupBy("comparison", "gene_id").agg(F.sum(c1 * F.col("rank")).alias("r"), F.sum(c * c * c - c).alias("t"), *_side_sums(c1, 1), *_side_sums(c2, 2), *ends).join(n, "comparison")
+    flat = lambda w: (F.col(f"nz{w}") == 0) | ((F.col(f"nz{w}") == F.col(f"n{w}")) & (F.col(f"lo{w}") == F.col(f"hi{w}")))
+    return _effects(g.withColumn("flat1", flat(1)).withColumn("flat2", flat(2)), with_p)
+
+
+def sibling_rank_sum(m: AnnotatedMatrix, level: str, layer: str = "", smallest: int = 1, with_p: bool = True) -> DataFrame:
+    """rank_sum of every cluster of a level against its siblings together.
+
+    Cells are counted once per gene, distinct value and cluster; ranks among all siblings are the same for each of them,
+    and the other side's sums are the siblings' less the cluster's own, so rows don't grow with the number of siblings.
+    """
+    c = F.col(level)
+    up = F.when(F.contains(c, F.lit("-")), F.regexp_replace(c, "-[^-]*$", "")).otherwise("")
+    own = m.cells.where(c.isNotNull()).select("cell_id", c.alias("comparison"), up.alias("up"))
+    names = own.groupBy("up", "comparison").agg(F.count(F.lit(1)).alias("n1"))
+    names = names.withColumn("n2", F.sum("n1").over(Window.partitionBy("up")) - F.col("n1")).where(F.least("n1", "n2") >= smallest)
+    x = m.layers[layer].where("value <> 0").join(own, "cell_id")
+    per = x.groupBy("up", "gene_id", "value", "comparison").agg(F.count(F.lit(1)).cast("double").alias("c1"))
+    gene = Window.partitionBy("up", "gene_id")
+    per = per.withColumn("c", F.sum("c1").over(Window.partitionBy("up", "gene_id", "value"))).withColumn("upto", F.sum("c1").over(gene.orderBy("value")))
+    c1, k = F.col("c1"), F.col("c")
+    ranked = per.withColumn("rank", F.col("upto") - k + (k + 1) / 2)
+    mine = ranked.groupBy("up", "gene_id", "comparison").agg(F.sum(c1 * F.col("rank")).alias("r"), F.count(F.lit(1)).alias("kinds"), F.count_if(c1 == k).alias("alone"), *_side_sums(c1, 1))
+    whole = ranked.groupBy("up", "gene_id").agg(F.sum(c1 * (k * k - 1)).alias("t"), F.round(F.sum(c1 / k)).alias("all_kinds"), *_side_sums(c1, 0))
+    g = whole.join(names, "up").join(mine, ["up", "gene_id", "comparison"], "left").na.fill(0, ["r", "kinds", "alone", "nz1", "s1", "e1", "pos1"])
+    g = g.withColumn("nz2", F.col("nz0") - F.col("nz1"))
+    g = g.withColumns({f"{s}2": F.when(F.col("nz2") == 0, 0.0).otherwise(F.col(f"{s}0") - F.col(f"{s}1")) for s in ("s", "e", "pos")})
+    flat = lambda w, kinds: (F.col(f"nz{w}") == 0) | ((F.col(f"nz{w}") == F.col(f"n{w}")) & (kinds == 1))
+    return _effects(g.withColumn("flat1", flat(1, F.col("kinds"))).withColumn("flat2", flat(2, F.col("all_kinds") - F.col("alone"))), with_p)
+
+
 def differential_expression(m: AnnotatedMatrix, sides: DataFrame, layer: str = "", smallest: int = 1) -> DataFrame:
     """rank_sum plus BenjaminiHochbergQ within each comparison."""
     return bh_adjust(rank_sum(m, sides, layer, smallest), "p", "BenjaminiHochbergQ", ["comparison"])
@@ -74,7 +113,7 @@ def differential_expression(m: AnnotatedMatrix, sides: DataFrame, layer: str = "
 
 def markers(m: AnnotatedMatrix, level: str, layer: str = "", k: int = 500, smallest: int = 1) -> DataFrame:
     """For each cluster against its siblings, the first k genes higher in it, by effect size (ties by gene)."""
-    d = differential_expression(m, one_vs_siblings(m.cells, level), layer, smallest).where("MeanExpr1 > MeanExpr2")
+    d = bh_adjust(sibling_rank_sum(m, level, layer, smallest), "p", "BenjaminiHochbergQ", ["comparison"]).where("MeanExpr1 > MeanExpr2")
     return top_k(d, ["comparison"], [F.desc_nulls_last("CommonLanguageEffectSize"), F.col("gene_id")], k)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,12 +49,44 @@ def variable_genes(m: AnnotatedMatrix, n: int) -> DataFrame:
     return m.genes.crossJoin(F.broadcast(bar)).where(F.col("GeneVar") > F.col("bar")).drop("bar")
 
 
-def standardize(m: AnnotatedMatrix, axis: str, layer: str = "", out: str | None = None) -> AnnotatedMatrix:
-    """(value - mean) / standard deviation (population; 1 if 0) per cell or per gene; the result is dense."""
+#: Genes up to which an axis is sent to every task; beyond, dense values come from a join of all pairs.
+AXIS = 1_000_000
+
+
+def standardize(m: AnnotatedMatrix, axis: str, layer: str = "", out: str | None = None, most: int = AXIS) -> AnnotatedMatrix:
+    """(value - mean) / standard deviation (population; 1 if 0) per cell or per gene; the result is dense.
+
+    Stored values are packed by cell, and a cell's row is filled up from the gene axis where the cell is, so that no zero
+    is shuffled; the axis is broadcast if it has at most ``most`` genes, else pairs are joined.
+    """
     key, s = f"{axis}_id", moments(m, axis, layer)
     s = s.select(key, "mean", F.when(F.col("var") <= 0, 1.0).otherwise(F.sqrt("var")).alias("scale"))
-    x = m.dense(layer).join(s, key).withColumn("value", (F.col("value") - F.col("mean")) / F.col("scale"))
-    return m.with_layer(out or f"{layer}_{axis}_standardized", x)
+    name = out or f"{layer}_{axis}_standardized"
+    if m.genes.limit(most + 1).count() > most:
+        return m.with_layer(name, m.dense(layer).join(s, key).withColumn("value", (F.col("value") - F.col("mean")) / F.col("scale")))
+    rows = (s if axis == "gene" else m.genes.select("gene_id", F.lit(0.0).alias("mean"), F.lit(1.0).alias("scale"))).orderBy("gene_id").toArrow()
+    spark = m.cells.sparkSession
+    sent = spark.sparkContext.broadcast((rows.column("gene_id").combine_chunks(), rows.column("mean").to_numpy(), rows.column("scale").to_numpy()))
+    packed = m.layers[layer].groupBy("cell_id").agg(F.collect_list(F.struct("gene_id", F.col("value").cast("double").alias("value"))).alias("z"))
+    cells = m.cells.select("cell_id") if axis == "gene" else s
+    kinds = {c: m.layers[layer].schema[c].dataType.simpleString() for c in ("cell_id", "gene_id")}
+
+    def fill(batches):
+        genes, mean, scale = sent.value
+        at = {g: i for i, g in enumerate(genes.to_pylist())}
+        for b in batches:
+            own = [b.column(c).to_pylist() if c in b.schema.names else [None] * b.num_rows for c in ("mean", "scale")]
+            for i, (m0, s0, z) in enumerate(zip(*own, b.column("z"))):
+                v = np.zeros(len(genes))
+                if z.is_valid:
+                    place = [at.get(g, -1) for g in z.values.field("gene_id").to_pylist()]
+                    known = np.array(place, np.int64) >= 0
+                    v[np.array(place, np.int64)[known]] = z.values.field("value").to_numpy(zero_copy_only=False)[known]
+                v = (v - mean) / scale if m0 is None else (v - m0) / s0
+                cell = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(genes), np.int32)), b.column("cell_id").slice(i, 1)).dictionary_decode()
+                yield pa.RecordBatch.from_arrays([cell, genes, pa.array(v)], ["cell_id", "gene_id", "value"])
+
+    return m.with_layer(name, cells.join(packed, "cell_id", "left").mapInArrow(fill, f"cell_id {kinds['cell_id']}, gene_id {kinds['gene_id']}, value double"))
 
 
 def zscore(df: DataFrame, col: str, by: list[str] | None = None, sample: bool = True) -> Column:

@@ -1,57 +1,86 @@
-"""Two-component mixtures for antibody, hashtag and guide calls, as SQL iterations over sufficient statistics."""
+"""Two-component mixtures for antibody, hashtag and guide calls, fitted on counts of distinct values or bins."""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytoplane.operators import graph
 
 
-def two_components(values: DataFrame, by: list[str], value: str, kind: str = "gaussian", rounds: int = 30, hard: bool = False) -> DataFrame:
+EPS = 1e-6
+
+
+def log_density(kind: str, x, m, s, ln, top):
+    """The log of a component's density at x, up to a term without parameters; m is its mean and s its variance. Columns or
+    arrays, by the ln and two-argument maximum given."""
+    if kind == "gaussian":
+        return -0.5 * (ln(2 * math.pi * s) + (x - m) ** 2 / s)
+    m = top(m, EPS)
+    if kind == "poisson":
+        return x * ln(m) - m
+    shape, rate = m * m / s, m / s  # gamma by its moments; ln of the gamma function by Stirling's series
+    big = shape + 8
+    lg = (big - 0.5) * ln(big) - big + 0.5 * math.log(2 * math.pi) + 1 / (12 * big)
+    for i in range(8):
+        lg = lg - ln(shape + i)
+    return shape * ln(rate) - lg + (shape - 1) * ln(top(x, EPS)) - rate * x
+
+
+def _quantile(x: np.ndarray, w: np.ndarray, q: float) -> float:
+    """Linear interpolation between sorted values x that occur w times."""
+    upto, at = np.cumsum(w), (w.sum() - 1) * q
+    low, high = x[np.searchsorted(upto, np.floor(at), "right")], x[np.searchsorted(upto, np.ceil(at), "right")]
+    return float(low + (high - low) * (at - np.floor(at)))
+
+
+def fit_two(w: np.ndarray, a: np.ndarray, b: np.ndarray, kind: str, rounds: int) -> tuple[float, ...]:
+    """(m0, m1, s0, s1, p1) by EM over bins with w values each, their sums a and sums of squares b, ordered by value."""
+    x, n = a / w, w.sum()
+    low, high = _quantile(x, w, 0.25), _quantile(x, w, 0.75)
+    m0, m1 = (x.min(), x.max()) if low == high else (low, high)
+    s0 = s1 = max(0.0, b.sum() / n - (a.sum() / n) ** 2) + EPS
+    p1 = 0.5
+    top, ln = np.maximum, np.log
+    for _ in range(rounds):
+        odds = math.log(max(p1, 1e-9)) + log_density(kind, x, m1, s1, ln, top) - math.log(max(1 - p1, 1e-9)) - log_density(kind, x, m0, s0, ln, top)
+        r = 1 / (1 + np.exp(-np.clip(odds, -700, 700)))
+        w1, w0 = max((w * r).sum(), 1e-12), max((w * (1 - r)).sum(), 1e-12)
+        m0, m1, p1 = (a * (1 - r)).sum() / w0, (a * r).sum() / w1, (w * r).sum() / n
+        s0, s1 = max((b * (1 - r)).sum() / w0 - m0 * m0, EPS), max((b * r).sum() / w1 - m1 * m1, EPS)
+    return float(m0), float(m1), float(s0), float(s1), float(p1)
+
+
+def two_components(values: DataFrame, by: list[str], value: str, kind: str = "gaussian", rounds: int = 30, hard: bool = False, bins: int = 16_384) -> DataFrame:
     """values plus prediction: 1 for the component with the higher mean, 0 for the other, null for null values.
 
-    EM runs for all groups at once; a round is one aggregate of responsibilities per distinct value, so its cost does
-    not depend on how many rows share a value. It starts from the lower and upper quartile and is deterministic. kind:
-    gaussian, poisson or gamma. A group of one value is all 0. hard: positives are what lies at or over the least
-    positive (or over the largest negative) if that parts the two means, else null.
+    EM runs over a group's distinct values, or over ``bins`` equal bins of them (with their counts, sums and sums of
+    squares) where there are more, so that a task holds a bounded table however many rows a group has; the parameters
+    then judge every value itself. It starts from the lower and upper quartile and is deterministic. kind: gaussian,
+    poisson or gamma. A group of one value is all 0. hard: positives are what lies at or over the least positive (or over
+    the largest negative) if that parts the two means, else null.
     """
     v = values.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("w"))
     v = graph.written(v)
-    spread = v.groupBy(*by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), (F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("mean"), F.percentile("v", F.array(F.lit(0.25), F.lit(0.75)), F.col("w")).alias("q"))
-    var = v.join(spread.select(*by, "mean"), by).groupBy(*by).agg((F.sum(F.col("w") * (F.col("v") - F.col("mean")) ** 2) / F.sum("w")).alias("var"))
-    eps = 1e-6
-    same = F.col("q")[0] == F.col("q")[1]
-    par = spread.join(var, by).select(*by, F.when(same, F.col("lo")).otherwise(F.col("q")[0]).alias("m0"), F.when(same, F.col("hi")).otherwise(F.col("q")[1]).alias("m1"), (F.col("var") + eps).alias("s0"), (F.col("var") + eps).alias("s1"), F.lit(0.5).alias("p1"))
-
-    def log_density(i: int):
-        m, s, x = F.greatest(F.col(f"m{i}"), F.lit(eps)), F.col(f"s{i}"), F.col("v")
-        if kind == "gaussian":
-            return -0.5 * (F.ln(2 * math.pi * s) + (x - F.col(f"m{i}")) ** 2 / s)
-        if kind == "poisson":  # up to a term without parameters, which cancels
-            return x * F.ln(m) - m
-        shape, rate = m * m / s, m / s  # gamma by its moments; ln of the gamma function by Stirling's series
-        big = shape + 8
-        lg = (big - 0.5) * F.ln(big) - big + 0.5 * math.log(2 * math.pi) + 1 / (12 * big) - sum((F.ln(shape + i) for i in range(8)), F.lit(0.0))
-        return shape * F.ln(rate) - lg + (shape - 1) * F.ln(F.greatest(x, F.lit(eps))) - rate * x
-
-    def resp(p: DataFrame) -> DataFrame:
-        odds = F.ln(F.greatest("p1", F.lit(1e-9))) + log_density(1) - F.ln(F.greatest(1 - F.col("p1"), F.lit(1e-9))) - log_density(0)
-        return v.join(p, by).withColumn("r", 1 / (1 + F.exp(-F.greatest(F.least(odds, F.lit(700.0)), F.lit(-700.0)))))
-
-    for i in range(rounds):
-        r = resp(par)
-        w1, w0, n = F.sum(F.col("w") * F.col("r")), F.sum(F.col("w") * (1 - F.col("r"))), F.sum("w")
-        mean = lambda k, w: F.sum(F.col("w") * k * F.col("v")) / F.greatest(w, F.lit(1e-12))
-        square = lambda k, w: F.sum(F.col("w") * k * F.col("v") ** 2) / F.greatest(w, F.lit(1e-12))
-        a, b = F.col("r"), 1 - F.col("r")
-        par = r.groupBy(*by).agg(mean(b, w0).alias("m0"), mean(a, w1).alias("m1"), square(b, w0).alias("q0"), square(a, w1).alias("q1"), (w1 / n).alias("p1"))
-        par = par.select(*by, "m0", "m1", F.greatest(F.col("q0") - F.col("m0") ** 2, F.lit(eps)).alias("s0"), F.greatest(F.col("q1") - F.col("m1") ** 2, F.lit(eps)).alias("s1"), "p1")
-        if i % 5 == 4:
-            par = graph.written(par)
-    done = resp(graph.written(par))
+    span = v.groupBy(*by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("kinds"))
+    width = F.greatest((F.col("hi") - F.col("lo")) / bins, F.lit(1e-300))
+    place = F.col("lo") + F.floor((F.col("v") - F.col("lo")) / width) * width
+    binned = v.join(span, by).groupBy(*by, F.when(F.col("kinds") <= bins, F.col("v")).otherwise(place).alias("bin"))
+    binned = binned.agg(F.sum("w").cast("double").alias("w"), F.sum(F.col("w") * F.col("v")).alias("a"), F.sum(F.col("w") * F.col("v") ** 2).alias("b"))
+
+    def fit(key, pdf):
+        pdf = pdf.sort_values("bin")
+        return pd.DataFrame([[*key, *fit_two(*(pdf[c].to_numpy(float) for c in "wab"), kind, rounds)]], columns=[*by, "m0", "m1", "s0", "s1", "p1"])
+
+    kinds = ", ".join(f"{c} {v.schema[c].dataType.simpleString()}" for c in by)
+    par = graph.written(binned.groupBy(*by).applyInPandas(fit, f"{kinds}, m0 double, m1 double, s0 double, s1 double, p1 double"))
+    density = lambda i: log_density(kind, F.col("v"), F.col(f"m{i}"), F.col(f"s{i}"), F.ln, lambda x, y: F.greatest(x, F.lit(y)))
+    odds = F.ln(F.greatest("p1", F.lit(1e-9))) + density(1) - F.ln(F.greatest(1 - F.col("p1"), F.lit(1e-9))) - density(0)
+    done = v.join(par, by).withColumn("r", 1 / (1 + F.exp(-F.greatest(F.least(odds, F.lit(700.0)), F.lit(-700.0)))))
     high = F.when(F.col("m1") >= F.col("m0"), F.col("r") > 0.5).otherwise(F.col("r") <= 0.5)
     called = done.select(*by, "v", "w", high.cast("int").alias("prediction"))
     whole = Window.partitionBy(*by)
@@ -104,9 +133,6 @@ def background_corrected(counts: DataFrame, empty: DataFrame, pseudocount: float
 def unimodal_positives(values: DataFrame, called: DataFrame, by: list[str], value: str, key: str, depth: int = 4, level: float = 0.05, draws: int = 200) -> DataFrame:
     """called with positives split again while they have more than one mode (dip test against ``draws`` uniform samples),
     at most depth times; each round handles all groups, and a group's positives meet in one task as the test needs them."""
-    import numpy as np
-    import pandas as pd
-
     from cytoplane.functions.pvalues import dip
 
     def test(k, pdf):

@@ -59,11 +59,11 @@ def ranked_hits(scores: DataFrame, geneset: DataFrame, score: str = "score") ->
 def gsea(scores: DataFrame, geneset: DataFrame, permutations: int = 1000, seed: int = 0, score: str = "score") -> DataFrame:
     """One row (es, p): the enrichment score and the fraction of permutations with a larger one in size.
 
-    A permutation is a hash order of the genes; each is one group, so permutations run in parallel and repeatably.
+    A permutation is an order of the genes by md5 of seed, permutation and gene; each is one group, so permutations run in parallel and repeatably.
     """
     r = ranked_hits(scores, geneset, score)
     es = enrichment_score(r, "rank", "hit")
     perms = scores.sparkSession.range(permutations).withColumnRenamed("id", "perm")
-    shuffled = perms.crossJoin(r.select("gene_id", "hit")).withColumn("rank", F.row_number().over(Window.partitionBy("perm").orderBy(F.xxhash64(F.lit(seed), "perm", "gene_id"))))
+    shuffled = perms.crossJoin(r.select("gene_id", "hit")).withColumn("rank", F.row_number().over(Window.partitionBy("perm").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("perm").cast("string"), F.col("gene_id").cast("string"))))))
     null = enrichment_score(shuffled, "rank", "hit", ["perm"]).withColumnRenamed("es", "null_es")
     return es.crossJoin(null).groupBy("es").agg(F.avg((F.abs("es") < F.abs("null_es")).cast("double")).alias("p"))

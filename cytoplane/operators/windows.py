@@ -25,17 +25,24 @@ def quantile_bins(df: DataFrame, col: str, n: int, out: str = "bin") -> DataFram
 def bh_adjust(df: DataFrame, p: str, out: str = "q", by: list[str] | None = None) -> DataFrame:
     """df plus Benjamini-Hochberg q-values of p (within by); null p stay null and don't count.
 
-    One family is inherently one ordered list; it holds a row per hypothesis, not per observation.
+    Equal p have equal q, so distinct values are counted first. With ``by`` a family is a window of its own; the one
+    family without it is dealt by ranges of p.
     """
     by = by or []
-    ok = df.where(F.col(p).isNotNull())
-    order = Window.partitionBy(*by).orderBy(p) if by else Window.orderBy(p)
-    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    down = (Window.partitionBy(*by) if by else Window).orderBy(F.desc("__rn")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = ok.withColumn("__rn", F.row_number().over(order)).withColumn("__m", F.count(F.lit(1)).over(whole))
-    q = F.least(F.lit(1.0), F.min(F.col(p) * F.col("__m") / F.col("__rn")).over(down))
-    done = ranked.withColumn(out, q).drop("__rn", "__m")
-    return done.unionByName(df.where(F.col(p).isNull()).withColumn(out, F.lit(None).cast("double")))
+    n = df.where(F.col(p).isNotNull()).groupBy(*by, F.col(p).alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
+    if by:
+        w = Window.partitionBy(*by).orderBy("__p")
+        n = n.withColumn("__upto", F.sum("__n").over(w)).withColumn("__m", F.sum("__n").over(Window.partitionBy(*by)))
+        n = n.withColumn("__q", F.min(F.col("__p") * F.col("__m") / F.col("__upto")).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
+    else:
+        n = running(n, ["__p"], {"__upto": ("__n", F.sum)}).withColumn("__raw", F.col("__p") / F.col("__upto"))
+        whole = n.agg(F.sum("__n").alias("__m"))
+        n = running(n, ["__p"], {"__low": ("__raw", F.min)}, backwards=True).crossJoin(F.broadcast(whole)).withColumn("__q", F.col("__low") * F.col("__m"))
+    q = n.select(*[F.col(c).alias(f"__{c}") for c in by], "__p", F.least(F.lit(1.0), F.col("__q")).alias(out))
+    same = F.col(p) == F.col("__p")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return df.join(q, same, "left").drop("__p", *[f"__{c}" for c in by])
 
 
 def gene_windows(genes: DataFrame, size: int = 200, step: int = 50, contig: str = "contig", start: str = "start", gene: str = "gene_id") -> DataFrame:
@@ -62,12 +69,20 @@ def robust_window_means(x: DataFrame, windows: DataFrame, size: int, cut: int =
 
 
 def running_enrichment(ranked: DataFrame, rank: str, hit: str, by: list[str] | None = None) -> DataFrame:
-    """ranked plus es: share of the set met so far minus share of the others met so far, along rank (within by)."""
-    by = by or []
-    w = (Window.partitionBy(*by) if by else Window).orderBy(rank).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    """ranked plus es: share of the set met so far minus share of the others met so far, along rank (within by).
+
+    With ``by`` a list is a window of its own; the one list without it is dealt by ranges of rank, which must tell rows apart.
+    """
     hits, others = F.count_if(F.col(hit)), F.count_if(~F.col(hit))
-    return ranked.withColumn("es", F.try_divide(hits.over(w), hits.over(whole)) - F.try_divide(others.over(w), others.over(whole)))
+    if by:
+        w = Window.partitionBy(*by).orderBy(rank).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        whole = Window.partitionBy(*by)
+        return ranked.withColumn("es", F.try_divide(hits.over(w), hits.over(whole)) - F.try_divide(others.over(w), others.over(whole)))
+    flags = ranked.withColumn("__a", F.col(hit).cast("long")).withColumn("__b", (~F.col(hit)).cast("long"))
+    run = running(flags, [rank], {"__h": ("__a", F.sum), "__o": ("__b", F.sum)})
+    total = ranked.agg(hits.alias("__ht"), others.alias("__ot"))
+    es = F.try_divide("__h", "__ht") - F.try_divide("__o", "__ot")
+    return run.crossJoin(F.broadcast(total)).withColumn("es", es).select(*ranked.columns, "es")
 
 
 def enrichment_score(ranked: DataFrame, rank: str, hit: str, by: list[str] | None = None) -> DataFrame:
@@ -99,17 +114,30 @@ def first_owner_top(df: DataFrame, cluster: str, gene: str, score: str, n: int,
     return out
 
 
-def running_total(df: DataFrame, order: list[str], amount: str, out: str) -> DataFrame:
-    """df plus the sum of amount over all rows up to and with this one in order, without one task that sees all rows.
+def running(df: DataFrame, order: list[str], amounts: dict, backwards: bool = False) -> DataFrame:
+    """df plus, for each name in amounts, {name: (column, F.sum or F.min or F.max)}, that aggregate over all rows up to and
+    with this one in order (backwards: from this one on), without one task that sees all rows.
 
-    Rows are dealt by ranges of order and stored; each range adds up for itself, and the totals of the ranges (a row per
-    partition) give what comes before. order must tell rows apart.
+    Rows are dealt by ranges of order and stored; each range is aggregated for itself, and the aggregates of the ranges
+    (a row per partition) give what comes before. order must tell rows apart.
     """
     dealt = written(df.repartitionByRange(*[F.col(c) for c in order]).withColumn("__part", F.spark_partition_id()))
-    totals = dealt.groupBy("__part").agg(F.sum(amount).alias("__t"))
-    before = totals.select("__part", F.coalesce(F.sum("__t").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
-    w = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return dealt.join(F.broadcast(before), "__part").withColumn(out, F.col("__b") + F.sum(amount).over(w)).drop("__part", "__b")
+    per = dealt.groupBy("__part").agg(*[f(c).alias(f"{out}__t") for out, (c, f) in amounts.items()])
+    to = (1, Window.unboundedFollowing) if backwards else (Window.unboundedPreceding, -1)
+    beyond = Window.orderBy("__part").rowsBetween(*to)
+    before = per.select("__part", *[f(f"{out}__t").over(beyond).alias(f"{out}__b") for out, (_, f) in amounts.items()])
+    own = (Window.currentRow, Window.unboundedFollowing) if backwards else (Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy("__part").orderBy(*order).rowsBetween(*own)
+    both = dealt.join(F.broadcast(before), "__part")
+    for out, (c, f) in amounts.items():
+        here, rest = f(c).over(w), F.col(f"{out}__b")
+        both = both.withColumn(out, {F.sum: here + F.coalesce(rest, F.lit(0)), F.min: F.least(here, rest), F.max: F.greatest(here, rest)}[f])
+    return both.drop("__part", *[f"{out}__b" for out in amounts])
+
+
+def running_total(df: DataFrame, order: list[str], amount: str, out: str) -> DataFrame:
+    """df plus the sum of amount over all rows up to and with this one in order; see ``running``."""
+    return running(df, order, {out: (amount, F.sum)})
 
 
 def global_ranks(df: DataFrame, col: str, out: str = "rank") -> DataFrame:

@@ -146,3 +146,39 @@ class ArrayReader(DataSourceReader):
             row, col, data = z["row"], z["col"], z["data"]
             for k in range(i * len(data) // n, (i + 1) * len(data) // n):
                 yield int(row[k]), int(col[k]), float(data[k])
+
+
+def workbook(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """{sheet: table} of an .xlsx file on the driver as ``writers.workbook`` and office programs write it (inline or shared
+    strings); the first row names the columns, values are texts, empty cells null."""
+    import re
+    import zipfile
+    from xml.etree import ElementTree
+
+    local = lambda e: e.tag.rsplit("}", 1)[-1]
+    texts = lambda e: "".join(t.text or "" for t in e.iter() if local(t) == "t")
+
+    def number(ref: str) -> int:
+        n = 0
+        for c in re.match("[A-Z]+", ref)[0]:
+            n = 26 * n + ord(c) - 64
+        return n - 1
+
+    out = {}
+    with zipfile.ZipFile(path) as z:
+        shared = [texts(e) for e in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in z.namelist() else []
+        targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        for s in (e for e in ElementTree.fromstring(z.read("xl/workbook.xml")).iter() if local(e) == "sheet"):
+            target = targets[next(v for k, v in s.attrib.items() if k.endswith("}id"))].lstrip("/").removeprefix("xl/")
+            rows = []
+            for row in (e for e in ElementTree.fromstring(z.read(f"xl/{target}")).iter() if local(e) == "row"):
+                got: dict[int, str] = {}
+                for i, c in enumerate(row):
+                    value = next((e.text for e in c if local(e) == "v"), None)
+                    value = texts(c) if c.get("t") == "inlineStr" else shared[int(value)] if c.get("t") == "s" else value
+                    got[number(c.get("r")) if c.get("r") else i] = value
+                rows.append([got.get(i) for i in range(max(got, default=-1) + 1)])
+            cols = rows[0] if rows else []
+            schema = ", ".join(f"`{c}` string" for c in cols)
+            out[s.get("name")] = spark.createDataFrame([tuple((r + [None] * len(cols))[: len(cols)]) for r in rows[1:]], schema)
+    return out

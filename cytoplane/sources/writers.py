@@ -22,6 +22,49 @@ def by_cluster(tables: DataFrame, folder: str, cluster: str = "cluster") -> None
     tables.write.option("header", True).partitionBy(cluster).csv(folder)
 
 
+def workbook(tables: DataFrame, path: str, sheet: str, most: int = 1_000_000) -> None:
+    """An .xlsx file on the driver with one sheet per value of column ``sheet`` (in order), a header and the other columns.
+
+    The format has room for about a million rows a sheet and one file is one driver's work, so more than ``most`` rows in
+    all raise; meant for tables of top markers. Null cells stay empty.
+    """
+    import zipfile
+    from xml.sax.saxutils import escape, quoteattr
+
+    rows = tables.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"over {most} rows")
+    cols = [c for c in tables.columns if c != sheet]
+    by: dict[str, list] = {}
+    for r in sorted(rows, key=lambda r: str(r[sheet])):
+        by.setdefault(str(r[sheet]), []).append([r[c] for c in cols])
+
+    def cell(v) -> str:
+        if v is None:
+            return "<c/>"
+        if isinstance(v, (int, float)) and not isinstance(v, bool):
+            return f"<c><v>{v!r}</v></c>"
+        return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
+
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    package = "http://schemas.openxmlformats.org/package/2006"
+    kind = "application/vnd.openxmlformats-officedocument.spreadsheetml."
+    head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+    at = range(1, len(by) + 1)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        parts = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{kind}worksheet+xml"/>' for i in at)
+        z.writestr("[Content_Types].xml", f'{head}<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}sheet.main+xml"/>{parts}</Types>')
+        z.writestr("_rels/.rels", f'{head}<Relationships xmlns="{package}/relationships"><Relationship Id="rId1" Type="{office}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        names = "".join(f'<sheet name={quoteattr(n[:31])} sheetId="{i}" r:id="rId{i}"/>' for i, n in zip(at, by))
+        z.writestr("xl/workbook.xml", f'{head}<workbook xmlns="{main}" xmlns:r="{office}"><sheets>{names}</sheets></workbook>')
+        links = "".join(f'<Relationship Id="rId{i}" Type="{office}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in at)
+        z.writestr("xl/_rels/workbook.xml.rels", f'{head}<Relationships xmlns="{package}/relationships">{links}</Relationships>')
+        for i, own in zip(at, by.values()):
+            body = "".join(f"<row>{''.join(map(cell, r))}</row>" for r in [cols, *own])
+            z.writestr(f"xl/worksheets/sheet{i}.xml", f'{head}<worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>')
+
+
 def sheet_name(cluster: Column, siblings: Column) -> Column:
     """'a up vs. b, c', or a shorter form where over 31 characters."""
     full = F.concat(cluster, F.lit(" up vs. "), F.array_join(siblings, ", "))
