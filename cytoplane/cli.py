@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cytoplane.functions import scalars
 from cytoplane.model import combine
-from cytoplane.operators import genome, joins, receptors
+from cytoplane.operators import clustering, differential, genome, joins, layers, receptors
 from cytoplane.sources import readers, writers
 
 
@@ -32,6 +32,15 @@ def main(args: list[str] | None = None) -> None:
     s = command("correspondence", "matrix", "output", "inputs")
     s.add_argument("--query", action="append", default=[])
     s.add_argument("--score", default="tau")
+    command("subset", "matrix", "output").add_argument("--query", action="append", required=True)
+    command("normalize", "matrix", "output").add_argument("--target", type=float, default=10_000.0)
+    s = command("markers", "matrix", "level", "output")
+    s.add_argument("--layer", default="")
+    s.add_argument("--top", type=int, default=500)
+    s = command("window-clusters", "matrix", "output")
+    for flag, default in (("--size", 200), ("--step", 50), ("--cut", 5), ("--levels", 1)):
+        s.add_argument(flag, type=int, default=default)
+    s.add_argument("--layer", default="")
     a = p.parse_args(args)
     spark = SparkSession.builder.appName("cytoplane").getOrCreate()
     if a.command == "combine":
@@ -46,6 +55,16 @@ def main(args: list[str] | None = None) -> None:
         m = readers.matrix(spark, a.matrix)
         wide = receptors.contigs_to_cells(readers.vdj_contigs(spark, a.contigs), ["cdr3"])
         writers.matrix(type(m)(m.layers, joins.guarded(m.cells, wide, "barcode", a.least), m.genes, m.attrs), a.output)
+    elif a.command == "subset":
+        m = readers.matrix(spark, a.matrix)
+        writers.matrix(m.subset(cells=scalars.predicate(m.cells, a.query)), a.output)
+    elif a.command == "normalize":
+        writers.matrix(layers.normalize_counts(readers.matrix(spark, a.matrix), denominator=a.target), a.output)
+    elif a.command == "markers":
+        writers.workbook(differential.markers(readers.matrix(spark, a.matrix), a.level, a.layer, a.top), a.output, "comparison")
+    elif a.command == "window-clusters":
+        means = genome.windowed_expression(readers.matrix(spark, a.matrix), a.size, a.step, a.cut, a.layer)
+        writers.text(clustering.iterate(genome.window_vectors(means), a.levels), a.output)
     else:
         m = readers.matrix(spark, a.matrix)
         m = m.subset(cells=scalars.predicate(m.cells, a.query)) if a.query else m

@@ -405,10 +405,12 @@ def gsea_es(spark, d):
     return windows.enrichment_score(signatures.ranked_hits(_scores(m), m.genes.where("contig = 'Brand#23'")), "rank", "hit").select(r6("es"))
 
 
-@query()
+@query(f"""{BASE}, {RANKED}, pe AS (SELECT perm, gene_id, hit, row_number() OVER (PARTITION BY perm ORDER BY md5('0:' || perm || ':' || gene_id)) AS rank FROM rk, range(200) AS p(perm)),
+pc AS (SELECT perm, (count(*) FILTER (WHERE hit) OVER w) / (count(*) FILTER (WHERE hit) OVER (PARTITION BY perm))::DOUBLE - (count(*) FILTER (WHERE NOT hit) OVER w) / (count(*) FILTER (WHERE NOT hit) OVER (PARTITION BY perm))::DOUBLE AS es FROM pe WINDOW w AS (PARTITION BY perm ORDER BY rank ROWS UNBOUNDED PRECEDING)),
+nu AS (SELECT perm, max(abs(es)) AS top FROM pc GROUP BY 1), ob AS (SELECT arg_max(es, abs(es)) AS es FROM es) SELECT round(es, 6) AS es, round(avg((abs(es) < top)::INT), 6) AS p FROM ob, nu GROUP BY es""")
 def gsea_perm(spark, d):
     m = matrix(spark, d)
-    return signatures.gsea(_scores(m), m.genes.where("contig = 'Brand#23'"), 200)
+    return signatures.gsea(_scores(m), m.genes.where("contig = 'Brand#23'"), 200).select(r6("es"), r6("p"))
 
 
 @query(f"""{FULL}, n AS (SELECT region, count(*) AS n FROM cells GROUP BY 1), s AS (SELECT region, gene_id, round(sum(value) / any_value(n), 6) AS mean FROM lg JOIN cells USING (cell_id) JOIN n USING (region) GROUP BY 1, 2)
@@ -423,7 +425,9 @@ def top_bottom_n(spark, d):
     return windows.top_and_bottom(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey", 10)
 
 
-@query()
+@query(f"""{FULL}, n AS (SELECT region, count(*) AS n FROM cells GROUP BY 1), s AS (SELECT region, gene_id, round(sum(value) / any_value(n), 6) AS mean FROM lg JOIN cells USING (cell_id) JOIN n USING (region) GROUP BY 1, 2),
+{', '.join(f"t{i} AS (SELECT * FROM s WHERE region = '{i}'" + "".join(f" AND gene_id NOT IN (SELECT gene_id FROM t{j})" for j in range(i)) + " ORDER BY mean DESC, gene_id LIMIT 5)" for i in range(5))}
+{' UNION ALL '.join(f"SELECT region, gene_id, mean FROM t{i}" for i in range(5))}""")
 def first_owner_top(spark, d):
     s = groups.cluster_means(normalized(spark, d), "region", "log").select("region", "gene_id", r6("mean"))
     return windows.first_owner_top(s, "region", "gene_id", "mean", 5, ["0", "1", "2", "3", "4"])
@@ -523,7 +527,9 @@ def tcr_summary(spark, d):
     return receptors.summary(_tcrs(spark, d)).select("sample", "tcr", "counts", "n_tra", "n_trb", r6("p"), r6("q"), "pair")
 
 
-@query()
+@query(f"""WITH {TCR}, c AS (SELECT DISTINCT tcr, string_split(tra, '---') AS ta, string_split(trb, '---') AS tb FROM ({PARSED} t)),
+least_d AS (SELECT l.tcr AS a, r.tcr AS b, list_min(flatten(list_transform(l.ta, lambda u: list_transform(r.ta, lambda v: levenshtein(u, v))))) AS da, list_min(flatten(list_transform(l.tb, lambda u: list_transform(r.tb, lambda v: levenshtein(u, v))))) AS db FROM c l JOIN c r ON l.tcr < r.tcr)
+SELECT a, b, (da + db)::INT AS d FROM least_d""")
 def tcr_distances(spark, d):
     return receptors.pair_distances(receptors.parse(_tcrs(spark, d)))
 
@@ -578,6 +584,11 @@ o AS (SELECT comparison, gene_id, r1 - n1 * (n1 + 1) / 2 AS u, n1, n2, (greatest
 SELECT {select} FROM o"""
 
 
+def _erfc(x: str) -> str:
+    """The complementary error function of a number, by a series of positive terms."""
+    return f"CASE WHEN ({x}) <= 0 THEN 1.0 WHEN ({x}) > 8 THEN 0.0 ELSE 1 - list_sum(list_transform(range(250), lambda k: exp(-({x}) * ({x}) + (2 * k + 1) * ln({x}) - lgamma(k + 1.5::DOUBLE)))) END"
+
+
 DE_COLS = "comparison, gene_id, round(u, 6) AS u, CASE WHEN NOT flat THEN round(z, 5) END AS z, CASE WHEN NOT flat THEN round(u / (n1 * n2), 6) END AS cles, round(m1, 6) AS mean1, round(m2, 6) AS mean2, round(log2(e1) - log2(e2), 5) AS lfc, round(f1, 6) AS frac1, round(f2, 6) AS frac2"
 
 
@@ -594,16 +605,17 @@ def de_mannwhitney(spark, d):
 @query(_rank_sum_sql("SELECT a.path AS comparison, c.cell_id, CASE WHEN c.path = a.path THEN 1 ELSE 2 END AS side FROM (SELECT DISTINCT region, path FROM cells) a JOIN cells c ON c.region = a.region WHERE a.region IN (SELECT region FROM cells GROUP BY 1 HAVING count(DISTINCT path) > 1)", DE_COLS))
 def de_all_levels(spark, d):
     m = normalized(spark, d)
-    return _de_cols(differential.rank_sum(m, differential.one_vs_siblings(m.cells, "path"), "log", smallest=1, with_p=False))
+    return _de_cols(differential.sibling_rank_sum(m, "path", "log", with_p=False))
 
 
-@query()
+@query(_rank_sum_sql("SELECT '1' AS comparison, cell_id, CASE WHEN region = '1' THEN 1 ELSE 2 END AS side FROM cells", "gene_id, p, q").replace("SELECT gene_id, p, q FROM o", f""", pv AS (SELECT gene_id, CASE WHEN flat THEN 1.0 ELSE least(1.0, {_erfc("z / sqrt(2)")}) END AS p FROM o), rp AS (SELECT *, row_number() OVER (ORDER BY p, gene_id) AS rn, count(*) OVER () AS m FROM pv)
+SELECT gene_id, round(p, 6) AS p, round(least(1.0, min(p * m / rn) OVER (ORDER BY rn DESC ROWS UNBOUNDED PRECEDING)), 6) AS q FROM rp"""))
 def de_with_p(spark, d):
     m = normalized(spark, d)
     return differential.differential_expression(m, differential.sides_of(m.cells, "region", ["1"]), "log").select("gene_id", r6("p"), r6("BenjaminiHochbergQ", "q"))
 
 
-@query()
+@query(_rank_sum_sql("SELECT a.region AS comparison, c.cell_id, CASE WHEN c.region = a.region THEN 1 ELSE 2 END AS side FROM (SELECT DISTINCT region FROM cells) a CROSS JOIN cells c", "comparison, gene_id, rank::INT AS rank, cles") .replace("SELECT comparison, gene_id, rank::INT AS rank, cles FROM o", ", e AS (SELECT comparison, gene_id, CASE WHEN NOT flat THEN round(u / (n1 * n2), 6) END AS cles FROM o WHERE m1 > m2) SELECT * FROM (SELECT comparison, gene_id, row_number() OVER (PARTITION BY comparison ORDER BY cles DESC NULLS LAST, gene_id)::INT AS rank, cles FROM e) WHERE rank <= 20"))
 def de_markers(spark, d):
     return differential.markers(normalized(spark, d), "region", "log", 20).select("comparison", "gene_id", "rank", r6("CommonLanguageEffectSize", "cles"))
 
@@ -622,36 +634,26 @@ def spearman_de(spark, d):
     return differential.spearman(m, m.cells.select("cell_id", F.col("balance").alias("covariate")), "log", with_p=False).select("gene_id", r6("rho"))
 
 
-@query(f"""{BASE}, v AS (SELECT cell_id, value AS a, price AS b FROM x JOIN genes USING (gene_id) WHERE gene_id % 5 = 0), p AS (SELECT u.cell_id, sign(u.a - w.a) AS s, sign(u.b - w.b) AS t FROM v u JOIN v w USING (cell_id))
-SELECT cell_id, round(sum(s * t) / (sqrt(sum(abs(s))) * sqrt(sum(abs(t)))), 6) AS tau FROM p GROUP BY 1""")
-def kendall_cells(spark, d):
-    m = matrix(spark, d)
-    v = m.x.join(m.genes.where("gene_id % 5 = 0").select("gene_id", "price"), "gene_id")
-    return differential.kendall_by(v, "cell_id", "value", "price").select("cell_id", r6("tau"))
-
-
-@query(f"""{BASE}, v AS (SELECT cell_id, gene_id::DOUBLE AS a, value AS b FROM x WHERE gene_id % 10 = 0) SELECT u.cell_id, round(quantile_cont((w.b - u.b) / (w.a - u.a), 0.5), 6) AS slope FROM v u JOIN v w ON u.cell_id = w.cell_id AND u.a < w.a GROUP BY 1""")
-def theil_sen(spark, d):
-    v = matrix(spark, d).x.where("gene_id % 10 = 0").withColumn("a", F.col("gene_id").cast("double"))
-    return differential.theil_sen(v, "cell_id", "a", "value").select("cell_id", r6("slope"))
-
-
 @query(f"""{BASE}, v AS (SELECT cell_id, value AS a, price AS b FROM x JOIN genes USING (gene_id)), p AS (SELECT u.cell_id, sign(u.a - w.a) AS s, sign(u.b - w.b) AS t FROM v u JOIN v w USING (cell_id))
 SELECT cell_id, round(sum(s * t) / (sqrt(sum(abs(s))) * sqrt(sum(abs(t)))), 6) AS tau FROM p GROUP BY 1""")
-def kendall_cells_all(spark, d):
+def kendall_cells(spark, d):
     m = matrix(spark, d)
     return differential.kendall_by(m.x.join(m.genes.select("gene_id", "price"), "gene_id"), "cell_id", "value", "price").select("cell_id", r6("tau"))
 
 
 @query(f"""{BASE}, v AS (SELECT cell_id, gene_id::DOUBLE AS a, value AS b FROM x) SELECT u.cell_id, round(quantile_cont((w.b - u.b) / (w.a - u.a), 0.5), 6) AS slope FROM v u JOIN v w ON u.cell_id = w.cell_id AND u.a < w.a GROUP BY 1""")
-def theil_sen_all(spark, d):
+def theil_sen(spark, d):
     v = matrix(spark, d).x.withColumn("a", F.col("gene_id").cast("double"))
     return differential.theil_sen(v, "cell_id", "a", "value").select("cell_id", r6("slope"))
 
 
-@query()
+@query(f"""WITH d AS (SELECT a.event_type AS c, b.value AS v, a.event_type = b.event_type AS one FROM (SELECT DISTINCT event_type FROM events) a CROSS JOIN events b), r AS (SELECT *, rank() OVER (PARTITION BY c ORDER BY v) + (count(*) OVER (PARTITION BY c, v) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY c, v)::DOUBLE AS k FROM d),
+g AS (SELECT c, (count(*) FILTER (WHERE one))::BIGINT AS n1, (count(*) FILTER (WHERE NOT one))::BIGINT AS n2, sum(r) FILTER (WHERE one) AS r1, sum(k * k - 1) AS ties, avg(v) FILTER (WHERE one) AS m1, avg(v) FILTER (WHERE NOT one) AS m2, var_samp(v) FILTER (WHERE one) AS s1, var_samp(v) FILTER (WHERE NOT one) AS s2 FROM r GROUP BY 1),
+u AS (SELECT *, r1 - n1 * (n1 + 1) / 2.0::DOUBLE AS u, n1::DOUBLE * n2 AS nn, (n1 + n2)::DOUBLE AS n FROM g), z AS (SELECT *, (greatest(u, nn - u) - nn / 2 - 0.5) / sqrt(nn / 12 * ((n + 1) - ties / (n * (n - 1)))) AS z FROM u)
+SELECT c AS event_type, n1, n2, round(least(1.0, {_erfc("z / sqrt(2)")}), 6) AS p, round((m1 - m2) / sqrt(((n1 - 1) * s1 + (n2 - 1) * s2) / (n1 + n2 - 2)), 6) + 0.0 AS cohens_d, round(u / nn, 6) AS cles FROM z""")
 def category_tests(spark, d):
-    return differential.category_tests(table(spark, d, "events"), "event_type", "value")
+    t = differential.category_tests(table(spark, d, "events"), "event_type", "value")
+    return t.select("event_type", "n1", "n2", r6("p"), r6("cohens_d"), r6("cles"))
 
 
 # ---- signatures, genome
@@ -680,9 +682,12 @@ def dna_correspondence(spark, d):
     return genome.correspondence(m, {"one": _segments(m)})
 
 
-@query()
+@query(f"""{BASE}, {WINDOWS}, v AS (SELECT w.contig, w."window", cell_id, value, row_number() OVER (PARTITION BY w.contig, w."window", cell_id ORDER BY value DESC, gene_id) AS rn FROM x JOIN w USING (gene_id)),
+me AS (SELECT contig, "window", cell_id, round(coalesce(sum(value) FILTER (WHERE rn > 3), 0) / 17, 9) AS mean FROM v GROUP BY 1, 2, 3)
+SELECT contig, "window", cell_id, rank() OVER (PARTITION BY cell_id ORDER BY mean) + (count(*) OVER (PARTITION BY cell_id, mean) - 1) / 2.0::DOUBLE AS rank FROM me""")
 def wme_ranks(spark, d):
-    return genome.window_ranks(genome.windowed_expression(matrix(spark, d), 20, 10, 3)).select("contig", "window", "cell_id", "rank")
+    means = genome.windowed_expression(matrix(spark, d), 20, 10, 3).withColumn("mean", F.round("mean", 9))
+    return genome.window_ranks(means).select("contig", "window", "cell_id", "rank")
 
 
 # ---- linear algebra and clustering
@@ -712,10 +717,14 @@ def kde_grid(spark, d):
     return linalg.kde_grid(p, 20).select("i", "j", F.round("density", 4).alias("density"))
 
 
-@query()
+@query("""WITH l AS (SELECT embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, label < 5 AS low FROM embeddings), box AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM l),
+s AS (SELECT low, count(*)::DOUBLE AS n, var_samp(x) AS vx, var_samp(y) AS vy, covar_samp(x, y) AS vxy FROM l GROUP BY 1), f AS (SELECT *, (n ** (-1.0 / 6)) ** 2 AS f FROM s),
+g AS (SELECT low, i, j, x0 + i * (x1 - x0) / 19 AS gx, y0 + j * (y1 - y0) / 19 AS gy, n, vx * f AS vx, vy * f AS vy, vxy * f AS vxy FROM f, box, range(20) AS a(i), range(20) AS b(j)),
+de AS (SELECT g.low, i, j, gx, gy, sum(exp(-(vy * (gx - x) ** 2 - 2 * vxy * (gx - x) * (gy - y) + vx * (gy - y) ** 2) / (vx * vy - vxy * vxy) / 2)) / any_value(n * 2 * pi() * sqrt(vx * vy - vxy * vxy)) AS density FROM g JOIN l ON l.low = g.low GROUP BY 1, 2, 3, 4, 5)
+SELECT i::INT AS i, j::INT AS j, round(any_value(gx), 4) AS gx, round(any_value(gy), 4) AS gy, round(sum(CASE WHEN low THEN density ELSE -density END), 4) + 0.0 AS density FROM de GROUP BY i, j""")
 def kde_difference(spark, d):
     p = vectors(spark, d).select(F.col("vec")[0].cast("double").alias("x"), F.col("vec")[1].cast("double").alias("y"), (F.col("label") < 5).alias("low"))
-    return linalg.kde_difference(p, "low", 20)
+    return linalg.kde_difference(p, "low", 20).select("i", "j", F.round("gx", 4).alias("gx"), F.round("gy", 4).alias("gy"), (F.round("density", 4) + 0.0).alias("density"))
 
 
 @query()
@@ -759,7 +768,7 @@ def iterative_clustering(spark, d):
 
 @query()
 def leiden_like(spark, d):
-    return clustering.neighbour_communities(vectors(spark, d), 8)[0]
+    return clustering.neighbour_communities(vectors(spark, d), 8, levels=2)[0]
 
 
 @query()
@@ -852,6 +861,9 @@ def event_windows(spark, d):
     return streams.windowed(table(spark, d, "events")).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query()
+@query("""WITH s AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM s)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS "end", count(*)::BIGINT AS n FROM g GROUP BY user_id, run""")
 def event_sessions(spark, d):
-    return streams.sessions(table(spark, d, "events"))
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return streams.sessions(table(spark, d, "events")).select("user_id", stamp("start"), stamp("end"), "n")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cytoplane.functions import scalars
+from cytoplane.functions import registered, scalars
 from cytoplane.model import combine
-from cytoplane.operators import clustering, differential, diversity, graph, groups, layers, masks, mixtures, windows
+from cytoplane.operators import associations, clustering, differential, diversity, graph, groups, layers, masks, mixtures, windows
 from cytoplane.plans import views
-from cytoplane.plans.catalogue import _antibodies, _scores, query, r6
+from cytoplane.plans.catalogue import _antibodies, _rank_sum_sql, _scores, query, r6
 from cytoplane.plans.fixtures import BASE, FULL, GENES, X, matrix, normalized, table, vectors
 from cytoplane.sources import readers, writers
 
@@ -162,7 +162,7 @@ def stored_values(spark, d):
     return table(spark, d, "lineitem").where("l_quantity > 0").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
 
 
-@query()
+@query("SELECT c_custkey, c_mktsegment FROM (SELECT *, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer) WHERE ('0x' || left(md5('0:' || c_custkey), 8))::BIGINT / 4294967296.0::DOUBLE < 20 / n::DOUBLE")
 def bernoulli_sample(spark, d):
     return masks.bernoulli(table(spark, d, "customer"), 20, ["c_mktsegment"], "c_custkey").select("c_custkey", "c_mktsegment")
 
@@ -173,18 +173,18 @@ def downsampled_counts(spark, d):
     return masks.downsample_counts(c, "c_nationkey", "n", 0.5)
 
 
-@query()
+@query(_rank_sum_sql("SELECT 'selection' AS comparison, cell_id, CASE region WHEN '0' THEN 1 ELSE 2 END AS side FROM cells WHERE region IN ('0', '1')", "gene_id, side, cles").replace("SELECT gene_id, side, cles FROM o", ", e AS (SELECT gene_id, u / (n1 * n2) AS cles FROM o WHERE NOT flat) (SELECT gene_id, 'top' AS side, round(cles, 6) AS cles FROM e ORDER BY e.cles DESC, gene_id LIMIT 10) UNION ALL (SELECT gene_id, 'bottom', round(cles, 6) FROM e ORDER BY e.cles, gene_id LIMIT 10)"))
 def selection_markers(spark, d):
     m = normalized(spark, d)
     side = lambda r: m.cells.where(F.col("region") == r).select("cell_id")
     return views.compare_selections(m, side("0"), side("1"), "log").select("gene_id", "side", r6("CommonLanguageEffectSize", "cles"))
 
 
-@query()
+@query(_rank_sum_sql("SELECT a.region AS comparison, c.cell_id, CASE WHEN c.region = a.region THEN 1 ELSE 2 END AS side FROM (SELECT DISTINCT region FROM cells) a CROSS JOIN cells c", "heat").replace("SELECT heat FROM o", ", e AS (SELECT comparison, gene_id, CASE WHEN NOT flat THEN u / (n1 * n2) END AS cles FROM o WHERE m1 > m2 AND f2 < 1.1), t AS (SELECT comparison, gene_id FROM (SELECT *, row_number() OVER (PARTITION BY comparison ORDER BY cles DESC NULLS LAST, gene_id) AS rank FROM e) WHERE rank <= 3) SELECT comparison, gene_id, cell_id, round(value, 6) AS value FROM t JOIN lg USING (gene_id)"))
 def marker_heatmap(spark, d):
     m = normalized(spark, d)
     marks = differential.markers(m, "region", "log", 50)
-    return views.marker_heatmap(m, marks, "log", 3, 1.1)
+    return views.marker_heatmap(m, marks, "log", 3, 1.1).select("comparison", "gene_id", "cell_id", r6("value"))
 
 
 @query()
@@ -250,3 +250,38 @@ def category_by_hue(spark, d):
     e = table(spark, d, "events").withColumn("odd", F.col("user_id") % 2)
     t = differential.category_tests(e, "event_type", "value", "odd", "ttest")
     return t.select("event_type", "n1", "n2", r6("cohens_d"), r6("cles"))
+
+
+@query("""WITH k AS (SELECT l_returnflag AS a, l_linestatus AS b, count(*)::DOUBLE AS k FROM lineitem GROUP BY 1, 2), t AS (SELECT *, sum(k) OVER (PARTITION BY a) AS na, sum(k) OVER (PARTITION BY b) AS nb, sum(k) OVER () AS n FROM k)
+SELECT any_value(n)::BIGINT AS n, round(any_value(n) * (sum(k * k / na / nb) - 1), 4) AS statistic, ((count(DISTINCT a) - 1) * (count(DISTINCT b) - 1))::BIGINT AS df FROM t""")
+def chi_square(spark, d):
+    return associations.chi_square(table(spark, d, "lineitem"), "l_returnflag", "l_linestatus").select("n", F.round("statistic", 4).alias("statistic"), "df")
+
+
+@query("""WITH g AS (SELECT event_type, count(*)::DOUBLE AS n, avg(value) AS m, var_pop(value) AS s FROM events WHERE value IS NOT NULL AND event_type IS NOT NULL GROUP BY 1), w AS (SELECT sum(n) AS big, sum(n * m) / sum(n) AS mean, count(*) AS k FROM g)
+SELECT round((sum(n * (m - mean) ** 2) / (any_value(k) - 1)) / (sum(n * s) / (any_value(big) - any_value(k))), 6) AS statistic, any_value(k) - 1 AS df1, (any_value(big) - any_value(k))::BIGINT AS df2 FROM g, w""")
+def anova(spark, d):
+    return associations.anova(table(spark, d, "events"), "event_type", "value").select(r6("statistic"), "df1", "df2")
+
+
+@query("""WITH v AS (SELECT o_totalprice AS v, count(*) FILTER (WHERE o_orderstatus = 'F') AS a, count(*) FILTER (WHERE o_orderstatus <> 'F') AS b FROM orders WHERE o_orderstatus IS NOT NULL AND o_totalprice IS NOT NULL GROUP BY 1),
+c AS (SELECT sum(a) OVER w AS ca, sum(b) OVER w AS cb, sum(a) OVER () AS n1, sum(b) OVER () AS n2 FROM v WINDOW w AS (ORDER BY v ROWS UNBOUNDED PRECEDING))
+SELECT any_value(n1)::BIGINT AS n1, any_value(n2)::BIGINT AS n2, round(max(abs(ca / n1::DOUBLE - cb / n2::DOUBLE)), 6) AS statistic FROM c""")
+def two_sample_ks(spark, d):
+    return associations.two_sample_ks(table(spark, d, "orders"), "o_totalprice", F.col("o_orderstatus") == "F").select("n1", "n2", r6("statistic"))
+
+
+@query("""WITH d AS (SELECT DISTINCT event_type AS g, user_id AS i FROM events WHERE event_type IS NOT NULL AND user_id IS NOT NULL), n AS (SELECT g, count(*) AS n FROM d GROUP BY 1), b AS (SELECT a.g AS a, b.g AS b, count(*) AS k FROM d a JOIN d b ON a.i = b.i AND a.g < b.g GROUP BY 1, 2)
+SELECT a, b, k::BIGINT AS "both", round(k / (x.n + y.n - k)::DOUBLE, 6) AS jaccard FROM b JOIN n x ON x.g = a JOIN n y ON y.g = b""")
+def jaccard(spark, d):
+    return associations.jaccard(table(spark, d, "events"), "event_type", "user_id").select("a", "b", "both", r6("jaccard"))
+
+
+@query("""WITH n AS (SELECT c_nationkey, c_mktsegment, count(*)::DOUBLE AS n FROM customer GROUP BY 1, 2), s AS (SELECT c_nationkey, sum(n) AS total, sum(n * (n - 1)) AS same FROM n GROUP BY 1)
+SELECT c_nationkey, round(same / (total * (total - 1)), 6) AS simpson, w::INT AS "window", (5 * w)::INT AS first, (5 * w + 9)::INT AS last FROM s, unnest(range(0, CASE WHEN total >= 10 THEN (total::BIGINT - 10) // 5 + 1 ELSE 0 END)) AS u(w) WHERE total > 1""")
+def registered_functions(spark, d):
+    registered.register(spark)
+    n = table(spark, d, "customer").groupBy("c_nationkey").agg(registered.simpson_index("c_mktsegment").alias("simpson"))
+    sizes = table(spark, d, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    wide = spark.sql("SELECT c_nationkey, w.* FROM {sizes} AS s, LATERAL window_starts(s.n, 10, 5) AS w", sizes=sizes)
+    return n.join(wide, "c_nationkey").select("c_nationkey", r6("simpson"), "window", "first", "last")

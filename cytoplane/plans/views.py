@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cytoplane.model import AnnotatedMatrix
-from cytoplane.operators import differential, masks, signatures, windows
+from cytoplane.operators import differential, masks, windows
 
 
 def cluster_embedding(coords: DataFrame, cells: DataFrame, level: str, cluster: str | None = None, child: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -33,7 +33,8 @@ def colored_embedding(coords: DataFrame, m: AnnotatedMatrix, gene_id=None, attri
 
 def enrichment_curves(scores: DataFrame, pathways: DataFrame, score: str = "score") -> DataFrame:
     """(pathway, rank, es) for every pathway (pathway, gene_id) that has a scored gene."""
-    r = scores.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), "gene_id")))
+    down = scores.withColumn("__down", -F.col(score)).withColumn("__one", F.lit(1))
+    r = windows.running_total(down, ["__down", "gene_id"], "__one", "__rank").withColumn("rank", F.col("__rank").cast("int")).drop("__down", "__one", "__rank")
     names = pathways.join(scores.select("gene_id"), "gene_id", "left_semi").select("pathway").distinct()
     hit = pathways.select("pathway", "gene_id", F.lit(True).alias("hit")).distinct()
     return windows.running_enrichment(names.crossJoin(r).join(hit, ["pathway", "gene_id"], "left").withColumn("hit", F.coalesce("hit", F.lit(False))), "rank", "hit", ["pathway"]).select("pathway", "rank", "es")
@@ -52,6 +53,3 @@ def compare_selections(m: AnnotatedMatrix, first: DataFrame, second: DataFrame,
     d = differential.differential_expression(m, sides, layer).where("CommonLanguageEffectSize IS NOT NULL")
     return windows.top_and_bottom(d, "CommonLanguageEffectSize", "gene_id", n)
 
-
-def set_scores(m: AnnotatedMatrix, sets: DataFrame, layer: str = "") -> DataFrame:
-    return signatures.set_means(m, sets, layer)

@@ -12,15 +12,23 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="fixtures are absent")
 
 
+#: Where the smallest tables won't do: with ten suppliers p-values are exact ones, which the SQL doesn't compute; no contig
+#: has a whole window of genes.
+ELSEWHERE = dict.fromkeys(("de_with_p", "malignancy_score"), "/root/testdata/sf0.01")
+
+
 @pytest.fixture(scope="module")
 def duck():
     import duckdb
 
-    c = duckdb.connect()
-    c.execute("SET timezone = 'UTC'")
-    for t in TABLES:
-        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
-    return c
+    def connect(data):
+        c = duckdb.connect()
+        c.execute("SET timezone = 'UTC'")
+        for t in TABLES:
+            c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+        return c
+
+    return connect
 
 
 def plain(v):
@@ -33,9 +41,10 @@ def plain(v):
 
 @pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_agrees_with_sql(spark, duck, name):
-    got = catalogue.queries()[name](spark, DATA)
+    data = ELSEWHERE.get(name, DATA)
+    got = catalogue.queries()[name](spark, data)
     cols = sorted(got.columns)
-    rel = duck.sql(catalogue.oracle_sql()[name])
+    rel = duck(data).sql(catalogue.oracle_sql()[name])
     assert cols == sorted(rel.columns)
     mine = sorted(tuple(plain(v) for v in r) for r in got.select(*[f"`{c}`" for c in cols]).collect())
     at = [rel.columns.index(c) for c in cols]
@@ -43,6 +52,32 @@ def test_agrees_with_sql(spark, duck, name):
     assert mine == theirs
 
 
+#: What must hold of queries without SQL, given their rows and the fixtures as (columns, check).
+WITHOUT_SQL = {
+    "tcr_summary": (["counts", "n_tra", "n_trb", "p", "pair", "q", "sample", "tcr"], lambda r: all(x.counts > 0 and (x.p is None or 0 <= x.p <= x.q <= 1) for x in r)),  # no doublet of the fixtures has both parents; p is tested with the kernels
+    "de_pseudobulk": (["CohensD", "CommonLanguageEffectSize", "gene_id", "mannwhitney_p", "mannwhitney_q", "ttest_ind_p", "ttest_ind_q"], lambda r: all(0 <= x.mannwhitney_p <= x.mannwhitney_q <= 1 for x in r if x.mannwhitney_p is not None)),
+    "malignancy_score": (["cell_id", "malignancy", "pc1"], lambda r: all(0 <= x.malignancy <= 1 for x in r if x.malignancy is not None)),
+    "dna_correspondence": (["cell_id", "p", "segmentation", "tau"], lambda r: len(r) > 0 and all(x.tau is None or -1 <= x.tau <= 1 for x in r)),
+    "pca_fit": (["gene_id", "loading", "pc"], lambda r: all(abs(sum(x.loading**2 for x in r if x.pc == k) - 1) < 1e-9 for k in {x.pc for x in r}) and len({x.pc for x in r}) == 5),
+    "nmf": (["cell_id", "component", "score"], lambda r: len(r) > 0 and all(x.score >= 0 for x in r)),
+    "diffusion": (["component", "id", "value"], lambda r: len(r) == 5 * len({x.id for x in r}) and len({x.id for x in r}) == 500),
+    "iterative_clustering": (["id", "level0", "level1"], lambda r: len({x.id for x in r}) == len(r) == 500 and all(x.level1 is None or x.level1.startswith(x.level0 + "-") for x in r)),
+    "leiden_like": (["id", "label"], lambda r: len({x.id for x in r}) == len(r) == 500 and all(x.label <= x.id for x in r)),
+    "umap_like": (["id", "x", "y"], lambda r: len(r) == 500 and all(math.isfinite(x.x) and math.isfinite(x.y) for x in r)),
+    "antibody_mixture": (["antibody", "cell_id", "prediction"], lambda r: {x.prediction for x in r} <= {0, 1, None} and len({(x.cell_id, x.antibody) for x in r}) == len(r)),
+    "antibody_hard_calls": (["antibody", "cell_id", "prediction"], lambda r: {x.prediction for x in r} <= {0, 1, None} and len(r) > 0),
+    "gamma_calls": (["antibody", "cell_id", "prediction"], lambda r: {x.prediction for x in r} <= {0, 1, None} and len(r) > 0),
+    "guide_calls": (["cell_id", "guides", "n_guides", "n_reads"], lambda r: all(x.n_guides == (len(x.guides.split("+")) if x.guides else 0) for x in r)),
+    "background_corrected": (["antibody", "cell_id", "value"], lambda r: len({(x.cell_id, x.antibody) for x in r}) == len(r) > 0),
+    "alpha_outlines": (None, lambda r: len(r) > 2),
+    "downsampled_counts": (["c_nationkey", "n"], lambda r: sum(x.n for x in r) == 75 and min(x.n for x in r) >= 0),
+    "neighbour_search": (["k", "silhouette"], lambda r: len(r) == 1 and 2 <= r[0].k <= 2048 and -1 <= r[0].silhouette <= 1),
+    "clump_sizes": (["cluster", "mean_distance", "n"], lambda r: sum(x.n for x in r) == 500 and all(x.n > 0 for x in r)),
+}
+
+
 @pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql())))
-def test_runs(spark, name):
-    assert catalogue.queries()[name](spark, DATA).count() >= 0
+def test_holds_without_sql(spark, name):
+    cols, holds = WITHOUT_SQL[name]
+    rows = catalogue.queries()[name](spark, ELSEWHERE.get(name, DATA)).collect()
+    assert rows and (cols is None or sorted(rows[0].__fields__) == cols) and holds(rows)
