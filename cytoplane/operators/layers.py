@@ -86,7 +86,9 @@ def standardize(m: AnnotatedMatrix, axis: str, layer: str = "", out: str | None
                 cell = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(genes), np.int32)), b.column("cell_id").slice(i, 1)).dictionary_decode()
                 yield pa.RecordBatch.from_arrays([cell, genes, pa.array(v)], ["cell_id", "gene_id", "value"])
 
-    return m.with_layer(name, cells.join(packed, "cell_id", "left").mapInArrow(fill, f"cell_id {kinds['cell_id']}, gene_id {kinds['gene_id']}, value double"))
+    # Dense rows are many more bytes than what is shuffled here, so tasks are counted by what they put out.
+    tasks = max(spark.sparkContext.defaultParallelism, -(-m.cells.count() * rows.num_rows // (1 << 22)))
+    return m.with_layer(name, cells.join(packed, "cell_id", "left").repartition(tasks, "cell_id").mapInArrow(fill, f"cell_id {kinds['cell_id']}, gene_id {kinds['gene_id']}, value double"))
 
 
 def zscore(df: DataFrame, col: str, by: list[str] | None = None, sample: bool = True) -> Column:
