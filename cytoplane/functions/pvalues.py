@@ -113,23 +113,36 @@ def wilcoxon(a: np.ndarray, b: np.ndarray) -> float:
     return math.erfc(abs(plus - n * (n + 1) / 4) / s / math.sqrt(2)) if s else 1.0
 
 
-def kendall(x: np.ndarray, y: np.ndarray, block: int = 512) -> tuple[float, float]:
-    """(tau-b, two-sided normal p), pairs counted in blocks."""
+def inversions(v: np.ndarray) -> int:
+    """Pairs whose earlier entry is greater, by merging sorted runs of doubling width, all runs of a width at once."""
+    v = np.unique(v, return_inverse=True)[1].astype(np.int64)
+    n, kinds, at, total, width = len(v), int(v.max(initial=0)) + 1, np.arange(len(v)), 0, 1
+    while width < n:
+        pair, right = at // (2 * width), at // width % 2 == 1
+        key = pair * kinds + v
+        left = key[~right]
+        total += int((np.searchsorted(left, (pair[right] + 1) * kinds) - np.searchsorted(left, key[right], "right")).sum())
+        v = np.sort(key) - pair * kinds
+        width *= 2
+    return total
+
+
+def kendall(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """(tau-b, two-sided normal p); discordant pairs are the inversions of y in the order of x, so no pair is made."""
     n = len(x)
-    s = tx = ty = 0.0
-    for i in range(0, n, block):
-        a, b = np.sign(x[i : i + block, None] - x[None]), np.sign(y[i : i + block, None] - y[None])
-        s, tx, ty = s + (a * b).sum(), tx + (a != 0).sum(), ty + (b != 0).sum()
+    gx, gy = (np.unique(v, return_counts=True)[1].astype(float) for v in (x, y))
+    gxy = np.unique(np.stack([x, y]), axis=1, return_counts=True)[1].astype(float)
+    pairs = lambda g: (g * (g - 1)).sum() / 2
+    tx, ty = n * (n - 1) / 2 - pairs(gx), n * (n - 1) / 2 - pairs(gy)
     if tx == 0 or ty == 0:
         return float("nan"), float("nan")
-    s /= 2
-    gx, gy = (np.unique(v, return_counts=True)[1].astype(float) for v in (x, y))
+    s = n * (n - 1) / 2 - pairs(gx) - pairs(gy) + pairs(gxy) - 2 * inversions(y[np.lexsort((y, x))])
     v0 = n * (n - 1) * (2 * n + 5)
     vt, vu = ((g * (g - 1) * (2 * g + 5)).sum() for g in (gx, gy))
     v = (v0 - vt - vu) / 18 + (gx * (gx - 1)).sum() * (gy * (gy - 1)).sum() / (2 * n * (n - 1))
     if n > 2:
         v += (gx * (gx - 1) * (gx - 2)).sum() * (gy * (gy - 1) * (gy - 2)).sum() / (9 * n * (n - 1) * (n - 2))
-    return 2 * s / math.sqrt(tx * ty), math.erfc(abs(s) / math.sqrt(2 * v)) if v > 0 else 1.0
+    return s / math.sqrt(tx * ty), math.erfc(abs(s) / math.sqrt(2 * v)) if v > 0 else 1.0
 
 
 def median_slope(x: np.ndarray, y: np.ndarray, block: int = 512, held: int = 1 << 20) -> float:

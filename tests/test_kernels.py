@@ -47,6 +47,18 @@ def test_kendall():
     assert math.isnan(pvalues.kendall(np.ones(4), y)[0])
 
 
+def test_kendall_with_ties_against_all_pairs():
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 3, 17, 64, 130):
+        for kinds in (2, 5, 10**6):
+            x, y = rng.integers(0, kinds, n).astype(float), rng.integers(0, kinds, n).astype(float)
+            assert pvalues.inversions(y) == sum(y[i] > y[j] for i in range(n) for j in range(i + 1, n))
+            a, b = np.sign(x[:, None] - x), np.sign(y[:, None] - y)
+            down = np.sqrt((a != 0).sum() * (b != 0).sum())
+            tau = pvalues.kendall(x, y)[0]
+            assert math.isnan(tau) if down == 0 else tau == pytest.approx((a * b).sum() / down)
+
+
 def test_median_slope_holds_no_pairs():
     rng = np.random.default_rng(3)
     for n, ties in ((2, False), (41, True), (300, False), (301, True)):
