@@ -54,8 +54,9 @@ def read_out(p: np.ndarray, counts: np.ndarray, lead: float) -> np.ndarray:
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, chars: int = TRAIN_CHARS, lexicon: int = 500, epochs: int = 3, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Crf | None:
     """Learns from at most per_language rows a label, drawn by a hash of the id; what comes to the driver is that sample.
 
-    Each word of a text carries the text's label, so the learned transitions express how much words stay in a language; the lexicon holds each label's most frequent words; how much the start
-    of a text counts is what does best on the sample. None without rows.
+    Each word of a text carries the text's label, so the learned transitions express how much words stay in a language;
+    the lexicon holds each label's most frequent words; how much the start of a text counts is what does best on the
+    sample. None without rows.
     """
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().collect()}
