@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cytoplane.functions import scalars
 from cytoplane.model import combine
-from cytoplane.operators import clustering, differential, genome, joins, layers, receptors
+from cytoplane.operators import clustering, differential, genome, joins, layers, receptors, windows
 from cytoplane.sources import readers, writers
 
 
@@ -47,7 +47,8 @@ def main(args: list[str] | None = None) -> None:
         writers.matrix(combine([readers.matrix(spark, f) for f in a.inputs]), a.output)
     elif a.command == "convert-triplets":
         f = spark.read.option("sep", "\t").schema("name string, gene string, type string").csv(a.features).withColumn("at", F.monotonically_increasing_id())
-        f = f.select((F.row_number().over(readers.Window.orderBy("at")) - 1).cast("long").alias("gene_id"), "gene", "type")
+        f = windows.running_total(f.withColumn("one", F.lit(1)), ["at"], "one", "upto")
+        f = f.select((F.col("upto") - 1).cast("long").alias("gene_id"), "gene", "type")
         writers.matrix(readers.feature_matrix(readers.triplets(spark, a.matrix), f, exclude_types=a.exclude), a.output)
     elif a.command == "split-exons":
         writers.gtf(scalars.split_exons(readers.gtf(spark, a.gtf), a.gene, a.transcript_as_gene), a.output)
