@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, embedding_dedup, language_id, license_scan, line_dedup, minhash, secret_scan, token_count, toxicity
+from . import bpe, decontaminate, embedding_dedup, fill_in_middle, filter_audit, language_id, license_scan, line_dedup, minhash, secret_scan, sharding, token_count, toxicity
 
 
 def queries() -> dict:
@@ -17,8 +17,18 @@ def queries() -> dict:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_bpe": bpe.op9_bpe,
         "op10_license_scan": license_scan.op10_license_scan,
+        "op11_filter_audit": filter_audit.op11_filter_audit,
+        "op12_fill_in_middle": fill_in_middle.op12_fill_in_middle,
+        "op13_sharding": sharding.op13_sharding,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_minhash_dedup": minhash.ORACLE, "op2_embedding_dedup": embedding_dedup.ORACLE, "op3_line_dedup": line_dedup.ORACLE}
+    return {
+        "op1_minhash_dedup": minhash.ORACLE,
+        "op2_embedding_dedup": embedding_dedup.ORACLE,
+        "op3_line_dedup": line_dedup.ORACLE,
+        "op11_filter_audit": filter_audit.ORACLE,
+        "op12_fill_in_middle": fill_in_middle.ORACLE,
+        "op13_sharding": sharding.ORACLE,
+    }
