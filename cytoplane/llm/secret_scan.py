@@ -26,8 +26,10 @@ CLASSES = (
     ("upper", "^(?=.*[0-9])(?=.*[A-Z])[A-Z0-9]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 3.4),
     ("base64", "^(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9+/_=-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.9),
 )
-#: A path's segment that looks like a word or a version, as chance alone hardly makes it between two slashes.
-SEGMENT = "(?:v[0-9]{1,3}|[A-Z]{3,}|[A-Za-z][a-z]+[0-9]{0,3}(?:[_-][A-Za-z]?[a-z]+[0-9]{0,3})*)"
+#: A path's segment that looks like a word or a version, as chance alone hardly makes it between two slashes. The repeated
+#: group is possessive: the matcher loops over it, where it would else call itself once for each repetition and run out of
+#: stack. Nothing is lost by that, since no part of the group can also match what follows it.
+SEGMENT = "(?:v[0-9]{1,3}|[A-Z]{3,}|[A-Za-z][a-z]++[0-9]{0,3}+(?:[_-][A-Z]?[a-z]++[0-9]{0,3}+)*+)"
 #: Candidates that hold one of these are known not to be secrets: placeholders, UUIDs, runs of the alphabet, paths.
 ALLOW = (
     "(?i)example|placeholder|changeme|dummy|your[_-]|lorem",
@@ -103,6 +105,20 @@ def window_entropy(s: Column, alphabet: str, width: int) -> Column:
     return F.aggregate(pairs, zero, step, lambda acc: acc["best"])
 
 
+def reaches(s: Column, alphabet: str, width: int, bits: float, piece: int = 4096) -> Column:
+    """Whether some window of s reaches ``bits``. s is taken in pieces, each with the ``width`` - 1 characters after it, so that
+    what one holds in memory doesn't grow with s; pieces after the first that does are not looked at."""
+    if piece < width:
+        raise ValueError("a piece holds a window at least")
+
+    def any_piece(pieces: Column) -> Column:
+        with_rest = F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.substring(F.get(pieces, i + 1), 1, width - 1), F.lit(""))))
+        return F.aggregate(with_rest, F.lit(False), lambda found, p: F.when(found, True).otherwise(window_entropy(p, alphabet, width) >= bits))
+
+    whole = window_entropy(s, alphabet, width) >= bits
+    return F.when(F.length(s) <= piece, whole).otherwise(_bound(F.regexp_extract_all(s, F.lit(f"(?s).{{1,{piece}}}"), F.lit(0)), any_piece))
+
+
 def find_secrets(docs: DataFrame, width: int = 20, classes: tuple = CLASSES, allow: tuple = ALLOW, text_col: str = "text") -> DataFrame:
     """docs plus base and added: arrays of (start, rank, end, kind), rank being the kind's place in KINDS.
 
@@ -110,7 +126,8 @@ def find_secrets(docs: DataFrame, width: int = 20, classes: tuple = CLASSES, all
     or more; spans are whole matches in code points, end exclusive. added: runs of 20 or more token characters of which
     some window of ``width`` reaches its class's entropy, that no allow-list pattern fits and no base span meets.
     Null text counts as empty. Each row stands for itself, whatever its id; nothing is shuffled. Columns named base or
-    added are replaced. Time grows with the length of a text, however many spans it has.
+    added are replaced. Time grows with the length of a text, however many spans it has, also where all of it is one
+    candidate; the matcher's stack does not.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
 
@@ -124,7 +141,7 @@ def find_secrets(docs: DataFrame, width: int = 20, classes: tuple = CLASSES, all
         # A window's entropy is the same whatever alphabet holds its characters: the class that asks least of x decides.
         hit, ok = F.lit(False), F.lit(False)
         for _, shape, alphabet, bits in sorted(classes, key=lambda c: -c[3]):
-            hit = F.when(x["m"].rlike(shape), window_entropy(x["m"], alphabet, width) >= bits).otherwise(hit)
+            hit = F.when(x["m"].rlike(shape), reaches(x["m"], alphabet, width, bits)).otherwise(hit)
         for p in allow:
             ok = ok | x["m"].rlike(p)
         return ~ok & hit
