@@ -602,3 +602,135 @@ def test_very_long_and_repeated_rows(spark):
     b = spark.createDataFrame([(1, "some words of a very long text")], "item_id long, text string")
     leaks = {r.doc_id: len(r.leaks) for r in decontaminate.mark_leaks(df, b).collect()}
     assert leaks == {1: 100_000, 2: 100_000, 3: 0}
+
+
+def test_secret_scan_survives_candidates_of_megabytes(spark):
+    rng = random.Random(9)
+    alphabet = secret_scan.CLASSES[-1][2].rstrip("=")
+    noise = "".join(rng.choices(alphabet, k=40))
+    cases = {  # text, spans
+        "words": ("/" + "ab_" * 3_300_000 + "ab", []),  # a third slash would be needed
+        "path": ("/" + "ab1_" * 2_500_000 + "ab/cd/", []),
+        "hyphens": ("-a" * 5_000_000, []),
+        "slashes": ("/" * 10_000_000, []),
+        "dull": ("z1" * 1_000_000, []),
+        "base64": ("".join(rng.choices(alphabet.replace("/", ""), k=1_000_000)), [(0, 1_000_000)]),  # chance makes paths
+        "late": ("z1" * 500_000 + noise, [(0, 1_000_040)]),
+        "excused": ("/abc/def/" + noise + "z1" * 500_000, []),
+        "hex": ("0" * 3_000_000, []),  # a base span meets it
+        "after": ("a_" * 500_000 + " " + noise, [(1_000_001, 1_000_041)]),
+    }
+    df = spark.createDataFrame([(k, t) for k, (t, _) in cases.items()], "name string, text string").repartition(10)
+    for r in secret_scan.find_secrets(df).drop("text").collect():
+        assert [(x.start, x.end) for x in r.added] == cases[r.name][1], r.name
+        assert [(x.start, x.end) for x in r.base] == ([(0, 3_000_000)] if r.name == "hex" else []), r.name
+
+
+@pytest.mark.parametrize("n", [0, 19, 20, 21, 63, 64, 65, 83, 84, 200])
+def test_entropy_by_pieces_is_that_of_the_whole(spark, n):
+    rng = random.Random(n)
+    alphabet = secret_scan.CLASSES[-1][2]
+    texts = ["".join(rng.choices(alphabet[: rng.choice([2, 12, 67])], k=n)) for _ in range(20)]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    for bits in (2.5, 3.9):
+        got = df.select(secret_scan.reaches(F.col("s"), alphabet, 20, bits, piece=64).alias("a"), (secret_scan.window_entropy(F.col("s"), alphabet, 20) >= bits).alias("b")).collect()
+        assert [r.a for r in got] == [r.b for r in got]
+
+
+def test_path_segments_are_those_of_the_plain_pattern():
+    """The possessive pattern against the same one with plain quantifiers and the group spelled as it was meant."""
+    plain = "(?:v[0-9]{1,3}|[A-Z]{3,}|[A-Za-z][a-z]+[0-9]{0,3}(?:[_-][A-Za-z]?[a-z]+[0-9]{0,3})*)"
+    rng = random.Random(2)
+    found = 0
+    for _ in range(20000):
+        text = "/" + "".join(rng.choices("aabbAB1_-/v", k=rng.randint(2, 14))) + "/"
+        old = re.search(f"/{plain}/{plain}/", text)
+        found += old is not None
+        assert (old is None) == (re.search(secret_scan.ALLOW[-1], text) is None), text
+    assert found > 100
+
+
+def leaks_by_hand(index, text):
+    """Whether each item stands in the text within its budget, and its exact places from the left that don't overlap."""
+    c = bytes(decontaminate.normal(text)[0])
+    out = {}
+    for j, (i, t) in enumerate(zip(index.items, index.texts)):
+        edits, exact, at = semi_global(bytes(t), c), [], 0
+        while (at := c.find(bytes(t), at)) >= 0:
+            exact.append(at)
+            at += len(t)
+        if edits <= index.budget[j]:
+            out[i] = (edits, exact)
+    return out
+
+
+def test_decontamination_of_repetitive_texts(monkeypatch):
+    rng = random.Random(8)
+    items = [(0, "0 " * 60), (1, "0 1 " * 20 + "2 " + "0 1 " * 20), (2, "ab" * 50), (3, "ab" * 25 + "q" + "ab" * 25), (4, " ".join(rng.choices("01", k=60))), (5, "the same the same the same words")]
+    texts = [
+        "0 " * 90, "0 " * 59, "0 " * 300, "0 1 " * 60, "ab" * 80, "ab" * 49 + "x" + "ab" * 70, "ab" * 25 + "q" + "ab" * 25 + "ab" * 60, "x" + "abq" * 60,
+        " ".join(rng.choices("01", k=200)), " ".join(rng.choices("01", k=80)) + " " + items[4][1] + " 1 1 0", "the same " * 30 + "the same words", "", "0", "same the " * 9, "0 " * 100 + "1 " + "0 " * 100,
+    ]
+    index = decontaminate.Index.build(items, 10, 0.08, 24)
+    by_hand = [leaks_by_hand(index, t.encode()) for t in texts]
+
+    def agrees(found):
+        for t, want, got in zip(texts, by_hand, found):
+            best = {}
+            for x in got:
+                best[x["item_id"]] = min(x["edits"], best.get(x["item_id"], 99))
+            assert best == {i: e for i, (e, _) in want.items()}, t
+            at = decontaminate.normal(t.encode())[1]
+            for i, (_, exact) in want.items():
+                assert [x["start"] for x in got if x["item_id"] == i and x["edits"] == 0] == [int(at[p]) for p in exact], (t, i)
+            for i in best:
+                spans = [(x["start"], x["end"]) for x in got if x["item_id"] == i]
+                assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+    agrees(index.find([t.encode() for t in texts]))
+    for few in (0, 40):  # bands judged by text places, ends looked for first, and all in small pieces
+        monkeypatch.setattr(decontaminate, "PLACED", few)
+        monkeypatch.setattr(decontaminate, "MANY_BANDS", few // 40)
+        monkeypatch.setattr(decontaminate, "GRAMS", 7)
+        monkeypatch.setattr(decontaminate, "PAIRS", 5)
+        monkeypatch.setattr(decontaminate, "REMEMBERED", 2)
+        agrees(index.find([t.encode() for t in texts]))
+        agrees([index.find([t.encode()])[0] for t in texts])
+
+
+def test_ends_of_occurrences_equal_the_whole_table():
+    rng = random.Random(4)
+    for _ in range(200):
+        p, t = "".join(rng.choices("abc", k=rng.randint(1, 70))), "".join(rng.choices("abc", k=rng.randint(0, 120)))
+        row, want = list(range(len(p) + 1)), []
+        for j, c in enumerate(t, 1):
+            new = [0]
+            for i in range(1, len(p) + 1):
+                new.append(min(row[i - 1] + (p[i - 1] != c), row[i] + 1, new[i - 1] + 1))
+            row = new
+            want += [j] * (row[-1] <= len(p) // 2)
+        assert decontaminate.ends_within(p.encode(), t.encode(), len(p) // 2) == want
+
+
+def test_decontamination_of_long_repetitive_texts_is_bounded():
+    import time
+    import tracemalloc
+
+    index = decontaminate.Index.build([(0, "0 " * 300), (1, "ab" * 150 + "q" + "ab" * 150), (2, "1 0 " * 150)], 10, 0.08, 24)
+    began = time.time()
+    tracemalloc.start()
+    a, b = index.find([b"0 " * 200_000])[0], index.find([b"ab" * 50_000])[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len([x for x in a if x["item_id"] == 0]) == 400_000 // 600 and len(b) > 140 and {x["edits"] for x in b} == {1}
+    assert peak < 150 << 20 and time.time() - began < 60
+
+
+def test_short_items_count_as_whole_words(spark):
+    items = [(1, "Tiny"), (2, "a a"), (3, "o'clock?"), (4, "!!"), (5, "ünï"), (6, "tiny"), (7, "x")]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    texts = ["a TINY thing, not tinyish; tiny", "a a a a", "five o'clock", "O CLOCK", "süß ünï", "ünïx", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(x.item_id, x.edits, r.text[x.start : x.end]) for x in r.leaks] for r in decontaminate.mark_leaks(df, b).collect()}
+    assert got == {0: [(1, 0, "TINY"), (1, 0, "tiny"), (6, 0, "TINY"), (6, 0, "tiny")], 1: [(2, 0, "a a"), (2, 0, "a a")], 2: [(3, 0, "o'clock")], 3: [(3, 0, "O CLOCK")], 4: [(5, 0, "ünï")], 5: [], 6: [], 7: []}
+    assert all(not r.leaks for r in decontaminate.mark_leaks(df, b, short=False).collect())
