@@ -91,34 +91,62 @@ def nearest(points: DataFrame, k: int, include_self: bool = False, id_col: str =
     return some.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("src", "dst", "rank", "distance")
 
 
-def silhouettes(points: DataFrame, id_col: str = "id", vec_col: str = "vec", label_col: str = "label") -> DataFrame:
+def silhouettes(points: DataFrame, id_col: str = "id", vec_col: str = "vec", label_col: str = "label", held: int = 1024) -> DataFrame:
     """(id, label, silhouette) by cosine distance, exactly and without pairs: the mean distance of a unit vector to a
-    group's unit vectors is one minus its product with the group's mean unit vector."""
-    p = points.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.posexplode(vec_col).alias("pos", "v"))
-    norm = p.groupBy("id").agg(F.sqrt(F.sum(F.col("v").cast("double") ** 2)).alias("norm"))
-    u = p.join(norm, "id").select("id", "label", "pos", (F.col("v").cast("double") / F.col("norm")).alias("v"))
-    sums = u.groupBy("label", "pos").agg(F.sum("v").alias("s"))
-    size = points.groupBy(F.col(label_col).alias("other")).agg(F.count(F.lit(1)).alias("n"))
-    dots = u.join(sums.withColumnRenamed("label", "other"), "pos").groupBy("id", "label", "other").agg(F.sum(F.col("v") * F.col("s")).alias("dot"))
-    d = dots.join(size, "other")
-    own = F.max(F.when((F.col("other") == F.col("label")) & (F.col("n") > 1), (F.col("n") - F.col("dot")) / (F.col("n") - 1)))
-    rest = F.min(F.when(F.col("other") != F.col("label"), (F.col("n") - F.col("dot")) / F.col("n")))
-    s = d.groupBy("id", "label").agg(own.alias("a"), rest.alias("b"))
+    group's unit vectors is one minus its product with the group's mean unit vector.
+
+    Groups' sums are vectors, added up element by element in Spark; ``held`` of them at a time meet as many points in one
+    matrix product, of which a row a point is left. One row an id; null vectors or labels have no silhouette.
+    """
+    import numpy as np
+    import pandas as pd
+
+    p = points.where(F.col(vec_col).isNotNull() & F.col(label_col).isNotNull())
+    p = p.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vec_col).cast("array<double>").alias("vec"))
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
+    u = p.withColumn("vec", F.transform("vec", lambda x: F.coalesce(F.try_divide(x, norm), F.lit(0.0))))
+    sums = u.select("label", F.posexplode("vec").alias("pos", "v")).groupBy("label", "pos").agg(F.sum("v").alias("s"))
+    sums = sums.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]).alias("vec"))
+    sums = written(p.groupBy("label").agg(F.count(F.lit(1)).alias("n")).join(sums, "label"))
+    groups, n = sums.count(), p.count()
+    blocks, parts = max(1, -(-groups // held)), max(1, -(-n // held))
+    to = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    left = u.withColumn("b", to("id", parts)).withColumn("c", every(blocks))
+    right = sums.withColumn("c", to("label", blocks)).withColumn("b", every(parts))
+    kind = {c: p.schema[c].dataType.simpleString() for c in ("id", "label")}
+
+    def run(l, r):
+        if not len(l) or not len(r):
+            return pd.DataFrame({"id": l["id"][:0], "label": l["label"][:0], "a": np.empty(0), "b": np.empty(0)})
+        dots = np.stack(l["vec"].to_list()) @ np.stack(r["vec"].to_list()).T
+        size, own = r["n"].to_numpy(float), l["label"].to_numpy()[:, None] == r["label"].to_numpy()[None]
+        away = (size - dots) / size
+        inside = np.where(own & (size > 1), (size - dots) / np.maximum(size - 1, 1), np.nan)
+        away[own] = np.inf
+        none = np.isnan(inside).all(axis=1)
+        a = np.where(none, np.nan, np.nanmax(np.where(none[:, None], 0.0, inside), axis=1))
+        return pd.DataFrame({"id": l["id"], "label": l["label"], "a": a, "b": away.min(axis=1)})
+
+    d = left.groupBy("b", "c").cogroup(right.groupBy("b", "c")).applyInPandas(run, f"id {kind['id']}, label {kind['label']}, a double, b double")
+    real = lambda c: F.when(~F.isnan(c) & (F.abs(c) != float("inf")), F.col(c))
+    s = d.groupBy("id", "label").agg(F.max(real("a")).alias("a"), F.min(real("b")).alias("b"))
     return s.select("id", "label", F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)).alias("silhouette"))
 
 
-def communities(edges: DataFrame, rounds: int = 10, resolution: float = 1.0, seed: int = 17, degree: DataFrame | None = None) -> DataFrame:
+def communities(edges: DataFrame, rounds: int = 10, resolution: float = 1.0, seed: int = 17, degree: DataFrame | None = None, start: DataFrame | None = None) -> DataFrame:
     """(node, community): label moves by modularity gain over weighted edges (src, dst, weight), half of the nodes a round.
 
     A node moves to the neighbouring community with the greatest gain (ties to the least label); which nodes may move in
     a round is decided by a hash, so that neighbours don't swap for ever and reruns agree. degree (u, k): of nodes that
-    stand for several, whose inner edges are not among ``edges``.
+    stand for several, whose inner edges are not among ``edges``. start (node, community): where nodes are at first, each
+    in one of its own by default; communities bear names of nodes.
     """
     e = edges.select(F.col("src").alias("u"), F.col("dst").alias("v"), F.col("weight").cast("double").alias("w")).where("u <> v")
     e = written(e.union(e.select("v", "u", "w")).groupBy("u", "v").agg(F.sum("w").alias("w")))
     degree = written(e.groupBy("u").agg(F.sum("w").alias("k"))) if degree is None else degree
     total = degree.agg(F.sum("k")).first()[0] or 1.0
-    label = degree.select("u", F.col("u").alias("c"))
+    label = degree.select("u", F.col("u").alias("c")) if start is None else start.select(F.col("node").alias("u"), F.col("community").alias("c"))
     for r in range(rounds):
         mass = label.join(degree, "u").groupBy("c").agg(F.sum("k").alias("mass"))
         near = e.join(label.select(F.col("u").alias("v"), "c"), "v").groupBy("u", "c").agg(F.sum("w").alias("links"))
@@ -130,9 +158,9 @@ def communities(edges: DataFrame, rounds: int = 10, resolution: float = 1.0, see
         gain = F.col("links") - resolution * F.col("k") * others / total
         best = score.withColumn("gain", F.round(gain, 9)).groupBy("u", "own").agg(F.min_by("c", F.struct(-F.col("gain"), "c")).alias("c"))
         may = F.pmod(F.xxhash64(F.lit(seed + r), "u"), F.lit(2)) == 0
-        now = written(best.select("u", F.when(may, F.col("c")).otherwise(F.col("own")).alias("c"), (may & (F.col("c") != F.col("own"))).alias("moved")))
+        now = written(best.select("u", F.when(may, F.col("c")).otherwise(F.col("own")).alias("c"), (F.col("c") != F.col("own")).alias("wants")))
         label = now.select("u", "c")
-        if now.where("moved").isEmpty() and r > 1:
+        if now.where("wants").isEmpty():  # nor does any of those that this round's hash holds back
             break
     low = label.groupBy("c").agg(F.min("u").alias("community"))
     return label.join(low, "c").select(F.col("u").alias("node"), "community")
@@ -162,6 +190,82 @@ def refined_communities(edges: DataFrame, levels: int = 3, rounds: int = 10, res
     return label
 
 
+def well_connected_parts(e: DataFrame, degree: DataFrame, community: DataFrame, resolution: float = 1.0, seed: int = 17, rounds: int = 12) -> DataFrame:
+    """(node, part): each community taken apart into parts that hang together by more than chance.
+
+    Every node starts as a part of its own. A node that is still alone joins the part of its community with the greatest
+    gain, if that is not negative and both it and the part are well connected: the weight of the edges that tie a set to the
+    rest of its community is at least resolution * K(set) * K(rest) / K(all), K being sums of degrees. In a round a hash
+    decides which single nodes may join and which may be joined, so that no part that is joined moves. Ends when three
+    rounds change nothing. e (u, v, w) holds both directions; parts are connected and bear the name of a node of theirs.
+    """
+    total = degree.agg(F.sum("k")).first()[0] or 1.0
+    own = degree.join(community.select(F.col("node").alias("u"), F.col("community").alias("c")), "u")
+    own = written(own.join(own.groupBy("c").agg(F.sum("k").alias("kc")), "c").select("u", "k", "c", "kc"))
+    inner = e.join(own.select("u", "c"), "u").join(own.select(F.col("u").alias("v"), F.col("c").alias("cv")), "v").where("c = cv")
+    inner, at, still = written(inner.select("u", "v", "w")), own.select("u", F.col("u").alias("part")), 0
+    tied = lambda links, k, kc: links >= resolution * k * (kc - k) / total - 1e-12
+    for r in range(rounds):
+        now = own.join(at, "u")
+        ends = inner.join(at, "u").join(at.select(F.col("u").alias("v"), F.col("part").alias("other")), "v")
+        cut = ends.where("part <> other").groupBy("part").agg(F.sum("w").alias("cut"))
+        parts = now.groupBy("part").agg(F.sum("k").alias("ks"), F.max("kc").alias("kc"), F.count(F.lit(1)).alias("n")).join(cut, "part", "left")
+        parts = parts.select("part", "ks", "n", tied(F.coalesce("cut", F.lit(0.0)), F.col("ks"), F.col("kc")).alias("well"))
+        may = (F.col("n") == 1) & F.col("well") & (F.pmod(F.xxhash64(F.lit(seed + r), "part"), F.lit(2)) == 0)
+        parts = written(parts.withColumn("may", may))
+        movers = parts.where("may").select(F.col("part").alias("u"), F.col("ks").alias("k"))
+        options = ends.where("part <> other").join(movers, "u").groupBy("u", "k", "other").agg(F.sum("w").alias("links"))
+        options = options.join(parts.where("well AND NOT may").select(F.col("part").alias("other"), "ks"), "other")
+        gain = F.round(F.col("links") - resolution * F.col("k") * F.col("ks") / total, 9)
+        joins = options.withColumn("gain", gain).where("gain >= 0").groupBy("u").agg(F.min_by("other", F.struct(-F.col("gain"), "other")).alias("to"))
+        after = written(at.join(joins, "u", "left").select("u", F.coalesce("to", "part").alias("part"), F.col("to").isNotNull().alias("moved")))
+        still, at = (still + 1 if after.where("moved").isEmpty() else 0), after.select("u", "part")
+        if still == 3:
+            break
+    return at.select(F.col("u").alias("node"), "part")
+
+
+def leiden(edges: DataFrame, levels: int = 6, rounds: int = 10, resolution: float = 1.0, seed: int = 17) -> DataFrame:
+    """(node, community) of weighted edges (src, dst, weight): ``communities``, then ``well_connected_parts`` of each, which
+    become the nodes of a smaller graph whose first partition is the communities they were parts of; and so on until no
+    parts merge, or for so many levels. So what a level has put together badly the next may still take apart. Communities
+    are connected and named by their least node."""
+    e = edges.select(F.col("src").alias("u"), F.col("dst").alias("v"), F.col("weight").cast("double").alias("w")).where("u <> v")
+    e = written(e.union(e.select("v", "u", "w")).groupBy("u", "v").agg(F.sum("w").alias("w")))
+    degree, start = written(e.groupBy("u").agg(F.sum("w").alias("k"))), None
+    label = degree.select(F.col("u").alias("node"), F.col("u").alias("part"))
+    for level in range(levels):
+        half = e.where("u < v").select(F.col("u").alias("src"), F.col("v").alias("dst"), F.col("w").alias("weight"))
+        found = written(communities(half, rounds, resolution, seed + level, degree, start))
+        nodes, kinds = found.agg(F.count(F.lit(1)), F.count_distinct("community")).first()
+        if nodes == kinds or level == levels - 1:
+            break
+        part = written(well_connected_parts(e, degree, found, resolution, seed + level))
+        if part.select("part").distinct().count() == nodes:
+            break
+        label = written(label.join(part.select(F.col("node").alias("part"), F.col("part").alias("to")), "part").select("node", F.col("to").alias("part")))
+        start = found.join(part, "node").groupBy("part", "community").agg(F.min("node").alias("least")).select(F.col("part").alias("node"), "community")
+        # A community's name has to be one of the new nodes.
+        names = start.groupBy("community").agg(F.min("node").alias("name"))
+        start = written(start.join(names, "community").select("node", F.col("name").alias("community")))
+        degree = written(degree.join(part.withColumnRenamed("node", "u"), "u").groupBy(F.col("part").alias("u")).agg(F.sum("k").alias("k")))
+        e = e.join(part.select(F.col("node").alias("u"), F.col("part").alias("pu")), "u").join(part.select(F.col("node").alias("v"), F.col("part").alias("pv")), "v")
+        e = written(e.where("pu <> pv").groupBy(F.col("pu").alias("u"), F.col("pv").alias("v")).agg(F.sum("w").alias("w")))
+    inside = e.join(found.select(F.col("node").alias("u"), F.col("community").alias("cu")), "u").join(found.select(F.col("node").alias("v"), F.col("community").alias("cv")), "v").where("cu = cv AND u < v")
+    whole = found.select("node").join(components(inside.select("u", "v")), "node", "left").select(F.col("node").alias("part"), F.coalesce("component", "node").alias("c"))
+    out = written(label.join(whole, "part").select("node", "c"))
+    return out.join(out.groupBy("c").agg(F.min("node").alias("community")), "c").select("node", "community")
+
+
+def modularity(edges: DataFrame, label: DataFrame, resolution: float = 1.0) -> float:
+    """The modularity of (node, community) over weighted edges (src, dst, weight), each counted in both directions."""
+    e = edges.select(F.col("src").alias("u"), F.col("dst").alias("v"), F.col("weight").cast("double").alias("w")).where("u <> v")
+    e = e.union(e.select("v", "u", "w")).join(label.select(F.col("node").alias("u"), F.col("community").alias("cu")), "u").join(label.select(F.col("node").alias("v"), F.col("community").alias("cv")), "v")
+    per = e.groupBy("cu").agg(F.sum("w").alias("k"), F.sum(F.when(F.col("cu") == F.col("cv"), F.col("w")).otherwise(0.0)).alias("inside"))
+    inside, squares, total = per.agg(F.sum("inside"), F.sum(F.col("k") ** 2), F.sum("k")).first()
+    return float(inside / total - resolution * squares / total**2) if total else 0.0
+
+
 def cluster_tree(cells: DataFrame, levels: list[str]) -> DataFrame:
     """(cluster, parent, level, n) of path labels; levels stop at the first that has an unassigned ('U') cell."""
     out = None
