@@ -9,20 +9,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cytoplane.model import AnnotatedMatrix
-from cytoplane.operators import graph
+from cytoplane.operators import components, graph
 
-
-def flip(v: np.ndarray) -> np.ndarray:
-    """Columns turned so that the entry largest in size is positive."""
-    s = np.sign(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])])
-    return v * np.where(s == 0, 1, s)
+flip = components.turned
 
 
 def covariance(x: DataFrame, row: str, col: str, value: str, n_rows: int, centred: bool = True) -> tuple[list, np.ndarray]:
     """(columns, covariance) of a long table with implicit zeros. A row's values are packed once; each task adds up the
-    products of its rows in one square of columns, and the squares are summed in Spark, so what is shuffled is the values
-    once and a square per task, and what reaches the driver is one square, whose size callers bound (variable genes,
-    windows, embedding components)."""
+    products of its rows in one square of columns, and squares are summed in Spark row by row, so what is shuffled is the
+    values once and a square per task, and what reaches the driver is one square, whose size callers bound (variable
+    genes, windows, embedding components)."""
     cols = [r[0] for r in x.select(col).distinct().orderBy(col).collect()]
     at, k = {c: i for i, c in enumerate(cols)}, len(cols)
 
@@ -41,26 +37,33 @@ def covariance(x: DataFrame, row: str, col: str, value: str, n_rows: int, centre
         yield pa.RecordBatch.from_arrays([pa.array(range(k + 1), pa.int32()), pa.array([*gram, total], pa.list_(pa.float64()))], ["i", "sums"])
 
     packed = x.groupBy(row).agg(F.collect_list(F.struct(F.col(col).alias("c"), F.col(value).cast("double").alias("v"))).alias("p")).select("p")
-    parts = packed.mapInArrow(squares, "i int, sums array<double>").select("i", F.posexplode("sums").alias("j", "s"))
+    tasks = 2 * x.sparkSession.sparkContext.defaultParallelism
+    parts = packed.mapInArrow(squares, "i int, sums array<double>")
     out = np.zeros((k + 1, k))
-    for i, j, s in parts.groupBy("i", "j").agg(F.sum("s").alias("s")).toLocalIterator():
-        out[i, j] = s
+    for i, s in components.array_sums(parts, ["i"], "sums", tasks).collect():
+        out[i] = s
     out, mean = out[:k], out[k] / n_rows
     if centred:
         out = out - n_rows * np.outer(mean, mean)
     return cols, out / max(1, n_rows - 1)
 
 
-def pca(m: AnnotatedMatrix, k: int, layer: str = "", genes: DataFrame | None = None) -> tuple[DataFrame, list[float]]:
-    """((gene_id, pc, loading), explained variance ratios) of cells as observations; genes should be few (variable ones)."""
+def pca(m: AnnotatedMatrix, k: int, layer: str = "", genes: DataFrame | None = None, square: int = 1024) -> tuple[DataFrame, list[float]]:
+    """((gene_id, pc, loading), explained variance ratios) of cells as observations.
+
+    Up to ``square`` genes their covariance is made and solved; of more, subspace iteration finds the same components to
+    nine digits from products with k + 10 vectors, and the driver holds genes by k + 10.
+    """
     x = m.layers[layer] if genes is None else m.layers[layer].join(genes.select("gene_id"), "gene_id", "left_semi")
-    cols, c = covariance(x, "cell_id", "gene_id", "value", m.cells.count())
+    kind, n, spark = x.schema["gene_id"].dataType.simpleString(), m.cells.count(), m.cells.sparkSession
+    if x.select("gene_id").distinct().limit(square + 1).count() > square:
+        found = components.fit(components.Rows(x, "cell_id", "gene_id", "value", n), k)
+        return found.loadings(spark, k, "gene_id", kind), found.ratios(k)
+    cols, c = covariance(x, "cell_id", "gene_id", "value", n)
     w, v = np.linalg.eigh(c)
     top = np.argsort(-w)[:k]
-    v = flip(v[:, top])
-    rows = [(g, p + 1, float(v[i, p])) for i, g in enumerate(cols) for p in range(len(top))]
-    kind = m.layers[layer].schema["gene_id"].dataType.simpleString()
-    return m.cells.sparkSession.createDataFrame(rows, f"gene_id {kind}, pc int, loading double"), (w[top] / w.sum()).tolist()
+    found = components.Components(cols, np.zeros(len(cols)), v[:, top], w[top], n, float(w.sum()))
+    return found.loadings(spark, k, "gene_id", kind), found.ratios(k)
 
 
 def scores(m: AnnotatedMatrix, loadings: DataFrame, layer: str = "") -> DataFrame:
@@ -86,16 +89,17 @@ def first_component_by(x: DataFrame, group: str, row: str, col: str, value: str)
     kinds = {c: x.schema[c].dataType.simpleString() for c in (group, row, col)}
 
     def squares(batches):
-        gram, own, n = np.zeros((k + 1, k)), None, 0
+        gram, own, n = np.zeros((k + 1, k + 1)), None, 0
 
         def flush():
-            return pd.DataFrame({group: [own] * (k + 1), "i": range(k + 1), "n": [n] + [0] * k, "sums": [g.tolist() for g in gram]})
+            gram[k, k] = n
+            return pd.DataFrame({group: [own] * (k + 1), "i": np.arange(k + 1, dtype=np.int32), "sums": list(gram)})
 
         for pdf in batches:
             for g, names, values in zip(pdf[group], pdf["c"], pdf["v"]):
                 if n and g != own:
                     yield flush()
-                    gram, n = np.zeros((k + 1, k)), 0
+                    gram, n = np.zeros((k + 1, k + 1)), 0
                 own, n = g, n + 1
                 i, v = np.array([at[c] for c in names]), np.asarray(values, float)
                 gram[np.ix_(i, i)] += np.outer(v, v)
@@ -104,15 +108,15 @@ def first_component_by(x: DataFrame, group: str, row: str, col: str, value: str)
             yield flush()
 
     def top(key, pdf):
-        gram, n = np.zeros((k + 1, k)), pdf["n"].sum()
-        gram[pdf["i"].to_numpy(), pdf["j"].to_numpy()] = pdf["s"].to_numpy()
-        mean = gram[k] / n
-        _, v = np.linalg.eigh(gram[:k] - n * np.outer(mean, mean))
+        gram = np.stack(pdf.sort_values("i")["sums"].to_list())
+        n = gram[k, k]  # the rows of the group
+        mean = gram[k, :k] / n
+        _, v = np.linalg.eigh(gram[:k, :k] - n * np.outer(mean, mean))
         return pd.DataFrame({group: key[0], col: cols, "loading": v[:, -1], "offset": float(mean @ v[:, -1])})
 
     rows = x.where(F.col(group).isNotNull()).groupBy(group, row).agg(F.collect_list(F.struct(col, "v")).alias("z")).select(group, F.col(f"z.{col}").alias("c"), "z.v").sortWithinPartitions(group)
-    parts = rows.mapInPandas(squares, f"{group} {kinds[group]}, i int, n long, sums array<double>")
-    parts = parts.select(group, "i", "n", F.posexplode("sums").alias("j", "s")).groupBy(group, "i", "j").agg(F.sum("s").alias("s"), F.sum(F.when(F.col("j") == 0, F.col("n")).otherwise(0)).alias("n"))
+    parts = rows.mapInPandas(squares, f"{group} {kinds[group]}, i int, sums array<double>")
+    parts = components.array_sums(parts, [group, "i"], "sums", 2 * x.sparkSession.sparkContext.defaultParallelism)
     load = parts.groupBy(group).applyInPandas(top, f"{group} {kinds[group]}, {col} {kinds[col]}, loading double, offset double")
     pc = x.join(load, [group, col]).groupBy(row, group).agg((F.sum(F.col("v") * F.col("loading")) - F.first("offset")).alias("pc1"))
     turn = pc.groupBy(group).agg(F.max_by("pc1", F.abs("pc1")).alias("__far"))
@@ -241,20 +245,32 @@ def layout(edges: DataFrame, rounds: int = 200, seed: int = 17, limit: int = 20_
     table (src, dst, weight) computed in Spark, all of whose edges count.
 
     The layout of at most ``limit`` nodes is one sequential optimisation; more raise unless ``landmarks`` says how many (at
-    most limit, by a hash of the id) are laid out by their own edges: every other node then lies at the weighted mean of
-    its neighbours that have a place, in ``spread`` rounds of joins; nodes that none reaches have null.
+    most limit, by a hash of the id) are laid out: every node belongs to the landmark that it reaches over the fewest edges
+    (ties to the least id), and landmarks are tied by the edges between their nodes, summed. A node other than a landmark
+    then lies at the weighted mean of its neighbours' landmarks and its own one, or where no landmark is reached in ``spread``
+    rounds has null.
     """
     if landmarks is not None:
-        both = edges.select("src", "dst", "weight").union(edges.select("dst", "src", "weight"))
+        both = graph.written(edges.select("src", "dst", "weight").union(edges.select("dst", "src", "weight")))
         nodes = both.select(F.col("src").alias("id")).distinct()
-        chosen = nodes.orderBy(F.xxhash64("id"), "id").limit(min(landmarks, limit))
-        own = edges.join(chosen.select(F.col("id").alias("src")), "src", "left_semi").join(chosen.select(F.col("id").alias("dst")), "dst", "left_semi")
-        placed = layout(own.select("src", "dst", "weight"), rounds, seed, limit)
+        chosen = nodes.orderBy(F.xxhash64("id"), "id").limit(min(landmarks, limit)).select("id", F.col("id").alias("mark"))
+        near = graph.written(chosen)
         for _ in range(spread):
-            near = both.join(placed.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id"))
-            near = near.agg(*[(F.sum(F.col("weight") * F.col(c)) / F.sum("weight")).alias(c) for c in ("x", "y")])
-            placed = graph.written(placed.unionByName(near.join(placed.select("id"), "id", "left_anti")))
-        return nodes.join(placed, "id", "left")
+            found = both.join(near.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("mark").alias("mark"))
+            new = graph.written(found.join(near.select("id"), "id", "left_anti"))
+            if new.isEmpty():
+                break
+            near = graph.written(near.unionByName(new))
+        ends = both.join(near.select(F.col("id").alias("src"), F.col("mark").alias("a")), "src").join(near.select(F.col("id").alias("dst"), F.col("mark").alias("b")), "dst")
+        ties = ends.where("a < b").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("weight").alias("weight"))
+        alone = chosen.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("weight"))
+        placed = layout(graph.written(ties.unionByName(alone)), rounds, seed, limit)
+        at = near.join(placed.withColumnRenamed("id", "mark"), "mark").select("id", "mark", "x", "y")
+        pulls = both.select(F.col("src").alias("id"), F.col("dst").alias("other"), F.col("weight")).join(at.select(F.col("id").alias("other"), "x", "y"), "other").select("id", "weight", "x", "y")
+        pulls = pulls.unionByName(at.select("id", F.lit(1.0).alias("weight"), "x", "y"))
+        mean = pulls.groupBy("id").agg(*[(F.sum(F.col("weight") * F.col(c)) / F.sum("weight")).alias(c) for c in ("x", "y")])
+        mean = mean.join(chosen.select("id"), "id", "left_anti")
+        return nodes.join(mean.unionByName(placed), "id", "left")
     nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
     if nodes.limit(limit + 1).count() > limit:
         raise ValueError(f"over {limit} nodes")
