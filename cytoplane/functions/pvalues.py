@@ -145,49 +145,95 @@ def kendall(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return s / math.sqrt(tx * ty), math.erfc(abs(s) / math.sqrt(2 * v)) if v > 0 else 1.0
 
 
-def median_slope(x: np.ndarray, y: np.ndarray, block: int = 512, held: int = 1 << 20) -> float:
-    """The median slope over pairs with different x, exactly (nan without such pairs).
-
-    Pairs are made block by block; ranges around the middle ranks are narrowed by counting until under ``held`` slopes remain.
+def inversion_pairs(v: np.ndarray, numbers: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(earlier, later) places of the inversions of v, all of them or those of the sorted ``numbers`` (from 0, in the order in
+    which merging runs of doubling width meets them)."""
+    v = np.unique(v, return_inverse=True)[1].astype(np.int64)
+    n, kinds, at, done, width = len(v), int(v.max(initial=0)) + 1, np.arange(len(v)), 0, 1
+    place, found = at.copy(), [(at[:0], at[:0])]
+    while width < n:
+        pair, right = at // (2 * width), at // width % 2 == 1
+        key = pair * kinds + v
+        left, lp, rp = key[~right], place[~right], place[right]
+        first = np.searchsorted(left, key[right], "right")
+        count = np.searchsorted(left, (pair[right] + 1) * kinds) - first
+        upto = np.cumsum(count)
+        total = int(upto[-1]) if len(upto) else 0
+        if numbers is None:
+            mine = np.arange(total)
+        else:
+            mine = numbers[np.searchsorted(numbers, done) : np.searchsorted(numbers, done + total)] - done
+        e = np.searchsorted(upto, mine, "right")
+        found.append((lp[first[e] + mine - (upto[e] - count[e])], rp[e]))
+        order = np.argsort(key, kind="stable")
+        v, place, done, width = key[order] - pair * kinds, place[order], done + total, width * 2
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def median_slope(x: np.ndarray, y: np.ndarray, held: int = 1 << 18, drawn: int = 4096, close: float = 1e-9) -> float:
+    """The median slope over pairs with different x (nan without such pairs), in time n log n and memory of ``held`` pairs.
+
+    Slopes under s are the inversions of y - s * x in the order of x; those between two bounds are the inversions between the
+    orders of the points at the two. Bounds around the middle ranks are narrowed by slopes drawn from between them, until
+    few enough are left to be looked at one by one. Many equal slopes are told by bounds ``close`` to them, in proportion
+    to them and to the slope of the box around the points; else the result is exact. Values that aren't finite take no part.
     """
-    order = np.argsort(x, kind="stable")
+    fine = np.isfinite(x) & np.isfinite(y)
+    x, y = np.asarray(x, float)[fine], np.asarray(y, float)[fine]
+    order = np.lexsort((y, x))
     x, y = x[order], y[order]
-
-    def slopes():
-        for i in range(0, len(x), block):
-            dx, dy = x[None, i:] - x[i : i + block, None], y[None, i:] - y[i : i + block, None]
-            v = dy[dx > 0] / dx[dx > 0]
-            yield v[~np.isnan(v)]
-
-    def at(rank: int) -> float:
-        low, high, before = -np.inf, np.inf, 0  # the slope of that rank is in low..high; ``before`` slopes are under low
-        rng = np.random.default_rng(17)
-        while True:
-            within, some = 0, []
-            for v in slopes():
-                v = v[(v >= low) & (v <= high)]
-                within += len(v)
-                some.append(v if within <= held else rng.choice(v, min(len(v), 64), replace=False))
-            if within <= held:
-                return float(np.partition(np.concatenate(some), rank - before)[rank - before])
-            pivot = np.sort(np.concatenate([rng.choice(v, min(len(v), 64), replace=False) for v in some]))
-            pivot = pivot[int((rank - before) / within * len(pivot))]
-            less = same = 0
-            for v in slopes():
-                v = v[(v >= low) & (v <= high)]
-                less, same = less + int((v < pivot).sum()), same + int((v == pivot).sum())
-            if less <= rank - before < less + same:
-                return float(pivot)
-            if rank - before < less:
-                high = np.nextafter(pivot, -np.inf)
-            else:
-                low, before = np.nextafter(pivot, np.inf), before + less + same
-
-    if len(x) * (len(x) - 1) // 2 <= held:
-        all_of_them = np.concatenate([np.empty(0), *slopes()])
-        return float(np.median(all_of_them)) if len(all_of_them) else float("nan")
-    n = sum(len(v) for v in slopes())
-    return (at((n - 1) // 2) + at(n // 2)) / 2 if n else float("nan")
+    n, ties = len(x), np.unique(x, return_counts=True)[1].astype(np.int64)
+    total = n * (n - 1) // 2 - int((ties * (ties - 1) // 2).sum())
+    if not total:
+        return float("nan")
+    ranks, scale = ((total - 1) // 2, total // 2), float((y.max() - y.min()) / (x.max() - x.min()))
+    if not scale:
+        return 0.0
+    rng, rounds = np.random.default_rng(17), 0
+
+    def under(s: float) -> int:
+        r = y - s * x
+        return inversions(r[np.lexsort((r, x))])
+
+    def between(low: float, high: float, numbers: np.ndarray | None) -> np.ndarray:
+        """Slopes of at least ``low`` and under ``high``, all or those of the numbers."""
+        a = y - low * x if np.isfinite(low) else x
+        b = y - high * x if np.isfinite(high) else -x
+        order = np.lexsort((y, x, a)) if np.isfinite(low) else np.lexsort((b, a))
+        i, j = inversion_pairs(b[order], numbers)
+        i, j = order[i], order[j]
+        return (y[j] - y[i]) / (x[j] - x[i])
+
+    low, high, before, after = -np.inf, np.inf, 0, total  # slopes under each
+    while after - before > held:
+        inside, rounds = after - before, rounds + 1
+        held = held * 2 if rounds > 24 else held  # bounds that rounding keeps from falling between slopes
+        some = np.sort(between(low, high, np.sort(rng.integers(0, inside, drawn))))
+        here, spare = (ranks[0] + 0.5 - before) / inside * len(some), 2 * len(some) ** 0.5
+        a, b = (int(np.clip(here + d, 0, len(some) - 1)) for d in (-spare, spare))
+        if some[a] == some[b]:  # ties fill the middle
+            width = max(abs(some[a]), scale) * close
+            new = (max(low, some[a] - width), min(high, some[a] + width))
+        else:
+            kinds = np.unique(some)
+            i, j = np.searchsorted(kinds, [some[a], some[b]])
+            new = (float((kinds[i - 1] + kinds[i]) / 2) if i else low, float((kinds[j] + kinds[j + 1]) / 2) if j + 1 < len(kinds) else high)
+        counts = [before if new[0] == low else under(new[0]), after if new[1] == high else under(new[1])]
+        if counts[0] <= ranks[0] and ranks[1] < counts[1]:
+            if some[a] == some[b]:
+                return float(some[a])
+            if counts == [before, after]:
+                held *= 2  # no bound lies between the slopes that are left
+            low, high, before, after = *new, *counts
+        elif ranks[0] < counts[0]:
+            high, after = (new[0], counts[0]) if ranks[1] < counts[0] else (high, after)
+            held = held if ranks[1] < counts[0] else held * 2  # the two middle ranks lie on both sides
+        else:
+            low, before = (new[1], counts[1]) if ranks[0] >= counts[1] else (low, before)
+            held = held if ranks[0] >= counts[1] else held * 2
+    rest = np.sort(between(low, high, None))
+    at = np.clip(np.array(ranks) - before, 0, len(rest) - 1)
+    return float((rest[at[0]] + rest[at[1]]) / 2)
 
 
 def fisher(a: int, b: int, c: int, d: int) -> float:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cytoplane.model import AnnotatedMatrix
 from cytoplane.operators import linalg
 from cytoplane.operators.differential import kendall_by, theil_sen
+from cytoplane.operators.graph import written
 from cytoplane.operators.joins import asof
 from cytoplane.operators.windows import average_rank, dominance, gene_windows, robust_window_means
 
@@ -80,14 +81,51 @@ def malignancy(m: AnnotatedMatrix, patient: str, kind: str, malignant: str, size
     return pc.select("cell_id", "pc1", score.alias("malignancy"))
 
 
-def soft_clipped_starts(reads: DataFrame) -> DataFrame:
+def umi_networks(reads: DataFrame, place: list[str], umi: str = "umi", rounds: int = 100) -> DataFrame:
+    """(place, umi, n, molecule): the molecule of each distinct UMI of a place (with its cell among the columns), named by the
+    UMI that it was read as most often.
+
+    A UMI read n times is an error of one that differs in a single letter and was read at least 2 n - 1 times, directly or
+    through others; of several such it is that of the most read (ties: the least) that leads to it. UMIs of different
+    lengths don't meet; null UMIs have no molecule; null places are places like others.
+
+    UMIs meet at keys that leave out one letter each, at most as many as there are letters at a key, so a place with
+    any number of UMIs is spread over its keys. Labels then flow from more read UMIs to less read ones only, the best so far a
+    round, until none moves; raises if they still do after ``rounds``.
+    """
+    n = reads.where(F.col(umi).isNotNull()).groupBy(*place, F.col(umi).alias("umi")).agg(F.count(F.lit(1)).alias("n"))
+    hashed = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(place)]) if place else F.lit(0)
+    n = written(n.withColumn("at", hashed))
+    left_out = F.transform(F.sequence(F.lit(1), F.length("umi")), lambda i: F.concat_ws("\0", i.cast("string"), F.substring("umi", F.lit(1), i - 1), F.substring("umi", i + 1, F.length("umi"))))
+    keyed = n.where(F.length("umi") > 0).select("at", "umi", "n", F.explode(left_out).alias("key"))
+    met = keyed.groupBy("at", "key").agg(F.collect_list(F.struct("umi", "n")).alias("x")).where(F.size("x") > 1)
+    pairs = met.select("at", F.explode("x").alias("a"), "x").select("at", "a", F.explode("x").alias("b")).where("a.umi <> b.umi AND a.n >= 2 * b.n - 1")
+    down = written(pairs.select("at", F.col("a.umi").alias("src"), F.col("b.umi").alias("dst")))
+    best = n.select("at", "umi", F.struct((-F.col("n")).alias("less"), F.col("umi").alias("umi")).alias("top"))
+    for _ in range(rounds):
+        sent = down.join(best.select("at", F.col("umi").alias("src"), F.col("top").alias("sent")), ["at", "src"]).groupBy("at", F.col("dst").alias("umi")).agg(F.min("sent").alias("sent"))
+        now = best.join(sent, ["at", "umi"], "left")
+        now = written(now.select("at", "umi", F.least("top", F.coalesce("sent", "top")).alias("top"), F.coalesce(F.col("sent") < F.col("top"), F.lit(False)).alias("moved")))
+        best = now.select("at", "umi", "top")
+        if now.where("moved").isEmpty():
+            break
+    else:
+        raise RuntimeError("labels still move")
+    named = best.select("at", "umi", F.col("top.umi").alias("molecule"))
+    return n.join(named, ["at", "umi"]).select(*place, "umi", "n", "molecule")
+
+
+def soft_clipped_starts(reads: DataFrame, networks: bool = False, contigs: str = "") -> DataFrame:
     """(chrom, start, end, strand, barcode, n): transcription starts of reads (chrom, pos, end, strand, cigar, seq, barcode,
-    umi) whose first base outwards is a clipped G, counted once per UMI."""
+    umi) whose first base outwards is a clipped G, counted once per UMI, or with ``networks`` once per molecule of
+    ``umi_networks``. contigs: only those whose names hold this."""
     plus = F.col("strand") == "+"
     clip = F.when(plus, F.regexp_extract("cigar", "^([0-9]+)S", 1)).otherwise(F.regexp_extract("cigar", "([0-9]+)S$", 1))
     n = F.nullif(clip, F.lit("")).cast("int")
     base = F.when(plus, F.substring("seq", n, F.lit(1))).otherwise(F.substring("seq", F.length("seq") - n + 1, F.lit(1)))
     hit = reads.where(base == F.when(plus, "G").otherwise("C"))
     at = F.when(plus, F.col("pos")).otherwise(F.col("end"))
-    once = hit.select("chrom", at.alias("start"), "strand", "barcode", "umi").distinct()
+    once = hit.where(F.contains("chrom", F.lit(contigs))).select("chrom", at.alias("start"), "strand", "barcode", "umi")
+    place = ["chrom", "start", "strand", "barcode"]
+    once = umi_networks(once, place).select(*place, "molecule").distinct() if networks else once.distinct()
     return once.groupBy("chrom", "start", (F.col("start") + 1).alias("end"), "strand", "barcode").agg(F.count(F.lit(1)).alias("n"))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytoplane.functions.scalars import angle_degrees
 from cytoplane.model import AnnotatedMatrix
+from cytoplane.operators.graph import written
 from cytoplane.operators.layers import global_zscore
-from cytoplane.operators.windows import enrichment_score, quantile_bins, running_total
+from cytoplane.operators.windows import bh_adjust, enrichment_score, quantile_bins, running_total
 
 
 def set_means(m: AnnotatedMatrix, sets: DataFrame, layer: str = "") -> DataFrame:
@@ -25,7 +28,7 @@ def control_genes(m: AnnotatedMatrix, signature: DataFrame, layer: str = "", bin
     n = cells.agg(F.count(F.lit(1)).alias("n"))
     sums = m.layers[layer].join(cells.select("cell_id"), "cell_id", "left_semi").groupBy("gene_id").agg(F.sum("value").alias("s"))
     means = m.genes.select("gene_id").join(sums, "gene_id", "left").crossJoin(F.broadcast(n)).select("gene_id", F.try_divide(F.coalesce("s", F.lit(0.0)), "n").alias("mean"))
-    binned = quantile_bins(means, "mean", bins).join(signature.select("gene_id", F.lit(True).alias("own")), "gene_id", "left")
+    binned = quantile_bins(means, "mean", bins, few=True).join(signature.select("gene_id", F.lit(True).alias("own")), "gene_id", "left")
     wanted = binned.where("own").groupBy("bin").agg((F.count(F.lit(1)) * controls).alias("k"))
     order = F.row_number().over(Window.partitionBy("bin").orderBy(F.md5(F.concat(F.lit(str(seed)), F.lit(":"), F.col("gene_id").cast("string")))))
     return binned.where("own IS NULL").withColumn("rn", order).join(wanted, "bin").where("rn <= k").select("gene_id")
@@ -67,3 +70,116 @@ def gsea(scores: DataFrame, geneset: DataFrame, permutations: int = 1000, seed:
     shuffled = perms.crossJoin(r.select("gene_id", "hit")).withColumn("rank", F.row_number().over(Window.partitionBy("perm").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("perm").cast("string"), F.col("gene_id").cast("string"))))))
     null = enrichment_score(shuffled, "rank", "hit", ["perm"]).withColumnRenamed("es", "null_es")
     return es.crossJoin(null).groupBy("es").agg(F.avg((F.abs("es") < F.abs("null_es")).cast("double")).alias("p"))
+
+
+def largest_deviation(hits: np.ndarray, n: int, steps: np.ndarray | None = None) -> np.ndarray:
+    """The greatest value of the running score of each row of ``hits`` (sorted ranks from 0 of a set's genes among n): the
+    share of the set's weight met so far less the share of the other genes. The extremes lie at hits. steps: weights by
+    rank, equal by default."""
+    size = hits.shape[1]
+    weight = np.ones(hits.shape) if steps is None else steps[hits]
+    upto = np.cumsum(weight, axis=1)
+    return (upto / np.maximum(upto[:, -1:], 1e-300) - (hits - np.arange(size)) / max(1, n - size)).max(axis=1)
+
+
+def small_p(score: float, size: int, n: int, steps: np.ndarray | None = None, sets: int = 200, mixed: float = 1.0, least: float = 1e-50, seed: int = 0) -> tuple[float, float]:
+    """(p, error): the chance that a random set of ``size`` of n ranked genes reaches ``score`` or more, by adaptive
+    multilevel splitting; error is the standard deviation of log2 p.
+
+    A level's threshold is the median score of ``sets`` random sets. Those under it are replaced by copies of those that
+    reach it, and each copy is drawn anew on that condition: some of its genes are swapped for others, and a swap stays if the
+    set still reaches the threshold, until each gene has been swapped ``mixed`` times on average. Each level halves the chance; the share that reaches ``score`` itself ends it.
+    """
+    rng = np.random.default_rng(seed)
+    if not 0 < size < n:
+        return 1.0, 0.0
+    now = np.argsort(rng.random((sets, n)), axis=1)[:, :size] if n * sets <= 1 << 24 else np.stack([rng.choice(n, size, replace=False) for _ in range(sets)])
+    now = np.sort(now, axis=1)
+    value = largest_deviation(now, n, steps)
+    logp, spread = 0.0, 0.0
+    while True:
+        done = (value >= score - 1e-12).sum()
+        if 2 * done >= sets:
+            share = done / sets
+            return float(np.exp(logp) * share), float(np.sqrt(spread + (1 - share) / done) / np.log(2))
+        bar = np.sort(value)[sets // 2]
+        more = value[value > value.min() + 1e-12]
+        if not len(more):
+            return float(np.exp(logp) * done / sets), float("inf")  # all sets score alike, and under it
+        bar = max(bar, more.min())  # where over half of them share the least score, those above it go on
+        keep = value >= bar - 1e-12
+        share = keep.mean()
+        logp, spread = logp + np.log(share), spread + (1 - share) / keep.sum()
+        if logp < np.log(least):
+            return float(least), float("inf")
+        alive = np.flatnonzero(keep)
+        now[~keep] = now[rng.choice(alive, sets - len(alive))]
+        value = largest_deviation(now, n, steps)
+        swaps, moved, tried = max(1, size // 4), 0.0, 0
+        while moved < mixed * size and tried < 40 * mixed * size:  # so many genes of a set are others, on average
+            new, rows, changed = now.copy(), np.arange(sets), np.zeros(sets)
+            for _ in range(swaps):
+                out, into = rng.integers(0, size, sets), rng.integers(0, n, sets)
+                free = ~(new == into[:, None]).any(axis=1)
+                new[rows, out] = np.where(free, into, new[rows, out])
+                changed += free
+            new.sort(axis=1)
+            reached = largest_deviation(new, n, steps)
+            ok = reached >= bar - 1e-12
+            now[ok], value[ok] = new[ok], reached[ok]
+            moved, tried = moved + float((ok * changed).mean()), tried + 1
+            swaps = max(1, swaps // 2) if ok.mean() < 0.3 else min(size, swaps + 1) if ok.mean() > 0.7 else swaps
+
+
+def enrichment(scores: DataFrame, pathways: DataFrame, score: str = "score", weight: float = 0.0, chains: int = 4, sets: int = 200, most: int = 1 << 20, seed: int = 0) -> DataFrame:
+    """(pathway, size, es, p, log2err, q) for each pathway (pathway, gene_id) with a scored gene: the running score farthest
+    from 0, and the chance that a random set of as many genes, among those whose score goes the same way, goes as far; q
+    by Benjamini and Hochberg. Small p are real ones, not the 0 that permutations give.
+
+    weight: the power of the absolute score by which a gene counts, 0 for all alike. Ranks are global ones, dealt by
+    ranges; a pathway's score follows from the ranks of its own genes, so no pathway meets the whole list. Each (pathway,
+    chain) is one small task that needs only the size and the score (with weights also the list of them, which is why it may
+    hold no more than ``most`` genes; more raise). Null scores are left out, ties go by gene, and a pathway of all
+    genes has es 0 and p 1.
+    """
+    s = scores.where(F.col(score).isNotNull()).groupBy("gene_id").agg(F.max(score).alias("s"))
+    down = s.withColumn("__down", -F.col("s")).withColumn("__one", F.lit(1))
+    r = running_total(down, ["__down", "gene_id"], "__one", "rank").select("gene_id", "s", (F.col("rank") - 1).cast("long").alias("rank"))
+    r = written(r)
+    n = r.count()
+    up = steps = None
+    if weight:
+        if n > most:
+            raise ValueError(f"over {most} genes")
+        steps = np.array([x["w"] for x in r.orderBy("rank").select((F.abs("s") ** weight).alias("w")).collect()])
+        up = steps[::-1].copy()
+    own = pathways.select("pathway", "gene_id").distinct().join(r, "gene_id").groupBy("pathway").agg(F.array_sort(F.collect_list("rank")).alias("ranks"))
+
+    def extremes(pdf: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x in pdf:
+            hits = np.asarray(x)[None]
+            high, low = float(largest_deviation(hits, n, steps)[0]), float(largest_deviation(n - 1 - hits[:, ::-1], n, up)[0])
+            rows.append((len(x), 0.0 if len(x) == n else high if high >= low else -low))
+        return pd.DataFrame(rows, columns=["size", "es"])
+
+    scored = written(own.withColumn("x", F.pandas_udf(extremes, "size long, es double")("ranks")).select("pathway", "x.size", "x.es"))
+
+    def chain(batches):
+        for pdf in batches:
+            rows = []
+            for name, size, es, c in zip(pdf["pathway"], pdf["size"], pdf["es"], pdf["chain"]):
+                one = seed * 1009 + int(c)
+                p, error = small_p(abs(es), int(size), n, steps if es >= 0 else up, sets, seed=one) if es else (1.0, 0.0)
+                # The share of sets whose score goes this way: the other extreme of each is the same one from below.
+                ways = np.sort(np.argsort(np.random.default_rng(one + 1).random((512, n)), axis=1)[:, : int(size)], axis=1) if n * 512 <= 1 << 24 else np.sort(np.stack([np.random.default_rng(one * 512 + i).choice(n, int(size), replace=False) for i in range(512)]), axis=1)
+                a, b = largest_deviation(ways, n, steps), largest_deviation(n - 1 - ways[:, ::-1], n, up)
+                same = float((a >= b).mean() if es >= 0 else (b > a).mean()) if es else 1.0
+                rows.append((name, p, max(same, 1 / 512), error))
+            yield pd.DataFrame(rows, columns=["pathway", "p", "same", "error"])
+
+    kind = pathways.schema["pathway"].dataType.simpleString()
+    dealt = scored.withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(chains - 1)))).repartition("pathway", "chain")
+    tried = dealt.mapInPandas(chain, f"pathway {kind}, p double, same double, error double").groupBy("pathway").agg(F.avg("p").alias("p"), F.avg("same").alias("same"), (F.sqrt(F.avg(F.col("error") ** 2) / chains)).alias("log2err"))
+    out = scored.join(tried, "pathway").withColumn("p", F.least(F.lit(1.0), F.col("p") / F.col("same")))
+    return bh_adjust(out, "p", "q").select("pathway", "size", "es", "p", "log2err", "q")
