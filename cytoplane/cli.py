@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cytoplane.functions import scalars
 from cytoplane.model import combine
-from cytoplane.operators import clustering, differential, genome, joins, layers, receptors, windows
+from cytoplane.operators import clustering, differential, genome, joins, layers, receptors, signatures, windows
 from cytoplane.sources import readers, writers
 
 
@@ -41,6 +41,8 @@ def main(args: list[str] | None = None) -> None:
     for flag, default in (("--size", 200), ("--step", 50), ("--cut", 5), ("--levels", 1)):
         s.add_argument(flag, type=int, default=default)
     s.add_argument("--layer", default="")
+    command("transcription-starts", "reads", "output").add_argument("--contigs", default="chr")
+    command("enrichment", "scores", "pathways", "output").add_argument("--weight", type=float, default=0.0)
     a = p.parse_args(args)
     spark = SparkSession.builder.appName("cytoplane").getOrCreate()
     if a.command == "combine":
@@ -63,6 +65,10 @@ def main(args: list[str] | None = None) -> None:
         writers.matrix(layers.normalize_counts(readers.matrix(spark, a.matrix), denominator=a.target), a.output)
     elif a.command == "markers":
         writers.workbook(differential.markers(readers.matrix(spark, a.matrix), a.level, a.layer, a.top), a.output, "comparison")
+    elif a.command == "transcription-starts":
+        writers.text(genome.soft_clipped_starts(spark.read.parquet(a.reads), networks=True, contigs=a.contigs), a.output)
+    elif a.command == "enrichment":
+        writers.text(signatures.enrichment(spark.read.parquet(a.scores), spark.read.parquet(a.pathways), weight=a.weight), a.output)
     elif a.command == "window-clusters":
         means = genome.windowed_expression(readers.matrix(spark, a.matrix), a.size, a.step, a.cut, a.layer)
         writers.text(clustering.iterate(genome.window_vectors(means), a.levels), a.output)

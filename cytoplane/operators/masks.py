@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cytoplane.operators.graph import nearest
-from cytoplane.operators.windows import running_total
+from cytoplane.operators.graph import nearest, written
+from cytoplane.operators.windows import exact_quantiles, running_total
 
 
 def over_cutoff(cells: DataFrame, metric: str, cluster: str, default: float, exceptions: dict | None = None, out: str = "passes") -> DataFrame:
@@ -42,8 +42,9 @@ def sparse_neighbourhoods(points: DataFrame, n: int = 10, quantile: float = 0.9)
     """
     some = points.where("x IS NOT NULL AND y IS NOT NULL").select("id", F.array("x", "y").alias("vec"))
     nth = nearest(some, n, metric="euclidean").where(F.col("rank") == n).select(F.col("src").alias("id"), "distance")
-    bar = nth.agg(F.percentile("distance", F.lit(quantile)).alias("bar"))
-    return points.join(nth, "id", "left").crossJoin(F.broadcast(bar)).withColumn("keep", F.col("distance") <= F.col("bar")).drop("bar")
+    nth = written(nth)
+    bar = exact_quantiles(nth, "distance", [quantile])[0]
+    return points.join(nth, "id", "left").withColumn("keep", F.col("distance") <= F.lit(bar).cast("double"))
 
 
 def match_names(left: DataFrame, right: DataFrame, name: str, other: str, suffixes: tuple[str, ...] = ("_Lym", "_nucseq", "_45pos", "_45neg")) -> DataFrame:
@@ -66,8 +67,9 @@ def bernoulli(df: DataFrame, n: int, by: list[str], key: str, seed: int = 0) ->
 def downsample_counts(df: DataFrame, key: str, count: str, share: float, seed: int = 0) -> DataFrame:
     """(key, n): a multinomial redraw of round(total * share) observations with chances count / total.
 
-    Keys lie one after another on a line, each as long as its count; a draw is a place on it. The line is cut into about
-    as many cells as there are keys, so that draws and keys meet by equal cells: a long key lies in many of them.
+    Keys lie one after another on a line, each as long as its count; a draw is a place on it, by the md5 of seed and its
+    number, so that reruns and other engines agree. The line is cut into about as many cells as there are keys, so that
+    draws and keys meet by equal cells: a long key lies in many of them.
     """
     line = running_total(df.where(F.col(count) > 0).select(key, F.col(count).cast("long").alias("__n")), [key], "__n", "__hi")
     t = line.agg(F.sum("__n").alias("t"), F.count(F.lit(1)).alias("k")).first()
@@ -75,6 +77,7 @@ def downsample_counts(df: DataFrame, key: str, count: str, share: float, seed: i
     width = total / cells or 1.0
     cell = lambda c: F.floor(c / width).cast("long")
     line = line.withColumn("__lo", F.col("__hi") - F.col("__n")).withColumn("__cell", F.explode(F.sequence(cell(F.col("__lo")), cell(F.col("__hi")))))
-    draws = df.sparkSession.range(round(total * share)).select((F.rand(seed) * total).alias("__u")).withColumn("__cell", cell(F.col("__u")))
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"))), 1, 13)  # 52 bits
+    draws = df.sparkSession.range(round(total * share)).select((F.conv(digits, 16, 10).cast("double") / float(1 << 52) * total).alias("__u")).withColumn("__cell", cell(F.col("__u")))
     hit = draws.join(line, "__cell").where((F.col("__lo") <= F.col("__u")) & (F.col("__u") < F.col("__hi"))).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     return df.select(key).join(hit, key, "left").withColumn("n", F.coalesce("n", F.lit(0)))

@@ -118,16 +118,65 @@ def guide_calls(counts: DataFrame, cell: str = "cell_id", guide: str = "guide",
     return reads.join(per, cell, "left").select(cell, F.coalesce("n_guides", F.lit(0)).alias("n_guides"), "n_reads", F.coalesce("guides", F.lit("")).alias("guides"))
 
 
-def background_corrected(counts: DataFrame, empty: DataFrame, pseudocount: float = 10.0, cell: str = "cell_id", tag: str = "antibody", count: str = "count", denoise: bool = True) -> DataFrame:
+def first_component(wide: DataFrame, columns: list[str], out: str) -> DataFrame:
+    """wide plus the first component of a few standardised columns, turned so that its greatest weight is positive. Columns
+    without spread count for nothing; rows with a null have null."""
+    v = [F.col(c) for c in columns]
+    some = wide.where(~F.greatest(*[c.isNull().cast("int") for c in (*v, v[0])]).cast("boolean"))
+    pairs = [(i, j) for i in range(len(v)) for j in range(i)]
+    seen = some.agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(v) for n, f in (("m", F.avg), ("s", F.stddev_samp))], *[F.corr(v[i], v[j]).alias(f"r{i}_{j}") for i, j in pairs]).first()
+    r = np.eye(len(v))
+    for i, j in pairs:
+        c = seen[f"r{i}_{j}"]
+        r[i, j] = r[j, i] = 0.0 if c is None or c != c else c
+    flat = [not seen[f"s{i}"] or seen[f"s{i}"] != seen[f"s{i}"] for i in range(len(v))]
+    r[flat, :], r[:, flat] = 0.0, 0.0
+    w = np.linalg.eigh(r)[1][:, -1]
+    w = w * np.sign(w[np.abs(w).round(9).argmax()])
+    return wide.withColumn(out, sum((((c - seen[f"m{i}"]) / seen[f"s{i}"]) * float(w[i]) for i, c in enumerate(v) if not flat[i]), F.when(~F.greatest(*[c.isNull().cast("int") for c in (*v, v[0])]).cast("boolean"), 0.0)))
+
+
+def background_corrected(
+    counts: DataFrame,
+    empty: DataFrame,
+    pseudocount: float = 10.0,
+    cell: str = "cell_id",
+    tag: str = "antibody",
+    count: str = "count",
+    denoise: bool = True,
+    isotypes: list[str] | None = None,
+    negatives: bool = True,
+    clip: tuple[float, float] | None = None,
+    accuracy: int = 100_000,
+) -> DataFrame:
     """(cell, antibody, value): scores of log(count + pseudocount) against empty droplets, less (with denoise) their
-    regression on the cell's mean negative score (the technical component)."""
+    regression on the cell's technical component.
+
+    That component is the cell's mean negative score (``negatives``), the score of its isotype control, or of several of
+    these the first component over the cells, as standardised columns; ``isotypes`` are tags whose antibody binds nothing.
+    A cell without some of them has no component and is regressed as an average one. clip: the shares between whose
+    quantiles an antibody's values are kept, quantiles being order statistics within 1 / accuracy of all in rank.
+    """
     z = antibody_scores(counts, empty, pseudocount, cell, tag, count).select(cell, tag, F.col("z").alias("value"))
-    if not denoise:
-        return z
-    noise = two_components(z, [cell], "value").where("prediction = 0").groupBy(cell).agg(F.avg("value").alias("noise"))
-    d = z.join(noise, cell, "left").withColumn("noise", F.coalesce("noise", F.lit(0.0)))
-    fit = d.groupBy(tag).agg(F.regr_slope("value", "noise").alias("b"), F.avg("noise").alias("c"))
-    return d.join(fit, tag).select(cell, tag, (F.col("value") - F.coalesce("b", F.lit(0.0)) * (F.col("noise") - F.col("c"))).alias("value"))
+    parts = []
+    if denoise and negatives:
+        parts.append(two_components(z, [cell], "value").where("prediction = 0").groupBy(cell).agg(F.avg("value").alias("n0")))
+    if denoise and isotypes:
+        named = [F.max(F.when(F.col(tag) == t, F.col("value"))).alias(f"n{i}") for i, t in enumerate(isotypes, 1)]
+        parts.append(z.where(F.col(tag).isin(*isotypes)).groupBy(cell).agg(*named))
+    if parts:
+        wide = parts[0] if len(parts) == 1 else parts[0].join(parts[1], cell, "full")
+        columns = [c for c in wide.columns if c != cell]
+        wide = wide.withColumnRenamed(columns[0], "noise") if len(columns) == 1 else first_component(graph.written(wide), columns, "noise")
+        middle = wide.agg(F.avg("noise")).first()[0] or 0.0
+        d = z.join(wide.select(cell, "noise"), cell, "left").withColumn("noise", F.coalesce("noise", F.lit(0.0 if len(columns) == 1 and negatives else middle)))
+        fit = d.groupBy(tag).agg(F.regr_slope("value", "noise").alias("b"), F.avg("noise").alias("c"))
+        z = d.join(fit, tag).select(cell, tag, (F.col("value") - F.coalesce("b", F.lit(0.0)) * (F.col("noise") - F.col("c"))).alias("value"))
+    if clip:
+        z = graph.written(z)
+        edges = z.groupBy(tag).agg(F.percentile_approx("value", list(clip), accuracy).alias("e"))
+        z = z.join(edges, tag).select(cell, tag, F.least(F.greatest("value", F.get("e", F.lit(0))), F.get("e", F.lit(1))).alias("value"))
+    return z
 
 
 def unimodal_positives(values: DataFrame, called: DataFrame, by: list[str], value: str, key: str, depth: int = 4, level: float = 0.05, draws: int = 200) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytoplane.functions import pvalues
-from cytoplane.operators.graph import components
+from cytoplane.operators.graph import components, written
 from cytoplane.operators.windows import bh_adjust
 
 #: Separators of chains, of the two kinds of chain, and of the sample.
@@ -100,6 +100,47 @@ def pair_distances(clones: DataFrame, key: str = "tcr") -> DataFrame:
     return l.join(r, F.col(f"l_{key}") < F.col(f"r_{key}")).select(F.col(f"l_{key}").alias("a"), F.col(f"r_{key}").alias("b"), d.alias("d"))
 
 
+def shortened(text, most: int):
+    """The distinct strings that ``most`` deletions at most leave of a string column, itself among them."""
+    out = F.array(text)
+    one = lambda x: F.transform(F.when(F.length(x) > 0, F.sequence(F.lit(1), F.length(x))).otherwise(F.array().cast("array<int>")), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))
+    for _ in range(most):
+        out = F.array_distinct(F.concat(out, F.flatten(F.transform(out, one))))
+    return out
+
+
+def near_strings(strings: DataFrame, most: int, kind: str = "kind", text: str = "text") -> DataFrame:
+    """(kind, x, y, d) of the distinct strings of a kind at edit distance d of at most ``most``, each with itself too, in both
+    orders. Strings at that distance have something in common after as many deletions in each, so they meet at hashes
+    of what deletions leave; work grows with the strings and their neighbours. Nulls take no part."""
+    s = strings.where(F.col(text).isNotNull()).select(kind, F.col(text).alias("x")).distinct()
+    keys = s.select(kind, "x", F.explode(F.array_distinct(F.transform(shortened(F.col("x"), most), lambda v: F.xxhash64(v)))).alias("key"))
+    pairs = keys.join(keys.withColumnRenamed("x", "y"), [kind, "key"]).select(kind, "x", "y").distinct()
+    d = F.levenshtein(F.col("x"), F.col("y"), most)
+    return pairs.withColumn("d", d).where(F.col("d").between(0, most))
+
+
+def near_pairs(clones: DataFrame, most: int = 3, key: str = "tcr") -> DataFrame:
+    """(a, b, d) of ``pair_distances`` where d is at most ``most``, without comparing all pairs: receptors without a chain of
+    a kind have no distance.
+
+    Distinct chains of a kind are compared first (``near_strings``). A receptor's pairs of an alpha and a beta chain are then led
+    to the near ones of each, and meet receptors that have both: a chain that very many receptors share leads to no pair
+    that isn't within ``most``.
+    """
+    parts = lambda c: F.filter(F.split(c, CHAIN), lambda u: u != "")
+    c = clones.select(F.col(key).alias("a"), parts("tra").alias("ta"), parts("trb").alias("tb")).where("a IS NOT NULL").distinct()
+    chains = c.select("a", F.explode("ta").alias("alpha"), "tb").select("a", "alpha", F.explode("tb").alias("beta")).distinct()
+    chains = written(chains)
+    both = chains.select(F.lit("alpha").alias("kind"), F.col("alpha").alias("text")).union(chains.select(F.lit("beta"), "beta"))
+    near = written(near_strings(both, most))
+    side = lambda kind, x, y, d: near.where(F.col("kind") == kind).select(F.col("x").alias(x), F.col("y").alias(y), F.col("d").alias(d))
+    led = chains.join(side("beta", "beta", "beta2", "db"), "beta").join(side("alpha", "alpha", "alpha2", "da"), "alpha").where(F.col("da") + F.col("db") <= most)
+    led = led.groupBy("a", "alpha2", "beta2").agg(F.min(F.col("da") + F.col("db")).alias("d"))
+    other = chains.select(F.col("a").alias("b"), F.col("alpha").alias("alpha2"), F.col("beta").alias("beta2"))
+    return led.join(other, ["alpha2", "beta2"]).where("a < b").groupBy("a", "b").agg(F.min("d").alias("d"))
+
+
 def cluster_peptides(df: DataFrame, peptide: str, gene: str | None = None, max_dist: int = 6) -> DataFrame:
     """(gene, peptide, cluster): peptides connected by edit distances of at most 1 (within a gene), named by the least
     peptide; -1 (as text) for clusters in which some pair is farther than max_dist.

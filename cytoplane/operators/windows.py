@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,12 +16,56 @@ def average_rank(col: str, by: list[str]) -> Column:
     return F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2
 
 
-def quantile_bins(df: DataFrame, col: str, n: int, out: str = "bin") -> DataFrame:
+def exact_quantiles(df: DataFrame, col: str, shares: list[float], accuracy: int = 10_000) -> list[float | None]:
+    """The quantiles of col by linear interpolation, exactly, and no task sees all values: None if there are none. Nulls don't
+    count.
+
+    A mergeable sketch brackets each order statistic between two values that are about 4 / accuracy of all apart in rank; one
+    more pass counts what lies under each bracket and how often each value inside it occurs, and running counts of those
+    tell the value. The two passes read df twice.
+    """
+    if not shares:
+        return []
+    v = df.where(F.col(col).isNotNull()).select(F.col(col).cast("double").alias("v"))
+    edge = 2 / accuracy
+    lows, highs = [max(0.0, q - edge) for q in shares], [min(1.0, q + edge) for q in shares]
+    n, low, high, first, last = v.agg(F.count(F.lit(1)), F.percentile_approx("v", lows, accuracy), F.percentile_approx("v", highs, accuracy), F.min("v"), F.max("v")).first()
+    if not n:
+        return [None] * len(shares)
+    low = [first if a == 0 else x for a, x in zip(lows, low)]
+    high = [last if b == 1 else x for b, x in zip(highs, high)]
+    # Of few values a bracket may hold one of the two that a quantile lies between: the other is the next one outside.
+    outside = [F.max(F.when(F.col("v") < x, F.col("v"))).alias(f"b{i}") for i, x in enumerate(low)]
+    outside += [F.min(F.when(F.col("v") > x, F.col("v"))).alias(f"a{i}") for i, x in enumerate(high)]
+    under = v.agg(*[F.count_if(F.col("v") < x).alias(f"u{i}") for i, x in enumerate(low)], *outside).first()
+    mine = F.filter(F.array(*[F.when(F.col("v").between(a, b), i) for i, (a, b) in enumerate(zip(low, high))]), lambda i: i.isNotNull())
+    inside = v.groupBy("v").agg(F.count(F.lit(1)).alias("c")).select("v", "c", F.explode(mine).alias("i"))
+    upto = F.sum("c").over(Window.partitionBy("i").orderBy("v"))
+    at = [(n - 1) * q for q in shares]
+    want = lambda f: F.element_at(F.array(*[F.lit(float(int(f(a)) - under[i])) for i, a in enumerate(at)]), F.col("i") + 1)
+    ranks = inside.withColumn("upto", upto).groupBy("i")
+    found = {r["i"]: r for r in ranks.agg(F.min(F.when(F.col("upto") > want(math.floor), F.col("v"))).alias("a"), F.min(F.when(F.col("upto") > want(math.ceil), F.col("v"))).alias("b")).collect()}
+    out = []
+    for i, a in enumerate(at):
+        lo = found[i]["a"] if math.floor(a) >= under[i] else under[f"b{i}"]
+        hi = found[i]["b"] if found[i]["b"] is not None else under[f"a{i}"]
+        out.append(lo if math.floor(a) == math.ceil(a) or lo == hi else (math.ceil(a) - a) * lo + (a - math.floor(a)) * hi)
+    return out
+
+
+def quantile_bins(df: DataFrame, col: str, n: int, out: str = "bin", few: bool = False) -> DataFrame:
     """df plus a bin number: n quantile edges by linear interpolation, equal edges merged, bins closed on the right and
-    the first also on the left. Null values have no bin."""
-    edges = df.agg(F.array_distinct(F.percentile(col, F.array(*[F.lit(i / n) for i in range(n + 1)]))).alias("__edges"))
+    the first also on the left. Null values have no bin. Edges are those of ``exact_quantiles``, which reads df before;
+    few: the values are so few (of genes, of clusters) that one task may hold them, and nothing is read before."""
+    shares = [i / n for i in range(n + 1)]
+    if few:
+        edges = df.agg(F.array_distinct(F.percentile(col, F.array(*map(F.lit, shares)))).alias("__edges"))
+        df = df.crossJoin(F.broadcast(edges))
+    else:
+        found = dict.fromkeys(q for q in exact_quantiles(df, col, shares) if q is not None)
+        df = df.withColumn("__edges", F.array(*map(F.lit, found)).cast("array<double>"))
     below = F.size(F.filter("__edges", lambda e: e < F.col(col)))
-    return df.crossJoin(F.broadcast(edges)).withColumn(out, F.when(F.col(col).isNotNull(), F.greatest(below - 1, F.lit(0)))).drop("__edges")
+    return df.withColumn(out, F.when(F.col(col).isNotNull(), F.greatest(below - 1, F.lit(0)))).drop("__edges")
 
 
 def bh_adjust(df: DataFrame, p: str, out: str = "q", by: list[str] | None = None) -> DataFrame:

@@ -534,6 +534,13 @@ def tcr_distances(spark, d):
     return receptors.pair_distances(receptors.parse(_tcrs(spark, d)))
 
 
+@query(f"""WITH {TCR}, c AS (SELECT DISTINCT tcr, string_split(tra, '---') AS ta, string_split(trb, '---') AS tb FROM ({PARSED} t)),
+least_d AS (SELECT l.tcr AS a, r.tcr AS b, list_min(flatten(list_transform(l.ta, lambda u: list_transform(r.ta, lambda v: levenshtein(u, v))))) AS da, list_min(flatten(list_transform(l.tb, lambda u: list_transform(r.tb, lambda v: levenshtein(u, v))))) AS db FROM c l JOIN c r ON l.tcr < r.tcr)
+SELECT a, b, (da + db)::INT AS d FROM least_d WHERE da + db <= 2""")
+def tcr_near_pairs(spark, d):
+    return receptors.near_pairs(receptors.parse(_tcrs(spark, d)), 2)
+
+
 @query("""WITH RECURSIVE p AS (SELECT DISTINCT p_name AS p FROM part), e AS (SELECT a.p AS u, b.p AS v FROM p a, p b WHERE levenshtein(a.p, b.p) <= 1),
 r(p, c) AS (SELECT p, p FROM p UNION SELECT r.p, e.v FROM r JOIN e ON e.u = r.c), m AS (SELECT p, min(c) AS c FROM r GROUP BY 1),
 f AS (SELECT DISTINCT a.c FROM m a JOIN m b ON a.c = b.c WHERE levenshtein(a.p, b.p) > 6) SELECT p AS peptide, CASE WHEN c IN (SELECT c FROM f) THEN '-1' ELSE c END AS cluster FROM m""")
@@ -813,6 +820,18 @@ def background_corrected(spark, d):
     return mixtures.background_corrected(a, a.where("cell_id % 5 = 0"))
 
 
+@query(f"""WITH {ANTIBODY}, b AS (SELECT antibody, avg(ln(n + 10)) AS m, stddev_pop(ln(n + 10)) AS s FROM a WHERE cell_id % 5 = 0 GROUP BY 1), z AS (SELECT cell_id, antibody, (ln(n + 10) - m) / s AS z FROM a JOIN b USING (antibody)),
+w AS (SELECT cell_id, max(z) FILTER (WHERE antibody = 'error') AS e, max(z) FILTER (WHERE antibody = 'view') AS v FROM z GROUP BY 1),
+t AS (SELECT avg(e) AS me, stddev_samp(e) AS se, avg(v) AS mv, stddev_samp(v) AS sv, sign(corr(e, v)) AS r FROM w WHERE e IS NOT NULL AND v IS NOT NULL),
+c AS (SELECT cell_id, (e - me) / se + r * (v - mv) / sv AS noise FROM w, t), d AS (SELECT cell_id, antibody, z, coalesce(noise, (SELECT avg(noise) FROM c)) AS noise FROM z JOIN c USING (cell_id)),
+f AS (SELECT antibody, regr_slope(z, noise) AS b, avg(noise) AS c FROM d GROUP BY 1)
+SELECT cell_id, antibody, round(z - coalesce(b, 0) * (noise - c), 6) + 0.0 AS value FROM d JOIN f USING (antibody)""")
+def background_isotypes(spark, d):
+    a = _antibodies(spark, d)
+    out = mixtures.background_corrected(a, a.where("cell_id % 5 = 0"), isotypes=["error", "view"], negatives=False)
+    return out.select("cell_id", "antibody", (F.round("value", 6) + 0.0).alias("value"))
+
+
 # ---- sources, sinks, spatial, streams
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cytoplane.functions import registered, scalars
 from cytoplane.model import combine
-from cytoplane.operators import associations, clustering, differential, diversity, graph, groups, layers, masks, mixtures, windows
+from cytoplane.operators import associations, clustering, differential, diversity, genome, graph, groups, layers, linalg, masks, mixtures, neighbours, signatures, windows
 from cytoplane.plans import views
 from cytoplane.plans.catalogue import _antibodies, _rank_sum_sql, _scores, query, r6
 from cytoplane.plans.fixtures import BASE, FULL, GENES, X, matrix, normalized, table, vectors
@@ -167,7 +167,9 @@ def bernoulli_sample(spark, d):
     return masks.bernoulli(table(spark, d, "customer"), 20, ["c_mktsegment"], "c_custkey").select("c_custkey", "c_mktsegment")
 
 
-@query()
+@query("""WITH c AS (SELECT c_nationkey, count(*)::BIGINT AS n FROM customer GROUP BY 1), l AS (SELECT c_nationkey, n, sum(n) OVER (ORDER BY c_nationkey NULLS FIRST) AS hi, sum(n) OVER () AS t FROM c),
+u AS (SELECT ('0x' || left(md5('0:' || i), 13))::BIGINT / 4503599627370496.0::DOUBLE * t AS u FROM (SELECT DISTINCT t::BIGINT AS t FROM l), unnest(range(round_even(t * 0.5, 0)::BIGINT)) AS r(i))
+SELECT c_nationkey, count(u)::BIGINT AS n FROM l LEFT JOIN u ON u >= hi - l.n AND u < hi GROUP BY 1""")
 def downsampled_counts(spark, d):
     c = table(spark, d, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
     return masks.downsample_counts(c, "c_nationkey", "n", 0.5)
@@ -180,13 +182,59 @@ def selection_markers(spark, d):
     return views.compare_selections(m, side("0"), side("1"), "log").select("gene_id", "side", r6("CommonLanguageEffectSize", "cles"))
 
 
-@query(_rank_sum_sql("SELECT a.region AS comparison, c.cell_id, CASE WHEN c.region = a.region THEN 1 ELSE 2 END AS side FROM (SELECT DISTINCT region FROM cells) a CROSS JOIN cells c", "heat").replace("SELECT heat FROM o", ", e AS (SELECT comparison, gene_id, CASE WHEN NOT flat THEN u / (n1 * n2) END AS cles FROM o WHERE m1 > m2 AND f2 < 1.1), t AS (SELECT comparison, gene_id FROM (SELECT *, row_number() OVER (PARTITION BY comparison ORDER BY cles DESC NULLS LAST, gene_id) AS rank FROM e) WHERE rank <= 3) SELECT comparison, gene_id, cell_id, round(value, 6) AS value FROM t JOIN lg USING (gene_id)"))
+@query(f"""{FULL}, v AS (SELECT gene_id, value, region, count(*)::DOUBLE AS c1 FROM lg JOIN cells USING (cell_id) GROUP BY 1, 2, 3),
+k AS (SELECT *, sum(c1) OVER (PARTITION BY gene_id, value) AS c, sum(c1) OVER (PARTITION BY gene_id ORDER BY value) AS upto, sum(c1) OVER (PARTITION BY gene_id) AS nz FROM v),
+n AS (SELECT region, count(*)::DOUBLE AS n1, (sum(count(*)) OVER ())::DOUBLE AS n FROM cells GROUP BY 1),
+g AS (SELECT gene_id, region, sum(c1) AS nz1, any_value(nz) AS nz, sum(c1 * (upto - c + (c + 1) / 2)) AS r, sum(c1 * value) AS s1, count(*) AS kinds, count(*) FILTER (WHERE c1 = c) AS alone FROM k GROUP BY 1, 2),
+h AS (SELECT gene_id, sum(c1 * value) AS s, count(DISTINCT value) AS kinds FROM v GROUP BY 1),
+e AS (SELECT region, gene_id, CASE WHEN NOT (nz1 = n1 AND g.kinds = 1 AND (nz = nz1 OR nz - nz1 = n - n1 AND h.kinds - alone = 1)) THEN (r + nz1 * (n - nz) + (n1 - nz1) * (n - nz + 1) / 2 - n1 * (n1 + 1) / 2) / (n1 * (n - n1)) END AS cles FROM g JOIN n USING (region) JOIN h USING (gene_id) WHERE s1 / n1 > (s - s1) / (n - n1)),
+t AS (SELECT region, gene_id FROM e QUALIFY row_number() OVER (PARTITION BY region ORDER BY cles DESC NULLS LAST, gene_id) <= 3)
+SELECT region AS comparison, gene_id, cell_id, round(value, 6) AS value FROM t JOIN lg USING (gene_id)""")
 def marker_heatmap(spark, d):
     m = normalized(spark, d)
     marks = differential.markers(m, "region", "log", 50)
     return views.marker_heatmap(m, marks, "log", 3, 1.1).select("comparison", "gene_id", "cell_id", r6("value"))
 
 
+@query("""WITH RECURSIVE r AS (SELECT user_id, event_type, translate(left(md5(event_id::VARCHAR), 3), '0123456789abcdef', 'ACGTACGTACGTACGT') AS umi FROM events),
+n AS (SELECT user_id, event_type, umi, count(*) AS n FROM r GROUP BY 1, 2, 3),
+e AS (SELECT a.user_id, a.event_type, a.umi AS src, b.umi AS dst FROM n a JOIN n b ON a.user_id = b.user_id AND a.event_type = b.event_type AND hamming(a.umi, b.umi) = 1 AND a.n >= 2 * b.n - 1),
+w AS (SELECT user_id, event_type, umi AS top, umi FROM n UNION SELECT w.user_id, w.event_type, w.top, e.dst FROM w JOIN e ON e.user_id = w.user_id AND e.event_type = w.event_type AND e.src = w.umi)
+SELECT w.user_id, w.event_type, w.umi, any_value(m.n)::BIGINT AS n, arg_min(w.top, (-t.n, w.top)) AS molecule
+FROM w JOIN n t ON t.user_id = w.user_id AND t.event_type = w.event_type AND t.umi = w.top JOIN n m ON m.user_id = w.user_id AND m.event_type = w.event_type AND m.umi = w.umi GROUP BY 1, 2, 3""")
+def umi_molecules(spark, d):
+    tag = F.translate(F.substring(F.md5(F.col("event_id").cast("string")), 1, 3), "0123456789abcdef", "ACGTACGTACGTACGT")
+    return genome.umi_networks(table(spark, d, "events").withColumn("umi", tag), ["user_id", "event_type"])
+
+
+def _pathways(spark, d):
+    g = matrix(spark, d).genes
+    return g.select("gene_id", F.col("price").alias("score")), g.select(F.col("contig").alias("pathway"), "gene_id")
+
+
+@query(f"""{BASE}, r AS (SELECT gene_id, contig, row_number() OVER (ORDER BY price DESC, gene_id) - 1 AS h, count(*) OVER () AS n FROM genes),
+k AS (SELECT *, count(*) OVER (PARTITION BY contig) AS k, row_number() OVER (PARTITION BY contig ORDER BY h) - 1 AS j FROM r),
+e AS (SELECT contig, any_value(k) AS k, max((j + 1) / k::DOUBLE - (h - j) / (n - k)::DOUBLE) AS high, min(j / k::DOUBLE - (h - j) / (n - k)::DOUBLE) AS low FROM k GROUP BY 1)
+SELECT contig AS pathway, k::BIGINT AS size, round(CASE WHEN high >= -low THEN high ELSE low END, 6) AS es FROM e""")
+def enrichment_scores(spark, d):
+    return signatures.enrichment(*_pathways(spark, d), chains=1, sets=100).select("pathway", "size", r6("es"))
+
+
+@query()
+def enrichment_small_p(spark, d):
+    return signatures.enrichment(*_pathways(spark, d))
+
+
+@query()
+def knn_descent(spark, d):
+    return neighbours.neighbour_descent(vectors(spark, d), 10)
+
+
+@query()
+def pca_all_genes(spark, d):
+    return linalg.pca(normalized(spark, d), 3, "log")[0]
+
+
 @query()
 def neighbour_search(spark, d):
     k, s = clustering.best_neighbours(vectors(spark, d))

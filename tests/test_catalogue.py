@@ -70,7 +70,9 @@ WITHOUT_SQL = {
     "guide_calls": (["cell_id", "guides", "n_guides", "n_reads"], lambda r: all(x.n_guides == (len(x.guides.split("+")) if x.guides else 0) for x in r)),
     "background_corrected": (["antibody", "cell_id", "value"], lambda r: len({(x.cell_id, x.antibody) for x in r}) == len(r) > 0),
     "alpha_outlines": (None, lambda r: len(r) > 2),
-    "downsampled_counts": (["c_nationkey", "n"], lambda r: sum(x.n for x in r) == 75 and min(x.n for x in r) >= 0),
+    "enrichment_small_p": (["es", "log2err", "p", "pathway", "q", "size"], lambda r: len(r) > 0 and all(0 < x.p <= x.q <= 1 and -1 <= x.es <= 1 for x in r)),
+    "knn_descent": (["distance", "dst", "rank", "src"], lambda r: len(r) == 5000 and len({(x.src, x.dst) for x in r}) == 5000 and all(x.src != x.dst and 0 <= x.distance <= 2 for x in r)),
+    "pca_all_genes": (["gene_id", "loading", "pc"], lambda r: all(abs(sum(x.loading**2 for x in r if x.pc == k) - 1) < 1e-9 for k in (1, 2, 3)) and {x.pc for x in r} == {1, 2, 3}),
     "neighbour_search": (["k", "silhouette"], lambda r: len(r) == 1 and 2 <= r[0].k <= 2048 and -1 <= r[0].silhouette <= 1),
     "clump_sizes": (["cluster", "mean_distance", "n"], lambda r: sum(x.n for x in r) == 500 and all(x.n > 0 for x in r)),
 }
