@@ -52,9 +52,10 @@ def pca(m: AnnotatedMatrix, k: int, layer: str = "", genes: DataFrame | None = N
     """((gene_id, pc, loading), explained variance ratios) of cells as observations.
 
     Up to ``square`` genes their covariance is made and solved; of more, subspace iteration finds the same components to
-    nine digits from products with k + 10 vectors, and the driver holds genes by k + 10.
+    some seven digits from products with k + 10 vectors, and the driver holds genes by k + 10.
     """
     x = m.layers[layer] if genes is None else m.layers[layer].join(genes.select("gene_id"), "gene_id", "left_semi")
+    x = graph.written(x.select("cell_id", "gene_id", "value"))  # read several times below
     kind, n, spark = x.schema["gene_id"].dataType.simpleString(), m.cells.count(), m.cells.sparkSession
     if x.select("gene_id").distinct().limit(square + 1).count() > square:
         found = components.fit(components.Rows(x, "cell_id", "gene_id", "value", n), k)
