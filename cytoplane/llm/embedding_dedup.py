@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import pickle
 from dataclasses import dataclass
 from statistics import NormalDist
 
@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, hash128, spread_join, stored, table
 
-#: Distinct vectors on which split points are fitted, at most (about); all vectors are indexed.
+#: Distinct vectors of a label on which its split points are fitted, at most (about); all vectors are indexed.
 SAMPLE = 20_000
+#: Vectors of a label that are placed in its trees at a time.
+PLACED = 4096
 #: A leaf's code: tree, leaf of the fitted part, and the sides taken in the levels below it.
 TREE, LEAF, BELOW = 1 << 48, 1 << 28, 28
 #: Fewest sampled vectors in a leaf whose quantiles are trusted.
@@ -24,11 +26,13 @@ FEWEST = 32
 
 @dataclass
 class Tree:
-    """Random splits, the same direction for all nodes of a level. Node i splits on directions[level[i]] at cut[i]; what is
+    """Random splits, the same direction for all nodes of a level, drawn anew from a seed wherever the tree is used. Node i
+    splits on directions[level[i]] at cut[i]; what is
     within margin[i] goes both ways. Children < 0 are leaves ~child. A leaf that holds too much of the whole table though
     little of the sample is split on, below[leaf] times, by the next directions at the medians of what the sample has there."""
 
-    directions: np.ndarray
+    seed: int
+    shape: tuple[int, int]
     level: np.ndarray
     cut: np.ndarray
     margin: np.ndarray
@@ -37,7 +41,7 @@ class Tree:
 
     def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row of x, code) for each leaf of each row."""
-        p = x @ self.directions.T
+        p = x @ directions_of(self.seed, self.shape).T
         rows_out, codes = [], []
         open_ = [(0 if len(self.cut) else -1, np.arange(len(x)))]
         while open_:
@@ -59,6 +63,11 @@ class Tree:
         return np.concatenate(rows_out), np.concatenate(codes)
 
 
+def directions_of(seed: int, shape: tuple[int, int]) -> np.ndarray:
+    d = np.random.default_rng(seed).normal(size=shape)
+    return d / np.linalg.norm(d, axis=1, keepdims=True)
+
+
 def _cut(p: np.ndarray, at: float, spill: float) -> tuple[float, float]:
     low, mid, high = np.quantile(p, [at - spill, at, at + spill])
     return float(mid), float(max(mid - low, high - mid))
@@ -68,9 +77,8 @@ def grow(x: np.ndarray, leaf: float, spill: float, rng: np.random.Generator, sha
     """Recursive random splits of unit vectors x, a ``share`` of all, until at most ``leaf`` of all are expected in a node or
     ``tries`` directions don't part it."""
     deepest = int(2 * np.log2(max(2.0, len(x) / share / leaf))) + 2 * tries + 2
-    directions = rng.normal(size=(deepest, x.shape[1]))
-    directions /= np.linalg.norm(directions, axis=1, keepdims=True)
-    projected = x @ directions.T
+    seed, shape = int(rng.integers(1 << 62)), (deepest, x.shape[1])
+    projected = x @ directions_of(seed, shape).T
     level, cut, margin, children, below = [], [], [], [], []
     open_ = [(np.arange(len(x)), 0, None)]
     while open_:
@@ -97,7 +105,7 @@ def grow(x: np.ndarray, leaf: float, spill: float, rng: np.random.Generator, sha
             below.append((t, np.array([c for c, _ in further]), np.array([m for _, m in further])))
         if parent:
             children[parent[0]][parent[1]] = here
-    return Tree(directions, np.array(level, np.int64), np.array(cut), np.array(margin), np.array(children, np.int64).reshape(-1, 2), below)
+    return Tree(seed, shape, np.array(level, np.int64), np.array(cut), np.array(margin), np.array(children, np.int64).reshape(-1, 2), below)
 
 
 def forest_shape(over: float, least: float, miss: float = 1e-6, fewest: int = 3, most: int = 40) -> tuple[int, float]:
@@ -139,43 +147,38 @@ def grow_forest(x: np.ndarray, leaf: int, least: float, share: float, rng: np.ra
     return out
 
 
-def fit_forest(classes: DataFrame, leaf: int, least: float, sample: int, seed: int = 5) -> dict:
-    """{(label, size): trees} from a sample of about ``sample`` rows at most, drawn by hash; a label that is expected to fit a
-    leaf, or with under 8 rows drawn, has one leaf."""
-    n = classes.count()
-    share = min(1.0, sample / max(n, 1))
-    drawn = classes.where(F.pmod(F.xxhash64(F.lit(seed), "rep"), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0)).select("label", "dim", "rep", "vec").toPandas()
-    rng, out = np.random.default_rng(seed), {}
-    for key, rows in drawn.sort_values("rep").groupby(["label", "dim"]):
-        if len(rows) / share > leaf and len(rows) >= 8:
-            out[tuple(key)] = grow_forest(_unit(np.stack(rows["vec"].to_list())), leaf, least, share, rng)
-    return out
-
-
-def _index(forest):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees_of = forest.value
-        for b in batches:
-            label, dim = b.column("label").to_pylist(), b.column("dim").to_pylist()
-            codes: list[list[int]] = [[0]] * b.num_rows
-            single = b.schema.field("vec").type.value_type == pa.float32()
-            groups: dict[tuple, list[int]] = {}
-            for i, key in enumerate(zip(label, dim)):
-                groups.setdefault(key, []).append(i)
-            for key, rows in groups.items():
-                if key in trees_of:
-                    x = _unit(np.array(b.column("vec").take(pa.array(rows)).to_pylist()))
-                    placed = [t.place(x) for t in trees_of[key]]
-                    row = np.concatenate([r for r, _ in placed])
-                    code = np.concatenate([t * TREE + c for t, (_, c) in enumerate(placed)])
-                    by = np.lexsort((code, row))
-                    for i, own in zip(rows, np.split(code[by], np.cumsum(np.bincount(row, minlength=len(rows)))[:-1])):
-                        codes[i] = own
-            raw = pa.array([np.array(x, np.float32 if single else np.float64).tobytes() for x in b.column("vec").to_pylist()], pa.binary())
-            own = pa.array([np.array(c, np.int64).tobytes() for c in codes], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(n) for n in ("label", "dim", "rep", "mult")] + [raw, pa.array(codes, pa.list_(pa.int64())), own], ["label", "dim", "rep", "mult", "raw", "codes", "own"])
-
-    return run
+def fit_forests(classes: DataFrame, sizes: DataFrame, leaf: int, least: float, sample: int, seed: int = 5) -> DataFrame:
+    """(label, dim, forest) of the labels that don't fit a leaf, each grown where about ``sample`` of its rows at most, drawn by
+    hash, have met. A forest holds seeds and split points: its size is that of the sample, never of the label."""
+    large = spread_join(classes.select("label", "dim", "rep", "vec"), sizes.where(F.col("n") > leaf), ["label", "dim"], "rep")
+    drawn = large.where(F.pmod(F.xxhash64(F.lit(seed), "rep"), F.lit(1 << 30)) < F.lit(float(sample)) / F.col("n") * (1 << 30))
+
+    def one(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        t, n = t.sort_by("rep"), t.column("n")[0].as_py()
+        x = _unit(np.array(t.column("vec").to_pylist()))
+        trees = grow_forest(x, leaf, least, min(1.0, sample / n), np.random.default_rng(seed))
+        return pa.table({"label": t.column("label")[:1], "dim": t.column("dim")[:1], "forest": pa.array([pickle.dumps(trees)], pa.binary())})
+
+    return drawn.groupBy("label", "dim").applyInArrow(one, f"label {classes.schema['label'].dataType.simpleString()}, dim int, forest binary")
+
+
+def _index(key: tuple[pa.Scalar, ...], vectors: pa.Table, forest: pa.Table) -> pa.Table:
+    """Some vectors of a label, each with the codes of the leaves it lies in; without a forest all are in one."""
+    raw = vectors.column("vec").combine_chunks()
+    flat = raw.flatten().to_numpy(zero_copy_only=False).reshape(len(raw), -1)
+    codes: list = [np.zeros(1, np.int64)] * len(raw)
+    if forest.num_rows and len(raw):
+        x = _unit(flat)
+        placed = [t.place(x) for t in pickle.loads(forest.column("forest")[0].as_py())]
+        row = np.concatenate([r for r, _ in placed])
+        code = np.concatenate([t * TREE + c for t, (_, c) in enumerate(placed)])
+        by = np.lexsort((code, row))
+        codes = np.split(code[by], np.cumsum(np.bincount(row, minlength=len(raw)))[:-1])
+    columns = {c: vectors.column(c) for c in ("label", "dim", "rep", "mult")}
+    columns["raw"] = pa.array([v.tobytes() for v in flat], pa.binary())
+    columns["codes"] = pa.array(codes, pa.list_(pa.int64()))
+    columns["own"] = pa.array([np.asarray(c, np.int64).tobytes() for c in codes], pa.binary())
+    return pa.table(columns)
 
 
 def _first_shared(own: np.ndarray, a: np.ndarray, b: np.ndarray, code: int, at_once: int = 1 << 14) -> np.ndarray:
@@ -237,9 +240,11 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, leaf: int = 1024, bloc
     Null labels, ids or vectors, zero vectors and null or non-finite components link with nothing. Rows with one vec_id
     count as several vectors. Equal vectors are one class with a multiplicity; n_links counts members. A pair is counted
     in the first leaf that it shares, so n_links needs no list of pairs; leaves of over ``block`` classes are compared in
-    blocks, so no task holds more than two. The forest is fitted on a bounded sample and indexes every vector; trees deepen
-    with the table, and there are as many as lose a
-    millionth of the pairs at cosine ``least`` if projections are normal, and more until all of 5 000 planted pairs are found.
+    blocks, so no task holds more than two. A label's forest is fitted on at most about ``sample`` of its vectors, labels next
+    to each other in tasks, and goes to that label's vectors only, some thousands at a time: nothing grows with the number
+    of labels on the driver or in a broadcast. It indexes every vector; trees deepen with the label, and there are as many
+    as lose a millionth of the pairs at cosine ``least`` if projections are normal, and more until all of 5 000 planted
+    pairs are found.
     """
     plus_zero = F.transform(F.col(vec_col), lambda c: c + F.lit(0).cast("float"))  # no negative zero, so that equal vectors hash alike
     v = vectors.select(F.col(id_col).cast("long").alias("id"), plus_zero.alias("vec"), F.col(label_col).alias("label"))
@@ -249,10 +254,14 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, leaf: int = 1024, bloc
     v = v.withColumn("h1", h1).withColumn("h2", h2)
     classes = v.where(ok).groupBy("label", F.size("vec").alias("dim"), "h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("mult"), F.first("vec").alias("vec"))
     classes = stored(classes)
-    spark = vectors.sparkSession
-    forest = spark.sparkContext.broadcast(fit_forest(classes, leaf, least, sample))
     label_type = classes.schema["label"].dataType.simpleString()
-    indexed = stored(classes.mapInArrow(_index(forest), f"label {label_type}, dim int, rep long, mult long, raw binary, codes array<long>, own binary"))
+    sizes = stored(classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")))
+    forests = stored(fit_forests(classes, sizes, leaf, least, sample))
+    parts = F.ceil(F.col("n") / PLACED).cast("int")
+    dealt = spread_join(classes.select("label", "dim", "rep", "mult", "vec"), sizes, ["label", "dim"], "rep").withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int")).drop("n")
+    sent = forests.join(sizes, ["label", "dim"]).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
+    meet = dealt.groupBy("label", "dim", "part").cogroup(sent.groupBy("label", "dim", "part"))
+    indexed = stored(meet.applyInArrow(_index, f"label {label_type}, dim int, rep long, mult long, raw binary, codes array<long>, own binary"))
 
     places = indexed.withColumn("code", F.explode("codes"))
     large = places.groupBy("label", "dim", "code").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > block)
