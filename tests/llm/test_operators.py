@@ -734,3 +734,27 @@ def test_short_items_count_as_whole_words(spark):
     got = {r.doc_id: [(x.item_id, x.edits, r.text[x.start : x.end]) for x in r.leaks] for r in decontaminate.mark_leaks(df, b).collect()}
     assert got == {0: [(1, 0, "TINY"), (1, 0, "tiny"), (6, 0, "TINY"), (6, 0, "tiny")], 1: [(2, 0, "a a"), (2, 0, "a a")], 2: [(3, 0, "o'clock")], 3: [(3, 0, "O CLOCK")], 4: [(5, 0, "ünï")], 5: [], 6: [], 7: []}
     assert all(not r.leaks for r in decontaminate.mark_leaks(df, b, short=False).collect())
+
+
+def test_many_labels_have_forests_of_their_own(spark):
+    """Labels of one, of few and of many vectors, over the leaf and over the sample: links are those of all pairs."""
+    rng = np.random.default_rng(41)
+    sizes = {0: 1, 1: 30, 2: 300, 3: 700, **{k: 60 for k in range(4, 24)}}
+    x, label = [], []
+    for k, n in sizes.items():
+        v = rng.normal(size=(n, 16))
+        for i in range(0, n - 1, 3):  # every third has a near one
+            v[i + 1] = v[i] + rng.normal(size=16) * 0.08 * np.linalg.norm(v[i]) / 4
+        x.append(v)
+        label += [k] * n
+    x, label = np.concatenate(x), np.array(label)
+    df = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, label))], "vec_id long, embedding array<double>, label int").repartition(5)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.93) & (label[:, None] == label[None])
+    np.fill_diagonal(near, False)
+    assert near.sum() > 1000
+    got = {r.vec_id: r for r in embedding_dedup.near_vectors(df, leaf=64, block=50, sample=200).collect()}
+    assert len(got) == len(x)
+    assert sum(got[i].n_links for i in got) >= 0.99 * near.sum() and all(got[i].n_links <= near[i].sum() for i in got)
+    top = components(range(len(x)), [(a, b) for a, b in zip(*np.nonzero(near)) if a < b])
+    assert np.mean([got[i].component_id == top[i] for i in got]) > 0.99
