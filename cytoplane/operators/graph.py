@@ -24,9 +24,23 @@ def written(df: DataFrame) -> DataFrame:
         sc.setCheckpointDir(folder)
     path = f"{folder.rstrip('/')}/cytoplane-graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    files, at = _located(spark, path)
+    files.deleteOnExit(at)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._written_at = path
+    return back
+
+
+def _located(spark, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def unwritten(*tables: DataFrame) -> None:
+    """Removes tables of ``written`` that nothing reads any more."""
+    for t in tables:
+        files, at = _located(t.sparkSession, t._written_at)
+        files.delete(at, True)
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -39,7 +53,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         s = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         now = s.select("u", F.col("m").alias("v")).union(s.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        e = written(now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+        older, e = e, written(now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+        unwritten(older)
         seen = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if seen == last:
             break
@@ -147,6 +162,7 @@ def communities(edges: DataFrame, rounds: int = 10, resolution: float = 1.0, see
     degree = written(e.groupBy("u").agg(F.sum("w").alias("k"))) if degree is None else degree
     total = degree.agg(F.sum("k")).first()[0] or 1.0
     label = degree.select("u", F.col("u").alias("c")) if start is None else start.select(F.col("node").alias("u"), F.col("community").alias("c"))
+    now = None
     for r in range(rounds):
         mass = label.join(degree, "u").groupBy("c").agg(F.sum("k").alias("mass"))
         near = e.join(label.select(F.col("u").alias("v"), "c"), "v").groupBy("u", "c").agg(F.sum("w").alias("links"))
@@ -158,8 +174,10 @@ def communities(edges: DataFrame, rounds: int = 10, resolution: float = 1.0, see
         gain = F.col("links") - resolution * F.col("k") * others / total
         best = score.withColumn("gain", F.round(gain, 9)).groupBy("u", "own").agg(F.min_by("c", F.struct(-F.col("gain"), "c")).alias("c"))
         may = F.pmod(F.xxhash64(F.lit(seed + r), "u"), F.lit(2)) == 0
-        now = written(best.select("u", F.when(may, F.col("c")).otherwise(F.col("own")).alias("c"), (F.col("c") != F.col("own")).alias("wants")))
+        older, now = now, written(best.select("u", F.when(may, F.col("c")).otherwise(F.col("own")).alias("c"), (F.col("c") != F.col("own")).alias("wants")))
         label = now.select("u", "c")
+        if older is not None:
+            unwritten(older)
         if now.where("wants").isEmpty():  # nor does any of those that this round's hash holds back
             break
     low = label.groupBy("c").agg(F.min("u").alias("community"))

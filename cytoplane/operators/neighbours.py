@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cytoplane.operators.graph import written
+from cytoplane.operators.graph import unwritten, written
 
 #: A distance is rounded to so many digits, so that one pair met in two places has one distance.
 DIGITS = 9
@@ -135,7 +135,7 @@ def neighbour_descent(points: DataFrame, k: int, id_col: str = "id", vec_col: st
     sample = sample or min(k, 16)
     p = written(points.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec")))
     kind, n = p.schema["id"].dataType.simpleString(), p.count()
-    near = written(first_guess(p, k, seed=seed).withColumn("fresh", F.lit(1)))
+    near = stored = written(first_guess(p, k, seed=seed).withColumn("fresh", F.lit(1)))
     for r in range(rounds):
         draw = F.pmod(F.xxhash64(F.lit(seed + r), "src", "dst"), F.lit(1 << 20)) / float(1 << 20)
         drawn = near.withColumn("u", draw)
@@ -157,9 +157,10 @@ def neighbour_descent(points: DataFrame, k: int, id_col: str = "id", vec_col: st
         used = forward.where("fresh = 1").select(F.col("at").alias("src"), F.col("v").alias("dst"), F.lit(0).alias("used"))
         known = near.join(used, ["src", "dst"], "left").select("src", "dst", "distance", F.coalesce("used", "fresh").alias("fresh"), F.lit(0).alias("found"))
         both = _merged(known.unionByName(met.withColumns({"fresh": F.lit(1), "found": F.lit(1)})), k)
-        near = written(both)
-        changed = near.agg(F.sum("found")).first()[0] or 0
-        near = near.drop("found")
+        older, now = stored, written(both)
+        changed = now.agg(F.sum("found")).first()[0] or 0
+        unwritten(older)
+        stored, near = now, now.drop("found")
         if changed <= least_updates * n * k:
             break
     if include_self:
