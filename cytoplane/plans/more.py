@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cytoplane.functions import registered, scalars
 from cytoplane.model import combine
-from cytoplane.operators import associations, clustering, differential, diversity, genome, graph, groups, layers, linalg, masks, mixtures, neighbours, signatures, windows
+from cytoplane.operators import associations, clustering, differential, diversity, genome, graph, groups, layers, linalg, masks, mixtures, neighbours, signatures, spatial, windows
 from cytoplane.plans import views
 from cytoplane.plans.catalogue import _antibodies, _rank_sum_sql, _scores, query, r6
 from cytoplane.plans.fixtures import BASE, FULL, GENES, X, matrix, normalized, table, vectors
@@ -235,6 +235,15 @@ def pca_all_genes(spark, d):
     return linalg.pca(normalized(spark, d), 3, "log")[0]
 
 
+@query("""WITH p AS (SELECT user_id, value AS y, (event_id % 97)::DOUBLE AS x, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+c AS (SELECT a.user_id, a.n, a.x * b.y - b.x * a.y AS c FROM p a JOIN p b ON a.user_id = b.user_id AND b.i = a.i % a.n + 1)
+SELECT user_id, 'ID_' || row_number() OVER (ORDER BY user_id) AS name, any_value(n)::INT AS corners, round(abs(sum(c)) / 2, 4) AS area FROM c GROUP BY 1""")
+def cell_outlines(spark, d):
+    corners = F.array_sort(F.collect_list(F.struct("event_id", "value")))
+    cells = table(spark, d, "events").groupBy("user_id").agg(corners.alias("c")).select("user_id", F.col("c.value").alias("rows"), F.transform("c", lambda x: x["event_id"] % 97).alias("cols"))
+    return spatial.segmented_cells(cells, "user_id").select("user_id", "name", F.size("points").alias("corners"), F.round("area", 4).alias("area"))
+
+
 @query()
 def neighbour_search(spark, d):
     k, s = clustering.best_neighbours(vectors(spark, d))

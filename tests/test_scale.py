@@ -518,3 +518,41 @@ def test_landmarks_lay_out_what_they_stand_for(spark):
     assert (nearest == kinds).mean() > 0.8
     lone = linalg.layout(spark.createDataFrame([(1, 2, 1.0), (3, 4, 1.0), (4, 5, 1.0)], "src long, dst long, weight double"), 10, landmarks=1).collect()
     assert len(lone) == 5 and 0 < sum(r.x is not None for r in lone) < 5
+
+
+def test_commands_for_starts_and_enrichment(spark, tmp_path):
+    from cytoplane import cli
+
+    at = lambda n: str(tmp_path / n)
+    seq = "A" * 5 + "G" + "C" * 20
+    rows = [("chr1", 100, 120, "+", "6S20M", seq, "cell", u) for u in ["ACGTACGT"] * 6 + ["ACGTACGA"] * 2]
+    spark.createDataFrame(rows, "chrom string, pos long, end long, strand string, cigar string, seq string, barcode string, umi string").write.parquet(at("reads"))
+    cli.main(["transcription-starts", at("reads"), at("starts")])
+    assert [tuple(r) for r in spark.read.option("header", True).option("sep", "\t").csv(at("starts")).select("chrom", "start", "n").collect()] == [("chr1", "100", "1")]
+    spark.createDataFrame([(f"g{i}", float(-i)) for i in range(60)], "gene_id string, score double").write.parquet(at("scores"))
+    spark.createDataFrame([("first", f"g{i}") for i in range(5)], "pathway string, gene_id string").write.parquet(at("ways"))
+    cli.main(["enrichment", at("scores"), at("ways"), at("out")])
+    r = spark.read.option("header", True).option("sep", "\t").csv(at("out")).first()
+    assert (r.pathway, float(r.es)) == ("first", 1.0) and 0 < float(r.p) < 1e-4
+
+
+def test_rounds_leave_no_tables_behind(spark):
+    import os
+
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    held = lambda: {p for p in os.listdir(folder) if not p.startswith(".")}
+    before = held()
+    e = spark.createDataFrame([(i, i + 1) for i in range(20)], "u long, v long")
+    assert {r.component for r in graph.components(e).collect()} == {0}
+    assert len(held() - before) == 1
+
+
+def test_segmented_cells(spark):
+    from cytoplane.operators import spatial
+
+    rows = [(7, [0.0, 0.0, 2.0, 2.0], [0.0, 3.0, 3.0, 0.0], "a"), (3, [0.0, 4.0, 0.0], [0.0, 0.0, 1.0], "b"), (5, None, [1.0], "c"), (9, [1.0, None, 2.0], [1.0, 2.0], "d")]
+    df = spark.createDataFrame(rows, "id long, rows array<double>, cols array<double>, name string")
+    got = {r.id: r for r in spatial.segmented_cells(df).collect()}
+    assert {i: (r.name, r.area) for i, r in got.items()} == {3: ("ID_1", 2.0), 5: ("ID_2", 0.0), 7: ("ID_3", 6.0), 9: ("ID_4", 0.0)}
+    assert [(p.x, p.y) for p in got[3].points] == [(0, 0), (0, 4), (1, 0)] and [(p.x, p.y) for p in got[9].points] == [(1, 1)]
+    assert spatial.segmented_cells(df.limit(0)).count() == 0
