@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -217,27 +219,71 @@ def cosine_to_centroid(points: DataFrame, cluster: str, id_col: str = "id", vec_
     return s.select("id", "cluster", F.try_divide("d", F.col("a") * F.col("b")).alias("similarity"))
 
 
-def kde_grid(points: DataFrame, px: int = 100, box: tuple[float, float, float, float] | None = None) -> DataFrame:
-    """(i, j, gx, gy, density): gaussian density of (x, y) with Scott's bandwidth and full covariance on a px by px grid."""
-    s = points.agg(F.count(F.lit(1)).alias("n"), F.var_samp("x").alias("vx"), F.var_samp("y").alias("vy"), F.covar_samp("x", "y").alias("vxy"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+def measured(c: str):
+    """Neither null nor NaN."""
+    return F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+
+
+def kde_grid(points: DataFrame, px: int = 100, box: tuple[float, float, float, float] | None = None, side: float = 0.4, order: int = 10, reach: float = 7.0) -> DataFrame:
+    """(i, j, gx, gy, density): gaussian density of (x, y) with Scott's bandwidth and full covariance on a px by px grid.
+
+    A fast Gauss transform: in coordinates where the kernel is round and of unit width, points are added up in square boxes
+    as moments about the box's centre, and a place of the grid reads the boxes within ``reach`` of it by its tile and eight
+    around. A point is read once, whatever the grid; a box stands for all its points. The kernel's expansion ends at degree
+    ``order`` and its tail at ``reach``: with the defaults a density is off by less than 1e-8 of the kernel's peak. Rows with
+    a null or NaN don't count; where there is no spread in both directions densities are null.
+    """
+    p = points.where(measured("x") & measured("y")).select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    s = p.agg(F.count(F.lit(1)).alias("n"), F.var_samp("x").alias("vx"), F.var_samp("y").alias("vy"), F.covar_samp("x", "y").alias("vxy"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
     if box:
         s = s.withColumns(dict(zip(("x0", "x1", "y0", "y1"), map(F.lit, box))))
-    f = F.pow(F.col("n").cast("double"), F.lit(-1 / 6)) ** 2
-    s = s.withColumns({c: F.col(c) * f for c in ("vx", "vy", "vxy")}).withColumn("det", F.col("vx") * F.col("vy") - F.col("vxy") ** 2)
-    spark = points.sparkSession
-    axis = lambda c: spark.range(px).select(F.col("id").cast("int").alias(c))
-    at = lambda i, a, b: F.col(a) + F.col(i) * (F.col(b) - F.col(a)) / (px - 1)
-    grid = axis("i").crossJoin(axis("j")).crossJoin(F.broadcast(s)).withColumn("gx", at("i", "x0", "x1")).withColumn("gy", at("j", "y0", "y1"))
-    dx, dy = F.col("gx") - F.col("x"), F.col("gy") - F.col("y")
-    q = (F.col("vy") * dx**2 - 2 * F.col("vxy") * dx * dy + F.col("vx") * dy**2) / F.col("det")
-    pairs = points.select("x", "y").crossJoin(F.broadcast(grid))
-    return pairs.groupBy("i", "j", "gx", "gy", "n", "det").agg(F.sum(F.exp(-q / 2)).alias("s")).select("i", "j", "gx", "gy", (F.col("s") / (F.col("n") * 2 * np.pi * F.sqrt("det"))).alias("density"))
+    n, vx, vy, vxy, x0, x1, y0, y1 = s.first()  # one row
+    f = n ** (-1 / 3) if n else 0.0
+    det = (vx * vy - vxy**2) * f * f if n > 1 else 0.0
+    axis = lambda c: points.sparkSession.range(px).select(F.col("id").cast("int").alias(c))
+    at = lambda i, a, b: F.lit(a).cast("double") + F.col(i) * F.lit(0.0 if a is None else b - a) / max(1, px - 1)
+    grid = axis("i").crossJoin(axis("j")).withColumn("gx", at("i", x0, x1)).withColumn("gy", at("j", y0, y1))
+    if not det > 1e-12 * max(vx or 0.0, vy or 0.0, 1e-300) ** 2 * f * f:
+        return grid.withColumn("density", F.lit(None).cast("double"))
+    width = np.sqrt(vx * f)
+    slant = vxy * f / width
+    height = np.sqrt(vy * f - slant**2)
+    round_u = lambda x: (F.col(x) - float(x0)) / float(width)
+    round_v = lambda y, u: (F.col(y) - float(y0) - F.col(u) * float(slant)) / float(height)
+    middle = lambda c: (F.floor(F.col(c) / side) + 0.5) * side
+    tile = lambda c: F.floor(F.col(c) / reach)
+
+    power = lambda c, k: F.lit(1.0) if k == 0 else power(c, k - 1) * F.col(c)
+    degrees = [(a, b) for a in range(order) for b in range(order - a)]
+    q = p.withColumn("u", round_u("x")).withColumn("v", round_v("y", "u")).select("u", "v", middle("u").alias("cu"), middle("v").alias("cv"))
+    q = q.select("cu", "cv", (F.col("u") - F.col("cu")).alias("t"), (F.col("v") - F.col("cv")).alias("w"))
+    q = q.withColumn("e", F.exp(-(F.col("t") * F.col("t") + F.col("w") * F.col("w")) / 2))
+    boxes = q.groupBy("cu", "cv").agg(*[F.sum(F.col("e") * power("t", a) * power("w", b)).alias(f"m{a}_{b}") for a, b in degrees])
+    boxes = boxes.withColumn("tu", tile("cu")).withColumn("tv", tile("cv"))
+
+    g = grid.withColumn("u", round_u("gx")).withColumn("v", round_v("gy", "u"))
+    around = F.array(*map(F.lit, (-1, 0, 1)))
+    g = g.withColumn("tu", F.explode(F.transform(around, lambda k: k + tile("u")))).withColumn("tv", F.explode(F.transform(around, lambda k: k + tile("v"))))
+    met = g.join(boxes, ["tu", "tv"]).withColumn("du", F.col("u") - F.col("cu")).withColumn("dv", F.col("v") - F.col("cv"))
+    met = met.withColumn("far", F.col("du") * F.col("du") + F.col("dv") * F.col("dv")).where(F.col("far") <= reach * reach)
+
+    def horner(name: str, terms: list):
+        total = terms[-1]
+        for t in terms[-2::-1]:
+            total = total * F.col(name) + t
+        return total
+
+    moment = lambda a, b: F.col(f"m{a}_{b}") / float(math.factorial(a) * math.factorial(b))
+    value = horner("du", [horner("dv", [moment(a, b) for b in range(order - a)]) for a in range(order)])
+    summed = met.groupBy("i", "j").agg(F.sum(F.exp(-F.col("far") / 2) * value).alias("s"))
+    return grid.join(summed, ["i", "j"], "left").select("i", "j", "gx", "gy", (F.coalesce("s", F.lit(0.0)) / float(n * 2 * np.pi * np.sqrt(det))).alias("density"))
 
 
 def kde_difference(points: DataFrame, mask: str, px: int = 100) -> DataFrame:
     """(i, j, gx, gy, density) of rows with mask minus rows without, on the grid of all rows."""
-    r = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    a, b = (kde_grid(points.where(c), px, tuple(map(float, r))).select("i", "j", "gx", "gy", "density") for c in (F.col(mask), ~F.col(mask)))
+    p = points.where(measured("x") & measured("y"))
+    r = p.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    a, b = (kde_grid(p.where(c), px, None if r[0] is None else tuple(map(float, r))).select("i", "j", "gx", "gy", "density") for c in (F.col(mask), ~F.col(mask)))
     return a.join(b.select("i", "j", F.col("density").alias("other")), ["i", "j"]).select("i", "j", "gx", "gy", (F.col("density") - F.col("other")).alias("density"))
 
 

@@ -556,3 +556,32 @@ def test_segmented_cells(spark):
     assert {i: (r.name, r.area) for i, r in got.items()} == {3: ("ID_1", 2.0), 5: ("ID_2", 0.0), 7: ("ID_3", 6.0), 9: ("ID_4", 0.0)}
     assert [(p.x, p.y) for p in got[3].points] == [(0, 0), (0, 4), (1, 0)] and [(p.x, p.y) for p in got[9].points] == [(1, 1)]
     assert spatial.segmented_cells(df.limit(0)).count() == 0
+
+
+# ---- densities
+
+
+def test_densities_agree_with_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(0, 1, 900), rng.normal(6, 0.5, 300), [40.0]])
+    y = np.concatenate([x[:900] * 0.8 + rng.normal(0, 0.4, 900), rng.normal(-3, 1, 300), [-30.0]])
+    rows = [(float(a), float(b)) for a, b in zip(x, y)] + [(None, 1.0), (2.0, None), (float("nan"), 2.0)]
+    got = linalg.kde_grid(spark.createDataFrame(rows, "x double, y double"), 25).collect()
+    assert {(r.i, r.j) for r in got} == set(itertools.product(range(25), repeat=2))
+    c = np.cov(x, y) * len(x) ** (-1 / 3)
+    inv, peak = np.linalg.inv(c), 1 / (2 * np.pi * np.sqrt(np.linalg.det(c)))
+    for r in got:
+        d = np.stack([r.gx - x, r.gy - y])
+        assert r.density == pytest.approx(np.exp(-0.5 * np.einsum("in,ij,jn->n", d, inv, d)).mean() * peak, abs=1e-8 * peak)
+
+
+@pytest.mark.parametrize("rows", [[], [(1.0, 2.0)], [(1.0, 2.0), (1.0, 3.0)], [(0.0, 0.0), (1.0, 1.0), (2.0, 2.0)], [(None, None)]])
+def test_densities_without_spread_are_null(spark, rows):
+    got = linalg.kde_grid(spark.createDataFrame(rows, "x double, y double"), 3).collect()
+    assert len(got) == 9 and all(r.density is None for r in got)
+
+
+def test_densities_meet_points_by_tiles_only(spark):
+    p = spark.range(1000).select(F.sin("id").alias("x"), F.cos(F.col("id") * 2).alias("y"))
+    plan = linalg.kde_grid(p, 10)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("CartesianProduct") + plan.count("BroadcastNestedLoopJoin") <= 2  # the grid's own axes, twice read
