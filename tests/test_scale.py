@@ -585,3 +585,38 @@ def test_densities_meet_points_by_tiles_only(spark):
     p = spark.range(1000).select(F.sin("id").alias("x"), F.cos(F.col("id") * 2).alias("y"))
     plan = linalg.kde_grid(p, 10)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("CartesianProduct") + plan.count("BroadcastNestedLoopJoin") <= 2  # the grid's own axes, twice read
+
+
+# ---- micro-clusters
+
+
+def test_micro_clusters_hold_all_points_and_near_ones(spark):
+    a, b = cloud(spark, 900, groups=12, seed=4), cloud(spark, 400, groups=3, seed=5, repeats=50)
+    p = a.withColumn("path", F.lit("0")).unionByName(b.withColumn("path", F.lit("1")))
+    same = spark.createDataFrame([(f"s{i}", [0.0] * 7 + [1.0], "2") for i in range(40)] + [(f"z{i}", [0.0] * 8, "3") for i in range(5)], "id string, vec array<double>, path string")
+    placed, centres = clustering.micro_clusters(p.unionByName(same), 48)
+    vec = {(r.path, r.id): clustering.unit_rows(np.array([r.vec]))[0] for r in p.unionByName(same).collect()}
+    groups = collections.defaultdict(list)
+    for r in placed.collect():
+        groups[r.path, r.node].append(vec.pop((r.path, r.id)))
+    assert not vec
+    got = {(r.path, r.node): (r.n, np.array(r.vec)) for r in centres.collect()}
+    assert got.keys() == groups.keys()
+    for k, v in groups.items():
+        assert got[k][0] == len(v) and np.allclose(got[k][1], np.mean(v, axis=0))
+    per = collections.Counter(k[0] for k in got)
+    assert per == {"0": 48, "1": 48, "2": 1, "3": 1}
+    for path in "01":
+        x = np.concatenate([v for k, v in groups.items() if k[0] == path])
+        inner = sum(((np.array(v) - np.mean(v, axis=0)) ** 2).sum() for k, v in groups.items() if k[0] == path)
+        assert inner < 0.4 * ((x - x.mean(0)) ** 2).sum()
+
+
+def test_clusters_do_not_depend_on_the_size_switch_where_groups_are_apart(spark):
+    rng = np.random.default_rng(8)
+    c = np.linalg.qr(rng.normal(size=(12, 12)))[0] * 8
+    rows = [(i, (c[i % 6] + (c[6 + i % 2] * 0.2) + rng.normal(size=12) * 0.3).tolist()) for i in range(600)]
+    p = spark.createDataFrame(rows, "id long, vec array<double>")
+    for exact in (4000, 200):
+        got = {r.id: r.level0 for r in clustering.iterate(p, 1, exact=exact).collect()}
+        assert len(got) == 600 and len(set(got.values())) == 6 and all(len({got[i] for i in range(600) if i % 6 == k}) == 1 for k in range(6))
