@@ -55,17 +55,15 @@ def fit_two(w: np.ndarray, a: np.ndarray, b: np.ndarray, kind: str, rounds: int)
     return float(m0), float(m1), float(s0), float(s1), float(p1)
 
 
-def two_components(values: DataFrame, by: list[str], value: str, kind: str = "gaussian", rounds: int = 30, hard: bool = False, bins: int = 16_384) -> DataFrame:
-    """values plus prediction: 1 for the component with the higher mean, 0 for the other, null for null values.
+def chance(kind: str):
+    """The chance that v belongs to component 1, of columns v, m0, m1, s0, s1 and p1."""
+    density = lambda i: log_density(kind, F.col("v"), F.col(f"m{i}"), F.col(f"s{i}"), F.ln, lambda x, y: F.greatest(x, F.lit(y)))
+    odds = F.ln(F.greatest("p1", F.lit(1e-9))) + density(1) - F.ln(F.greatest(1 - F.col("p1"), F.lit(1e-9))) - density(0)
+    return 1 / (1 + F.exp(-F.greatest(F.least(odds, F.lit(700.0)), F.lit(-700.0))))
 
-    EM runs over a group's distinct values, or over ``bins`` equal bins of them (with their counts, sums and sums of
-    squares) where there are more, so that a task holds a bounded table however many rows a group has; the parameters
-    then judge every value itself. It starts from the lower and upper quartile and is deterministic. kind: gaussian,
-    poisson or gamma. A group of one value is all 0. hard: positives are what lies at or over the least positive (or over
-    the largest negative) if that parts the two means, else null.
-    """
-    v = values.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("w"))
-    v = graph.written(v)
+
+def fit_on_bins(v: DataFrame, by: list[str], kind: str, rounds: int, bins: int) -> DataFrame:
+    """(by, m0, m1, s0, s1, p1) of distinct values (by, v, w), a group's values or bins in one task."""
     span = v.groupBy(*by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("kinds"))
     width = F.greatest((F.col("hi") - F.col("lo")) / bins, F.lit(1e-300))
     place = F.col("lo") + F.floor((F.col("v") - F.col("lo")) / width) * width
@@ -77,10 +75,47 @@ def two_components(values: DataFrame, by: list[str], value: str, kind: str = "ga
         return pd.DataFrame([[*key, *fit_two(*(pdf[c].to_numpy(float) for c in "wab"), kind, rounds)]], columns=[*by, "m0", "m1", "s0", "s1", "p1"])
 
     kinds = ", ".join(f"{c} {v.schema[c].dataType.simpleString()}" for c in by)
-    par = graph.written(binned.groupBy(*by).applyInPandas(fit, f"{kinds}, m0 double, m1 double, s0 double, s1 double, p1 double"))
-    density = lambda i: log_density(kind, F.col("v"), F.col(f"m{i}"), F.col(f"s{i}"), F.ln, lambda x, y: F.greatest(x, F.lit(y)))
-    odds = F.ln(F.greatest("p1", F.lit(1e-9))) + density(1) - F.ln(F.greatest(1 - F.col("p1"), F.lit(1e-9))) - density(0)
-    done = v.join(par, by).withColumn("r", 1 / (1 + F.exp(-F.greatest(F.least(odds, F.lit(700.0)), F.lit(-700.0)))))
+    return graph.written(binned.groupBy(*by).applyInPandas(fit, f"{kinds}, m0 double, m1 double, s0 double, s1 double, p1 double"))
+
+
+def fit_in_spark(v: DataFrame, by: list[str], kind: str, rounds: int) -> DataFrame:
+    """(by, m0, m1, s0, s1, p1) of distinct values (by, v, w): each round is one aggregate, so no task holds a group's values
+    and none are put together. Quartiles are read off running counts."""
+    total = v.groupBy(*by).agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("v")).alias("a"), F.sum(F.col("w") * F.col("v") ** 2).alias("b"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    upto = v.withColumn("upto", F.sum("w").over(Window.partitionBy(*by).orderBy("v"))).join(total, by)
+    at = {i: (F.col("n") - 1) * q for i, q in enumerate((0.25, 0.75))}
+    read = [F.min(F.when(F.col("upto") > f(at[i]), F.col("v"))).alias(f"{c}{i}") for i in at for c, f in (("f", F.floor), ("c", F.ceil))]
+    start = upto.groupBy(*by, "n", "a", "b", "lo", "hi").agg(*read)
+    q = {i: F.col(f"f{i}") + (F.col(f"c{i}") - F.col(f"f{i}")) * (at[i] - F.floor(at[i])) for i in at}
+    var = F.greatest(F.lit(0.0), F.col("b") / F.col("n") - (F.col("a") / F.col("n")) * (F.col("a") / F.col("n"))) + EPS
+    means = [F.when(q[0] == q[1], F.col(e)).otherwise(q[i]).alias(f"m{i}") for i, e in enumerate(("lo", "hi"))]
+    par = graph.written(start.select(*by, *means, var.alias("s0"), var.alias("s1"), F.lit(0.5).alias("p1")))
+    for _ in range(rounds):
+        r = v.join(par, by).withColumn("r1", chance(kind)).withColumn("r0", 1 - F.col("r1"))
+        sums = [F.sum(F.col("w") * F.col(f"r{i}") * x).alias(f"{c}{i}") for i in (0, 1) for c, x in (("w", F.lit(1.0)), ("a", F.col("v")), ("b", F.col("v") * F.col("v")))]
+        s = r.groupBy(*by).agg(F.sum("w").alias("n"), *sums)
+        w = {i: F.greatest(F.col(f"w{i}"), F.lit(1e-12)) for i in (0, 1)}
+        m = {i: F.col(f"a{i}") / w[i] for i in (0, 1)}
+        var = {i: F.greatest(F.col(f"b{i}") / w[i] - m[i] * m[i], F.lit(EPS)) for i in (0, 1)}
+        older, par = par, graph.written(s.select(*by, m[0].alias("m0"), m[1].alias("m1"), var[0].alias("s0"), var[1].alias("s1"), (F.col("w1") / F.col("n")).alias("p1")))
+        graph.unwritten(older)
+    return par
+
+
+def two_components(values: DataFrame, by: list[str], value: str, kind: str = "gaussian", rounds: int = 30, hard: bool = False, bins: int | None = 16_384) -> DataFrame:
+    """values plus prediction: 1 for the component with the higher mean, 0 for the other, null for null values.
+
+    EM runs over a group's distinct values, or over ``bins`` equal bins of them (with their counts, sums and sums of
+    squares) where there are more, so that a task holds a bounded table however many rows a group has; the parameters
+    then judge every value itself. bins=None: every round adds up all distinct values in Spark, whatever their number; a
+    round is one pass. It starts from the lower and upper quartile and is deterministic. kind: gaussian,
+    poisson or gamma. A group of one value is all 0. hard: positives are what lies at or over the least positive (or over
+    the largest negative) if that parts the two means, else null.
+    """
+    v = values.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("w"))
+    v = graph.written(v)
+    par = fit_in_spark(v, by, kind, rounds) if bins is None else fit_on_bins(v, by, kind, rounds, bins)
+    done = v.join(par, by).withColumn("r", chance(kind))
     high = F.when(F.col("m1") >= F.col("m0"), F.col("r") > 0.5).otherwise(F.col("r") <= 0.5)
     called = done.select(*by, "v", "w", high.cast("int").alias("prediction"))
     whole = Window.partitionBy(*by)

@@ -620,3 +620,28 @@ def test_clusters_do_not_depend_on_the_size_switch_where_groups_are_apart(spark)
     for exact in (4000, 200):
         got = {r.id: r.level0 for r in clustering.iterate(p, 1, exact=exact).collect()}
         assert len(got) == 600 and len(set(got.values())) == 6 and all(len({got[i] for i in range(600) if i % 6 == k}) == 1 for k in range(6))
+
+
+# ---- mixtures
+
+
+@pytest.mark.parametrize("kind", ["gaussian", "poisson", "gamma"])
+def test_mixtures_fitted_in_spark_agree_with_those_fitted_in_a_task(spark, kind):
+    rng = np.random.default_rng(5)
+    rows = [(g, float(x)) for g, far in (("a", 12), ("b", 30)) for x in np.concatenate([rng.poisson(3, 300), rng.poisson(far, 100)])]
+    rows += [("one", 4.0)] * 5 + [("single", 1.0), ("mostly", 0.0)] + [("mostly", 2.0)] * 9 + [("a", None), ("a", float("nan"))]
+    df = spark.createDataFrame(rows, "t string, v double").where("v IS NULL OR isnan(v) OR v >= 0")
+    got = {}
+    for bins in (16_384, None):
+        got[bins] = sorted(map(tuple, mixtures.two_components(df, ["t"], "v", kind, bins=bins).collect()), key=str)
+    assert str(got[None]) == str(got[16_384]) and {r[-1] for r in got[None] if r[0] == "a" and r[1] is not None and r[1] == r[1]} == {0, 1}
+
+
+def test_bins_change_few_calls(spark):
+    """256 bins against all distinct values: calls differ only within a bin's width of the cut."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(0, 1, 4000), rng.normal(4, 1.2, 2000)])
+    df = spark.createDataFrame([("g", float(v)) for v in x], "t string, v double")
+    exact, rough = ({r.v: r.prediction for r in mixtures.two_components(df, ["t"], "v", bins=b).collect()} for b in (None, 256))
+    off = [v for v in exact if exact[v] != rough[v]]
+    assert len(off) < 6 and (not off or max(off) - min(off) <= (x.max() - x.min()) / 256)
