@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cytoplane.functions import pvalues, scalars
 from cytoplane.model import combine
-from cytoplane.operators import clustering, differential, diversity, genome, graph, groups, joins, layers, linalg, masks, mixtures, receptors, signatures, spatial, windows
+from cytoplane.operators import clustering, differential, diversity, genome, graph, groups, joins, layers, linalg, masks, mixtures, receptors, signatures, spatial, spectra, windows
 from cytoplane.plans.fixtures import BASE, DENSE, FULL, GENES, X, matrix, normalized, table, vectors
 from cytoplane.sources import readers, writers
 from cytoplane.streaming import events as streams
@@ -754,6 +754,11 @@ def diffusion(spark, d):
     return linalg.diffusion(vectors(spark, d), 0.5, 5)
 
 
+@query()
+def diffusion_neighbours(spark, d):
+    return spectra.diffusion_on_neighbours(vectors(spark, d), 0.5, 5)
+
+
 @query("""WITH l AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT a.id AS src, b.id AS dst, round(1 - list_cosine_similarity(a.v, b.v), 6) AS distance FROM l a JOIN l b ON a.id <> b.id)
 SELECT src, dst, rank::INT AS rank, distance FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY distance, dst) AS rank FROM p) WHERE rank <= 5""")
 def knn_graph(spark, d):

@@ -63,6 +63,7 @@ WITHOUT_SQL = {
     "diffusion": (["component", "id", "value"], lambda r: len(r) == 5 * len({x.id for x in r}) and len({x.id for x in r}) == 500),
     "iterative_clustering": (["id", "level0", "level1"], lambda r: len({x.id for x in r}) == len(r) == 500 and all(x.level1 is None or x.level1.startswith(x.level0 + "-") for x in r)),
     "leiden_like": (["id", "label"], lambda r: len({x.id for x in r}) == len(r) == 500 and all(x.label <= x.id for x in r)),
+    "diffusion_neighbours": (["component", "id", "value"], lambda r: len(r) == 5 * len({x.id for x in r}) and len({x.id for x in r}) == 500),
     "umap_like": (["id", "x", "y"], lambda r: len(r) == 500 and all(math.isfinite(x.x) and math.isfinite(x.y) for x in r)),
     "antibody_mixture": (["antibody", "cell_id", "prediction"], lambda r: {x.prediction for x in r} <= {0, 1, None} and len({(x.cell_id, x.antibody) for x in r}) == len(r)),
     "antibody_hard_calls": (["antibody", "cell_id", "prediction"], lambda r: {x.prediction for x in r} <= {0, 1, None} and len(r) > 0),

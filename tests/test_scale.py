@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cytoplane.functions import pvalues
 from cytoplane.model import from_tables
-from cytoplane.operators import clustering, components, genome, graph, linalg, masks, mixtures, neighbours, receptors, signatures, windows
+from cytoplane.operators import clustering, components, genome, graph, linalg, masks, mixtures, neighbours, receptors, signatures, spectra, windows
 
 
 # ---- neighbours
@@ -645,3 +645,32 @@ def test_bins_change_few_calls(spark):
     exact, rough = ({r.v: r.prediction for r in mixtures.two_components(df, ["t"], "v", bins=b).collect()} for b in (None, 256))
     off = [v for v in exact if exact[v] != rough[v]]
     assert len(off) < 6 and (not off or max(off) - min(off) <= (x.max() - x.min()) / 256)
+
+
+# ---- spectra
+
+
+def test_leading_vectors_agree_with_the_dense_ones(spark):
+    rng = np.random.default_rng(2)
+    a = np.where(rng.random((60, 60)) < 0.1, rng.normal(size=(60, 60)), 0)
+    a = (a + a.T) / 2 + np.diag(rng.normal(size=60))
+    edges = spark.createDataFrame([(f"n{i:02d}", f"n{j:02d}", float(a[i, j])) for i in range(60) for j in range(60) if a[i, j] or i == j], "src string, dst string, weight double")
+    got, w = spectra.leading(edges, 4, extra=20)
+    want, v = np.linalg.eigh(a)
+    order = np.argsort(-np.abs(want))[:4]
+    assert w == pytest.approx(want[order], abs=1e-9)
+    x = np.array([r.now for r in got.orderBy("id").collect()])
+    assert np.abs((x * v[:, order]).sum(0)) == pytest.approx(np.ones(4), abs=1e-6)
+
+
+def test_diffusion_on_all_neighbours_is_the_dense_one(spark):
+    p = cloud(spark, 90, groups=5, seed=3)
+    dense = {(r.id, r.component): r.value for r in linalg.diffusion(p, 0.5, 3).collect()}
+    got = {(r.id, r.component): r.value for r in spectra.diffusion_on_neighbours(p, 0.5, 3, nearest=89).collect()}
+    assert got.keys() == dense.keys() and all(got[k] == pytest.approx(dense[k], abs=1e-6) for k in dense)
+
+
+def test_diffusion_of_few_points(spark):
+    for n, parts in ((0, 0), (1, 0), (2, 1), (3, 2)):
+        p = cloud(spark, 3, seed=3).orderBy("id").limit(n)
+        assert spectra.diffusion_on_neighbours(p, 0.5, 5).count() == n * parts
