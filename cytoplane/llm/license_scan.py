@@ -25,6 +25,26 @@ TEMPLATES = (
     ("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license", ("creative commons attribution noncommercial",)),
     ("cc-by", "licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4 0",)),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
+    ("mpl-2", "mozilla public license version 2 0 1 definitions 1 1 contributor means each individual or legal entity that creates contributes to the creation of or owns covered software", ("mozilla public license version 2 0",)),
+    ("gpl-2", "gnu general public license version 2 june 1991 copyright c 1989 1991 free software foundation inc", ("gnu general public license version 2 june 1991",)),
+    ("gpl-3", "gnu general public license version 3 29 june 2007 copyright c 2007 free software foundation inc", ("gnu general public license version 3 29 june 2007",)),
+    ("gpl-2", "terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", ("gnu general public license as published by the free software foundation", "version 2 of the license")),
+    ("gpl-3", "terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", ("gnu general public license as published by the free software foundation", "version 3 of the license")),
+    ("lgpl-2.1", "gnu lesser general public license version 2 1 february 1999 copyright c 1991 1999 free software foundation inc", ("gnu lesser general public license version 2 1 february 1999",)),
+    ("lgpl-3", "gnu lesser general public license version 3 29 june 2007 copyright c 2007 free software foundation inc", ("gnu lesser general public license version 3 29 june 2007",)),
+    ("lgpl-2.1", "terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version", ("gnu lesser general public license as published by the free software foundation", "version 2 1 of the license")),
+    ("lgpl-3", "terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version", ("gnu lesser general public license as published by the free software foundation", "version 3 of the license")),
+    ("agpl-3", "gnu affero general public license version 3 19 november 2007 copyright c 2007 free software foundation inc", ("gnu affero general public license version 3 19 november 2007",)),
+    ("agpl-3", "terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version", ("gnu affero general public license as published by the free software foundation",)),
+    ("bsd-3", "may be used to endorse or promote products derived from this software without specific prior written permission", ("endorse or promote products derived from this software",)),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ("with or without fee is hereby granted", "this permission notice appear in all copies")),
+    ("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
+    ("zlib", "in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications", ("will the authors be held liable", "permission is granted to anyone to use this software")),
+    ("bsl-1", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", ("person or organization obtaining a copy of the software",)),
+    ("epl-2", "made available under the terms of the eclipse public license 2 0", ("eclipse public license 2 0",)),
+    ("epl-2", "eclipse public license v 2 0 the accompanying program is provided under the terms of this eclipse public license", ("eclipse public license v 2 0",)),
+    ("cc0", "to the extent possible under law the person who associated cc0 with this work has waived all copyright and related or neighboring rights to this work", ("waived all copyright and related or neighboring rights",)),
+    ("cc0", "creative commons legal code cc0 1 0 universal", ("cc0 1 0 universal",)),
 )
 #: Words of templates that are too common in any prose to look up.
 COMMON = frozenset("a an and any are by for form in is of or that the this to use with it".split())
@@ -35,8 +55,14 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), NOT_WORD, -1), "")
 
 
-def places(words: Column, phrase: str) -> Column:
-    """Starts at which the phrase's words stand one after another; looked for only where its rarest-looking word occurs."""
+def key_word(phrase: str) -> str:
+    """The rarest-looking word of a phrase: not a common one, and the longest."""
+    return max(phrase.split(), key=lambda p: (p not in COMMON, len(p)))
+
+
+def places(words: Column, phrase: str, present: Column | None = None) -> Column:
+    """Starts at which the phrase's words stand one after another; looked for only where its key word occurs (in ``present``, if
+    the few key words of many phrases that a text holds are known)."""
     parts = phrase.split()
     hit = lambda w, i: (w == parts[0])
     firsts = F.filter(F.transform(words, lambda w, i: F.when(hit(w, i), i)), lambda i: i.isNotNull())
@@ -47,8 +73,7 @@ def places(words: Column, phrase: str) -> Column:
             ok = ok & (F.get(words, i + k) == p)
         return ok
 
-    key = max(parts, key=lambda p: (p not in COMMON, len(p)))
-    return F.when(F.array_contains(words, key), F.filter(firsts, here)).otherwise(F.array().cast("array<int>"))
+    return F.when(F.array_contains(words if present is None else present, key_word(phrase)), F.filter(firsts, here)).otherwise(F.array().cast("array<int>"))
 
 
 def inverse_frequencies(worded: DataFrame, vocabulary: list[str]) -> dict[str, float]:
@@ -106,24 +131,26 @@ def scan_licenses(docs: DataFrame, templates: tuple = TEMPLATES, phrases: tuple
     only in the frequencies. Null text counts as empty; ids may be null. Very long texts take time in proportion.
     """
     worded = docs.select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("words"))
+    wanted = sorted({key_word(p) for p in (*(p for _, _, keys in templates for p in keys), *(p for p, _ in phrases))})
     vocabulary = sorted({w for _, t, _ in templates for w in t.split() if w not in COMMON and not re.fullmatch("[0-9]+", w)})
     idf = inverse_frequencies(worded, vocabulary)
 
-    words, scores = F.col("words"), []
+    keyed = worded.withColumn("present", F.array_intersect("words", F.array(*map(F.lit, wanted)).cast("array<string>")))
+    words, present, scores = F.col("words"), F.col("present"), []
     for label, t, keys in templates:
         every = F.lit(True)
         for p in keys:
-            every = every & (F.size(places(words, p)) > 0)
+            every = every & (F.size(places(words, p, present)) > 0)
         scores.append(F.struct(F.lit(label).alias("label"), F.when(every, alignment_score(words, t, idf, least)).alias("score")))
     found = F.array_sort(F.filter(F.array(*scores), lambda s: s["score"] >= least))
     best = F.filter("hits", lambda s: ~F.exists("hits", lambda o: (o["label"] == s["label"]) & (o["score"] > s["score"])))
     nothing = F.array().cast("array<struct<label:string,score:double>>")
-    each = [places(words, p) for p, _ in phrases]
-    out = worded.select(
+    each = [places(words, p, present) for p, _ in phrases]
+    out = keyed.select(
         "id", F.size("words").cast("long").alias("n_words"),
         F.concat(*each).alias("base_places"),
         F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(F.size(e) > 0, F.lit(label)) for e, (_, label) in zip(each, phrases)])))).alias("base_labels"),
-        F.when(F.arrays_overlap(words, F.array(*map(F.lit, vocabulary))), found).otherwise(nothing).alias("hits"),
+        F.when(F.size("present") > 0, found).otherwise(nothing).alias("hits"),
     )
     return out.select(F.col("id").alias(id_col), "n_words", "base_places", "base_labels", F.array_distinct(best).alias("found"))
 

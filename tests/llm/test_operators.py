@@ -202,6 +202,33 @@ def test_license_scan_scores_whole_notices(spark):
     assert {i: got[i] for i in files} == {1: {"mit": 1.0}, 2: {"mit": 1.0, "bsd": 1.0}, 3: {"bsd": 1.0, "gpl-3": 1.0}, 4: {"gpl-3": 1.0, "mpl-2": 1.0, "cc-by": 1.0}, 5: {}}
 
 
+def test_license_headers_and_openings_are_told_apart(spark):
+    gnu = "This {0} is free software; you can redistribute it and/or modify it under the terms of the GNU {1} as published by the Free Software Foundation; either version {2} of the License, or (at your option) any later version."
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n1. Redistributions of source code must retain the above copyright notice."
+    clause = "\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    files = {
+        "gpl-2": "# " + gnu.format("program", "General Public License", "2").replace(" modify", "\n# modify"),
+        "gpl-3": gnu.format("program", "General Public License", "3"),
+        "lgpl-2.1": gnu.format("library", "Lesser General Public License", "2.1"),
+        "lgpl-3": gnu.format("library", "Lesser General Public License", "3"),
+        "agpl-3": gnu.format("program", "Affero General Public License", "3"),
+        "bsd": bsd,
+        "bsd,bsd-3": bsd + clause,
+        "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "unlicense": "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy it.",
+        "zlib": "In no event will the authors be held liable for any damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it.",
+        "bsl-1": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use it.",
+        "epl-2": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at a link.",
+        "cc0": "To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or neighboring rights to this work.",
+        "": "The library keeps a public notice of general terms; version 3 of the manual is free for any purpose.",
+    }
+    prose = [f"line {i} of a story about a garden" for i in range(60)]
+    around = {i: " ".join(prose[i : i + 9]) + "\n" + t + "\n" + " ".join(prose[i + 9 : i + 15]) for i, t in enumerate(files.values())}
+    rows = [*around.items(), *((100 + i, p) for i, p in enumerate(prose)), (999, "filler " * 200_000 + files["isc"])]
+    got = {r.doc_id: ",".join(sorted(f.label for f in r.found)) for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in around] == list(files) and got[999] == "isc" and all(not got[100 + i] for i in range(60))
+
+
 def test_token_counts_splice(spark, docs, texts, none):
     path = public_tokenizers.path("piece_bpe_32k.model")
     import sentencepiece
