@@ -47,7 +47,7 @@ def flag_documents(
     )
     ids = docs.where(F.col(id_col).isNotNull()).select(h1.alias("__h1"), h2.alias("__h2"), F.col(id_col).alias("__id"))
     shared = ids.groupBy("__h1", "__h2").agg(F.min("__id").alias("__first"), F.max("__id").alias("__last")).where("__first < __last").drop("__last")
-    flagged = spread_join(seen, shared, ["__h1", "__h2"], id_col, how="left")
+    flagged = spread_join(seen, shared, ["__h1", "__h2"], id_col, how="left", grows=True)
     return flagged.withColumn("E", F.coalesce(F.col(id_col) > F.col("__first"), F.lit(False))).drop("__h1", "__h2", "__first")
 
 
@@ -106,7 +106,7 @@ def with_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> D
     or toxic = 1; without label rows, or without an id, both are false."""
     held = labels.groupBy(F.col("doc_id").alias("__lid")).agg(F.max(F.col("quality") == 1).alias("__good"), F.max(F.col("toxic") == 1).alias("__toxic"))
     base = docs.select([c for c in docs.columns if c not in ("good", "toxic")])
-    out = spread_join(base.withColumn("__lid", F.col(id_col)), held, ["__lid"], "E" if "E" in docs.columns else id_col, how="left")
+    out = spread_join(base.withColumn("__lid", F.col(id_col)), held, ["__lid"], "E" if "E" in docs.columns else id_col, how="left", grows=True)
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     return out.withColumns({"good": yes("__good"), "toxic": yes("__toxic")}).drop("__lid", "__good", "__toxic")
 

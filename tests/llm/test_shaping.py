@@ -204,3 +204,13 @@ def test_queries_equal_their_sql_and_checksums(spark):
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     assert all(r.text_crc32 == zlib.crc32(texts[r.doc_id].encode()) and r.law == "bytes" and r.grown_shard is None for r in out)
     assert {r.shard for r in out} == set(range(40))
+
+
+def test_audit_broadcasts_no_table_that_grows(spark):
+    """Labels are a small file and many rows: neither they nor the texts met twice go through the driver."""
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), (F.col("id") % 150).cast("string")).alias("text"), F.lit("a").alias("source"))
+    at = spark.range(300).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    flagged = filter_audit.with_labels(filter_audit.flag_documents(docs), at)
+    rows = flagged.collect()
+    assert "Broadcast" not in flagged._jdf.queryExecution().executedPlan().toString()
+    assert sum(r.good for r in rows) == 300 and sum(r.E for r in rows) == 250
