@@ -34,8 +34,9 @@ def minor_clusters(cells: DataFrame, levels: list[str], most: float = 0.99, leas
     return cells.join(flag.select("cell_id", F.lit(True).alias("outlier")), "cell_id", "left").withColumn("outlier", F.coalesce("outlier", F.lit(False)))
 
 
-def sparse_neighbourhoods(points: DataFrame, n: int = 10, quantile: float = 0.9) -> DataFrame:
-    """points (id, x, y) plus the distance to the n-th nearest other point and keep: whether it is within the quantile.
+def sparse_neighbourhoods(points: DataFrame, n: int = 10, quantile: float = 0.9, digits: int | None = None) -> DataFrame:
+    """points (id, x, y) plus the distance to the n-th nearest other point and keep: whether it is within the quantile, both
+    rounded to ``digits`` if given.
 
     Blocks of points meet blocks of points, and a pair of blocks keeps n distances per point. Points without coordinates,
     and all if there are no more than n, have null.
@@ -44,7 +45,8 @@ def sparse_neighbourhoods(points: DataFrame, n: int = 10, quantile: float = 0.9)
     nth = nearest(some, n, metric="euclidean").where(F.col("rank") == n).select(F.col("src").alias("id"), "distance")
     nth = written(nth)
     bar = exact_quantiles(nth, "distance", [quantile])[0]
-    return points.join(nth, "id", "left").withColumn("keep", F.col("distance") <= F.lit(bar).cast("double"))
+    shown = lambda c: c if digits is None else F.round(c, digits)
+    return points.join(nth, "id", "left").withColumn("keep", shown(F.col("distance")) <= shown(F.lit(bar).cast("double")))
 
 
 def match_names(left: DataFrame, right: DataFrame, name: str, other: str, suffixes: tuple[str, ...] = ("_Lym", "_nucseq", "_45pos", "_45neg")) -> DataFrame:

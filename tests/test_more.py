@@ -10,6 +10,7 @@ from cytoplane import cli
 from cytoplane.functions import pvalues, registered
 from cytoplane.model import from_tables
 from cytoplane.operators import associations, clustering, differential, genome, graph, layers, linalg, masks, mixtures, receptors, windows
+from cytoplane.plans import catalogue
 from cytoplane.sources import readers, writers
 from cytoplane.streaming import events
 
@@ -342,3 +343,16 @@ def test_landmarks_stand_for_the_rest(spark):
     near = graph.nearest(p, 8).select("src", "dst", F.lit(1.0).alias("weight"))
     xy = linalg.layout(near, 50, landmarks=60)
     assert xy.count() == 120 and xy.where("x IS NULL").count() == 0 and dict(xy.dtypes)["id"] == "string"
+
+
+def test_outliers_by_rounded_distances_as_in_the_sql(spark, tmp_path):
+    """The distances on both sides of the quantile differ, but not in the digits that are shown."""
+    import duckdb
+
+    far = [0.1] * 8 + [0.25, 0.2500002]
+    rows = [(11 * c + i, [10.0 * c, d if i == 10 else 0.0, 1.0], 0) for c, d in enumerate(far) for i in range(11)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {tuple(r) for r in catalogue.outlier_nth_neighbor(spark, str(tmp_path)).collect()}
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert got == set(c.execute(catalogue.oracle_sql()["outlier_nth_neighbor"]).fetchall()) and all(r[2] for r in got)
