@@ -131,17 +131,39 @@ def small_p(score: float, size: int, n: int, steps: np.ndarray | None = None, se
             swaps = max(1, swaps // 2) if ok.mean() < 0.3 else min(size, swaps + 1) if ok.mean() > 0.7 else swaps
 
 
-def enrichment(scores: DataFrame, pathways: DataFrame, score: str = "score", weight: float = 0.0, chains: int = 4, sets: int = 200, most: int = 1 << 20, seed: int = 0) -> DataFrame:
-    """(pathway, size, es, p, log2err, q) for each pathway (pathway, gene_id) with a scored gene: the running score farthest
-    from 0, and the chance that a random set of as many genes, among those whose score goes the same way, goes as far; q
-    by Benjamini and Hochberg. Small p are real ones, not the 0 that permutations give.
+def exact_p(score: float, size: int, n: int) -> float:
+    """The chance that a random set of ``size`` of n ranked genes, all of one weight, reaches ``score`` or more: exact to some
+    nine digits, also where it is far below 1e-100.
 
-    weight: the power of the absolute score by which a gene counts, 0 for all alike. Ranks are global ones, dealt by
-    ranges; a pathway's score follows from the ranks of its own genes, so no pathway meets the whole list. Each (pathway,
-    chain) is one small task that needs only the size and the score (with weights also the list of them, which is why it may
-    hold no more than ``most`` genes; more raise). Null scores are left out, ties go by gene, and a pathway of all
-    genes has es 0 and p 1.
+    Genes are drawn rank by rank; a place holds the chance of so many hits without having reached the score. Places from where
+    the score is reached with under 1e-14 of the whole chance are left out, so work is n times the square root of size.
     """
+    if not 0 < size < n:
+        return 1.0
+    miss, drawn = n - size, np.arange(n + 1)
+    reached = lambda i: i / size - (drawn - i) / miss >= score - 1e-12
+    bar = np.ceil((score - 1e-12 + drawn / miss) * (size * miss / n)).astype(np.int64)  # the fewest hits that reach it
+    bar = np.where(reached(bar - 1), bar - 1, np.where(reached(bar), bar, bar + 1))
+    deep = 4.2 * np.sqrt(size * miss / n) + 2
+    lows = np.clip(np.floor(drawn * (size / n) - deep), 0, size).astype(np.int64).tolist()
+    bar = np.clip(bar, 1, size + 1).tolist()
+    g, left, p, high = np.zeros(size + 2), (size - np.arange(size + 2)).clip(0).astype(float), 0.0, 1
+    g[0] = 1.0
+    for t in range(n):
+        low = lows[t]
+        hit = left[low:high] * (1 / (n - t))
+        hit *= g[low:high]
+        g[low:high] -= hit
+        g[low + 1 : high + 1] += hit
+        if high < bar[t + 1]:
+            high += 1
+        else:
+            p, g[high] = p + g[high], 0.0
+    return float(min(1.0, p))
+
+
+def _ranked(scores: DataFrame, pathways: DataFrame, score: str, weight: float, most: int) -> tuple[DataFrame, int, np.ndarray | None]:
+    """((pathway, size, es), number of genes, weights by rank or None for all alike)."""
     s = scores.where(F.col(score).isNotNull()).groupBy("gene_id").agg(F.max(score).alias("s"))
     down = s.withColumn("__down", -F.col("s")).withColumn("__one", F.lit(1))
     r = running_total(down, ["__down", "gene_id"], "__one", "rank").select("gene_id", "s", (F.col("rank") - 1).cast("long").alias("rank"))
@@ -163,23 +185,61 @@ def enrichment(scores: DataFrame, pathways: DataFrame, score: str = "score", wei
             rows.append((len(x), 0.0 if len(x) == n else high if high >= low else -low))
         return pd.DataFrame(rows, columns=["size", "es"])
 
-    scored = written(own.withColumn("x", F.pandas_udf(extremes, "size long, es double")("ranks")).select("pathway", "x.size", "x.es"))
+    return own.withColumn("x", F.pandas_udf(extremes, "size long, es double")("ranks")).select("pathway", "x.size", "x.es"), n, steps
+
+
+def running_scores(scores: DataFrame, pathways: DataFrame, score: str = "score", weight: float = 0.0, most: int = 1 << 20) -> DataFrame:
+    """(pathway, size, es) of ``enrichment``, without the random sets that its p needs."""
+    return _ranked(scores, pathways, score, weight, most)[0]
+
+
+def enrichment(scores: DataFrame, pathways: DataFrame, score: str = "score", weight: float = 0.0, chains: int = 4, sets: int = 200, most: int = 1 << 20, seed: int = 0, held: int = 1 << 20) -> DataFrame:
+    """(pathway, size, es, p, log2err, q) for each pathway (pathway, gene_id) with a scored gene: the running score farthest
+    from 0, and the chance that a random set of as many genes, among those whose score goes the same way, goes as far; q
+    by Benjamini and Hochberg. Small p are real ones, not the 0 that permutations give.
+
+    weight: the power of the absolute score by which a gene counts, 0 for all alike. Ranks are global ones, dealt by
+    ranges; a pathway's score follows from the ranks of its own genes, so no pathway meets the whole list. The chance to
+    go as far is exact for genes all alike (``exact_p``, log2err 0) and by ``chains`` runs of ``small_p`` with weights; the
+    share that goes the same way is that of 512 random sets a chain, ``held`` ranks at a time. A task needs only the size and
+    the score (with weights also the list of them, which is why it may hold no more than ``most`` genes; more raise).
+    Null scores are left out, ties go by gene, and a pathway of all genes has es 0 and p 1.
+    """
+    scored, n, steps = _ranked(scores, pathways, score, weight, most)
+    scored, up = written(scored), None if steps is None else steps[::-1].copy()
+
+    def same_way(size: int, es: float, one: int) -> float:
+        """The share of sets whose score goes this way: the other extreme of each is the same one from below."""
+        few, found = max(1, held // max(1, size)), 0
+        if n * 512 <= 1 << 24:
+            drawn = iter([np.sort(np.argsort(np.random.default_rng(one + 1).random((512, n)), axis=1)[:, :size], axis=1)])
+        else:
+            drawn = (np.sort(np.stack([np.random.default_rng(one * 512 + i).choice(n, size, replace=False) for i in range(s, min(s + few, 512))]), axis=1) for s in range(0, 512, few))
+        for ways in drawn:
+            a, b = largest_deviation(ways, n, steps), largest_deviation(n - 1 - ways[:, ::-1], n, up)
+            found += int((a >= b).sum() if es >= 0 else (b > a).sum())
+        return found / 512
 
     def chain(batches):
         for pdf in batches:
             rows = []
             for name, size, es, c in zip(pdf["pathway"], pdf["size"], pdf["es"], pdf["chain"]):
                 one = seed * 1009 + int(c)
-                p, error = small_p(abs(es), int(size), n, steps if es >= 0 else up, sets, seed=one) if es else (1.0, 0.0)
-                # The share of sets whose score goes this way: the other extreme of each is the same one from below.
-                ways = np.sort(np.argsort(np.random.default_rng(one + 1).random((512, n)), axis=1)[:, : int(size)], axis=1) if n * 512 <= 1 << 24 else np.sort(np.stack([np.random.default_rng(one * 512 + i).choice(n, int(size), replace=False) for i in range(512)]), axis=1)
-                a, b = largest_deviation(ways, n, steps), largest_deviation(n - 1 - ways[:, ::-1], n, up)
-                same = float((a >= b).mean() if es >= 0 else (b > a).mean()) if es else 1.0
-                rows.append((name, p, max(same, 1 / 512), error))
-            yield pd.DataFrame(rows, columns=["pathway", "p", "same", "error"])
+                p, error = (None if es and c >= 0 else 1.0), 0.0
+                if es and steps is not None:
+                    p, error = small_p(abs(es), int(size), n, steps if es >= 0 else up, sets, seed=one)
+                elif es and c < 0:
+                    p = exact_p(abs(es), int(size), n)
+                same = None if c < 0 else max(same_way(int(size), es, one), 1 / 512) if es else 1.0
+                rows.append((name, p, same, error))
+            yield pd.DataFrame(rows, columns=["pathway", "p", "same", "error"]).astype({"p": float, "same": float})
 
     kind = pathways.schema["pathway"].dataType.simpleString()
-    dealt = scored.withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(chains - 1)))).repartition("pathway", "chain")
-    tried = dealt.mapInPandas(chain, f"pathway {kind}, p double, same double, error double").groupBy("pathway").agg(F.avg("p").alias("p"), F.avg("same").alias("same"), (F.sqrt(F.avg(F.col("error") ** 2) / chains)).alias("log2err"))
+    # Where p is exact, one task of a pathway more (-1) has it, and chains only draw sets.
+    dealt = scored.withColumn("chain", F.explode(F.sequence(F.lit(0 if weight else -1), F.lit(chains - 1))))
+    dealt = dealt.repartition(scored.count() * (chains + 1) or 1, "pathway", "chain")
+    tried = dealt.mapInPandas(chain, f"pathway {kind}, p double, same double, error double")
+    known = lambda c: F.avg(F.nanvl(c, F.lit(None).cast("double"))).alias(c)
+    tried = tried.groupBy("pathway").agg(known("p"), known("same"), (F.sqrt(F.avg(F.col("error") ** 2) / chains)).alias("log2err"))
     out = scored.join(tried, "pathway").withColumn("p", F.least(F.lit(1.0), F.col("p") / F.col("same")))
     return bh_adjust(out, "p", "q").select("pathway", "size", "es", "p", "log2err", "q")

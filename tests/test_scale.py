@@ -336,6 +336,31 @@ def test_small_p_goes_far_below_what_permutations_see():
     assert signatures.small_p(0.5, 0, 5) == (1.0, 0.0) == signatures.small_p(0.5, 5, 5)
 
 
+def test_exact_p_agrees_with_every_set_and_with_far_ones():
+    for n, size in ((12, 4), (9, 7), (14, 2), (5, 1)):
+        scores = signatures.largest_deviation(np.array(list(itertools.combinations(range(n), size))), n)
+        for target in np.unique(np.round(scores, 9)):
+            assert signatures.exact_p(target - 1e-8, size, n) == pytest.approx(float((scores >= target - 2e-8).mean()), rel=1e-9)
+    assert math.log2(signatures.exact_p(1.0, 20, 2000)) == pytest.approx(-sum(math.log2((n - i) / (i + 1)) for n in [2000] for i in range(20)), rel=1e-9)
+    assert signatures.exact_p(0.5, 0, 5) == 1.0 == signatures.exact_p(0.5, 5, 5)
+    # Half as far in a table of four times the genes and the set: about as likely.
+    assert signatures.exact_p(0.1, 400, 8000) == pytest.approx(signatures.exact_p(0.05, 1600, 32_000), rel=0.1)
+
+
+def test_scores_of_pathways_draw_no_random_sets(spark, monkeypatch):
+    def never(*args, **kw):
+        raise AssertionError("drawn")
+
+    monkeypatch.setattr(signatures, "small_p", never)
+    monkeypatch.setattr(signatures, "exact_p", never)
+    from cytoplane.plans import more
+
+    assert more.enrichment_scores(spark, "/root/testdata/sf0.001").count() > 0
+    scores = spark.createDataFrame([(i, float(-i)) for i in range(60)], "gene_id long, score double")
+    got = signatures.running_scores(scores, spark.createDataFrame([("first", i) for i in range(5)], "pathway string, gene_id long")).collect()
+    assert [tuple(r) for r in got] == [("first", 5, 1.0)]
+
+
 def test_enrichment_of_pathways(spark):
     rng = np.random.default_rng(6)
     n = 300
