@@ -356,3 +356,18 @@ def test_outliers_by_rounded_distances_as_in_the_sql(spark, tmp_path):
     c = duckdb.connect()
     c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
     assert got == set(c.execute(catalogue.oracle_sql()["outlier_nth_neighbor"]).fetchall()) and all(r[2] for r in got)
+
+
+def test_replicate_tests_take_many_genes_at_a_time(spark):
+    """Genes are tested a batch at a time, each like alone, and none is a group of its own."""
+    rng = np.random.default_rng(43)
+    v = [(g, r, float(rng.integers(0, 9))) for g in range(300) for r in range(6) if (g + r) % 7]
+    df = spark.createDataFrame(v, "gene_id long, rep int, value double")
+    out = differential.replicate_tests(df, "rep", [0, 1, 2], [3, 4, 5])
+    assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
+    got, by = {r.gene_id: r for r in out.collect()}, {(g, r): x for g, r, x in v}
+    assert len(got) == 300
+    for g, r in got.items():
+        a, b = (np.array([by.get((g, i), 0.0) for i in side]) for side in ((0, 1, 2), (3, 4, 5)))
+        u, p = pvalues.mann_whitney(a, b)
+        assert (r.mannwhitney_p, r.CommonLanguageEffectSize) == (pytest.approx(p), pytest.approx(u / 9)) and r.ttest_ind_p == pytest.approx(pvalues.t_test(a, b))
