@@ -699,3 +699,44 @@ def test_diffusion_of_few_points(spark):
     for n, parts in ((0, 0), (1, 0), (2, 1), (3, 2)):
         p = cloud(spark, 3, seed=3).orderBy("id").limit(n)
         assert spectra.diffusion_on_neighbours(p, 0.5, 5).count() == n * parts
+
+
+def test_components_by_the_shorter_side(spark):
+    """More genes than cells: the driver holds no vector of genes, and loadings are those of the covariance."""
+    from cytoplane.model import from_tables
+    from cytoplane.operators import components
+
+    rng = np.random.default_rng(51)
+    d = (rng.normal(size=(30, 3)) * [9, 6, 4]) @ rng.normal(size=(3, 200)) + rng.normal(size=(30, 200)) + 3
+    d[29] = 0.0  # a cell without values
+    x = spark.createDataFrame([(c, g, float(d[c, g])) for c in range(29) for g in range(200)], "cell_id long, gene_id long, value double")
+    cells, genes = (spark.range(n).withColumnRenamed("id", f"{k}_id") for n, k in ((30, "cell"), (200, "gene")))
+    m, made = from_tables(x, cells, genes), []
+
+    class Watched(components.Rows):
+        def __init__(self, *args, **kw):
+            super().__init__(*args, **kw)
+            made.append(len(self.columns))
+
+    whole, held = components.Rows, linalg.components
+    try:
+        held.Rows = Watched
+        load, ratios = linalg.pca(m, 3, square=50)
+    finally:
+        held.Rows = whole
+    assert made == [29]
+    w, v = np.linalg.eigh(np.cov(d.T))
+    got = {(r.gene_id, r.pc): r.loading for r in load.collect()}
+    assert len(got) == 600 and ratios == pytest.approx((w[::-1][:3] / w.sum()).tolist(), abs=1e-9)
+    for pc, t in enumerate(linalg.flip(v[:, ::-1][:, :3]).T, 1):
+        assert [got[g, pc] for g in range(200)] == pytest.approx(t.tolist(), abs=1e-6)
+
+
+def test_first_components_of_groups_with_many_columns(spark):
+    rng = np.random.default_rng(52)
+    rows = [(g, f"{g}-{r}", c, float(v)) for g, n in (("a", 40), ("b", 25), ("c", 3)) for r in range(n) for c, v in enumerate(rng.normal(size=60) + 4 * (r % 3 == 0) * np.linspace(0, 1, 60)) if rng.random() < 0.7 or c == 0]
+    x = spark.createDataFrame(rows, "g string, r string, c int, value double")
+    want, got = ({(r.g, r.r): r.pc1 for r in linalg.first_component_by(x, "g", "r", "c", "value", square=n).collect()} for n in (100, 10))
+    assert got.keys() == want.keys() and len(want) == 68
+    for at, v in want.items():
+        assert got[at] == pytest.approx(v, abs=1e-6)
