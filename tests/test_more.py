@@ -371,3 +371,25 @@ def test_replicate_tests_take_many_genes_at_a_time(spark):
         a, b = (np.array([by.get((g, i), 0.0) for i in side]) for side in ((0, 1, 2), (3, 4, 5)))
         u, p = pvalues.mann_whitney(a, b)
         assert (r.mannwhitney_p, r.CommonLanguageEffectSize) == (pytest.approx(p), pytest.approx(u / 9)) and r.ttest_ind_p == pytest.approx(pvalues.t_test(a, b))
+
+
+def test_diffusion_of_blocks_is_the_dense_one(spark):
+    p = blobs(spark, named=False)
+    dense, got = ({(r.id, r.component): r.value for r in linalg.diffusion(p, 0.5, 3, **how).collect()} for how in ({}, {"limit": 100, "blocks": True}))
+    assert got.keys() == dense.keys() and len(got) == 360
+    for at, v in dense.items():
+        assert got[at] == pytest.approx(v, abs=1e-7)
+
+
+def test_nearest_in_few_blocks_keeps_ties_by_id(spark):
+    """Every point is sent to as few blocks as hold it; rows of equal distance come in the order of ids."""
+    assert [graph.blocks_of(n, 2048, 12) for n in (1, 2049, 51_282, 600_000)] == [1, 2, 7, 37]
+    rng = np.random.default_rng(61)
+    x = rng.integers(0, 3, size=(400, 3)).astype(float)
+    p = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    got = graph.nearest(p, 7, block=4, metric="euclidean")
+    rows = {(r.src, r["rank"]): r.dst for r in got.collect()}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    order = np.argsort(d, axis=1, kind="stable")[:, :7]
+    assert rows == {(i, r + 1): int(order[i, r]) for i in range(400) for r in range(7)}
