@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
-from cytoplane.model import AnnotatedMatrix, from_tables
+from cytoplane.model import AnnotatedMatrix, dealt, from_tables
 
 GTF = "seqname string, source string, feature string, start long, end long, score string, strand string, frame string, attribute string"
 SEGMENTS = {"Chromosome": "contig", "Start.bp": "start", "End.bp": "end"}
@@ -42,9 +42,10 @@ def triplets(spark: SparkSession, path: str, base: int = 1, sep: str = " ") -> D
     return t.select((F.col("i") - base).alias("gene_id"), (F.col("j") - base).alias("cell_id"), F.col("v").alias("value"))
 
 
-def feature_matrix(x: DataFrame, features: DataFrame, exclude_types: list[str] | None = None, whitelist: list[str] | None = None, as_cell_columns: list[str] | None = None, label: tuple[str, str] | None = None, cells: DataFrame | None = None) -> AnnotatedMatrix:
+def feature_matrix(x: DataFrame, features: DataFrame, exclude_types: list[str] | None = None, whitelist: list[str] | None = None, as_cell_columns: list[str] | None = None, label: tuple[str, str] | None = None, cells: DataFrame | None = None, rows: int | None = None) -> AnnotatedMatrix:
     """A matrix from triplets and features (gene_id, gene, type): feature types excluded, genes kept by a list, some
-    features turned into cell columns (0 where absent), a constant label column."""
+    features turned into cell columns (0 where absent), a constant label column. rows: the number of x, if known."""
+    x = dealt(x, rows, "gene_id")
     f = features
     f = f.where(~F.col("type").isin(exclude_types)) if exclude_types else f
     moved = f.where(F.col("gene").isin(as_cell_columns)) if as_cell_columns else None
@@ -56,7 +57,7 @@ def feature_matrix(x: DataFrame, features: DataFrame, exclude_types: list[str] |
         c = c.join(wide, "cell_id", "left").na.fill(0.0, as_cell_columns)
     if label:
         c = c.withColumn(label[0], F.lit(label[1]))
-    return from_tables(x.join(f.select("gene_id"), "gene_id", "left_semi"), c, f)
+    return from_tables(x.join(f.select("gene_id"), "gene_id", "left_semi"), c, f, rows, "gene_id")
 
 
 def other_features_as_columns(x: DataFrame, features: DataFrame, expression: str = "Gene Expression") -> DataFrame:
