@@ -33,7 +33,8 @@ def windowed_expression(m: AnnotatedMatrix, size: int, step: int, cut: int = 0,
     x = m.layers[layer]
     x = x if cells is None else x.join(m.cells.where(cells).select("cell_id"), "cell_id", "left_semi")
     x = x.withColumn("value", F.pow(F.lit(2.0), "value") - 1) if from_log else x
-    return robust_window_means(x, gene_windows(m.genes, size, step), size, cut, winsorize)
+    rows = m.attrs.get("rows")
+    return robust_window_means(m.dealt(x, "gene_id"), gene_windows(m.genes, size, step), size, cut, winsorize, rows=rows and int(rows * max(1, size / step)))
 
 
 def window_vectors(means: DataFrame) -> DataFrame:

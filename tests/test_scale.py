@@ -740,3 +740,29 @@ def test_first_components_of_groups_with_many_columns(spark):
     assert got.keys() == want.keys() and len(want) == 68
     for at, v in want.items():
         assert got[at] == pytest.approx(v, abs=1e-6)
+
+
+def test_tasks_are_counted_by_the_rows_of_a_layer(spark, monkeypatch):
+    from cytoplane import model
+    from cytoplane.operators import differential, genome
+    from cytoplane.sources import readers
+
+    monkeypatch.setattr(model, "TASK_ROWS", 100)
+    x = spark.range(6000).select((F.col("id") % 60).alias("cell_id"), F.floor(F.col("id") / 60).alias("gene_id"), (1 + F.pmod(F.hash("id"), F.lit(4))).cast("double").alias("value"))
+    cells = spark.range(60).select(F.col("id").alias("cell_id"), (F.col("id") % 3).cast("string").alias("kind"), F.col("id").cast("double").alias("covariate"))
+    genes = spark.range(100).select(F.col("id").alias("gene_id"), F.lit("g").alias("gene"), F.lit("t").alias("type"), F.lit("1").alias("contig"), F.col("id").alias("start"))
+    plain, m = model.from_tables(x, cells, genes), model.from_tables(x, cells, genes, 6000)
+    made = {
+        "rank_sum": lambda a: differential.rank_sum(a, differential.sides_of(a.cells, "kind", ["1"]), with_p=False),
+        "siblings": lambda a: differential.sibling_rank_sum(a, "kind", with_p=False),
+        "spearman": lambda a: differential.spearman(a, a.cells, with_p=False),
+        "windows": lambda a: genome.windowed_expression(a, 20, 10, 3),
+        "features": lambda a: readers.feature_matrix(a.x, genes, exclude_types=["none"], rows=a.attrs.get("rows")).x,
+    }
+    for name, run in made.items():
+        got, want = run(m), run(plain)
+        places = got.select(F.spark_partition_id().alias("p")).distinct().count()
+        assert places > 20 or name == "windows" and places > 5, name
+        key = lambda r: str(r[:3])
+        for a, b in zip(sorted(got.collect(), key=key), sorted(want.collect(), key=key), strict=True):
+            assert all(u == v or abs(u - v) < 1e-9 for u, v in zip(a, b)), name
