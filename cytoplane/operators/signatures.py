@@ -64,12 +64,18 @@ def gsea(scores: DataFrame, geneset: DataFrame, permutations: int = 1000, seed:
 
     A permutation is an order of the genes by md5 of seed, permutation and gene; each is one group, so permutations run in parallel and repeatably.
     """
-    r = ranked_hits(scores, geneset, score)
+    r = written(ranked_hits(scores, geneset, score))
     es = enrichment_score(r, "rank", "hit")
+    size = r.agg(F.count_if("hit").alias("k"), F.count_if(~F.col("hit")).alias("others"))
     perms = scores.sparkSession.range(permutations).withColumnRenamed("id", "perm")
-    shuffled = perms.crossJoin(r.select("gene_id", "hit")).withColumn("rank", F.row_number().over(Window.partitionBy("perm").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("perm").cast("string"), F.col("gene_id").cast("string"))))))
-    null = enrichment_score(shuffled, "rank", "hit", ["perm"]).withColumnRenamed("es", "null_es")
-    return es.crossJoin(null).groupBy("es").agg(F.avg((F.abs("es") < F.abs("null_es")).cast("double")).alias("p"))
+    # The running score is farthest from 0 at a gene of the set or just before it: one sort an order tells the ranks of these.
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("perm").cast("string"), F.col("gene_id").cast("string")))
+    shuffled = perms.crossJoin(r.select("gene_id", "hit")).select("perm", "hit", key.alias("key"))
+    upto = Window.partitionBy("perm").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = shuffled.withColumn("h", F.count_if("hit").over(upto)).withColumn("o", F.count_if(~F.col("hit")).over(upto)).where("hit").crossJoin(F.broadcast(size))
+    other = F.coalesce(F.try_divide("o", "others"), F.lit(0.0))
+    null = met.groupBy("perm").agg(F.max(F.greatest(F.abs(F.col("h") / F.col("k") - other), F.abs((F.col("h") - 1) / F.col("k") - other))).alias("top"))
+    return es.crossJoin(null).groupBy("es").agg(F.avg((F.abs("es") < F.col("top")).cast("double")).alias("p"))
 
 
 def largest_deviation(hits: np.ndarray, n: int, steps: np.ndarray | None = None) -> np.ndarray:

@@ -335,3 +335,40 @@ def test_neighbour_distances(spark):
     p = spark.createDataFrame([(i, float(i % 5), float(i // 5)) for i in range(25)] + [(99, 50.0, 50.0), (100, None, 1.0)], "id long, x double, y double")
     got = {r.id: r for r in masks.sparse_neighbourhoods(p, 2, 0.9).collect()}
     assert got[12].distance == 1 and got[12].keep and not got[99].keep and got[100].distance is None
+
+
+def test_a_few_points_meet_in_one_step():
+    rng = np.random.default_rng(5)
+    for n in (2, 7, 40, 300):
+        for x in (rng.permutation(n * 3)[:n].astype(float), rng.integers(0, 5, n).astype(float)):
+            y = rng.integers(0, 9, n).astype(float)
+            i, j = np.nonzero(x[None, :] > x[:, None])
+            slopes = (y[j] - y[i]) / (x[j] - x[i])
+            got = pvalues.median_slope(x, y)
+            assert np.isnan(got) if not len(slopes) else got == pytest.approx(np.median(slopes), abs=1e-12)
+    assert pvalues.LATER[: 3, : 3].tolist() == [[False, True, True], [False, False, True], [False, False, False]]
+
+
+def test_permutations_are_sorted_once(spark, capsys):
+    from cytoplane.operators import signatures
+
+    s = spark.range(90).select(F.col("id").alias("gene_id"), F.pmod(F.hash("id"), F.lit(50)).cast("double").alias("score"))
+    own = s.where("gene_id % 7 = 0").select("gene_id")
+    out = signatures.gsea(s, own, 40)
+    ranked = [(r.gene_id, r.hit) for r in signatures.ranked_hits(s, own).orderBy("rank").collect()]
+
+    def top(flags):
+        k, h, o, best = sum(flags), 0, 0, 0.0
+        for f in flags:
+            h, o = h + f, o + (not f)
+            best = max(best, h / k - o / (len(flags) - k), best, key=abs)
+        return best
+
+    import hashlib
+
+    null = [top([f for _, f in sorted((hashlib.md5(f"0:{p}:{g}".encode()).hexdigest(), f) for g, f in ranked)]) for p in range(40)]
+    es = top([f for _, f in ranked])
+    r = out.first()
+    assert abs(r.es - es) < 1e-12 and abs(r.p - np.mean([abs(es) < abs(x) for x in null])) < 1e-12
+    out.explain()
+    assert capsys.readouterr().out.count("Sort [perm") == 1
