@@ -87,3 +87,22 @@ def test_stages_on_a_text_of_many_megabytes(spark, tmp_path):
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).select("doc_id").collect()) == [1, 3, 4]
     assert sorted(r.doc_id for r in corpus_pipeline.drop_leaks(spark, docs, str(tmp_path)).select("doc_id").collect()) == [1, 2, 3]
     assert {r.doc_id: r.decoded for r in corpus_pipeline.tokenize(spark, docs.where("doc_id in (1, 3)"), str(tmp_path)).collect()} == {1: long, 3: rows[2][1]}
+
+
+def test_language_id_learns_in_a_task(spark, monkeypatch):
+    from cytoplane.llm import language_id
+    from cytoplane.llm.crf import Crf
+
+    rows = [(i, " ".join(["der hund und die katze", "the dog and the cat"][i % 2].split() * (1 + i % 5)), "de" if i % 2 == 0 else "en") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = language_id.learn(["de", "en"], [(lang, text, i) for i, text, lang in rows], 300, 500, 3)
+
+    def refuse(*args, **how):
+        raise AssertionError("the driver learns")
+
+    monkeypatch.setattr(Crf, "fit", refuse)
+    model = language_id.train(docs)
+    assert model.labels == want.labels and model.lead == want.lead
+    t = model.tokens([text.encode() for _, text, _ in rows])
+    assert (model.marginals(model.emissions(t), t.counts) == want.marginals(want.emissions(t), t.counts)).all()
+    assert language_id.train(docs.limit(0)) is None
