@@ -393,3 +393,18 @@ def test_nearest_in_few_blocks_keeps_ties_by_id(spark):
     np.fill_diagonal(d, np.inf)
     order = np.argsort(d, axis=1, kind="stable")[:, :7]
     assert rows == {(i, r + 1): int(order[i, r]) for i in range(400) for r in range(7)}
+
+
+def test_layout_of_tables_holds_neighbours_together(spark):
+    """More nodes than the limit, none left out, as near to their neighbours as by the layout of one task."""
+    rings = [(20 * g + i, 20 * g + (i + s) % 20, 1.0) for g in range(6) for i in range(20) for s in (1, 2, 3)]
+    e = spark.createDataFrame(rings, "src long, dst long, weight double")
+    with pytest.raises(ValueError):
+        linalg.layout(e, 40, limit=100)
+    share = []
+    for more in ({}, {"limit": 100, "tables": True}):
+        got = {r.id: (r.x, r.y) for r in linalg.layout(e, 10, **more).collect()}
+        assert sorted(got) == list(range(120)) and all(math.isfinite(v) for p in got.values() for v in p)
+        mean = lambda pairs: sum(math.dist(got[a], got[b]) for a, b in pairs) / len(pairs)  # noqa: E731, B023
+        share.append(mean([(a, b) for a, b, _ in rings]) / mean([(a, b) for a in range(120) for b in range(a)]))
+    assert abs(share[1] - share[0]) < 0.2 * share[0], share
