@@ -766,3 +766,13 @@ def test_tasks_are_counted_by_the_rows_of_a_layer(spark, monkeypatch):
         key = lambda r: str(r[:3])
         for a, b in zip(sorted(got.collect(), key=key), sorted(want.collect(), key=key), strict=True):
             assert all(u == v or abs(u - v) < 1e-9 for u, v in zip(a, b)), name
+
+
+def test_neighbour_descent_shuffles_floats_as_floats(spark, monkeypatch):
+    """With the same neighbours and distances as for doubles."""
+    p = cloud(spark, 200).withColumn("vec", F.col("vec").cast("array<float>"))
+    seen, inner = [], neighbours.written
+    monkeypatch.setattr(neighbours, "written", lambda df: seen.append(df.schema) or inner(df))
+    got = {tuple(r) for r in neighbours.neighbour_descent(p, 5).collect()}
+    assert seen[0]["vec"].dataType.simpleString() == "array<float>"
+    assert got == {tuple(r) for r in neighbours.neighbour_descent(p.withColumn("vec", F.col("vec").cast("array<double>")), 5).collect()}
