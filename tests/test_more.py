@@ -408,3 +408,24 @@ def test_layout_of_tables_holds_neighbours_together(spark):
         mean = lambda pairs: sum(math.dist(got[a], got[b]) for a, b in pairs) / len(pairs)  # noqa: E731, B023
         share.append(mean([(a, b) for a, b, _ in rings]) / mean([(a, b) for a in range(120) for b in range(a)]))
     assert abs(share[1] - share[0]) < 0.2 * share[0], share
+
+
+def test_nmf_packs_cells_once(spark, monkeypatch):
+    """All rounds read one table that is written once."""
+    rng = np.random.default_rng(2)
+    x = spark.createDataFrame([(int(c), int(g), float(v)) for c, g, v in zip(rng.integers(0, 40, 300), rng.integers(0, 12, 300), rng.integers(1, 9, 300))], "cell_id long, gene_id long, value double")
+    m = from_tables(x, x.select("cell_id").distinct(), x.select("gene_id").distinct())
+    seen, inner = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df: seen.append(df.columns) or inner(df))
+    load, score = linalg.nmf(m, 2, rounds=20)
+    assert seen == [["cell_id", "x"]] and load.count() == 24 and score.count() == 80
+    assert all(abs(r.s - 1) < 1e-9 for r in load.groupBy("component").agg(F.sum("loading").alias("s")).collect())
+
+
+def test_communities_without_a_score_have_no_silhouettes(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    p = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(40, 4)))], "id long, vec array<double>")
+    want = {tuple(r) for r in clustering.neighbour_communities(p, 4)[0].collect()}
+    monkeypatch.setattr(graph, "silhouettes", None)
+    got, s = clustering.neighbour_communities(p, 4, scored=False)
+    assert s is None and {tuple(r) for r in got.collect()} == want
