@@ -299,6 +299,22 @@ def test_standard_scores_with_and_without_a_broadcast_axis(spark):
             assert len(got) == 63 and all(got[f"c{i}", f"g{j}"] == pytest.approx(want[i, j]) for i in range(9) for j in range(7))
 
 
+def test_standard_scores_make_no_pairs_by_joins_and_are_rounded_as_spark_rounds(spark, monkeypatch):
+    import pandas as pd
+    from cytoplane.model import AnnotatedMatrix
+
+    monkeypatch.setattr(AnnotatedMatrix, "dense", lambda *a: pytest.fail("pairs of cells and genes are joined"))
+    x = spark.createDataFrame([(i, j, float(i * j % 5)) for i in range(6) for j in range(40) if i * j % 5], "cell_id long, gene_id long, value double")
+    m = from_tables(x, spark.range(6).withColumnRenamed("id", "cell_id"), spark.range(40).withColumnRenamed("id", "gene_id"))
+    for axis in ("gene", "cell"):
+        whole, parts = ({(r.cell_id, r.gene_id): r.value for r in layers.standardize(m, axis, out="s", most=most, digits=6).layers["s"].collect()} for most in (100, 25))
+        exact = layers.standardize(m, axis, out="s").layers["s"].select("cell_id", "gene_id", (F.round("value", 6) + 0.0).alias("value"))
+        assert len(whole) == 240 and whole == parts == {(r.cell_id, r.gene_id): r.value for r in exact.collect()}
+    v = np.concatenate([np.random.default_rng(5).normal(size=5000), (np.arange(-500, 500) + 0.5) * 1e-6, [0.0, -0.0, -1e-9, 1e300, 5e9 + 0.1234565, np.inf]])
+    df = spark.createDataFrame(pd.DataFrame({"i": range(len(v)), "v": v})).select("i", (F.round("v", 6) + 0.0).alias("r")).orderBy("i")
+    assert layers.half_up(v, 6).tolist() == [r.r for r in df.collect()]
+
+
 def test_refined_communities_are_connected_and_merge_further(spark):
     import itertools
 
