@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from cytoplane import cli
 from cytoplane.functions import pvalues, registered
 from cytoplane.model import from_tables
-from cytoplane.operators import associations, clustering, differential, genome, graph, layers, linalg, masks, mixtures, receptors, windows
+from cytoplane.operators import associations, clumps, clustering, differential, genome, graph, layers, linalg, masks, mixtures, receptors, windows
 from cytoplane.plans import catalogue
 from cytoplane.sources import readers, writers
 from cytoplane.streaming import events
@@ -315,6 +315,21 @@ def test_standard_scores_make_no_pairs_by_joins_and_are_rounded_as_spark_rounds(
     assert layers.half_up(v, 6).tolist() == [r.r for r in df.collect()]
 
 
+def test_clumps_linked_in_rounds_are_those_of_one_task(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(5, 8)), 24, axis=0) + 0.4 * rng.normal(size=(120, 8))
+    x = np.vstack([x, x[:9], np.zeros((1, 8))])
+    ids = rng.permutation(len(x)) * 3 + 1
+    want = clustering.unit_clumpiness(clustering.unit_rows(x[np.argsort(ids)]), most=60)[1]
+    p = spark.createDataFrame([(int(i), [float(a) for a in v]) for i, v in zip(ids, x)] + [(-5, None)], "id long, vec array<double>")
+    # No task may get all rows.
+    most, linkage = [], clumps._in_one
+    monkeypatch.setattr(clumps, "_in_one", lambda c: most.append(c.count()) or linkage(c))
+    got = sorted(tuple(r) for r in clumps.clumps(p, most=60, held=70).collect())
+    assert most[0] <= 70 and [g[:2] for g in got] == list(zip(want["cluster"], want["n"]))
+    assert [g[2] for g in got] == pytest.approx(want["mean_distance"].tolist())
+
+
 def test_refined_communities_are_connected_and_merge_further(spark):
     import itertools
 
