@@ -102,7 +102,9 @@ def umi_networks(reads: DataFrame, place: list[str], umi: str = "umi", rounds: i
     met = keyed.groupBy("at", "key").agg(F.collect_list(F.struct("umi", "n")).alias("x")).where(F.size("x") > 1)
     pairs = met.select("at", F.explode("x").alias("a"), "x").select("at", "a", F.explode("x").alias("b")).where("a.umi <> b.umi AND a.n >= 2 * b.n - 1")
     down = written(pairs.select("at", F.col("a.umi").alias("src"), F.col("b.umi").alias("dst")))
-    best = n.select("at", "umi", F.struct((-F.col("n")).alias("less"), F.col("umi").alias("umi")).alias("top"))
+    # Only UMIs that something leads to or from have labels that may move; the others stand for themselves.
+    ends = down.select("at", F.explode(F.array("src", "dst")).alias("umi")).distinct()
+    best = written(n.join(ends, ["at", "umi"], "left_semi").select("at", "umi", F.struct((-F.col("n")).alias("less"), F.col("umi").alias("umi")).alias("top")))
     for _ in range(rounds):
         sent = down.join(best.select("at", F.col("umi").alias("src"), F.col("top").alias("sent")), ["at", "src"]).groupBy("at", F.col("dst").alias("umi")).agg(F.min("sent").alias("sent"))
         now = best.join(sent, ["at", "umi"], "left")
@@ -113,7 +115,7 @@ def umi_networks(reads: DataFrame, place: list[str], umi: str = "umi", rounds: i
     else:
         raise RuntimeError("labels still move")
     named = best.select("at", "umi", F.col("top.umi").alias("molecule"))
-    return n.join(named, ["at", "umi"]).select(*place, "umi", "n", "molecule")
+    return n.join(named, ["at", "umi"], "left").select(*place, "umi", "n", F.coalesce("molecule", "umi").alias("molecule"))
 
 
 def soft_clipped_starts(reads: DataFrame, networks: bool = False, contigs: str = "") -> DataFrame:

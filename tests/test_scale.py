@@ -401,6 +401,16 @@ def molecules_by_hand(counts):
     return out
 
 
+def test_umis_that_meet_none_take_no_part_in_label_rounds(spark, monkeypatch):
+    seen, written = [], genome.written
+    monkeypatch.setattr(genome, "written", lambda df: seen.append(set(df.columns)) or seen.append(written(df)) or seen[-1])
+    rows = [("a", u) for u, n in {"AAAA": 5, "AAAC": 2, "GGGG": 3, "TTCC": 1}.items() for _ in range(n)] + [("b", "AAAC")]
+    got = {(r.cell, r.umi): (r.n, r.molecule) for r in genome.umi_networks(spark.createDataFrame(rows, "cell string, umi string"), ["cell"]).collect()}
+    assert got == {("a", "AAAA"): (5, "AAAA"), ("a", "AAAC"): (2, "AAAA"), ("a", "GGGG"): (3, "GGGG"), ("a", "TTCC"): (1, "TTCC"), ("b", "AAAC"): (1, "AAAC")}
+    labels = [t for c, t in zip(seen[::2], seen[1::2]) if "top" in c]
+    assert labels and all(t.count() == 2 for t in labels)
+
+
 def test_umi_networks_equal_those_by_hand(spark):
     rng = np.random.default_rng(7)
     reads, want = [], {}
