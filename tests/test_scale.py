@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cytoplane.functions import pvalues
 from cytoplane.model import from_tables
-from cytoplane.operators import clustering, components, genome, graph, linalg, masks, mixtures, neighbours, receptors, signatures, spectra, windows
+from cytoplane.operators import clustering, components, genome, graph, linalg, masks, mixtures, moves, neighbours, receptors, signatures, spectra, windows
 
 
 # ---- neighbours
@@ -786,3 +786,25 @@ def test_neighbour_descent_shuffles_floats_as_floats(spark, monkeypatch):
     got = {tuple(r) for r in neighbours.neighbour_descent(p, 5).collect()}
     assert seen[0]["vec"].dataType.simpleString() == "array<float>"
     assert got == {tuple(r) for r in neighbours.neighbour_descent(p.withColumn("vec", F.col("vec").cast("array<double>")), 5).collect()}
+
+
+# ---- one packed graph for all neighbour numbers
+
+
+def test_packed_communities_are_those_of_edges(spark, monkeypatch):
+    rng = np.random.default_rng(23)
+    x = np.repeat(rng.normal(size=(6, 8)), 50, axis=0) + 0.5 * rng.normal(size=(300, 8))
+    x[7], x[9] = x[5], x[5]
+    p = spark.createDataFrame([(1000 - 3 * i, [float(v) for v in row]) for i, row in enumerate(x)], "id long, vec array<double>")
+    points = moves.numbered(p)
+    packed = moves.packed_graph(points, 64, strip=100)
+    near = graph.nearest(p, 64, include_self=True).cache()
+    for k in (2, 9):
+        edges = near.where(F.col("rank") <= k).select("src", "dst", F.lit(1.0).alias("weight"))
+        want = {r.node: r.community for r in graph.communities(edges).collect()}
+        ids = {r.i: r.id for r in points.collect()}
+        got = moves.communities(packed, 300, k)
+        assert {ids[i]: ids[int(c)] for i, c in enumerate(got) if c >= 0} == want
+    monkeypatch.setattr(graph, "nearest", None)  # the search shuffles no row a tie
+    k, s = clustering.best_neighbours(p, middle=8, most=16, rounds=1)
+    assert 2 <= k <= 16 and -1 <= s <= 1 and clustering.neighbour_communities(p, k, near=near.select("src", "dst", "rank"))[1] == pytest.approx(s, abs=1e-9)
