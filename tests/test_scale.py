@@ -808,3 +808,21 @@ def test_packed_communities_are_those_of_edges(spark, monkeypatch):
     monkeypatch.setattr(graph, "nearest", None)  # the search shuffles no row a tie
     k, s = clustering.best_neighbours(p, middle=8, most=16, rounds=1)
     assert 2 <= k <= 16 and -1 <= s <= 1 and clustering.neighbour_communities(p, k, near=near.select("src", "dst", "rank"))[1] == pytest.approx(s, abs=1e-9)
+
+
+def test_diffusion_starts_from_the_vectors(spark, monkeypatch):
+    x = np.random.default_rng(31).normal(size=(300, 16))
+    p = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    made, times = [], linalg._Kernel.times
+    monkeypatch.setattr(linalg._Kernel, "times", lambda self, v: made.append(v.shape[1]) or times(self, v))
+    got = {(r.id, r.component): r.value for r in linalg.diffusion(p, 0.5, 2, limit=100, blocks=True).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    kernel = np.exp(-(1 - u @ u.T) / 0.5)
+    d = kernel.sum(axis=0)
+    w, v = np.linalg.eigh(kernel / np.sqrt(np.outer(d, d)))
+    for c in (1, 2):
+        want = np.sqrt(d) * v[:, -1 - c]
+        want *= w[-1 - c] ** 2 / np.linalg.norm(want)
+        own = np.array([got[i, c] for i in range(300)])
+        assert min(np.abs(own - want).max(), np.abs(own + want).max()) < 1e-7
+    assert len(made) < 20
