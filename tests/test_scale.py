@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cytoplane.functions import pvalues
 from cytoplane.model import from_tables
-from cytoplane.operators import clustering, components, genome, graph, linalg, masks, mixtures, moves, neighbours, receptors, signatures, spectra, windows
+from cytoplane.operators import clustering, components, genome, graph, layers, linalg, masks, mixtures, moves, neighbours, receptors, signatures, spectra, windows
 
 
 # ---- neighbours
@@ -826,3 +826,15 @@ def test_diffusion_starts_from_the_vectors(spark, monkeypatch):
         own = np.array([got[i, c] for i in range(300)])
         assert min(np.abs(own - want).max(), np.abs(own + want).max()) < 1e-7
     assert len(made) < 20
+
+
+def test_standardized_zeros_take_no_disk(spark, tmp_path):
+    cells = spark.createDataFrame([(1000 + i,) for i in range(300)], "cell_id long")
+    genes = spark.createDataFrame([(5000 + 7 * i,) for i in range(2000)], "gene_id long")
+    x = spark.createDataFrame([(1000 + i % 300, 5000 + 7 * (i * 37 % 2000), float(i % 11)) for i in range(3000)], "cell_id long, gene_id long, value double")
+    m = from_tables(x, cells, genes)
+    for axis in ("gene", "cell"):
+        dense = layers.standardize(m, axis, out="s", digits=6).layers["s"]
+        dense.write.parquet(str(tmp_path / axis))
+        assert spark.read.parquet(str(tmp_path / axis)).agg(F.count_distinct("cell_id", "gene_id")).first()[0] == 600_000
+        assert sum(f.stat().st_size for f in (tmp_path / axis).glob("*.parquet")) < 600_000  # under a byte a row
